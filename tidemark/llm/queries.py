@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, gif, html_text, mixing, packing, quality
+from tidemark.llm import chat, gif, html_text, mixing, packing, quality, secrets, warc
 from tidemark.llm.common import read_table
 
 
@@ -32,10 +32,18 @@ def op4_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+
+
 def op6_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.convert_pages(spark, read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "date", "record_id")
+
+
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -45,6 +53,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_main_text": op2_html_main_text,
     "op3_chat_events": op3_chat_events,
     "op4_adaptive_quality": op4_adaptive_quality,
+    "op5_secret_spans": op5_secret_spans,
     "op6_length_packing": op6_length_packing,
+    "op8_arc_to_warc": op8_arc_to_warc,
     "op10_pareto_mix": op10_pareto_mix,
 }
