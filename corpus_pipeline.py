@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, packing, quality
+from tidemark.llm import mixing, neardup, packing, quality, secrets
 from tidemark.llm.common import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,6 +21,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_docs(spark, docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8)."""
+    return neardup.drop_near_duplicates(spark, docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their secrets replaced by signs; none is dropped."""
+    return secrets.redact(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.apply_mix(spark, docs)
@@ -31,7 +41,7 @@ def pack_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return packing.pack(spark, docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", quality_rules), ("mixing", mix_sources), ("packing", pack_batches)]
+STAGES: list[tuple[str, Stage]] = [("quality", quality_rules), ("neardup", near_duplicates), ("secrets", secret_scan), ("mixing", mix_sources), ("packing", pack_batches)]
 
 #: The secrets stage's dynamic programme can't be written in SQL; tests hold the pipeline against brute force.
 ORACLE_SQL: str | None = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, gif, html_text, mixing, packing, quality, secrets, warc
+from tidemark.llm import chat, gif, html_text, mixing, neardup, packing, quality, secrets, warc
 from tidemark.llm.common import read_table
 
 
@@ -44,6 +44,10 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.convert_pages(spark, read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "date", "record_id")
 
 
+def op9_hamming_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark, read_table(spark, sf_dir, "documents"), n=2)
+
+
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,5 +60,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_spans": op5_secret_spans,
     "op6_length_packing": op6_length_packing,
     "op8_arc_to_warc": op8_arc_to_warc,
+    "op9_hamming_neardup": op9_hamming_neardup,
     "op10_pareto_mix": op10_pareto_mix,
 }
