@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, gif, html_text, mixing, neardup, packing, quality, secrets, warc
+from tidemark.llm import chat, gif, html_text, lm, mixing, neardup, packing, quality, secrets, warc
 from tidemark.llm.common import read_table
 
 
@@ -40,6 +40,10 @@ def op6_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op7_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark, read_table(spark, sf_dir, "documents"))
+
+
 def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.convert_pages(spark, read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "date", "record_id")
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_adaptive_quality": op4_adaptive_quality,
     "op5_secret_spans": op5_secret_spans,
     "op6_length_packing": op6_length_packing,
+    "op7_log_bilinear": op7_log_bilinear,
     "op8_arc_to_warc": op8_arc_to_warc,
     "op9_hamming_neardup": op9_hamming_neardup,
     "op10_pareto_mix": op10_pareto_mix,
