@@ -9,9 +9,10 @@
 3. Rows of a key meet sorted, in a stream. Pairs whose set sizes rule the similarity out, or whose 2-bit
    signatures differ in more than SKETCH_MOST of 60 positions (expected 9, 24 is over five deviations away),
    are left out. Keys of up to SMALL classes give their pairs; larger ones give each member's pair with one
-   centre, and are looked at again: round after round members not yet in the centre's component are paired with
-   another centre, and at last every remaining pair across components is tried. So a group of n near copies costs
-   about n pairs, and no link between components is missed.
+   centre, then that of each member not yet in the commonest component with another centre. What is still
+   apart is held against all of its keys' classes in blocks, with an index of shingles (``across``). So a group
+   of n near copies costs about n pairs, no pairs of a group are ever rows, and no link between components
+   is missed.
 4. Pairs are confirmed by comparing their full sets; links give connected components.
 
 Texts lower-case A-Z only; words are runs of bytes other than space, \\t, \\n, \\v, \\f, \\r. Texts with fewer words
@@ -41,7 +42,7 @@ SHINGLE, PERCENT = 5, 80
 POSITIONS, CHUNKS = 60, 12
 PER = POSITIONS // CHUNKS
 RADIUS = 2 * CHUNKS - 1
-SMALL, SKETCH_MOST, STAR_ROUNDS = 24, 24, 3
+SMALL, SKETCH_MOST, STAR_ROUNDS, BLOCK = 24, 24, 1, 500
 #: A group longer than this is streamed past its centre rather than held.
 HELD = 200_000
 #: Ids of a join's smaller side that are broadcast at most (16 bytes each).
@@ -170,7 +171,7 @@ def meet(rows: DataFrame, percent: int, mode: str, turn: int = 0) -> DataFrame:
     """Pairs (member false: a, b) of the rows of each key, and (member true) the rows of keys with more than SMALL. rows: MEMBER columns.
 
     mode ``first``: all pairs of small keys, one centre for large ones. ``star``: each key's rows against one of its
-    commonest label, another each turn. ``all``: all pairs across labels, in blocks.
+    commonest label, another each turn.
     """
 
     def centre(c: dict[str, np.ndarray]) -> int:
@@ -180,18 +181,8 @@ def meet(rows: DataFrame, percent: int, mode: str, turn: int = 0) -> DataFrame:
         return int(mine[np.argmin(order)])
 
     def group(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        n = len(c["id"])
-        everyone = np.arange(n)
-        if mode == "all":
-            for lo in range(0, n - 1, 512):
-                hi = min(n, lo + 512)
-                for at in range(lo, n, 4096):
-                    i, j = (x.ravel() for x in np.meshgrid(np.arange(lo, hi), np.arange(at, min(n, at + 4096)), indexing="ij"))
-                    up = i < j
-                    yield _pairs(c, i[up], j[up], percent)
-        else:
-            k = centre(c)
-            yield _pairs(c, np.full(n, k), everyone, percent)
+        everyone = np.arange(len(c["id"]))
+        yield _pairs(c, np.full(len(everyone), centre(c)), everyone, percent)
 
     kinds = [("member", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("out", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())]
 
@@ -258,7 +249,7 @@ def meet(rows: DataFrame, percent: int, mode: str, turn: int = 0) -> DataFrame:
             if cut:
                 yield from done({k: v[:cut] for k, v in c.items()})
             held = {k: v[cut:] for k, v in c.items()}
-            if len(held["key"]) > HELD and mode != "all":
+            if len(held["key"]) > HELD:
                 k = centre(held)
                 middle = {x: v[k : k + 1] for x, v in held.items()}
                 yield from past(held)
@@ -291,6 +282,57 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def across(members: DataFrame, labels: DataFrame, texts: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join components among the classes of large keys, by comparing full sets.
+
+    Keys that share a class form a field. In each field the classes outside its commonest component are held against all of
+    its classes, in blocks of at most about BLOCK of each, each block with an index from shingles to classes: a similar
+    class holds one of any (1 - percent) of a class's shingles, so only the block's rarest ones are looked up.
+    """
+    least = members.groupBy("key").agg(F.min("id").alias("b"))
+    fields = components(members.join(least, "key").select(F.col("id").alias("a"), "b"), scratch).withColumnRenamed("label", "field")
+    at = scratch.table(fields.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "fields")
+    sizes = at.groupBy("field", "label").count().groupBy("field").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.sum("count").alias("all"), F.max("count").alias("top"))
+    open_fields = sizes.where("all > top").select("field", "most", F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("top")) / BLOCK).alias("chunks"))
+    rows = scratch.table(at.join(open_fields, "field").join(texts, "id"), "open")
+    deal = lambda seed, m: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(m))
+    each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))
+    keep = ("id", "label", "text", "field")
+    held = rows.select(*keep, deal(1, "blocks").alias("block"), each("chunks").alias("chunk"), F.lit(False).alias("asks"))
+    asks = rows.where("label <> most").select(*keep, each("blocks").alias("block"), deal(2, "chunks").alias("chunk"), F.lit(True).alias("asks"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, labels, ask = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label", "asks"))
+        sets = [shingle_set((t.as_py() or "").encode(), n) for t in table.column("text")]
+        mine = np.flatnonzero(~ask)
+        owner = np.repeat(mine, [len(sets[i]) for i in mine])
+        tokens = np.concatenate([sets[i] for i in mine]) if len(mine) else np.empty(0, np.uint64)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        sizes = np.array([len(x) for x in sets])
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while joined.setdefault(x, x) != x:
+                joined[x] = x = joined[joined[x]]
+            return x
+
+        links: list[tuple[int, int]] = []
+        for q in np.flatnonzero(ask):
+            s = sets[q]
+            lo, hi = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
+            rare = np.argsort(hi - lo)[: len(s) - -(-percent * len(s) // 100) + 1]
+            near = np.unique(np.concatenate([owner[lo[k] : hi[k]] for k in rare]))
+            for i in near[(labels[near] != labels[q]) & (100 * np.minimum(sizes[near], sizes[q]) >= percent * np.maximum(sizes[near], sizes[q]))]:
+                x, y = root(int(labels[q])), root(int(labels[i]))
+                if x != y and similar(s, sets[i], percent):
+                    joined[x] = y
+                    links.append((min(ids[q], ids[i]), max(ids[q], ids[i])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return held.unionByName(asks).groupBy("field", "block", "chunk").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     scratch = scratch or Scratch(spark, "neardup")
@@ -311,21 +353,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     labels = components(links, scratch)
     if not members.isEmpty():
         tested, every = pairs, links
-        for turn in range(STAR_ROUNDS + 1):
+        for turn in range(STAR_ROUNDS):
             labels = scratch.table(labels, "labels")
             now = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
             open_keys = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-            mode = "star" if turn < STAR_ROUNDS else "all"
-            more = meet(now.join(open_keys, "key", "left_semi"), percent, mode, turn).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-            more = scratch.table(more, "more")
-            if more.isEmpty():
-                if mode == "all":
-                    break
-                continue
+            more = scratch.table(meet(now.join(open_keys, "key", "left_semi"), percent, "star", turn).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "more")
             new = scratch.table(confirm(more, texts, n, percent), "links")
             tested, every = tested.union(more), every.union(new)
             if not new.isEmpty():
                 labels = components(every, scratch)
+        new = scratch.table(across(members, scratch.table(labels, "labels"), texts, n, percent, scratch), "links")
+        if not new.isEmpty():
+            labels = components(every.union(new), scratch)
     ids = labels.join(classes.select(F.col("set_id").alias("id"), "first"), "id")
     names = ids.groupBy("label").agg(F.min("first").alias("component"))
     named = ids.join(names, "label").select(F.col("id").alias("set_id"), "component")
