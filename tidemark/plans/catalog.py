@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tidemark.plans import mart_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**mart_queries.QUERIES}
+ORACLES: dict[str, str] = {**mart_queries.ORACLES}
