@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import contact_queries, mart_queries
+from tidemark.plans import contact_queries, identity_queries, mart_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**mart_queries.QUERIES, **contact_queries.QUERIES}
-ORACLES: dict[str, str] = {**mart_queries.ORACLES, **contact_queries.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**mart_queries.QUERIES, **contact_queries.QUERIES, **identity_queries.QUERIES}
+ORACLES: dict[str, str] = {**mart_queries.ORACLES, **contact_queries.ORACLES, **identity_queries.ORACLES}
