@@ -31,7 +31,7 @@ def triage(leads: DataFrame) -> DataFrame:
     """Readiness: 25 each for a usable email, company and name, 15 for a phone, 10 for a website; ready from 75."""
     there = lambda c: (F.coalesce(F.trim(c), F.lit("")) != "").cast("int")
     at = F.instr("email", "@")
-    mail = F.coalesce((at > 1) & (F.length("email") - F.instr(F.reverse("email"), ".") + 1 > at + 1), F.lit(False)).cast("int")
+    mail = F.coalesce((at > 1) & F.col("email").contains(".") & (F.length("email") - F.instr(F.reverse("email"), ".") + 1 > at + 1), F.lit(False)).cast("int")
     out = leads.withColumn("readiness", 25 * mail + 25 * there("company") + 25 * there("last_name") + 15 * there("phone") + 10 * there("website"))
     return out.withColumn("ready", F.col("readiness") >= 75)
 
