@@ -84,9 +84,13 @@ def lzw_encode(pixels: bytes, min_code: int = 8) -> bytes:
     at = np.concatenate([[0], np.cumsum(w)])
     value = np.concatenate([[np.uint32(clear)], flat]).astype(np.uint32) << (at[:-1] & 7).astype(np.uint32)
     out = np.zeros((int(at[-1]) + 7 >> 3) + 3, np.uint8)
-    where = at[:-1] >> 3  # codes are longer than a byte, so no two begin in one
+    where = at[:-1] >> 3
     for k in range(3):
-        out[where + k] |= (value >> np.uint32(8 * k)).astype(np.uint8)
+        part = (value >> np.uint32(8 * k)).astype(np.uint8)
+        if min_code >= 7:  # codes are no shorter than a byte, so no two begin in one
+            out[where + k] |= part
+        else:
+            np.bitwise_or.at(out, where + k, part)
     return out[: int(at[-1]) + 7 >> 3].tobytes()
 
 

@@ -220,6 +220,12 @@ def meet(rows: DataFrame, percent: int, mode: str, turn: int = 0) -> DataFrame:
                         yield from pair_batch(found)
                         found.clear()
                 if mode == "first":
+                    # rows equal to the centre in the whole chunk meet again at the chunk's first key; more than SMALL of them, and that key is large
+                    k = centre(own)
+                    same = own["out"] == own["out"][k]
+                    if own["out"][k] >> 16 and same.sum() > SMALL:
+                        same[k] = False
+                        own = {x: v[~same] for x, v in own.items()}
                     yield member_batch(own)
             yield from pair_batch(found)
 

@@ -1,5 +1,81 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express. The others are held against brute force in tests/llm."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from tidemark.llm import chat, mixing, quality
+
+_WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+
+
+def _escaped(c: str) -> str:
+    """Length of an escaped text: its own, one more for every backslash and for every start of a control string."""
+    count = lambda s: f"(length({c}) - length(replace({c}, '{s}', ''))) // {len(s)}"
+    return f"length({c}) + " + " + ".join(count(s) for s in ("\\", "<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]"))
+
+
+_frame = len(chat.OPEN) + len(chat.SEP) + len(chat.CLOSE)
+OP3 = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+n AS (SELECT *, {_frame} + {_escaped('role')} + {_escaped('text')} AS n FROM t)
+SELECT conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) turns_sha256,
+ CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) loss_chars,
+ sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) loss_sha256, CAST(sum(n) AS BIGINT) formatted_chars FROM n GROUP BY conv_id"""
+
+_F = {"symbols": "n_symbols * 1000 // greatest(n_words, 1)", "dup_lines": "n_dup_lines * 1000 // greatest(n_lines, 1)", "repeats": "n_repeat_words * 1000 // greatest(n_words, 1)", "echoes": "n_echoes * 1000 // greatest(n_words, 1)", "word_length": "word_chars * 100 // greatest(n_words, 1)"}
+_fences = ", ".join(
+    f"max(CASE WHEN feature = '{k}' THEN " + (f"q50 + {up}" if low is None else f"greatest(q50 + {quality.REACH} * (q95 - q50), q50 + {up})") + f" END) {k}_high" + ("" if low is None else f", max(CASE WHEN feature = '{k}' THEN least(q50 - {quality.REACH} * (q50 - q5), q50 - {low}) END) {k}_low")
+    for k, (up, low) in quality.FENCES.items()
+)
+_verdict = " AND ".join(f"coalesce(f_{k} <= {k}_high, true)" + ("" if low is None else f" AND coalesce(f_{k} >= {k}_low, true)") for k, (_, low) in quality.FENCES.items())
+
+
+def _quantiles(keys: str) -> str:
+    part = f"{keys}, feature" if keys else "feature"
+    at = lambda p: f"min(CASE WHEN 100 * upto >= {p} * n THEN lo END) q{p}"
+    return f"SELECT {part}, max(n) n, {at(5)}, {at(50)}, {at(95)} FROM (SELECT *, sum(c) OVER (PARTITION BY {part} ORDER BY bucket) upto, sum(c) OVER (PARTITION BY {part}) n FROM (SELECT {part}, bucket, min(lo) lo, sum(c) c FROM sk GROUP BY {part}, bucket)) GROUP BY {part}"
+
+
+_level = lambda q: f"CASE WHEN o.n >= {quality.MIN_GROUP} THEN o.{q} WHEN l.n >= {quality.MIN_GROUP} THEN l.{q} ELSE a.{q} END {q}"
+OP4 = f"""WITH w AS (SELECT row_number() OVER () id, doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) ls FROM documents),
+g AS (SELECT id, i, array_to_string(ws[i:i + 7], ' ') gram FROM (SELECT id, ws, unnest(range(1, len(ws) - 6)) i FROM w WHERE len(ws) >= 8)),
+r AS (SELECT id, i FROM g QUALIFY count(*) OVER (PARTITION BY id, gram) > 1),
+cov AS (SELECT id, CAST(sum(8 - greatest(0, coalesce(prev, -100) + 8 - i)) AS BIGINT) n FROM (SELECT id, i, lag(i) OVER (PARTITION BY id ORDER BY i) prev FROM r) GROUP BY id),
+m AS (SELECT w.id, doc_id, lang, source, CAST(len(ws) AS BIGINT) n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) n_dup_lines, coalesce(cov.n, 0) n_repeat_words, len(ls) n_lines,
+ len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) n_echoes FROM w LEFT JOIN cov ON cov.id = w.id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words base_failed, {', '.join(f'{v} f_{k}' for k, v in _F.items())} FROM m),
+x AS (SELECT lang, source, unnest([{', '.join(f"'{k}'" for k in _F)}]) feature, unnest([{', '.join(f'CAST(f_{k} AS BIGINT)' for k in _F)}]) v FROM b WHERE NOT base_failed),
+y AS (SELECT *, CASE WHEN v < 32 THEN 0 ELSE length(bin(v)) - 5 END s FROM x),
+sk AS (SELECT lang, source, feature, CASE WHEN v < 32 THEN v ELSE s * 16 + (v >> s) END bucket, min((v >> s) << s) lo, count(*) c FROM y GROUP BY 1, 2, 3, 4),
+o AS ({_quantiles('lang, source')}), l AS ({_quantiles('lang')}), a AS ({_quantiles('')}),
+q AS (SELECT o.lang, o.source, o.feature, {_level('q5')}, {_level('q50')}, {_level('q95')} FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.feature = l.feature JOIN a ON o.feature = a.feature),
+t AS (SELECT lang, source, {_fences} FROM q GROUP BY lang, source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_verdict} kept FROM b LEFT JOIN t ON b.lang IS NOT DISTINCT FROM t.lang AND b.source IS NOT DISTINCT FROM t.source"""
+
+_lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP9 = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_lower}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 2 THEN ws ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END sh FROM w),
+e AS (SELECT doc_id, len(sh) n, unnest(sh) x FROM s),
+p AS (SELECT a.doc_id a, b.doc_id b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+d AS (SELECT a, b FROM p UNION SELECT b, a FROM p), reach(a, b) AS (SELECT a, b FROM d UNION SELECT reach.a, d.b FROM reach JOIN d ON reach.b = d.a),
+c AS (SELECT a, min(b) b FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(sh) AS BIGINT) n_shingles, least(doc_id, coalesce(b, doc_id)) component_id, doc_id = least(doc_id, coalesce(b, doc_id)) kept FROM s LEFT JOIN c ON doc_id = a"""
+
+_w = "(" + "[" + ",".join(map(str, mixing.WEIGHTS)) + f"])[k % {len(mixing.WEIGHTS)} + 1]"
+OP10 = f"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) size, (CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0::DOUBLE u FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 k FROM d GROUP BY source),
+c AS (SELECT *, {_w} w, source_size * {mixing.MOST} cap FROM s),
+f AS (SELECT *, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) done, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) w_open, sum(source_size) OVER () * {mixing.SHARE_PERCENT} total FROM c WINDOW o AS (ORDER BY cap / CAST(w AS DOUBLE), k)),
+v AS (SELECT *, (total / 100.0::DOUBLE - CAST(done AS DOUBLE)) / CAST(w_open AS DOUBLE) lev FROM f),
+z AS (SELECT arg_min(lev, cap / CAST(w AS DOUBLE) * 1e6 + k) lev FROM v WHERE lev <= cap / CAST(w AS DOUBLE)),
+t AS (SELECT source, source_size, coalesce(least(CAST(cap AS DOUBLE), (SELECT lev FROM z) * w), CAST(cap AS DOUBLE)) target FROM v),
+m AS (SELECT d.*, source_size, target, least(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END, {mixing.MOST}.0::DOUBLE) m FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, CAST(floor(m) AS BIGINT) sure, m - floor(m) p, sum(size * CAST(floor(m) AS BIGINT)) OVER (PARTITION BY source) sure_words FROM m),
+r AS (SELECT *, CASE WHEN p > 0 THEN u / (1 - u) * ((1 - p) / p) END q FROM q),
+x AS (SELECT *, CASE WHEN p > 0 THEN sum(size) OVER (PARTITION BY source, p > 0 ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) END upto, target - sure_words AS rest FROM r)
+SELECT doc_id, size, source_size, target, size * (sure + CASE WHEN p > 0 AND (upto <= rest OR upto - rest <= rest - (upto - size)) THEN 1 ELSE 0 END) taken FROM x"""
+
+OP8 = """WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) payload_bytes, sha256(coalesce(html, '')) payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS "first" FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> "first" THEN 'revisit' ELSE 'response' END record_type, CASE WHEN payload_bytes >= 100 AND page_id <> "first" THEN "first" END refers_to FROM f"""
+
+ORACLES: dict[str, str] = {"op3_chat_events": OP3, "op4_adaptive_quality": OP4, "op8_arc_to_warc": OP8, "op9_hamming_neardup": OP9, "op10_pareto_mix": OP10}

@@ -45,7 +45,7 @@ def op7_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.convert_pages(spark, read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "date", "record_id")
+    return warc.convert_pages(spark, read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_hamming_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
