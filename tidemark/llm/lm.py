@@ -13,7 +13,7 @@ one model however many shards there are. ROUNDS rounds start from the average.
 
 Scoring. As the score is a sum over positions, all normalisers come from one matrix product,
 Z[u, v] = exp(c1 R Q')[u] . exp(c2 R Q' + b)[v], and a text's normalised token log-probabilities are table
-look-ups. Counts of the KNOWN commonest words are broadcast (bounded by KNOWN); all other
+look-ups. Counts of the commonest words, KNOWN at most, are broadcast; all other
 words are joined by a 64-bit digest, so no count is cut off.
 
 Defined cases: null and empty texts are one end token; a null id counts as the empty text for the held-out rule;
@@ -34,9 +34,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, small_batches
+from tidemark.llm.quality import bucket, bucket_low
 
 FOLDS, HELD_OUT = 7, 2
-HEAD, KNOWN, DIM, NOISE, BATCH, RATE, ROUNDS, SHARD = 1022, 300_000, 16, 128, 512, 0.1, 2, 500_000
+HEAD, KNOWN, DIM, NOISE, BATCH, RATE, ROUNDS, SHARD = 1022, 200_000, 16, 128, 512, 0.1, 2, 500_000
 #: Distinct words or class triples that a task holds before it passes them on.
 HELD_WORDS, HELD_TRIPLES = 300_000, 2_000_000
 TAIL, END = 0, 1
@@ -223,6 +224,18 @@ def train(spark: SparkSession, triples: DataFrame, frequency: np.ndarray, rounds
     return model
 
 
+def known_from(counts: DataFrame, most: int | None = None) -> int:
+    """The count from which on words are broadcast: at most KNOWN have it. Read from a histogram of about a thousand bins at most."""
+    bins = counts.groupBy(bucket(F.col("c")).alias("b")).agg(F.count("*").alias("n")).withColumn("low", bucket_low(F.col("b"))).orderBy(F.desc("low")).collect()
+    total, least = 0, (bins[0]["low"] * 2 + 2 if bins else 1)
+    for r in bins:
+        total += r["n"]
+        if total > (most or KNOWN):
+            break
+        least = r["low"]
+    return int(least)
+
+
 def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, unigram_tail of every row."""
     scratch = Scratch(spark, "lm")
@@ -230,8 +243,11 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     learned = rows.where("NOT held_out").select("text")
     counts = scratch.table(word_counts(learned), "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("word") != END_WORD).orderBy(F.desc("c"), "word").limit(KNOWN).collect()  # at most KNOWN rows
-    words, c_known = [r["word"].encode() for r in top], np.array([r["c"] for r in top], np.int64)
+    least = known_from(counts)
+    top = counts.where((F.col("c") >= least) & (F.col("word") != END_WORD)).toArrow()  # at most KNOWN rows
+    pairs = sorted(zip(top.column("c").to_pylist(), top.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
+    words, c_known = [w.encode() for _, w in pairs], np.array([c for c, _ in pairs], np.int64)
+    del top, pairs
     ends = counts.where(F.col("word") == END_WORD).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     head = min(HEAD, len(words))
     n_tail, v_tail = int(n - ends - c_known[:head].sum()), int(v - (ends > 0) - head)
@@ -266,8 +282,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_c double, lm double, tail_log_c double, n_tail long, unknown array<long>"
     done = scratch.table(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out").mapInArrow(run, schema), "scored")
     # words beyond the known ones: none of them is frequent
-    least = int(c_known[-1]) if len(words) == KNOWN else 0
-    rare = counts.where((F.col("c") <= least) & (F.col("word") != END_WORD)).select(F.xxhash64("word").alias("h"), "c")
+    rare = counts.where((F.col("c") < least) & (F.col("word") != END_WORD)).select(F.xxhash64("word").alias("h"), "c")
     found = done.select("row", F.explode("unknown").alias("h")).join(rare, "h").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("more_log"))
     out = done.drop("unknown").join(found, "row", "left").fillna(0, ["more", "more_log"])
     base = F.col("log_c") + F.col("more_log") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1.0)))
