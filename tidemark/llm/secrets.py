@@ -4,8 +4,8 @@ Base patterns give spans of kinds ``assign``, ``access`` and ``hex``. Besides, a
 credential word is priced by dynamic programming: the cheapest segmentation into common words (with
 capitals and look-alike signs), dates, repeats, runs of the alphabet, keyboard walks and brute-force
 stretches, each costing the decimal logarithm of the guesses it takes, plus SEAM for every further segment.
-A value of MIN_GUESSES or more that mixes kinds of characters becomes a span of kind ``guess`` where no
-base span overlaps it.
+A value of MIN_GUESSES or more that mixes kinds of characters becomes a span of kind ``guess``, and so does
+a value that base spans cover in part only; one that they cover whole does not.
 
 The programme's steps grow with the length of a value, not its square: words are looked up to the longest
 word's length, and repeats, runs and walks are maximal. Spans are code points, end exclusive.
@@ -156,7 +156,15 @@ def all_spans(text: str, base: list[tuple[int, str, int]] | None = None) -> list
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".,;:!?)")
             a, b = m.start(1), m.start(1) + len(value)
-            if len(value) >= 8 and mixed(value) and not any(s < b and a < e for s, e in held) and guess_cost(value) >= MIN_GUESSES:
+            if len(value) < 8:
+                continue
+            upto, touched = a, False  # upto: how far base spans cover the value from its start on
+            for s, e in held:
+                touched |= s < b and a < e
+                if s <= upto:
+                    upto = max(upto, e)
+            # a base span that takes part of a value has found a secret: the rest belongs to it
+            if upto < b and (touched or mixed(value) and guess_cost(value) >= MIN_GUESSES):
                 out.append((a, "guess", b))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
