@@ -124,6 +124,14 @@ def test_secrets_are_redacted_to_their_end():
     assert secrets.all_spans("password=abcdefghijkl12.") == secrets.base_spans("password=abcdefghijkl12.")
 
 
+def test_guess_cost_alone_decides():
+    for secret in ("password is qzxjvkwphfy", "password=qzxjvkwp", "pwd: 8305172946", "the token was kqvzwjxhpgmtrb", "secret WQZKXJVPH"):
+        value = secret.replace("=", " ").split()[-1]
+        assert [k for _, k, _ in secrets.all_spans(secret)] == ["guess"] and value not in secrets.redacted(secret), secret
+    for prose in ("Password authentication is required.", "the secret ingredients were forgotten", "a token representing credentials", "bearer authorization", "passphrase unfortunately incorrect", "secret conversations, password requirements", "Das Passwort: password erforderlich", "token caducado, password incorrecta", "password réinitialisation", "pass everything between functions", "password=password12", "pwd: 12345678"):
+        assert secrets.all_spans(prose) == [], prose
+
+
 def test_optimal_bounds_against_all_choices():
     rng = random.Random(2)
     for _ in range(200):

@@ -1,0 +1,1223 @@
+"""Ordinary prose words by language, which price what stands after a credential word in plain text.
+
+English: endings, then words of at least three letters found in docstrings and comments of the Python installation, the most
+frequent first, then some written by hand. German, French and Spanish: written by hand, words usual beside passwords and tokens.
+"""
+
+from __future__ import annotations
+
+ENGLISH = """
+ation ations ment ments ness able ible ally ical ful less ship ings ers ies ied est ity ive ize ized izing ise ised ising isation ous ance ence ism ist ists ing
+tion tions use can one should when all will but only may file which used more see type has return object same class work set function name list using data
+values copy either under other any check case first license into does also must error copyright because need here get some except than specific information
+module given method then without new its code after number where make before each like there returns raise call result these different additional ignore both
+they input just writing import tests two since int names obtain would support single always instead distributed sure types software out language argument passed
+order version functions called following objects issues output instance specified avoid applicable already end index licenses time path been permissions tuple
+multiple them compliance python exception express line returned limitations arguments such want even add create law agreed whether match governing valid methods
+regarding between cannot current last still uses contributor original strings agreements expected contains otherwise defined being found array part source back
+could through possible cases about works try change attribute integer start implementation dtype their now bool dict float based most format provided text over
+available size run above ensure handle containing way pandas raises length files our needed created directly what raised right noqa while means via parameter
+supported issue bytes point might another calls fail allow generated behavior message added column below special second sequence correct during include results
+reference standard errors contain too those once were actually testing attributes keyword read including calling base else how classes within dictionary numpy
+remove keep setting convert least next level equal columns currently find until done never present team many explicitly elements characters common removed
+corresponding needs long warning def running left fails skip full equivalent write mode element rights existing directory actual keys variable process take per
+allowed self compatibility useful simple state well extra converted matches character parameters internal correctly block note args lines itself encoding range
+zero off local func mapping form rather due subclass options deprecated something memory inside takes allows necessary every cause scalar binary versions
+override item requires custom large checks makes against numbers defaults context matching boolean unless passing changed various instances library handling
+around old automatically param option exist underlying ignored very items times gets provide buffer exists main tuples returning field anything table cache
+arrays own checking cover later unique normal entry stored real operation modify parent named representation interface specify cast package know bug nothing
+sets lists nested replace integers longer exactly changes shape included versionadded supports require relative similar parse provides written model fields
+logic dtypes variables resulting exceptions constructor previous operations build yet better header loop pragma callable extension implemented assume
+appropriate inputs small made creating generate documentation enough handled fixed explicit regular includes negative again give count related define look
+maximum global known assert really series three considered conversion adding future ndarray expression close kwargs treated complex parsing assignment though
+bit prefix position update apply depending initial byte environment wrong row compare subclasses probably separate open numeric comparison place usage
+particular protocol random modules representing iterable unicode namespace trailing space target happen appear flag much whole determine properly indices whose
+location metadata examples terms preserve implement filename prevent entries break control datetime rows syntax show possibly reading mixed store produce
+starting shared content limit group associated offset things applied foo map complete info happens sort closed paths according attempt encoded failed users
+expect basic compatible final having arbitrary points details style replaced few precision top subject label command print across iterator contents frame
+leading axis max comment outside date exact difference entire listed behaviour gives double pattern creates along doing performance accept property side put
+node making trying stream handles pull starts search everything ones raw stop verify larger alias simply split generic plain parsed nan likely absolute builtin
+obj load addition bad consistent thread effect checked arg references floats sorted event safe imported taken wrap definition down mean represent going tested
+collection mask working parts display save usually installed etc ints keywords duplicate configuration general structure rest bar signature generator represents
+had manager compute modified child perform wrapped specifying properties reset got proper wrapper whitespace fix positive certain algorithm failure docs copies
+did depends operator slice lower positional let good trigger help view previously enabled bin messages desired runs remaining pairs reason best accepted handler
+clear short construct beginning total encodings bound request stack seconds script warnings accepts backwards kind therefore condition indicating filter
+requested implementations minimum mypy temporary lambda thing doctest several indicates blocks preserved ref validate fill implied together crash backward occur
+width adds converting relevant fall cached overflow labels unknown cpython consider intended rules incompatible important parser further ensures causes looks
+followed greater thus faster fully ordered immediately enable leave indicate comments section move caller execution runtime recent supplied connection raising
+platform problem updated hash report follows hold validation pair imports constant infer iteration step docstring manually append helper project yield doc unit
+scalars contained treat force twice loaded fit follow catch internally decimal compiler assumed repr others platforms meaning detect formatting indexing
+identical exclude fast generally external spaces newline seems represented creation ends sequences guaranteed meth exit copied assigned words specifies fallback
+descriptor legacy flags subset levels select insert resolution features occurs implements interpreter tree conditions regex determined direct smaller applies
+come attr higher nodes disable codes overridden described functionality body release delete min purpose sum individual broken schema disabled config registered
+processing slow defines git systems address headers casting window extract older compiled semantics share incorrect send contributors operators log socket
+typically looking switch changing lookup become callback deal formatted distribution inferred care derived produces problems spec timeout literal ownership
+dataframe inference bits built drop ordering inner hypothesis feature executed earlier normally decorator prior forward nor aliases normalized combination
+timezone interpreted response deprecation alternative wait neither getting produced core skipped regardless comparing identifier stable native floating graph
+dimension turn description sent statement outputs threads however why bounds partial reduce equality continue query affect refer implicit word branch
+directories application compared track holds resolve regression categories amount escape digits easy groups versionchanged pyarrow limited fine maybe taking
+separator expressions client assumes tag categorical constants debug traceback computed appears account char repeated optionally deleted free color suitable
+depend windows kept record mark freq potentially timestamp program maps indexes pip register caused printed sometimes sense reverse timedelta saved comes
+packages selected ops expects overrides requests extended status goes suite received rely hit importing pop specification merge strict link plus recursive
+constructed passes appended sys becomes upon sign embedded marked fact notice interval pytest moved execute formats unchanged ever coding non selection tries
+silently console combinations padding sizes avoids clean static keeps document subsequent pickle category tokens zeros matter period omitted breaks optimization
+scope host early batch comparisons high failing converts invoked inherit rule restore member initialized counts components closing replacement decode wrapping
+loading misc outer reuse permission hook calculate children ways offsets past assign connect session construction signal env dimensions seen inherited allowing
+often recursion speed reported necessarily hence blob axes started stuff stdout mod warn third machine encode minimal retain title opened supporting compat
+latter responsible purposes strip almost dicts duplicates behave params scheme successfully tell unexpected active matrix away reads specifically wiki component
+separated terminal settings extensions chunk signed chosen big sorting especially dataset implementing quite setup install designed garbage cycle blank port
+easier filled separately url recommended unused readable anyway engine little unsigned edge models presence inplace resource ignoring performed throw infinite
+unsupported recursively chunks overwrite dates day boundary applying matched accessed struct slightly distinct please shown assuming round choose product
+propagate guarantee vector supposed mostly union reasons shows low generates dir domain positions abstract quotes typing identity increasing preferred expensive
+suffix mapped origin coverage distribute providing respect convenience generating storage chars filesystem serialized printing cleanup join whenever upper far
+processed coerce computing optimized accessing hard reached definitions truncated resolved completely replaces recognized arithmetic records mechanism
+annotations corner collect tags dropped debugging frames events dot newlines say attempts frequency lengths preserves decoding calculated places improve usr
+configured linear begin behaves inserted requirement weights latest inf patterns evaluated finally year writes remain broadcast stderr introduced detected
+collected pretty middle decoded dummy container power processes initialize hack background members subprocess dependency iterate summary meant building
+normalize undefined smallest defining updates among differently displayed receive dependent four removing dynamic quoted granted unlike buffers evaluate
+incorrectly opening device corresponds col naive succeed immutable division storing lexer page circular globals giving identifiers chain replacing obtained
+proxy combined libraries json arr whereas efficient marker hashable potential visible reasonable forms independent quote nice guess tensor initialization magic
+caching successful eventually contiguous wraps builds deep vary pickling approach consistency causing literals weight rank excluded annotation utility weird
+generation fixture aligned remains dependencies var copying triggered documented resources executing yields alignment held statements lead usual overriding
+groupby repeat maintain highlight pointer dev strategy think rounding numerical failures transform requirements arrow leak locale suppress val idea locations
+prevents determines commands dynamically largest excluding duplicated themselves strictly encountered invoke dictionaries seem ignores network decorated patch
+equals satisfy caught overlap stores calculation shall relies priority filenames differ emit action tools safely hex ending major letter keeping formatter
+workaround stdlib combine variant modification days inline differences ambiguous consecutive box align nearest sending highest factory merged square consists
+sanity instantiated implicitly mock executable remote compression descriptors lot disk units handlers originally export shutdown reader slicing although consume
+factor expand streaming pylint spark segfault alive depth refers occurred significant limits choice scale reversed logging indexer multipart correspond finished
+tab figure locals overhead says trace exc placed identify newly lock escaped bugs filling entirely turns capture nullable training interactive breaking
+referenced adjust pure hereby unnecessary extend pick verbose lost waiting serialization layout structured perhaps precedence stdin prefer ready ascii month
+attempting triggers concrete mismatch terminate steps distinguish partially logical filters limitation comma assertion enforced symbolic operate partition
+indexed shell inverse careful aware math affected nans virtual mainly half exposed wheel shapes evaluation datetimes truncate kernel extracted removes beyond
+stripped addresses released typed wants len attached effectively term controls writer indicated turned intermediate direction lazy success slices task
+constructing statistics prints operating hand differs zone minor soon enum threshold inspect odd practice increase template idx mutate conflict governed pool
+registry discard usable indentation impossible modifying alternate bare prompt del decide helps baz cleared located masked modes someone alone dispatch thrown
+lowercase compile onto dealing temporarily boundaries duration shift states ids classmethod lowest average computation init retrieve falls combining height
+worker leaves emitted zip reach detailed queue expanded easily separators symbols constraints mix elsewhere transformed symbol reserved alter determining
+redundant implies conversions policy consumed acceptable finding applications experimental sources describing indent shallow render subtype parametrized
+ndarrays ufunc hooks hide front race rename respectively canonical retrieved generators routines kinds who cost seed coerced variance timestamps delay parsers
+holding partitions colors pyright automatic succeeds describe act shorter covered showing inserting reporting skipping reproduce interesting fewer pending
+backslash digit splitting performs indicator configure reports somewhat singleton exercise reshape interchange widget filtering pipe portion builtins links
+archive covers illegal forces ranges convenient callbacks mutable detection solution escapes throws diff views restriction occurrence reduction sparse filtered
+meaningful author roundtrip continuation validated vectors completed expose cols kwarg effective destination convention worth routine accessible interpret
+incomplete legal async newer attach appending blocking probability scripts expressed enables linked sub situation num iterating epoch binding sentinel auto
+image serialize dont attention compressed writable respective conditional head fresh updating tables releases leaving colon specifier lose inherits localhost
+detail flattened pad operand sufficient bottom retained complicated insertion tricky alpha leads casts prefixes installation markers choices loss ask finish
+streams normalization lets closest allocated hostname span collections flat counting flexible transformation performing technically plugin periods upcast lib
+brackets stops candidate codec notation docstrings pos remainder parallel rare ensuring simplify backend programming grouped finite notes slower multiplication
+discussion styles bias onnx dump void tabs loops wish belongs explanation falling metaclass propagated manual coercion draw recognize caches initializer chance
+unlikely observed ser highlighting relatively security booleans exceed grouping authentication approximate segment particularly preserving cycles adapted moving
+repository flush bind pickled instantiate huge loader exported documents near initially dataclass email ascending subclassing declared affects transpose renamed
+minus risk optimize producing identifying reflect buffering layer requiring intentionally meta possibility marks attrs distributions controlled accuracy stay
+reject frozen sends variants imaginary descending accurate broadcasting astype signals similarly tried trick knows representations hour moment helpers decoder
+permitted buffered opposed saving machinery fetch ability exec acts structures products worked selecting populated backed nulls loc cursor unpack tool
+terminated deleting indented exclusive assignments anymore simpler declaration algorithms stopped minutes belong basis typical enforce inconsistent fraction
+letters reduced nonzero obtaining promote blocked finds tasks cleaned coordinates swap timezones ufuncs iff startup eval despite pointing multiline calculating
+connections vars estimate transition microseconds signatures family bases underscore monotonic interpolation exponent hashes populate mutated shortcut tracking
+cell destroyed human sharing forced towards hint completion invocation overwritten connected searching unsafe charset yielding wide disallow unconditionally
+came compares weak encoder ahead payload commit unset wrappers cat integration computes infinity obvious compliant spurious sensitive deterministic omit
+conflicts center hints batches recommend protobuf lexers xref closes disables guard conform retry rid preceding nesting looked sync samples rounded fractional
+guide fee situations prepare appropriately iterators delimiter slot schemes constraint person area occurrences fits counter functional api progress essentially
+dots fake unittest locally plugins milliseconds parses decreasing datetimelike tensors ndim web primitive mappings primarily bunch instantiation reliable
+helpful repeatedly happened hours assumption portions threading reconstruct translate exhausted piece elif segments chained inclusive overlapping scaling beta
+roughly attempted integral actions couple modifications adjacent managed redirect dropping iterations symmetric nanoseconds onnxruntime strategies itemsize
+describes readline mess super history slash symlink evaluates lineno specialized service captured defer resolving unspecified fairly tells collector fold
+constructors qualified accepting rewrite specifications selector people age recorded world answer manage identified verification yes bother drops treats effects
+intersection licensed lazily disallowed parquet aggregation understand concat pydantic cython issued week interfaces exceeds intervals involved coroutine
+simulate consisting divide submodule mimic folder sections overflows solely theory anywhere constructs transfer allocation datatype proxies atomic cells sides
+uppercase font drawn receives primary getitem metrics aggregate crashes bins validator supply sockets cross altered lookups strong permit parentheses sampling
+weakref tzinfo job concatenate unpickling malformed clause existence achieve deviation quantile prefixed guarantees matters transport bools framework engines
+increases rejected interaction verifying post mismatched res coefficients rolling pypa quantized subgraph hang setitem htest quickly prepend invoking symlinks
+former skips recurse years tempfile undocumented commonly anchor expansion discarded dotted pieces invariant live dead minute cancel selects reused horizontal
+reduces splits quick involving representable internals okay simplest converter responses certificate ourselves multiprocessing strange advanced behind
+downstream transposed hierarchical dense highlighted asyncio development ctypes aka fork unpacked introspection unable accessor improved concatenated drive
+subtraction basically await lack seek subtract mutating region analysis proto extras parents median measure grammar ideal powers channel increment edges anyone
+fancy fragment bindings dual course annotated setuptools respected chunked assigning relying iterables smoke preference protect maintained entered worry
+bytecode ordinary predicate concurrent physical expanding arbitrarily clock iterated servers evaluating adjusted punctuation indirectly surrogate floor natural
+unrelated callables reflected verifies met conflicting folding auth presented stats dimensional dialog button vertical trivial randomly pyspark apache
+calculations tolerance pre fixing matplotlib pipeline multi skipna dropna shrink fusion fused rtype leaks menu username late unpacking jump pathname bogus
+deferred packed suppressed hierarchy standalone triple edit multiply goal sep substitute effort mixin cut callers concatenation push yielded wrote coefficient
+modulo commas substantial decorators precise consumes tracebacks modern dataclasses sleep coming instantiating doctests screen flow complexity download upstream
+provider grid cancelled deliberately site hopefully confusing counted containers digest padded nature efficiency exposes opposite tail allocate isinstance
+languages namedtuple exits thought repeats advance inheritance pid gone authors encodes design err simplified treatment extends prepended consist signs operands
+rich publish superclass somewhere naming benefit optimizer discovered unix catching modifies merging degrees underscores weighted editor projects prediction
+singular bold accidentally casted registering insensitive disabling bytearray lots official distance backslashes unbound reliably varies puts gap unary buf
+frequencies plot clears loads joined compound restrictions unbounded reductions slots recreate dedicated shrinking overload buggy triggering inspired collecting
+sorts markup claim expecting confirm convertible receiving plotting sliced vectorized reindex dim polynomial quantization initializers assertions supertype
+renderable spam redirected readonly hexadecimal management queries longest universal abort translated emits sensible truncating incoming pickles sized
+delimiters registration delta satisfied endianness posix utilities exited inheriting play sell charge seq staticmethod proceed getattr namespaces resets trip
+profile excludes interrupted interpretation substring considering runner capturing unwrap flatten checkers classification favor restored partitioning logger
+absence approximately transformers robust observations converters specifiers masks pygments strides mentioned tracing emulate validity finalization exiting mal
+accesses specially listing rate efficiently microsecond difficult zones solve displaying heuristic timeouts enter scan quoting preceded submodules principle
+uniform comparable importlib formed persons sublicense whom timer inserts distinction conjunction forever delimited phase remember escaping verified unhashable
+bytestring asked directive forget spacing displays appearance undo drawing expr closure rarely referred partitioned avoiding stateful serializer correctness
+destroy driver nanosecond independently varying matrices truth choosing treating indexers unequal fillna multiindex analogous reorder resolver impact editable
+fastpath defaulting sequential gzip owner opens five introduce delegate suffixes minimize declarations feed suggested saves satisfies rendered manner
+asynchronous approximation begins encounter bounded memoryview writeable equally subclassed programs discrete percent swapped customize nonexistent ugly
+executes logged overall prepared joining scheduled validating definitely everywhere refs score moves party derivative braces backport scenario needing teardown
+ideally consistently labeled transformations decision carry urls restricted questions packaging theme validators multidimensional shifting cumulative extending
+thousands deprecate unfortunately browser straight decodes clients leap great hashing fitting targets continuous decimals pow architecture spawn magnitude ratio
+wanted ordinal abs merely assumptions mixing protocols frozenset stripping van deletion machines searches additions avoided spaced compress accordingly respects
+invalidate afterwards overwriting furnished candidates compact finder ended cert forwarded transforms clearly reasonably directives catches ellipsis bypass
+initializing complain problematic optimizations trim macro mapper shares downloaded retries unordered stacked transforming squared individually warns diagonal
+consumers ticket promotion mutation refcount listlike searched subdirectory clone debugger weekday keyed compilation managing immediate bracket bail instruction
+operates understood surrounding contexts distutils sane unmodified enclosing const said blow relationship timing translation reaches declare persistent wins
+enclosed reload unreachable apparently conventions percentile correlation gracefully evenly separating scaled coerces whitespaces frac extracting octal
+irrelevant backing sufficiently maintains midnight absent exponential launch soft comprehension datasets chaining observation kernels clearing footer formatters
+resultant forcing equivalence opset timedeltas subtypes uint masking perky ext bigger hits localized renaming shorthand traditional manipulation hosts six
+propagation fixes installing environments patched mimics removal codecs narrow lies meet deeply exp derive serves measured extremely prog discover overwrites
+terminates enabling deadlock protected thanks chunksize man completes outcome rendering mouse miss recently existed waits cpu executor fault dataframes
+validates room putting idle divisor fitted elementwise equation fed agree torch flaky providers wheels scenarios coercing iloc pertaining stat orders entity
+composite diagnostic identifies interested accumulate logs advantage locks restores replacements multiples closer registers simultaneously consuming printable
+confused customized overloaded roots trust resetting finishes claims mutually pages border monotonically coordinate errno unions worse fixtures somehow
+inferring picked fetched predictions scales dims achieved demonstrating importable numba ravel prompts forbidden pack silence strips marking calendar mtime
+lacks desirable interfere quiet responsibility slashes endian subsequently globally differing carefully hope terminating collisions purely circumstances subtle
+browse uniformly scanning wildcard degree paragraph squeeze additionally shifted safety invokes involve dest trimmed processor instructions obsolete pseudo sees
+performant manages freed leaf resolves freely invocations highly tied redirects ran arising parenthesis question consumer indirect communication interrupt kill
+denote app bucket shim builder serializing plan sampled eager schemas inject eps downcast reindexing ddof vals alongside historical linux stride draws unusual
+rebuild resize reso appends informative archives conforms opcode stopping uncompressed modifier stub cyclic bitwise regexp managers tokenizer wider intent walk
+lone truncation localize domains preventing delayed heavily classic div cleaning believe glob idempotent explained intercept zipfile satisfying touch shortest
+die owns opt embedding stacklevel leftmost transformer thereof indeed wake trouble stray profiling endpoint unnamed rightmost homogeneous surprising logically
+datatypes picklable agg branches shuffle cancellation req pytz dateutil offers discovery scipy quality corrupt unclear solved categoricals optimal stays
+microsoft enumerate vendored pointers tzdata editing pypi transitions opaque unavailable pointed gain deletes sessions triples fastest flushed knowledge
+throughout endpoints entering unnecessarily detects wall critical advertising publicity poll listening opcodes established excel eliminate cookies accumulated
+formula ties exports rounds quantize stage multiplied silent stricter losing introduces checker disclaimer retains told examine uniqueness inspection unregister
+mirror consumption tagged dunder exposing fashion unhandled connecting anonymous surrounded dist referencing vice losslessly unified warranty innermost circle
+liable whichever unlimited restoring parity simplicity predicates prune widths residual broadcasted setter collects checkpoint variation configurations
+histogram requesting contact stuck dog loses boxed propagates emitting light wire keepdims foreground straightforward uninitialized redirection parametrization
+parametrize installs utc zoneinfo happening invert roll destructor upcasting tkinter isolated speedup referring dangling handy zlib glibc hardcoded expands
+reachable considers ambiguity face nicer translates refactor klass locked subtracting recover adapt acquire endif offer noise poor ought inexact infinities
+extreme dividing cluster unpickle establish extracts lambdas normalizes obviously typ factors alert certificates collapse involves subinterpreters resume
+certainly promoted patches developed click exceeded folded argv merges commercial learn configurable redistribute cond interact costly annotate confusion
+repeating reducing submitted infers jira epsilon leaked discarding discards clip equiv nrows reordered surrogates fuse spans fragments bundle preparation
+concepts templates margin searchsorted backends restrict inclusion bootstrap browsers popular basename querying walking filesystems manipulate mistake portable
+echo finalizer lifetime strftime divisible possibilities incremental natively analyze scanned transparent predefined stacking lookahead commented truly
+practical integrated quantiles predicted linearly population ranks occurring estimated central contract apart aspects rejects numerically maintaining subnormal
+incremented adapter classmethods concept idlelib mechanisms baseline tracks heads endorse supplying boxes traversing locate flavor reaching cap yourself trees
+denotes barrier divmod regexes aliased developer compiling versus fourth titles percentage medium positives variety collision became erroneously damages
+generics divided improvement termination workers initializes conf serializable structs throwing plots doubles elapsed identically iter renders aggregating
+concatenating estimator bars tip alternatively images upgrade dirty capable interest mocked cats reshaped usecols grouper stick coroutines mirrors cased
+threaded exporting macros cleanly intp polynomials weighting dups widgets alphabetically unaffected encrypted went hitting borrowed normalizing complement
+suggest ast captures filepath increased rewind patching atexit daylight jumps omitting imply outermost quit mail asking descendant contributions strongly
+frequently perfect covariance squares denominator serve scores procedure seeing intact closely badly fatal fills mandatory unambiguous materials literally grab
+complains survive overloads confuse java wild databases integrate secure hiding extent highlights friendly refactoring verbosity behaviors appreciated pairwise
+toplevel restart enters tiny paper rewritten activate developers retrieves contrast deserialized cartesian pinned configuring notify aggregations combines
+persist perf thinks tick chunking unbiased membership pretend useless perfectly animal holes cumsum ffill tabular byteorder skew peer asserts stale
+reconstructed verbatim consolidated tracked sourcecode ruff superset proc flushing xfail longdouble arraylike dup numexpr regrtest buildbot uid venv suppose
+controlling queried conservative endings months finalized friends norm oldest repetitions popped finalizers harmless contribute computations fractions refuse
+ditto pipes conn alphabetical maximal succeeded worst ticks rewriting greedy lexical texts adjustment spawned flexibility subsets descriptions reproducible
+estimates numbered pyc prime unwanted scientific capability disallows allowable substituted sin affecting conforming quotient besides grow annoying gotten
+accidental trusted scopes historically notified handshake dance visit daemon guessed counterpart substrings heap libc lives suites blah hardware plane revised
+hasattr composed absolutely exceeding virtualenv comprehensive jobs injected decided pin unstable stages explode summation discussed significantly mismatches
+missed unescaped mat subplots activated appearing discouraged ret isin injection denoting alphanumeric resample easiest dark subarray leaking criteria linking
+lowercased anchored comply forwards deque httplib userid segfaults argsort deg myself visibility tzaware attachment buildbots micahel iterates subdirectories
+sysconfig extraction decides issuing angle abbreviated essential zeroes tweaks thin linecache harder dirname channels unwrapped weakrefs accurately consequence
+informational explain uniquely replay opener enums pushed dispatched variations specs deemed grows estimation substitution hyphens deepcopy neg multiplying
+underflow nonempty maxsize looping life growing offending traverse notable sole statically nonlocal fair externally heterogeneous syntactically getter deals
+recipes gamma schedule devices lang defaulted segmentation unrecognized keyboard shebang recording turning focus turtle fun acknowledgment continued symmetry
+launched hanging desktop designated parameterized traversal dirs dashes eagerly proposed accounts projection underline replicate dumps notebook demonstrates
+paired online listener peps ceil statistical trained summed thresholds disappear honored bfill belonging amounts organized asserting lexicographically egg prod
+net unpickled impl bundled switched shrinks cuda entities logits extraneous argmax resized brace singletons caption vim italic fonts formerly unquoted
+subroutine foreign integrations recarray overlaps poorly analogue barry inspected encounters syscall breakpoint breakpoints weeks fileobj flushes resort
+subscript collapsed contextmanager seekable permutations owned stronger wink cancelling relied directions book eggs dictates respond improvements blanks dialect
+presumably gaps revert heading sheet topics mocking equivalents sums selections spread density published continuations lenient greatest manipulating
+mathematical cheap reraise unaligned snippet timed switches mailing overview powerful pops gathered encapsulates chains duplication iteratively permanently mind
+defaultdict dealt fetching forked unfortunate nearly identification toward revision caution letting deltas interacting traced aggregated alternatives pipermail
+repetition plainly misrepresented reflects prohibited qualname structural clash frequent serial wherever recursing bootstrapping inefficient latency gateway
+decorate till orc textual metric iterative vertically semantic precisely stated denoted transaction nanos utils credentials factorization freqs decomposition
+defects production honor mocks defect ipython paste resampling pivot justify dimensionality interpolate daily isna rtol preferences mismatching secondary
+nocover unreliable primitives sdist exercising unneeded inverted freeze preprocessor uri stylesheet hangs propagating fsspec retrieving transmission strided
+noted flip subarrays signedinteger interpreters beware qux datetimetz popup viewed bufsize digests modifiers fullname dedent summarize addr asynchronously
+inspecting fname tokenize hyphen outcomes indefinitely accessors precede placing offered nasty translating seeking understands connects memo suffer capabilities
+tty wildcards shadowed his enhanced contributed plural midpoint sigma numerator measures demonstration agreement violate opts deeper sentence retrieval ten
+dangerous correction rotated placement technique continues introduction improves reentrant embed delivered reproducing cheaper quadratic exhaustive cope
+abstraction certs setattr unsorted acquired util recipients scheduling sake savings tracker abbreviations contrary junk viewing insufficient alphabet geometry
+learning publicly thru trade completions companion busy negatives malloc signifies expectation omits rejection pruned killed accommodate curly aligns udf
+materialize faulthandler commutative identities country statistic joins refresh cores improving deserialization quarter scatter predict separates gradient
+namely mixture bring reality appeared successive denied meaningless silly tutorial uniques midx unstack reindexed reusing ewm cov latex clipboard positionally
+squeezed intentional correspondence activation isolation dash codepoint suppresses paren aid benchmark recognizes diffusion peak packing cmdline rem fragile
+predictable accounting wesm crashing refactored unstructured asarray deliver consolidate gui futures aperson sticky substitutions hides launching vulnerable
+attacks delegated detached centered truncates incorporated eight fileno detecting prove anchors eliminating summarized colons suppressing darwin audio associate
+algebra terminator advancing urllib meets authorization blindly adhere unbuffered monitor desc onwards funcs pep catalog notion fallbacks geometric rectangular
+proportional interpolated semicolon checksum minimizes rotate mantissa agrees ease indication carried limiting quantity unaltered nonnegative exclusively
+marginally calculates leftover interprets took arise realize substantially millisecond duck metaclasses bitmap varargs signify conceptually namedtuples
+synchronization ephemeral releasing successor simulated substituting unfinished protection shipped violation augmented tends demonstrate win reordering regard
+versa todo argparse saw pointless invalidated approximated visual grants rev deduced warm familiar expires subprocesses miscellaneous lexicographic semantically
+mutates layers globalns aims acceptance encryption targeted pasted serializes retaining kills duplicating reloading buckets growth probabilities assigns
+dispatches clustering invariants inlined differentiate deserialize batched hardcode foobar regarded maintenance vocabulary chooses led loose misleading nonsense
+fire cancels solid delegates orient descriptive bird pytorch squeezing hot atol sharex classname stability residuals algo legitimate mul truthy standards scoped
+distinguishing subgraphs unify matmul pixel wise producer totally frameworks forbid reprs swallow improperly orig backtracking ansi carriage shut quirk
+discriminator occasionally altering typeshed fastparquet exhaust downloading roundoff zeroth argmin crashed exercises preservation inequality downloads testcase
+checkout uninstall viewer uncommon interpreting enforcement synonym snapshot gave rationale visited architectures redefine trap decompressed slowest compressor
+edited excess emulation locales submit indents stating spelling presentation customization environ listen clamp faithfully outfile modulename tricks
+distinguishes decoders defers epoll bump modname clocks sec encoders readers prevented doctype smoothing triangular lie rational percentiles dubious zipimport
+boring prototype unreadable finishing superclasses decompression functools abbreviation brief untrusted recognised clever exclusion mention violates
+interactions dumped overflowing exceptional waste obscure untouched coded initialised waited incrementing similarity asserted unexpectedly acquiring allocations
+earliest movement queues auxiliary spent intuitive likewise explore triangle invisible oriented facing graphics enhance animation clicking toolkit services
+floordiv com hacky gather fly feeding sophisticated flattens bookkeeping mimicking covariant permutation theoretically periodic datagram ancestor encouraged
+linker maximize indirection guards behalf decremented facilitate scala readability ported executors exponentially manipulated asof unmatched declaring seealso
+pathological deduplicate generatedb recommendation advised retried outstanding xyz confidence ternary plotted role encourage train solves orthogonal eigenvalues
+forming isnan ancestors flows generalized evil solutions provoke biased chances smarter killing stolen approx backfill cumprod sheets ham initiated holder
+typevars pypy finalize prereleases ultimately route contributes budget carries huggingface graphs interleave psutil accumulation guessing github majority
+colored ttype durations syntactic buttons overly ifdef pycon inconsistency monospace gif selectors actively malicious subparts branching delegation pathlib
+sibling aborted conditionally der shaped infs inversion inaccurate rcond swapping lexsort behaving parens idiom capacity loaders xef printer lexsorted pointwise
+groupers netloc icon waiter subinterpreter pyshell curses settable precedes mentions grey tempdir unpredictable unlink aliasing undone subscripts intermediary
+likes shortened arch clang perspective unusable clearer consult ordinals whence simultaneous kqueue transmit extensive transient topmost octets draft likelihood
+wind placeholders delivery numbering stateless importer creator abfnrtv multicolumn mro interactively sensitivity simplifies interior logistic deviations
+someday ceiling speeds deny crude compensate alt unambiguously descendants somebody executions integrity stands abcd parties rough warned arrive unwrapping
+comprehensions awaiting workarounds cipher intention penalty serious bodies semaphore profiler heuristics cloned disconnected communicate mime deadline getters
+sites demand funny decreases disks watch vendor alternately marshal abuse legend redo divides accident backslashreplace unorderable modeled pressing canceled
+pixels canvas pressed herein grant principal trademark trademarks boilerplate reassign quotation umask obey exotic capitalized heavy longs eat deciding forking
+polling uuid planned presents untested disjoint manifest sorter artifact restarting sink committed nullability avg compose introspect typecode periodically
+lifecycle materializing relation frees policies urlparse synchronize illustrates unparsable reflection ranking labeling wishes bypassing spearman grep unmapped
+steal promotes boost messing awaited exploit hurt clarity importance torn solving falcon cummax disambiguate rectangle preamble kurt skiprows dayfirst builders
+minimizing assembled nogil ensured availability counters historic multibyte toggle sits answers surrogateescape unparsed spellings subtree swaps reproduces
+enforces brought notices claimed deliberate pads cos upcasts clipping varied dispatcher allocator highlighter flagged casing oct aimed infrastructure
+notification linalg nest decompress phrase nix pools shuts clashes corrupted conveniently parametrizing snake gen preferable enforcing specialization corruption
+accounted exercised unregistered dask excessive adoption multiarray toctree autosummary degenerate deficient supplies holidays deallocated trimming putmask
+weekly influence unraisable flipped apparent spline differentiation derivatives maxpower interp nodeid subtest reopen optimisation aligning dti lossy emoji
+watcher chrome shrinker wakeup menus scroll recreated rmtree tarball shutil unconditional funcname combo hashlib blocksize fear tmpdir addressed newest traces
+mount sortable concerned loopback binaries installer compilers redefinition violated probe intend proof attaching insist east carrying programmatically
+counterparts strictness ago eof loadable pickler mailbox peephole dis irregular writers topic regenerate fixup plaintext examined willing proceeding cuts
+investigate medians revisit proportion quartiles curve everyone bandwidth ranked exponents meanings compiles payloads rotation backported becoming figures
+adequate framing prepending interfering flattening interspersed explaining elegant expense alternating finders traversed saying disappears seven suspended
+subtracted semaphores recycled inform topological recipient challenge reply sender tolist luck drives today paging volume media messy tend diffs originating
+albeit pprint cutoff staticmethods scrolled introducing mainloop logo prepares delegating clauses adjustments contribution defs expectations isolate zombie
+exitcode deadlocks completing upwards narrower localns hypothetical analyzing impose seeds entropy mangled stand inappropriate apps quo pickleable hole
+deduplication batching tooling persistence opportunity shuffled stacktrace jar serving outputting showed accumulator reloaded recovery concern lit asks doubled
+pearson binds configs multiplier retrying incur upfront characteristics sequentially circuit interoperability installations subplot ind incrementally multiclass
+papers parallelized parallelism decay computational lesser gpu infringement distro scratch awkward smart generous broke alarm tolerant dumb relaxed neglected
+constrained zoo transferred cow degradation rabbit cummin lion fish aggfunc styled clarify alphabetic groupings specialised boxplot figsize colormap unstacked
+fig article covering solver tol addressing feel setups mangle timely rebuilding orderings usages unrolled inherently regions tighter synthetic clipped spanning
+codepoints constitutes beneficial relating intel evidence beam accelerator contrib adopted enumerates standardized upgraded folders mid differentiating untyped
+concurrently indicators mimetypes stubs styling templating slowdown disallowing elem matcher changeset decisions speaking instrumentation decent fortran
+continuing django lookbehind linefeed atom forwarding deprecations packet hostnames multithreaded nobody concerns rotating deprecating altogether declares
+respecting dies refuses adapters monkeypatch mutations shadowing relationships kick coercible precisions unobserved pluggy subpackage reversing amax conjugate
+semicolons freshly diagonals ctype thorough dispatching isinf reshaping imag knowing infinitely transposing coef differentiated unsquared multiplicity
+integrating hist refcounting giampaolo duplex rerun noop nnorwitz functioning tseries factorize tznaive nlevels boxing nopython jitted nano populates scrolling
+shareable simplejson yanked suggestion renderables refleak cravindogs scrollbar locking pathnames launcher breakage risks tar executables quitting simulates
+gzipped shot fredrik von nbytes popping pushing octet fundamentally deduplicated collapsing proceeds pydoc redirecting makefile libs reasoning insane utcoffset
+pasting plausible mailto telling avail reconstructing sock memoize unlock consideration quotechar mtimes subdir unencoded lacking nicely scanner tolerate
+suggestions feedback traffic measurement ratios relations reciprocal promised adjusting logarithm alters outlined signaling resumed summing inode spell
+equivalently emulated howto misses cleans listinfo syntaxes frozensets xea documenting areas tracemalloc arrange promise strptime revealed greatly uncaught
+decrement ident predecessor verb authenticate determination driven shutting dollar eliminates ver infos reparse shorten contextual occasional difflib clusters
+adaptive hundreds materialized fundamental courtesy handing bpo goto pictures tup accelerate vec incorporate material calibration mistakenly synchronously
+returncode inheritable stdio narrowed prohibits bigint randomness theoretical binomial exchange disappeared mac transparently synchronous downside arrives
+compromise flist preexisting distributors regards advice observability arguably increments safer peek spawning profiles sliding insertions analyzed checkpointed
+windowing persists artifacts xaa xed aaa backoff abandoned parallelize suffixed recurses erroneous hourly vanilla relates polar correlations pie recovered
+classified regularization migration affinity gaussian subcommand warranties patent creative concerning worldwide folds utilize postpone forgotten bright
+litigation wasting suspend offline severe restricts interrupting cares mistaken confident fulfill pat mammal consecutively kendall bottomrule toprule sparsify
+midrule concise decrease currentmodule workbook emulates customary price sortedness sharey vstack estimators losses descent families concatenates unintended
+setters streamed monitoring bitmask negligible preview testsetup prerelease musl encountering consensus influences guides abi negation exhausts acting
+reproduction licensing curl embeddings sound einsum broadcastable unmasked reuses experiment ctor benchmarking exporter sudo guidance mirroring repo review
+capsule weaker restrictive lex themes lax tooltip dec sugar music shortcuts forcibly inactive triplet ndef tunnel recv pulled outgoing monkeypatching passwords
+messes guarded barthelemy stress talking parametrizations hood undecodable worthwhile resulted parameterize unscaled deallocation arange locs mangling
+suppression ini memoryviews equations memmap spend horizontally subok tolerances corners resizing holiday descr behaved valued contiguity noting interned
+artificial safest monic widest vander instability terminals derivation instant meson mtu legit exe boot isup videos phrases resurrect conftest retention oneof
+encodable fuzzy localtime permanent tzawareness resolvers pytimedelta idxmin kludge thead indexable openpyxl locator surface upgrading normalised rollback runpy
+crop randomization unblock harness unicodedata dialogs keybinding press linesep directed rewrites noticeable chdir stepping facility trailer expat complies
+endless abruptly forth kinda summaries linenumber freeing constructions unresolved quad partly lightweight resumes transferring archs scripting uname immortal
+massage tok weakrefable derives disturb writelines facilities suck termios delim escapechar served cur rescan amp enumerated fnmatch internationalized
+localization cosine smooth articles jointly stamp preferably inequalities spite halfway modulus removals thereby lzma tarfile million chapter preset doubly
+underlined extensible genuine damage ideas abcdef examining recast emulating mobile suggests capath walks visitor refcycle successors refused prematurely
+scheduler slows recommends securely intrinsic permissive separation progressively diagram trials simplifying pay doesn mounted gained varname bulk friend fstat
+enormous thank entirety purposefully tbody incorporates unintuitive cardinality initiate protecting centers fontsize dragging turtles kids bounding orientation
+observe vertex logos organization divisions modular rep exclamation restarted signalling simplifications annotating subscription craft needless corrected oparg
+opname registrations importers uncomment automated balanced flatbuffers grown serializers projected lateral died estimating laid widely gender numerics
+aggregates cube correlated autoattribute nondeterministic org intends aborting factories confirmation xba allocates leverage aspect coercions rec sensors
+mitigate secs comprises univariate factorial sitting ord decryption engineer latitude whiskers longitude receiver characteristic distances multinomial
+irrevocable iii community subscribe significance objective benefits stupid troubles deferring lag unhappy crazy hell imposed suffers interruption lawsuit
+eviction inadequate prominent undesirable sorry backs attaches nunique psser illustrate pser ivar resampled bee dogs animals multirow parrot horse considerably
+stata longtable backtick shield variadic xor aim abcde paragraphs quantities objs picks whatsnew yearfirst xlim corr empirical allclose optimizes parametric
+standardize interning developing latin sig chardet regressions costs conserve card representative prerequisite touching twelve numeral relax prefers unfolded
+caps canonicalized bidirectional defensive authorized versioning construed repair obligations incidental alleging liability infringed pretrained feeds deduce
+ragged opsets experiments parameterization anyways activations rmax quant layouts recompute removable siblings owning allocating analyse preprocessing lexing
+bypassed tokentype trac palette blog capital visually ifndef spot stringified colorizing percents dereference autogenerated javascript typedef nil wrongly spin
+atoms cli tokenstring posting urlopen legitimately reraised decodable unterminated nonstandard dotless resp provisional ports rebuilt implications needlessly
+qualifier freezes supersedes hinting hacks reusable flavors meantime yyy defacto inst beforehand inc unittests xfailed determinism tofile amin fmax looser
+tensordot factorized spelled eigenvalue lowered tips valgrind convolution argname rolled stringify mmap nditer seg refcounts unpickleable clobber ydeg
+unmanageable zdeg xdeg unmask erase shrunk mass pydata totals xdist paused subtests runtest appname isort abspath unquote hashtable tzinfos extant annual tzname
+unsuccessful upsampling npdev timeseries consolidating datelike concatting margins empties blows asfreq sem unbox proves ylabel xlabel styler xlsxwriter recipe
+responded ruled sublist unquoting ensurepip platlib pyver spinner invalidation queued imagine rect flakiness overlapped randomized awaitable typo ghostwriter
+pause signalled untracked bperson delegator textview turtledemo calltips backup filetype fifo doubling gid registries races directs debugged weekdays saturation
+deflate compresslevel seeks mkdtemp gettext currency suspected glue colno ntpath normalizations decreased handful manipulates ipaddress issubclass pushes
+bypasses dists disagree bizarre convoluted formal temptation ignorable selectively reveal contrarily remembers terminators bytecodes probable doublequote
+presumed sensibly skewed modulefinder methodname chop decl pager leader basenames encourages exploited interpretations tendency averaged efforts vertices binned
+nine nominal rankings strength graphical assure rescale intermixed zipimporter usability exactness negate diag trapped feasible dividend difficulty traps
+hardlink behaviours ncoghlan threadsafe purge nargs xaf prefetch heart enhancements enc insists disassembly complaining provision rooted subpackages originated
+demands unbind reveals quota criterion cadata ciphers balance fieldname reentrancy acquires activity decrementing reals advertise upcoming questionable mutex
+pub passwd band sans reimplementation simulation books extensively constrains ambiguities noon minimized magical reformatted parseable helped confirmed
+manipulations considerable noticed naturally cubic pulls indice fancier intraline ndiff intervening accumulates enjoy binascii syscalls xde clicked outline
+upward consequently scrollable distributing intellectual tie denom unnormalized intelligent convince significand routed interrupts timings enumeration
+containment setdefault unqualified communicating subscripted narrowing unsound firstlineno harm speedups exprs braced successes setstate inconsistencies urandom
+fromlist misaligned chmod regularly instantiates induced completer undetermined customizing purelib undef suspicious stash attributed health editors reverts
+introspected honour finalizes tee columnar interacts prop originates associative pushdown replayed subsystem deletions checkpoints plans continuously collectors
+ages refreshes collation plotly irrespective regenerated restarts expiry timers evolve expiration fired xca xeb statuses packaged crucial upload uploaded
+instruct sooner arity hoping deployment mon passphrase orderable decrypt inevitable outliers kurtosis adopts acc maximized quartile fliers chart checkpointing
+latent recall softmax dataflow holders redistributing permissible authorship ineffective tutorials migrate spirit focused exploits frustrating authority
+misbehaving opportunities destroys aggressive pretending collide honoured granting horrible inconvenient suspect attack postponed disaster abandon provoking
+novel motivation shame catastrophic won terrible terribly pollute chokes inability temperatures bat dta prescribed sale misuse caveats tensorflow startrow pig
+fox repl ant understanding hexbin preprocess xticks props rot alignments evaluator persisted ensemble consequent english proportions permits memoized reducer
+officially circumvent systematically coalescing structurally provably probing prioritize fingerprint dominate awareness unsatisfiable precomputed autodetected
+complementing compactness recomputed resolutions began restype mojibake exclusions survives snap settled goodwill tort conspicuously electronic indemnity
+numerous indemnify personal incurred counterclaim attribution discussing stoppage pertain malfunction msgpack separable addendum negligence reg fifty notifies
+consequential bert refreshed layernorm causal evaluations codebase warmup tile diffusers timesteps formulas conda rmin augment blockwise quantizes rearrange
+targeting conv preload pins abstractions grayscale colour amongst scoping distinguished punctuations bash temporaries reserve tilde notations backticks
+commandline parenthesized debian rel horribly initialise prone overline snippets quantifier board backgrounds heights botocore preloaded tunneling pooled
+getaddrinfo aforementioned differentiates emscripten reopened polymorphic validations toml discriminated startswith origins reflecting experience completeness
+trickier viable plays risky incompatibility feather sit lowering fragmentation filterwarnings underneath deallocating castable transports middleware giant
+abusing attrib uncomparable undeprecated arena homepage certifi tester develop notably generalization fmin environmental imprecision edition sphinx entrypoint
+numarray umath asanyarray troubleshooting occupied weekmask copyto preferring gradually gufunc classical footprint inds alleviate broadcasts loadtxt ndmin
+linspace canonicalize roundtripping flipping activating constructable underflows induce isfinite trivially conditioned splines reproject overdetermined resemble
+pol reprojected orthogonality ndtype extremes downcasting filler importantly fiddly fftshift mathematically negated bottleneck lexicographical intersect
+violations shifts preliminary inout grandchild sout privileges battery distros teardowns fspath conftests excinfo posted testsuite pytester justification
+forcefully loggers goodbye endlessly reprlib explanations descended spuriously depended contention varint sortedcontainers plenty gettz arises dayofweek cgi
+isdst pytables rdivmod sqlite brown nanops datetimeindex unboxed picking kicks honors jedi ditch orients sparsified consequences dupes nat intersections
+invalidating suggesting corrwith idxmax switching comp parsable hover intelligently reformat lossless unhelpful href tooltips stock pane listlikes intuition
+hashed fullmatch grabbing granularity jpeg nudge clones indenting listens spit proxied backspace overrun forkserver unsubscribe wikipedia probes subpattern
+weakly hookwrapper waiters unblocked sendfile proactor woken fut unlinked silenced hunting sleeping starred picklability evt pydebug resurrected testcases cte
+maxlinelen mailman refleaks specialist toggles pyrepl colorizer toggled listbox editwin keybindings clicks icons fileinput libedit remotely junctions resembles
+onerror originate overkill plist setlocale fiddled euro intimate tabsize seeded sharp descend complication optimizing subnet networks dedup functionally
+uninstalled barf fat positioned scol tokenization rearranging west infile eventual closefd synch readahead wonder stacks optimizers formally dialects subpath
+charmap shells excellent quot argspec programmer slave exhausting speeding conformed sketch joint overflowed denominators slope variability associating eligible
+arc zips tweak funky winner presenting devoted capitals clamped irrational convergence elimination prec engineering sym inodes trial timeit msec biggest
+cumulatively halves continually optparse metavar expert unchecked bracketing unprintable akin unacceptable simulating mutual envelope authenticated tightly
+tedious leveraging drained danger draining waking unlocked arranges disconnect accompanying challenges tuning expire discriminate passive expansions eol she
+insensitively injects whereby logarithmic julian muck patchlevel unescape largely lexically volumes realpath normpath gains hyperbolic claiming bumped
+subsequence figuring him tack burden proved fooled toss ellipses prohibit globs blink games casefold subdirs recurring modeling perpendicular tangent ultimate
+bgcolor joe pink stretched angles poly polygon increasingly govern genexpr decompressor resuming clutter tbreak preloading cbreak clobbered waitpid reassigned
+encapsulate banner totality munging capitalize suboptimal pareto rescaled deviates radians seeding cooperation mkdir thousand reaped universally cool postfix
+successively selectable android terminalreporter replicated zstandard dumping randomize itr motivated planning throughput techniques firstly udtf geographic
+coalesce unpivot subquery watermark relational contingency hive cloud programmers integrates repartition functionalities listeners evict committing
+controversial micro xfe xfa reattachable blobs retryable computationally accompanied redundancy histograms scans yyyy billion sine signum micros fruit circles
+graphically quantitative prettier flatmap intercepts theta forest synonyms research isotonic piecewise eta bisecting independence disrupt legally discoverable
+contributing laws conventional neighbor mllib unzip trainer poison cheat rejecting chaos accomplished trickery absorbed cutting sadly yeah dodgy destructive
+rigorous noisy inferior uncertain drag possessive sigh cleaner unaware refusing dull sucks death cautious curious firing harmful imposes disadvantage superior
+greeting degrades bomb colliding blame inspiration mistakes vague commits strangely diamond nifty cropped psidx downgrade fictional cobra analogy toy
+replicating splice populating penguin reproducibility whale zebra clines rkey shuffling koala sidewinder born dispersion viper bear bottommost primes complib
+elk halflife compressors startcol extrapolate accommodates complevel rsplit fillchar con skipfooter alignable comprise binning sortorder uncached inches
+colorbar yerr matlab populations recomputing outputted empirically distributes lift scaler expresses normalizer hasher unitary advisable assembler configures
+reducers intern zipped keyfunc operated scoring jawah capitalization workflow assess definitive instantly factoring classifies discretion customise flips
+autodetect abstracts hatch exploring musllinux portability bugzilla manylinux dlopen manpage accumulating ups pragmas slip massive suffices yearly qualifiers
+ubuntu hereunder hundred outright trips lowers roundtrips unconsumed porting ships negligent contributory mechanical offering cpuinfo licensable provisionally
+perpetual defend judgment representatives reproduced receipt supersede verbal elaborations appropriateness institute revisions editorial grossly adjusts
+unidirectional rotary skiplayernorm fusions mixes slight longformer optimum tokenized flash transcribed whisper precompute lora tune sympy quantizing qmin
+symmetrize symmetrically considerations qmax effectiveness dequantize identifiable markdown adheres allocators reside outlive resides unclosed modeline
+hierarchies presently forum installable colorama coloring optname gallery pygmentize eats colorful underlining colours boldface night algebraic assembly painful
+infix elseif hotkeys tan radix moments uniq sublists procedures lifted crate extern typename voice maxima superscript apostrophe authoritative lightbg darkbg
+colorscheme xterm borders hyperlinks seemingly brand tunnelling pooling filetuple nonamefile uploading signing pyopenssl swallowing defensively amt exhaustion
+multipage evicted establishes cryptography subcommands resend tokenizers tiktoken faulty generalize grained slotted falsy thinking cyan approaches meaningfully
+refined jupyter shadows typevar cryptic sneak composition stars traversable munged reconstruction ipsum multithreading aggressively kszucs inaccessible arrived
+errored trailers delays delaying passthrough relativedelta pristine nose crypto capped visualization redistributed yaml polyfit swapaxes getfield byteswap uints
+hermitian permuting mpmath coarse lapack chose conjugates sometime hung categorize lstrip rstrip splitlines finfo hstack vsplit hsplit whilst spelt slowly
+contraction meshgrid mgrid intc ary gufuncs permuted printoptions reverses rint generality decorating flatiter reclaimed buffersize weekend fromfile
+illustration unrepresentable simd equivalency rollover contig factored modf nontrivial eating saturday segfaulted discovering influenced sparc misalignment
+invalidates quirks repeatable reconsider interpolating nomask anomalies sandbox preparing resilient digital monotonicity vectorization foot prototyping
+advertised coords reverted uneven artificially asymmetric overridable irfft ifftshift expressing phases begintitle nofoptargs maxnofargs elsize prev reproducer
+ctime readily pids udp tid sysctl runnable forks freezing reporter rootdir cumbersome peel tox premature levelname kwonly xec redefining submessage proactively
+arrangement systematic peers pertinent denominated international ttinfo inverts tuned subtrees xarray flex comps setops intervalindex ignorecase improper
+truediv consolidation mult droplevel confirming shifter idempotency labelled libjoin plausibly prob revisited upsample xaxis barh ticklabels touched cmap falsey
+reclaim faced xpath textbf sticking iat deregister coord locators deriving suit optimised realizing tight panel subfolder notna lvalues realignment
+accumulations cythonized recode ish pinning notifications cookiejar cid bytestrings incompatibilities uninstallation prompted cachecontrol stem vendoring
+beneath nonsensical addinfourl opinionated raster abbreviating normalise fuzzing informs saturate swallowed runners enqueued testable tradeoff mypyc slowing
+titlecase bracketed redefined contextlib downwards rerunning popitem unformatted overrode coro schedules door uvloop instr sax localname pyexpat minidom
+unrecoverable obsoletes listcomp realm sleeps blech timeval unconnected subthread referencable interleaved marshalling rang ear testfunc readinto trashcan
+remembered afterward uncollectable marshalled listdir whoops arglist readlines settle pysqlite sre searchengine keyset sidebar autocomplete tabwidth motion
+charsets surrogateescaped customizations webbrowser synthesize controller objc unpacker stopline calendars lightness spectrum unseekable prepends beaten mkstemp
+cease undergo tabnanny quicker secrets xae unofficial subexpressions quadruple caret consulted subexpression carets onlinepubs subsumed multicast netmask
+finalizing unwind discussions recreation impedance prebuilt story picky daemonic worrying simulator radd bothering idiomatic drift tracer tempting graceful
+winsock socketpair backlog reconstituted diverged hostile copyreg folks stealing lineterminator assist inapplicable physically baseclass sizehint inclusions
+maxlen clobbering qualify realname pty adaptation study msgids acute harmonic ulp conventionally recalculating rand averaging differential partials doi
+commutativity exploration argtypes irritating mktime nbaz gward fallthrough hurts multiplies iexp compensated coeff adj happily indistinguishable filemode
+occupies alterations checksums recalculate pairing normcase measuring stabilize inadvertently credits encapsulated singledispatch greg incorporating largs
+epilog negotiation onward disassembled verifier vital unpickler exhaustively elaborate pkgutil kwonlyargs getset monkeypatches conversation ala mandates
+technical decrypted cafile injective presume unencrypted inter judged mutability reinitialize awoken ndigits smtplib encrypt transmitted vast whatsoever
+organizations dialogue sanitize configparser imp surprises percolate mathematics speedy balancing decoration bubble intelligence loser century systemd linkage
+nul varnames optionals maintainer deactivate textwrap deactivated hacked calc percentages administrative multisets locality volatile utilizes puppy thumb nbar
+repaired divider tim framed overlooked fdrake fetches purposely salt scrollbars stretch adapts distorted controllable rotates scenes pen analogously player
+colormode federal breach summarizes rationals negations wastes approximations distinguishable nonlocals debuggers freevars cmdqueue shlex bpnumber replaceable
+associates retval displayhook subtracts tallied neginf fget tacked briefly sed worried uncontrolled execv prompting unsubscripted distinctions typechecker
+counterintuitive indiscriminately unconstrained ponies driving hexdigits bid lognormal dominated entails getstate casual grand triplets disassemble visiting
+minimally posixpath bridge privacy imposing testbed locating thoughts srcdir installers guarding buy transitively exploratory undetected intrinsically
+educational autouse alarms actionable sentinels convinces complements decrements hoops tobytes caveat accumulators cogrouped classpath aggregator fdopen cpus
+corrects materialization acknowledgement microbatch exploding exploded tens alphabets spatial fifth thresh unpivoted coordinating flowing strlen mydf touches
+modifiable slen catalyst arriving connector pluggable datasource bus xad textension overloading reallocates swallows enriched jitter backtrack customarily
+temperature eliminated skewness neutral intersected sentences argnames occupation kitten geo visits depicting species characterized invertible compacting
+supposedly rating recommendations ratings hat ground classifier formulation sup corpus violators centroid predicting scalable tall decomposed deterministically
+conduct multivariate chi goodness pipelines voluntary individuals jurisdictions unfair statutory commons fitness obligation visualized everybody transfers
+windowed infty wget association bag survival movie cold discrepancy replicates noinspection convinced smiles annoys grave unsure fulfills insensitivity
+accomplish awaits survived immune strikes crap injury excuse emptiness dupe doubt complained ill debt fool unsatisfied lags afraid surviving grace restricting
+messed gross exempt dragged torture favors adopt sneaky aboard motivating hunger pleased appreciate insignificant forgiving inhibit provokes pain awful
+promoting faking revive demanded competent vulnerability disregarding favorite war hate amazing lovely imperfect blessing advantages strengthen admit wasted
+insecure collapses shaky pretends strike lama diffed prices sfun alligator illustrated multicolumns encompasses pivoting legs melt pivoted reorganized panda
+usepackage ostrich booktabs spider don lkey pyfunc predictor arbitary quetzal tabulate swapcase ticker assembling synonymous mydict intercalary subframe endowed
+truthful abbccc columnwise designating yticks xerr lifespan autoclass evaluators mse synced generalizes imputed cdot cloudpickle eva lor distributor gpus
+gleaned maven severity seamless notebooks agnostic unloading suffered nfoo unioned ucd witch isalpha unoptimized marginal genuinely inspectable bitness elf
+reimplementing tightened serialised enumerating canonicalizes abis ironpython bumps widening governs shed subtrahend lands sentencepiece joiner wording mimalloc
+eric dedication forgot courts pybind dlpack disclaimers conveyed copyrights reinstated submits defective jurisdiction openssl validly brands facebook selling
+ongoing originals cure tianleiwu unsqueeze pruning hardlinks backports intializer tanh unload openai ancillary timestep postprocessing runtimes divergence
+inferencing biases dequantized submodel seprated producers recoverable processors doco reinterpret intuitively automagically blinking preformatted website eee
+transparency academic publication ruby priorities emphasis heredoc heredocs unassigned factorizing proposal atan beep transactions ifn vararg famous terminfo
+mimetype printf players traits entrypoints bonus perl unbalanced packs sraf accent expandtabs exam intrinsics prefixing funclist recognise mirrored proving und
+designate jython sampler sizeof writeonly unsized ligature overlay upshot redefines recognizing dereferencing alist slurp bulleted groff decreasingly kid
+alternation typeset toks pixmap paint bulletin linewise salvage backporting redundantly handed typechecking wipe destinations denials subitem survey keyfile
+goofy uppercased superfluous userinfo putrequest callbackserver enqueue observer staying simplification rebuilds headaches temporal pulling discourage punycode
+conformance referenceable remap emails liberal weirdly dare stayed shims resolvable rebinds unwraps aiming reminder traverses inlining flawed simplistic
+intensive road fragmenting analytic amet dolor lint retrievable aside postscript chunker deserializing scattered complementary approximates tripped frombuffer
+preconditions implementer segfaulting differed overallocation rechunking bytearrays impacted rewrapped sniff adhering numpydoc composes seemed hashability
+testdata bla torvalds deselected multiplicative permute cffi nbad ngood nulps fpu probs inverting eig det inv vecdot norms measurements uncertainty transposes
+libname dylib cdef rpartition titlecased rfind discontiguous endswith subfields sctype asfortranarray ascontiguousarray iinfo dstack dsplit ndims fromfunction
+shorthands polymul ogrid moveaxis convolve longlong stringdtype deletechars maxsplit jumped succinct adversely closures linewidth negating nanmax timsort
+argpartition achieves trunc diagflat mergesort deviate vectorize reallocate nin nop fromiter fid nout progression denormal exponentiation binops oddly fmod
+dealloc honestly weirder binop libm atanh reduceat continuity twist brute fromstring den alloc promoter realloc faults traditionally smoothness polydiv texttt
+ldots constrain moduleauthor food oddity fillvalue isub stringent astropy iadd hardmask histogramdd bincount recfunctions reorders repeatability achieving grids
+burn brings seamlessly zeroed surprise reliance minimises decaying autostrip errmsg confuses ndindex uninteresting dependence subdtype converges zap irfftn
+endtitle rname atype callprotoargument callstatement usercode pyf undesired racy packets unprivileged dramatically realistic querable reboot mem freebsd ioctl
+progresses testid shortletter xpass surprisingly bestrelpath flooding farther usefixtures fixturedef ampersand clashing hackish postmortem funcargs imprecise
+presumption unadorned atomically subgroups monkeypatched beats nowhere trylast tryfirst asian materialising slack marshaled navigating feels protos convey xce
+textually mydescriptor gymnastics vanishingly submessages opted subsection assures tzlocal dstoff crafted abbr designations arranged chronologically
+colorization downsampling intraday screw extractall arith pydatetime facto preserver coexist edits unconsolidated buglet nlargest nsmallest filed cacher asv
+confirms obs rethink debiasing statsmodels combos secondly jreback orderedness submission multilevel astyping specialize incompat hasnans weekofyear sliceable
+slider nuisance purposeful relabelling ohlc moderately unboxing xrot xlabelsize yaxis twinx faces iso quarterly sqlalchemy bugfix etree station xport
+textasciitilde cline textbackslash textasciicircum vmin vmax siunitx appendable surfaced enlarge rvalue itertools designates surrogatepass webserver quarters
+drivers pyperclip iterparse strtod shortname nomenclature react interrogating panes ngroups interrogate referent eagle slicer conditionals peculiarities jit
+analogues preempt pitrou unstacker disambiguated toknum tokval constitute spawns reapplies tunneled terminology unsets investigation arrival misspelling
+fileobject netrc unreserved miscellany stringification unpinned deps ton sdists sourced stashed impression consulting maintainers cloning whitelist distlib
+upgrades debundled ncurses art erroring withdrawn distinfo redirections relpath reporthook misspelt lying shortening expiring unloaded seriously optimising
+trail bubbles roaming appauthor multipath magenta cropping truecolor slips splitter basket concurrency conjecture resistance aborts naked fuzz shortlex watchdog
+codemods libcst codemod principled song blacklist uninformative unprefixed yen overzealous partway virtue acceleration iid consts getsource unreasonable afoul
+fell explored mutator exhibit subpatterns funding findall xmllib firstresult optionalhook multicall multiplexer drains believed charref tagname hackery qname
+codepath appendix specifics bootstrapped lasti testfile ulps defeat showrefcount xmlrpclib libasan postmaster listcomps induction copyable diagnostics
+nevertheless intranet frag quickening zipfiles unencodable thou oft steel structseq ancient atime printout symtable vanished trash resurrection boo winds bob
+tweaked libssl audit auditing xbe xab xee untrack itorg sanitizer memuse cooked reconfiguration agent outdated emptied detach whitebox brian webmaster dingus
+showwarning interpid blorpie morefield autocommit radiobuttons postcommand paned reinserted getinfo keynames arrows thereto presses menudefs modal htests
+keysets squeezer configdialog cascade calltip messagebox scrolls zoom openers redisplay builtinlist tabbed stackviewer structuring indentwidth autoindent
+dialogues maintype subpart openhook archived sitecustomize autostart hardening copytree chown onexc dirfd unread bplist subiterator plists plistlib plutil
+brightness video digestmod discernible mktemp intl envvars cfile thunk abbreviate colorize dedented basedefs prefixlen poke hostmask netmasks nibbles
+commandstring aifc bom multiarch perverse vgent clips timespec hybrid breath pganssle coverdir memoizing unimplemented refill usefulness untranslated grew
+unpicklable classobject unreleased argtuple markobject pickletools piers loosely echoing getpass skipinitialspace typecast tenth toc honoring mbox insofar
+syncing backslashed frontend undecoded wordchars analyzer renderer pkgpath selfdot pump basedir subs hog interruptible starttime deployed globbing observing
+skeletal cgit initializations internationalization cultural reciprocals sigmoid influential bisection averages stdev midpoints travels numerators prize rates
+inferences goals emphasize someobj astrand dirpath archivepath signifying hyphenated ball broadly zeropad transcendental liberty effected evolves facundo
+contaminate aahz ans minimumwidth localeconv nearby unpadded eprice fma dice errorlevel comfort tape supplement gnu tars longname privilege pax longlink ustar
+gname linkname regexps reindent usec liblzma lru recency luckily getopt reformats rargs promptly subobjects wisdom unpickles despair warrants catering rebind
+interchangeability bytestream pylist bloat invented complaint mild subtlety walker monitored regexs abstractmethods ninth varkw dramatic contingent
+getfullargspec partialmethod kwonlydefaults funclike friendlier newlocals getmembers isfunction enclose imaplib replies untagged timestring anytime unparse elts
+proven surely defaultvalue asdict talk introspectable regret steady unlocks awakened synchronizing wakes acted joinable builddate technology bitsize
+knowledgecenter interoperate unblocks topologically predecessors responds refusal parseaddr disconnects resent datastore urlchar knownfiles mediatype dataurl
+shelf heapq monopolizing getlines cacheable acct ftplib valueless sectioned blksize bubbling heaps heappush melting tops cleverly unsurprisingly schedulers
+accord heapify heappops participate quantified worthless bothered royalty terse buildtime slackware fileio genericpath subparsers ban subparser positionals
+profiled pstats splitext bcde numlines eye splat differencing synched autojunk wholly predates meeting lined linenum lame elide assorted picture choking
+extraglobs promises guilty testmod quantum stepwise zipapp sacrifice halving shake inspects condensed datas intricate hexagon counterclockwise stamps fillcolor
+grade radius mouseclick pencolor south thickness lastly resizemode canvwidth turtleshape canvheight pet north argslist titlebar tri playing movements shear
+headed diameter provisions lieu lawyer partnership volunteers nonexclusive venture foregoing agency sponsoring coprime inversed knew hey elp reak adaptability
+warrant rlcompleter begidx endidx recursions programmable subgenerator charged mnemonic fearful calibrated stopwatch subfunctions unrecorded dig ourself
+classdict possibles creationflags startupinfo exchanged gids vfork unwrappable flexibly leakage winerror listings completekey alphabetized subscripting vanish
+relay subtyping asymptotically refinements manifested dominates asymptotic maintainability anticipation fiddling worm kappa concentration getrandbits
+dereferenced argrepr opargs grabs classify dirnames reap zombies wakeups wfile conceivable defunct rfile macdef cards urn superproject logcat liblog ddir
+maxlevels flavours pylib junit parameterise contravariant leniency alen vtable bytesize leverages visualize annotates violently contending linger combiner
+eprogress profilers workdir collate planner posexplode bucketed graphviz laptop drastic employees cosmetic constituent stratified city anti department codegen
+substr recovers surname geospatial typecodes srid blabla javase datum metastore birthdate silences connectivity incredibly earnings sales foldable comprising
+uploads tdirection targuments rdeterministic xac tcondition bearer networking tolerated equipped reattach avro funs circuiting cogroup sensor evolved deducted
+specifiying competition asc lid comparator serializations esp detailing male female cherry birth nums kde student farthest slide latents discounted multilabel
+relevance corrections regularizer mine mining gini impurity boosted standardization fwe idf eprod irm parallelization journal bisects converged sigmas
+similarities euclidean gaussians frank comprised seventeen arithmetics incurs pca eigenvectors callee dry imperative consents abandons disclaims neighboring
+affirms treaty heirs waives moral national acknowledges revocation duty likeness owners waived enjoyment detriment customizable polyfill als transitive
+sentiment nonzeros examines summarizer richer angry desperate stab yummy ambitious justified comfortable disastrous scary gray boosts admitted flops disputes
+motivate privileged fan screwed blind pleasant misrepresentation disruptive smile denying haha duped disappointed havoc proactive destruction doubtful calm
+admits censor lucky misbehaves sad choke pressure obstacles appease shortage alas cheers looses exploiting faith battle violating thorny strengthens peril
+dysfunction secured boosting achievable blurry degraded flop tricked nervous ridiculous lurk damn demanding charges underestimate disguised disregard selfish
+speculative approval commitment disturbing hindrance frustrated urgent fabulous disguise helping wealthy hurting suffering competitive consent fulfilled stall
+honouring clarifies dislike landmark violence strongest protects deceiving playful abilities stalling peace stupidly averts cute ruin hilarious beautiful
+incapable winning whimsical threaten awesome underestimates vested engage elegantly threatened lagged destroying misbehave postpones provoked sick lunatic
+pileup woeful wishing victim endorsed approved noble ghost timid tortured abused misunderstanding assets fakes disasters disregarded underestimated wreck
+secures accomplishes indifferent upsets annoyed abuses heroic kittens lon lat psmidx frep beetle calories cereal hippo bait wings rsuffix weapon pounds lsuffix
+limbs shark arthropod sai marsupial windspeed franc flies staff locomotion lira hawk genus pymysql databricks koalas broadest uncounted nto superscripted bao
+chameleon hameleon caeen oala nwrapped oof elephant rab zab caribou fuz abdc insecable kaa notnull unparseable plurals dummies polly trades pidx pobj postgresql
+drill unaccepted aggspec widen logx flier logy loglog ylim boxplots statistically instantized mae preds finitely importances assemble turkish german poisson
+hyperparameters trait epm momentum excepting workloads sendall launches jars provenance attrname routing memoization codeblock coincide reconstructor notions
+sacrifices piping overestimate shuffles relaunch therein glyph punct detector isprintable chinese fires prioritized symptom implying implementers uncollected
+carve lolwat finals precondition slated recomputes faintest crammed holdovers mojibacked massaging clue revamp pairings pypug midyear pymalloc pyston graalpy
+pays spells charging wat materializes tightening ride converse inert neighbour forgets mit allowance piped normalisation remapped unallocated lowercasing nvidia
+declaratory regulations profits madler infringe drafter hereof servicing moreover unenforceable informed lengthy remedy believes substance glog apparatus
+dcleblanc defendant pthread infringements rapidjson resellers statute reformed obligated enforceable codesearch disclaim construe msinttypes merchantable
+steward gettimeofday disclose judicial skill reassurances hereafter regulation infringes perpetuity jloup prohibition doctrines patents jsonchecker factual
+allowlist redaction ort torchscript unresolvable intermediates unverifiable encapsulating matrics symmetrical inherent vocab flaubert bart upto dropout
+inflation gelu roi trange transcribe speech recognition pvalue impacting controlnet torchaudio torchvision refiner denoising alphas accelerated calib mxnet
+calibrate packer quantizers adaptor quantizer perchannel affine actorder percdamp qunatize asymmetrically convolutions lite subgraphes zeropoint elems qlinear
+onnxrt randomizing ortmodule clamps nullptr unsetting unprocessed unpin dit readback devdocs interop iobinding coo participating cupy dictitems listitems
+composing steam unidata uaadf uabeb pymodeline modelines yourfilter yourlexer yourformatter yourstyle yourmodule itokens enumerable specifiable tokendef lexed
+realpos premodified wikis paid prettify lexername analyser startsomethingwith simplefilter ansixxx oneletter greyed longrightarrow gruvbox chriskempson idleberg
+shades javadoc bracecc hardest objdump commenting troublesome limbo asm publications recognizable cheating inputbox acos yday hotkey asin wday mousewheel byref
+ping automation isarray theorem headache pastebin lua bang sprintf addons game octave elision elided mods pathing substates tuplet cdefs productions minlength
+designs proprietary grammars catchall lexemes specials spacer onlinedocs dollars nit unicon unfolding indentations hashbang typenames delattr demote philosophy
+esoteric julia undeclared rust delims emphasized declarative underlines headings strikethrough linter unlexed foreach cycling excerpt reified cheetah escapses
+hashmarks scene defn destructors hardly pound serif plusses commandprefix setlength fboxrule fboxsep lexeme fancyvrb keyval expandafter classnames endcsname
+csname ifx textcolor existings tspan viewers imaging italicized lookuperror drawable releasenotes eed drawables colornames ottype ansicolor boards tokensource
+linenos lspan cascading fext classprefix ctags misalign fingerprints nodelay rewinds crazily revise dandy living codings unverified dispose httpclient negotiate
+ticketing verbs allowlists fifteen inputted reapplying transmits eventlet wholesale idna routes pyodide woefully bartdag daemonize laddr assing deques
+daemonized inexistent sotimeout hops hop licences endoftext unk xxhash prohibitively synthesized revalidate resistant sport discriminators revalidation
+virtually hairy unparameterized flux translator disrupting nuances classvar camel discriminating demonstrated hue sames sat aqua frozendict coupled ujson
+coveragepy parameterised typehints nedbat clarified devtools reevaluate invariance coalesced circ challenging arcane unpacks sidestep initialisation ipc
+libarrow ncols messaging shipping jpype flight selective unconverted addressable nonconforming disjunctive gathers maximizes stitching workspace subfield
+reintroduced isocalendar tripping naively discovers planes workload minio nullary aws promotable arn echoes getrefcount leapdays compressible emulator assoc
+interns stresses nisi elit nulla commodo quis adipiscing consectetur impacts snappy lzo subdivide maximally precompiled intercepted furthest unannotated
+immutability pretokenization bot jarondl hauntsaninja cloudera ibis libdynd imneme mentioning licence complying court jemalloc poking standing tidier randn
+clumsy downright prominently subtractions setflags drawback dirichlet randint weibull designer variates eigvalsh eigvals eigh slogdet tensorinv tensorsolve
+threadpoolctl illustrating decompose nuclear deficiency determinant cdouble resids mathbf tau multiplications exposure deserve broad ndpointer typestr trimcoef
+isdecimal isspace islower isnumeric displacement isdigit ljust isalnum isupper istitle chararray rjust chararrays rindex setfield paying voids sctypes broader
+maxexp minexp xmin machep epsneg negep xmax expressible nextafter deficiencies negatively undoing busdaycalendar packbits busdaycal suited digitize unpackbits
+ram depths computers isclose forbids clongdouble csingle complexfloating typechar ulonglong unsignedinteger subdtypes mintypecode reinterpreted typestring
+combinatorially gemm summations blas contractions combinatorial explores sublistout contracting benchmarked summarization judicious cutoffs squaring trapezoid
+flatnonzero trapezoidal nanmean nanj quicksort nanvar nanstd peaks nanmin newshape recalculation hardwired errstate unpleasant itershape frompyfunc readwrite
+circumstance exhibiting rawdata iters busday reinterpretation iterindex sever suitably overcome byteswapped spiral spirals denormals copyswap cabs genfromtxt
+promotions envs signedness exceedingly subtly fone finf viewable anticipated seberg inappropriately decrefed writebackifcopy followup decays trig switchover
+lanes quadrants reorderable signbit epsilons writeability subspace attoseconds recycle tidy sprinkled detectable fieldnames trusts ieee miscalculation asdf
+zeroing absurdly vstring complexes glance isbuiltin honours ice clunky ldexp cosh arccos sinh arctanh qualnames arcsin arctan hypot wasm striding libdivide
+chebfit polyval polyder polysub minuscule polyint polyadd polyutils beg definite deriv legendre reprojection leg chebyshev indefinite mrecarray commentchar
+unwise temps yay maskedarray influencing threw erasing mvoid differenced getmaskarray seldom indx superficial culprit realized anom modelled clump clumps rowvar
+domained maskedarrays corrcoef conservation tailored origination literature weighing binwidth histogrammed unity visualisation ignoremask ravelled usemask neps
+spare persisting filelike geq discont nanquantile discontinuous mathcal cardinal yarr qquad fliplr pod nanpercentile leq unweighted neighbours unevenly hamming
+narrows correlate employed myfunc vectorizing flipud destpath alex triu tril suffice ironically dof trans replication bells inadvertent tiled penultimate
+defaultfmt excludelist nanargmax nanmedian nanargmin outputfile reopening collectable getitems gonna maliciously savez confronted fleshed warranted communicated
+ramp arrayterator isposinf isneginf posinf iscomplex retesting nulp usecol sid interferes remainders coeffs moduledef pythons amplitude outmost jiffies usefully
+recovering ortho ifftn fftfreq undoes ifft ihfft centre docstr treturn tif apiname rctype varshowvalue vardebuginfo returncptr varrformat vardebugshowvalue
+routdebugshowvalue rformat pydocsignout docsignature latexdocstrsigns cppmacros docstrsigns docsign hasnote docsignopt pydocsign cbname setdims docreturn
+routnote pyobjfrom frompyobj nofargs siz subroutines additive netstat realtime irq fans wired ntuple procps iowait cable softirq practically recycling inet ppid
+reserves pagefile lsof statm htop reclaimable zbxsysinfo zabbix netbsd colorized reprcrash pytestmark indeterminate emulators defeats dozens capfd capsys
+confcutdir unexpanded testname legacypath desugared fixturedefs parameterset argvalues parametrizes instantiable unconfigured nextitem tearing inifile
+configfiles testdir sanctioned tear metafunc descendents paramspec rootpath skipif thereafter confval pluginmanager getcwd excepthook memorized capturemanager
+seeked complications rewriter deletable msecs renames pytests nodeids reparsing metacharacter reconcile wary juggle misspellings coinciding autoload citizens
+hooking discuss fullwidth tolerates overshoot saferepr truncator mini pycs spending unfilled expanduser meg lockfile gencode nonrepeated magically editions
+unescaping confusingly unpopulated responsibilities tokenizing investigated preempted wasteful flake truthiness sizer contradict speak compilations activities
+explains knowingly bundles countries civil ignoretz unfold inconsistently tzoffset lifting timestr dstoffset dston winreg posixrules sunday tzfile utoff boils
+knock stdoff unsplit timecnt tti abbrind jbrockmendel tom subsetting tarballs roperator manageable deprecates reroute plug getpreferredencoding getlocale
+ndframe densifying observance renamer jim variances defaultdicts land maker unconvertible caselist concated reallocations smoketest redundancies preallocated
+extractor behavioral upcasted nats sequencing reconvert backfilling holdable ewmcov datapoints pydate gibberish roundtripped picoseconds minutely floored flesh
+blocs quietly aggs tslibs noops collinearity isnans conducting baked adequately mappable crosses stylized reflexive libgroupby cumcount downcasted sparsity rpow
+anticipate reversion binner atm resampler biz resamples downsample artist radviz errorbar ylabelsize yrot legends twin iris indicative toggling yticklabels
+locates gridspec artists smiley tzpath iset swaplevel reread tfoot workflows thoroughly rez uyt poi colspec reallocation unpatched dock endfirsthead endlastfoot
+endfoot endhead viridis ttips centering hline bfseries cellcolor rowcolors itshape multindex gmap synchronized intermittent unstyled rolls dictate calamine
+dtyped elementwisely underling geopandas lvalue idiosyncrasies curves tsplot digging vert subtitle queryables storable assured bigquery reauth roles devel
+discern sic disposal stipulated connectable xclip xsel sel colspan rowspan flatter redesign screws spaghetti headerless ugh printers sparsifying reinsert
+displayable zeta rgba prioritised stylers tuplize focusing decorative adjoin leftwards centrally rightwards compresses searchpath salmon pyxlsb ods dat
+relabeling hashables lab unsort baabc rvals hashmap algos lvals benefiting takeable llama cheaply hashtag natsort myriad cup localizes tax realigned morning
+multiindexes squeezable qtconsole misspelled localizing binlabels minima exposition goat imbalance boxcar wondering qcut quacks organizing blockmanager
+contrasts blkno deciles tabulation colnames vastly freqstr dayofyear incomparable fastpaths outward interchangeable punting canned resorted education precludes
+subsetted paradigm scrambled coincidental masquerade distant realization tipo figured subgroup bijection correcting inevitably constituting obtains reassemble
+compressing advantageous reexposed credential clues multivalued querystring nonce granular tunnelled allotted underspecified supercookie contentype cookielib
+processable werkzeug mitsuhiko explorer cidr played dozen disassembling suspicion reqs preparer devs testability opting fortunately blahblah ireq judge
+editables insecurely plat resorting slate autocompletion uncommitted subversion hotfix facade versioned resolvelib debuggability risking subscriptable breaker
+reinstall squash breadth permitting macosx symlinked appdirs beside urlsplit recompiling cater contrived pythonw normalising recursed necessitating venvs succs
+datamodel configurator resurrecting fudge bangs aix rocky fedora etag rethrow incantation blazing oscrypto bastardised owed appengine urlfetch opinion pulsing
+currentframe emojis qui filesize consolas neat metacharacters emacs asctime apostrophes greedily floatpart sloppy munge janky unsuitable overdue unauthorized
+replays fuzzer recommending overruns replaying crosshair accordance optimise refactors hypofuzz generalised clarification talks sublinearly imitating polluting
+guesses footguns subnormals instants rollovers selftests concretize juggling ring nightmare weaken parametrised opinions threadlocal reify backreferences
+standin fib solar immortalized nonspacing unwritable breadcrumb upweight blown factorials breathing straddles unlucky conclusion compacted niche optimiser
+optimisations loud recursionlimit regenerating nondeterminism slipping exhibits drew loophole jumping stalls canonically paranoid mrab grapheme subf bell
+finditer subn barfs aif backreference xyzabc visualising mergeable idempotently hookwrappers hookimpl hookspec callorder translations cancellations reacquire
+polls watchers putter setuid disappearing awaitables bullet discretionary cent wedge asterisk rip pulldom conceivably specializations qnames expatreader
+xmlreader saxutils xinclude underscored subelements whichdb dumbdbm rebound sysconf repackaged deadlocking initargs stdcall misconfigured solaris unversioned
+dyld failfast autospec stomping trampoline netscape synchronisation errata httponly morsel grok keepalive bundling decouple injecting nlocals genexp lnotab
+superinstructions warsaw sourceless dix ins nawait tpass socketserver aenter tracers fsum tails handshakes unlinking authkey sporadic arenas lockstep lifetimes
+testzip inhibited asyncore lrange bacon platlibdir deadlocked comb incompletely symlinking flood overread subkey subkeys unmarshaller octals charmaps
+xmlcharrefreplace distclean pipesize lender borrower chief purse unproportioned proclaims borrowing season thy thee canst dulls unfledged habit shoulder invites
+censure entrance palm servants father precepts comrade thine gaudy quarrel apparel ownself soul tongue entertainment deflated sail humbly loan hast puzzle
+tiniest lgamma erfc arose regress waaaaay largefile subhelper deepest argue yup runeval lno bigmemtest precisionbigmemtest randrange blurb blew subclassable
+rebinding gotta tep longlist myvar backtrace fromutc reversible ttis endcases zdump existent reentrantly mildly quux dtext sendmsg npass mishandled johab uops
+stty maxdata pyclbr southern disposed interferences gathering coincides xda tagging codepage genexps clinic regeneration freelist shenanigans sun textbox
+peculiar instrumented urlretrieve charrefs deepcopyable multiset multiplicities rpipe minsize utterly crasher mailboxes pouf vous acme firewall blackhole
+competing ipaddr richcompare resizes xgettext gravitational yesterday quasi interdependent maxpath setxattr dirsymlink recreates backtracks son oops acquisition
+watched mailfrom syslogd datefmt rcpttos refcnts insurance examination socktype peeking declines incl rshift hassle targetlist funcdef classdef overrule guys
+coredump cargo reconnect httpresponse triangles marshaling odict nops optdict reinitialized apologies unixfrom esmtp henryi quopri feedparser depart flowed
+tailing refold bdude waj magazine submissions replying asinh sanitizing extraargs drain uniformness pauses uncancelled overfill accelerations insertborderwidth
+wantobjects kippesp cursors statespec combobox spinbox treeview nline releveant shortly immortalize interference libregrtest stubbed reimport relocated pout
+reviewed emission restoration watches rushing exising unbounditems redesigned submitting arcname casestudies avoidance reassigning unmarshalled isfile voidspace
+fuzzyman hel autoindented showwarnings acknowledge panels dscherer tabify recheck vwait searchphrase loadfile highlightthickness menubutton maxlines codecontext
+millisec messageboxes outwin pathbrowser browsing maximizing tearoff unsaved zzdummy screens closers dismiss redraw delegators keycode keysym keypress submenu
+autoexpand parenmatch percolator nim inoperative reformatting menubar dropdown insertofftime usetabs hovering iomark colorchooser encloses radiobutton
+fortuitous checkbutton yview showerror labelanchor relief yscrollcommand invalidcommand validatecommand offvalue labelwidget exportselection borderwidth sash
+textvariable selectmode takefocus sashes wraplength onvalue xscrollcommand chooser rectangles ctext uuencoders maxheaderlen headersonly idealized sequene
+oldline unnatural superuser firmlink entitlement dataless addsitepackages sitedir bletch usercustomize elinks newwin autoraise controllers nsurl newtab xztar
+glosses unpackers archiving gztar oder decompresses copystat ppend bztar basics condiion stoplineno stopframe checkfuncname bpbynumber maxlinelength
+objectreference objectid subcontainers vulnerabilities gunk perceived purity hmac unconcatenated divine denial searchable langname triage infinitum monetary
+localename devguide doraise dfile despises witnessing cryptographically xebr folk affixes ltext rtext appealing traversals specialness bsgra gung oernx arire
+zber rkcyvpvgyl ershfr guna svefg gubfr nzovthvgl orggre bayl rabhtu ner rkcynva fubhyq boivbhf uneq cenpgvpnyvgl terng orngf hayrff gur abg fcrpvny cersrenoyl
+vzcyrzragngvba onq grzcgngvba evtug ubaxvat naq teredo anycast hextets subnets hextet subnetmask supernet intermingles unassociated mother longhand agen
+asynccontextmanager somefile xcrun miscompiles writeframes stereo writeframesraw mono erow ecol srow endpats newcode myfile scrub daysecondsfrac unspellable
+justifications concreteness concludes felt continental endcase ubiquitous insecurity eastward secondsfrac firmly political proleptic zooko countfuncs ignoredirs
+ignoremods cmpcache hooked embedders temptative inquiries closedfd slowish getpeername maxfds hostaddr getsockname hogging growable cyrus mesgnum urtubia jig
+supposes tcsetattr vote lockf skewing transcodings firstline denylist charbuffer repositioning pushback skipdocs pname synop decor modpkginfo subclassname
+docother thisclass homecls linkedname imfunc cdict browsed docproperty mdict showtopic classlist bigsection makename segregated reallink forceload synopsis
+docdata xrefs isdata lastupdate testrepr serverthread ispkg marginalia fdict objclass ispackage docmodule prelude filelink docroutine nextmodule singlecolumn
+asyncqualifier docloc docclass modpkgs imself ndisc stringlit linktype xap foundation attlist xmlarena dironly valuably msgid libintlmodule intlmodule germanic
+xbar itmconf car tricenarian rescaling biweight densities melquion epanechnikov pstdev multimode demographics taught schools tenable surveyed fmean pvariance
+quartic smoother parabolic journey triweight cohort demographic centred bitstream gauss underflowed resulttype unifies somebytearray shortopts liw longopts
+gerrit fseek dostime dos cursory unmarshal modpath dragons mydirectory pex unavoidably buried indivisible thello tfoo tbar emptor inity boundable stabilizing
+reraises crud roundable dotplace folddown intpart decapitate nonspecial noninteger signified fracpart risked expdiff interoperable libmpdec residue magnifies
+emax linkpath hdrcharset chrdev lars supplemental targetpath chksum tarinfo blkdev readmodule inpackage abstractmethod nsec lukasz currsize linkedlist
+linearization abcs interdependencies tradition wordmap interspersing farmed metavars instructs pyset alternates abandonment painfully repertoire anyobject uabcd
+wearying gory stackslice waffled pydict unpicklers remind stringnl pytuple hair nefg disassembler pretense isomorphic comprehensibly envisioned njunk
+multiplexing devpoll sethmlarson nofree grovels alike getsets boundmethods stringized invoker mech donn authorised administrator rimapd oldmailbox dispositions
+gmail anthony newmailbox skitta keylog ipnames negotiated traverser ifs deco parenthesize concatenting imminent facilitates anybody interlocking fileset awk
+bitwidth filesets caring npredecessors authentications reconnecting advertisement ehlo esr sendmail xfer advertises replied dragondm helo gerhard mileage istead
+inited shelves anitem synchronizes shelve soonest fairness securing anonymously storbinary storlines pasv systemwide getboolean interpolations getint optval
+getfloat crank starimports starimport tournaments sifted childpos topped textbook resting tournament nowadays vanishes topping studied newitem sifting
+progressing algorithmic fuzzily spectacular startpos tapes organised sequencer oddball sports heappop rewinding exchanging opponents maxheap misconstrued
+ambiguious manifesting checkin marketing presets untabified contacting typos cosmetics bionic syscmd malemburg osinfo buildno vminfo versioninfo usernames
+pathspec drivespec sharepoint userhome unfollowable wrappable intermix aha ncalls subcall tottime cumtime timeunit lstat junction absurd bpopular cruncher
+gestalt qabxcd differencer nthree bjunk nonjunk aaffaa emu fromdesc nemu linejunk blo volatil appel fullbcount abxcd unidiff isjunk lineterm scorers bhi
+lengthened eyes ahi eqi abycdf irst quibble alo ntwo peach ore windiff ape wrapcolumn acab tolines ntree colgroup mdiff nonbreakable todesc ffaaaa nfour
+toprefix charjunk pumped fromlines garbled pluralise absorb optionflags hum innocent cruft tomfoolery wished foldspaces ignorechars quanta btoa wrapcol adobe
+altchars isrecursive isreadable presizing filecmp dircmp funnies lousy spammish personalization wisely scrypt mypen semicircle geometrical coordinatesystems
+nopic slowed undobuffer imagedata polyitem urx procedural resizemodes cmode penup versatile teleport turtlegraphics insiders polygonitem backgroundimage
+speedstring colortriples maxval astamp inscribed universe traveled seth gon showturtle penstate ury shapename stampitem picname setposition starty fullcircle
+docsdict fonttype eventbindings grad glingl clearstamp pendown instrument coordlist stretchfactor handdrawings canvaswidth fillstate startx staircase lly
+traditions rmode pendict clockwise stretchfactors canvasheight setheading outlinewidth stakes namend tilt lineitem gradian stampid merits shapesize minval
+amendment speedvalues colorstring drawings titlestring marching pensize redrawn setpos onclick shearfactor hideturtle tiltangle noresize addcomponent
+backgroundcolor teleporting teleported tilted paramslist disc displaylist fontname unclicking adaption robotic vererbung mick multicolored userdefined
+convergent jyasskin midway dinv semiconvergent execing debuggee ontinue maunally tracecack breaklist exausted countstr newframe liking numberlist reruns disp
+fur callees itimes macintosh contaminating quantify financial odds schoolhouse sunders singlely dundered fset sunder eject attibute enumerations fdel
+reservation errwrite fooman errread barman polite retcode cribbed knobs cmdloop ruler lstripped legible harnesses prototypes identchars stuffed exitmsg readfunc
+relaxes pervasive gradual students tvars parameterizing unflatten mycache amd vformat octdigits mydata localimpl devising lambd winners subslices insightful
+lean raffle viewdoc accommodation preclude reselection vacancy hasconst unadaptive argval opmap interrogates misrepresent extensibility vestige benign rootfd
+spawnlp opendir topname getsize resumptions isroot topdown spawnvp newdir toppath rmdir followlinks topfd datagrams nagle wbufsize responsiveness deaf arp
+macaddr eighth ommit manufacturers popen administered prevline evaluable hoopla thisobject predicts bitfield prependdir stripdir nominated platname precursor
+grequests gevent misconfigurations mititgate sessionstart fullfilled assignable stringifies plugging packers flexbuffers pytypes encodung dkovalev bytewidth
+endcond addtogroup vtables byteslice hijack udfs corerion davies taskkill spill spilled spilling merger combiners hadoop corral anum taskaid stageid taskcontext
+partid sockfile thirdparty expovariate belows worries interfacing ilike buckted bucketing prefetches prefetching prefetched lightgrey evolution strata tablet
+rollup explicited tolerating hashjoin nonnullable stddev repartitioned reconciled semi partitioners erc customers phone salary charger stratum flameprof sidx
+eidx refreshing catalogs geometries geographies collations pyfile renew classproperty pyfiles derby jobj junior jtype intensively reprocessing serde
+transactionally terminations ingestion decommissioned rangadi shaded subqueries isoformat sightly nterminated tresources texception tfractions rprobabilities
+tqualifier ttolerance nstatistics nreferences nparameters ttransform ttranspose npredicates tartifacts toperation tevaluator testimator tnamespace ttimestamp
+taggregate nextraction tunbounded nexpression tprecision communicates googleapis retriable preempts reattached pseudocode retun safecheck geography readings
+persistently deploy abcabcabcabcabcabc bitmaps jarray aad cosecant tumbling arcosh inva rased explictly updatable abababab drank jstring localtimestamp
+portioned par logariphm sketches angled doctor mins aaaac itvl uvabcd millis multiplicand ignorenulls levenshtein ntile listagg cotangent uvuxyz abcduv
+abcdefghijklmnop secant ababababab xyzuvu probabilistic ababab continaing alternated foobarbar arccosine signups lease coordination deserializers unifying
+monitors pickable testset regularized factorisation nonnegativity updater priors itemsets minimization onethird syms standardizer discretizer tfidf learns
+parallelizing ryantibs bags centroids mus gkhome dstream covertible excepted nonpositive sims knob decomp assists skinny distributively factorizations ensuing
+rises ksmodel kstest interestingly intercepting confs redistribution invalidity vii intending motivations reputation confer transferable her contemplated
+ineffectiveness surrendered territories relinquish irrevocably elects contravention depicted culture dissemination amended compensation merchantability
+sublicensable surrenders voluntarily promotional overtly rescission equitable visjs timeline graphx laglangyue kafka localdir spanned unzipped consequents aft
+unlabeled movies neural ipykernel ionelmc passionate carefree detention guilt sceptical hated haunted vicious suing incompetence disinclined insulted perjury
+parley reckless stimulated solemn prospect lurking motherfucking salient disrespect miserable disruptions lighthearted rescue harming apathy stimulating longing
+outmaneuvered sullen undeserving sympathetic doubts scornful sleeplessness bless supporter smear humerous prosperous applauds persecuting oversells reassuring
+delighted grief reassure celebrating puzzled upsetting looming stressors cheerful agonize doubted hapless bamboozled god marvel obstacle infuriate paradise
+harsher pique bullied misinformation infuriated intimidated scare swindling ache breakthrough remorse loomed dreading fools exonerates awards merry heroes
+favorites snub startled cheery visioning lagging strengthened fucker pained questioning shoot slut bliss spirited anguished shy detain singleminded thankful
+haunting sincere fucked murdering contentious energetic battles dizzy justice beloved questioned prospects distresses ardent joy burdens crushing deceitful
+distressed esteemed regretful drowned intimidate praise dejects haplessness outcry gullible endorsement apathetic falsify suspects resolute derided spiritless
+neglect attacked sincerity beautify compelled misinterpreted threat united despairing peaceful fascists accusation admonish persecutes terrorize glorious
+heavenly desirous frustrate forgetful toothless inaction ignorant cock protest frustration annoyance dearly pleasure unconcerned charmless moron pardon
+assassinations avert embarrassed mourn flagship arrests incapacitated cheering inquisition stunning ranters inconvenience strangled perpetrator sappy disdain
+masterpieces poised cheaters earnest greenwash stereotype disorder rigorously dolorous hypocritical regretted rotfl kiss fervid exaggerate riots funerals
+funnier catastrophe swear bully indoctrinate indifference afflicted defiant apprehensive animosity envying bastards infatuation disguises betrays screamed
+foreclosures denounces chagrin injustice heaven jaunty consolable punish spammer flu mediocrity irresolute lonely cashing stifled overweight frowning ruins
+treasure appalled expelling unhealthy harms disguising applause withdrawal glamorous joyful rig joyous yeees agonizing incensed rejoice disadvantaged jealous
+allergic daring miracle skeptical worsen abduction hoax loathe greenwashers hailed hysterics comedy punitive astonished twat lugubrious dreary unfulfilled
+laughs chastises dreams rejoicing embittered clueless assassination murderer harried averted agog cruelty farce colluding frantic terrorizes huckster harshest
+scold walkout anger zealots supporters banned abductions dehumanize complacent stunned nuts stricken astound jeopardy condemnation frauds pathetic appeasing
+virulent kudos tortures admiring justifiably unstoppable poorest ass mirth uptight verdicts sincerest envious degrade aghast pessimism disqualified jocular
+slickest devastated excited whitewash heavyhearted neglecting rescues postponing resigning disappoint menace agonizes weep fraudsters vindicating coward cheered
+thrilled pensive nosey underestimating jolly survivor humiliation chic hysteria willingness tumor applaud disturbed paradox loathed envy shrew discontented
+disregards disjointed irritate jewel vindicates somber greetings acquitted droopy distorts shit apologises embarrass celebrate enchanted infected poisons
+unbelieving enslaves fad boycotting blesses rapture shocking bloody disputing stimulate homesick hooligans regrets mongering slam moping nigger oversimplifies
+cherishing madness distress cancer relieved misunderstand condemned tender vexation rapturous admonished amazes feeble moaned numb loved unethical winwin denies
+boycotted pissed powerless entrusted vindicate youthful attraction enraged aggravated innovation fag scam dumbass enlightening damnit kinder gleeful zealot
+oversimplified unsecured enlightens bamboozles gallantly murderous pray drags vile delight exhilarates bothers faithful prisoner prosecute distort criticize
+deceives congrats worthy offend persecuted chagrined euphoria humor woebegone illiteracy dirtier devastate harmed frustrates treason deception apology choked
+insult indoctrinates unapproved wronged irreversible swears forgive derail cheer scandal dick pardoning bitch distracts invulnerable combats outrage fraudulent
+squelched dismal fantastic threatening stressor mumpish drunk polluter weary haunts stressed disruption tranquil beautifully shocked prosecuted starving deject
+courage congratulations resentful loyal shortages conciliates debonair amused prick gratification despondent smog torturing benefitting hopes betray fucking
+haters tits innovates decisive jailed seduced adorable discord sincerely entertaining glad beauties woo assfucking cocksuckers sabotage praying enjoying
+derailed roflcopter aggressions obstinate perpetrators perplexed fuckhead expelled fuming punishes slashed fight adventures panic asshole lively victimize
+appreciating retard fud inspires fainthearted poverty meditative disconsolation infuriates fallen rescued whore apologizes faggot protesters amusement
+imprisoned disparage hug laughed reassures blamed ignorance jesus exciting drown mirthfully misinformed nerves dauntless slicker hugs expel foolish greenwashing
+scapegoats rejoices fraudulence unloved diffident misgiving craziest responsive glory vitriolic skeptic derision victimizes curse tense suicide litigious
+thoughtful sparkles crushes tragedy prays fame sweet immobilized murders disgrace admired eerie agonise lawsuits dirt adores vigilant eery ranter sentenced
+beatific endorses distract silencing alienation overreaction masterpiece criticism shattered attracting apeshit impotent derides bullshit slick blissful impress
+reward relishing horrified bereaving irritated excitement overreact superb fearing unemployment conciliated hooliganism rapist deafening punished criticized
+protesting shock pollutes disgraced saddened touted heartbreaking moans noob struggle absolved dud clouded obscene boastful adventure dream fatigue cherished
+blames tragic laughing avid negativity motherfucker excite breathtaking glee banish rainy worn felonies raptured alarmists obnoxious intimidates stamina violent
+snubbing distrustful bereaves hooligan lurks yucky commended interrogated cornered stout celebrates overselling ashamed pissing embarrassment livid zealous
+greenwasher hopelessness acrimonious disheartened irresistible thwart gagged repulsed praising betrayal spammers strengthening notorious fuked lobbying admire
+supportive condemn fascinating swiftly enlighten douche victims vociferous enrage snubs attract coziness remarkable dehumanized enterprising corpse contestable
+robed disappointment insipid dithering raptures adore positively contemptuously fond unjust exaggerating smiling giddy welcomes inconsiderate shitty joyless
+uselessness sprightly agonised restful hesitate humour widowed disputed antagonistic boldly upset fraud lied repulse moaning worsened vivacious gallant defeated
+deceit cried darkest exonerated injured amuse struggled struggling mourns flees romance conciliating rofl calming gaining murder screams madly gracious
+reassured verdict undermines favorited revives piteous sorrow dickhead dodging starved vitality pardons indignant defenseless applauding subversive applauded
+robber badass denier impatient undermined charm exultant relieves abhorrent mirthful feeling adventurous dissatisfied appeases rant blithe disorganized
+unimpressed unequaled totalitarian keen racism cowardly enthusiastic mistaking hating liars bullying exuberant rewards optimistic weakness lifesaver approves
+bothersome vibrant fuking robs despairs lackadaisical rotflol hardier overjoyed poorer overstatements censored oppressive thwarted affectionate mad itchy
+misunderstood thoughtless agreeable wrathful jerk fascinate swindle entitled hates misery illnesses distracted perfected sparkling enslaved fascinates astounds
+uncredited cocky vindicated collides sarcastic cheats hopeless liked hahahah warfare chastise conflictive vexing woohoo arrogant bitterly walkouts accidents
+passively dreadful prosecution wooo rebellion irate loyalty ecstatic desperately sadden scared threatens methodical cry belittle buoyant greets ironic
+infuriating relieve rape frenzy sobering careless criminals embrace irresponsible rigged appalling apologise amaze slavery jumpy fatigues scream fuckface
+abusive vitamin sluggish dehumanizes lonesome direful wowww aggression absentees contagious fearsome dispute unfocused adored oks soothe criticizing contend
+blaming moody insanity polluters shameful hopeful tout bailout wanker favored obliterated pessimistic spamming enrages cries scams soothed overstatement
+stubborn congratulate uneasy loathing critic falsified stabbed untarnished sulky heartbroken ruined bribe bored criminal embarrassing poisoned abhors pardoned
+interests trembling quaking sore enraging conspiracy offender unappreciated hail jewels crisis niggas restless pseudoscience rob displeased hesitant ruining
+felony revered steadfast honest maddening disrespected aggravate appreciation ennui offended bankster frightened apologizing inspiring yearning arrested
+misbehaved perturbed bitches explorations inviting incompetent gloom fraudster stimulates exhilarated abhor chastised defender fuck profiteer scandals insulting
+mischiefs invincible cheated irony accusations greet empathetic arrest lunatics rewarded contempt grateful embarrasses lovable unprofessional betraying
+oppressed sedition scandalous travesty sorrowful dread engages monopolized touting exaggerates mourned angers frisky harsh wavering looms gag fuckers anxiety
+dehumanizing commend marvels offends appreciates oxymoron oversell visions ratified accuse aching crazier panics visionary darkness serene abhorred wash
+sympathy betrayed ominous apocalyptic thwarts jackass cheerless prosecutes attacking ineffectively cocksucker charming casualty exonerating fortunate shithead
+trauma bamboozle axe sulking doomed brave helpless gullibility dejected disconsolate struck retarded revengeful bitter relieving jokes indoctrinating wonderful
+tears woow wow outraged tension monopolize revenge needy innovative libelous deficit impressive optimism fatiguing contagion snubbed regretting praises retreat
+enemies cramp reliant lobby awarded damned peacefully downhearted propaganda douchebag robing childish washing disappointing discredited impressed contemptuous
+jackasses resigns sentencing monopolizes dire bastard fright enemy haunt elation stabs indestructible lovelies hid shocks disgusted lawl cheater redeemed
+crestfallen suicidal starve cynical splendid grieved sexy piss impresses futile calmed aggravates disillusioned glamourous envies stampede innovate depressing
+wowow terrified misunderstands appeased unsophisticated laugh invite fascist affronted myth frikin unconfirmed apologized absolving intimidating horrendous
+award desire demoralized conciliate furious timorous bereave acquits fatality medal soothing disappointments lol abducted fondness enthral denounce bummer
+hahaha loving overreacts ashame distorting rejoiced treasonous melancholy disparaging stalled pitied disoriented deride convivial tard benefitted courageous
+inspirational agonises hysterical pushy mourning burdening scapegoat triumphant audacious rash praised inspire racists spiteful scoop struggles drowns fucktard
+astounding bore devastating suave chastising apologising picturesque unintelligent traumatic brilliant infatuated polluted anxious perfects lethargic lmfao
+cynic mindless obsessed roflmao attracted jubilant terrific shamed proudly godsend genial scumbag exhilarating dejecting illness misread unbelievable glum
+greeted asset fatalities victimized disparages brooding humorous alarmed engrossed enrapture cruel scorn heartfelt threats riot derails menaced accusing insults
+undermine distraction greed crushed terror treasures mercy weeping sinful ambivalent persecute undermining belittled unconvinced encouragement cherishes moan
+annoy contagions indoctrinated disturbs swearing alarmist elated gloomy warmth healthy intrigues censors welcomed aggravating bargain distressing funeral
+mischief hurrah boycotts intense swift idiotic intimidation emergency recession disgusting goddamn touts expels smartest unsettled captivated strikers beating
+worsens outreach skeptics condemns gallantry cherish brisk imbecile dishonest exultantly loom vision attracts fascinated skepticism idiot astounded screaming
+oversimplification disbelieve resign unresearched dear slashing unworthy deceived pesky racist classy fatigued oversimplify exonerate uncomfortable boycott joke
+bankrupt pressured amusements solidarity accuses chilling phobic protests happiness rotflmfao defenders absentee doom fearless detained deceive indignation
+dilemma mope axed agonized tired tremulous hardy mature astoundingly acquitting rageful enjoys piqued festive crush cunt faggots selfishness brightest lmao
+delights deniers enslave jovial panicked starves absolve overreacted worshiped admires totalitarianism loathes exasperated brainwashing steals crying critics
+criticizes petrified disparaged foreclosure indecisive relentless attractions courteous cynicism flustered inquisitive joyfully deriding terrorized disappoints
+seditious disquiet inflamed congratulation stereotyped compassionate disgust dipshit fidgety worsening depressed accused thwarting crime rage misreporting
+euphoric dirtiest optionless pity troubled sparkle laughting apologize dismayed fiasco dreaded contender combat amazed unlovable acquit bereaved blockbuster
+swindles ethical comforts unmotivated smiled agonising humiliated burdened rewarding excellence humourous wealth resigned gift anguish enlightened prison
+frightening marvelous doubting undecided calms chaotic exaggerated distrust gun proud fervent virtuous delighting suspecting obliterate nervously neglects liar
+apologised controversially horrific lethargy mournful celebrated comforting hardship absolves triumph victimizing wicked stingy prisoners affection hero rants
+daredevil odersky jeresig justinbieber anonsys ladygaga psseries pred ingest understandable winspeed itmes groupkey preformed huh permissively anchoring myser
+mlflow keras zipcode firsts travel lenght advisory psidxs uncache tinyint plottable bxpstats flierprops linestyle tpe furthermore mce ranke bce mlce silhouette
+rmse quicktour basestring classifiers htmledition libsvm blor inventors scored ensembles mlor ovr conference antecedent itemset norwegian spanish remover
+imputer svec dutch french trains ohe italian hungarian neighbors bucketizer russian portuguese swedish danish ngram inverter binarizer finnish unseen itd
+monotone huber irls logit probit elastic tweedie deviance ridge cloglog aftsr maximization pic kmeans perplexity lda converge offloaded broadast confidences
+nnodes deepspeed transit pandasutils customizes savers slotvalue memoizer saver decorrelate lived depickled newargs clsdict cloudpipe stemming slotname
+slotstate depickling grapes lineages lemon mapreduce partitioner mapred irrecoverable unpersisting qualifiedname sequencefile reserialized rarest accents
+popularity analysed implausible halfwidth detectors coherence unrepresentative preemptive sacrificing pronounce submatch cuter classifying cjkcodecs
+acknowledged getcodec cleanest assistant expressable outranks rangelike cmpkey pyproject pylock canonicalizing arcs preferential refolds beat snapping
+involutive undecomposable involution budgeted sweeps intersecting recoveries unobservable sweep inclusivity autodetects agreeing canonicalization terser snapped
+admission straddle uppers rides congruence widened disjointness unsnapped pathologically rode characterizes oss hatchling stuart directional transitional
+rejoins cudnn cublas cufft thiagofc curand tensorboard sgunderson rmrodriguez mbedtls overt aappleby bion denizevrenci relinquishment emsdk uncontaminated dma
+principles smhasher lanpa wil protocolbuffers yixuanq offices suppliers dedicator corporate dominic certifier objections nlohmann pyyaml dedicate
+joaoppmagalhaes cla autoconf kleidi certified dealings zbychs cutlass certifies dedicators coremltools venue tmadams kleidiai mattyclarkson dedicating
+googletest linuxaudio eddyxu dedicates companies xbyak caffe jernkuan affiliates ucx ckennelly dawn dedications boostorg unencumbered jmillikin firesafe
+chenshuo pretoalb mestevens songofacandy openucx assessing cite deliverable abseil decompilation umireon cerberus affidavits nshutchinson dalcinl arne maxvafin
+pphaneuf fwlink uploader tracelogging telemetry anonymity retracing fastmath enumlate unkonw hugginface usesful dyanmic unfused attn synthesised unreferenced
+webui nods flowers multihead subg hasesh wildlife park conformer xlnet swin tlwu postprocess bugbug untar unfiltered inlcude somce patial byproduct emb paddings
+cumulated island unitl swish blocklists roberta transcription anomaly sdpa bitsandbytes overflood startoftranscription stdexcept turbo speaker spoken
+spectrogram mel projections startoftranscript beamsearch mannwhitneyu topkens benchmarks tollerance concate paged sprinkles facebookresearch contours runwayml
+stabilityai lineart inpaint lllyasviel softedge triton apt chengzeyi ninja xformers denoisers denoiser pil landscape portrait canny multistep ddim setable betas
+scalings tactic ouf orignal dequantization qtype incidates tensorrt deeplearning skippable inferencer pybinds prepacked prepacking rebias unflattened prepack
+backprop wised corresdponging continguous pathof tranpose adrianlizarraga unquantized maxpool boundless dequantizes quanitzed ununsed respresented hanj
+symmetrized snaps vectorised absmax quanitize broadcase qlinearsoft qlinearconv externa rdelta minq paded nstep maxq nearst asym dequant rowi rrmin dataloader
+perfoms fixer declassify generative orttraining interger positivity keepdim prerequesite accrued justinchuby aten shapesof optype tflite preprocessed idfferent
+outweigh coreml cann suppored npu capsules webgpu onnxrunitme ortvalue nummpy unpinning cudart duplications cudatoolkit virtualized blacklisted representer
+obeying indention loosed perldoc dracula luminosity darker nord pyte morhetz jnurmine zenburnpage ecbcbc efefef cfbfad solarized altercation colouring signatres
+eeeeec beginners gloss tango strived pastie fruity primer workbench cozy aaf noitalic desaturated salad miikkas subdued borland owls blindness sdras alts
+backslashing ragel prelims irssi xchat dmesg autodetecting weechat lookbehinds irb mismarking mixounse immediates asterisks bank cpuid stringescapes handlng
+renderblock renderblocks caml remark truc tib wordsets amforth mkfiles keyfiles nowarn regexlint keyopts quasiquotation thatch elpi guictrlgetstate envset
+guictrlcreateupdown desktoprefresh guiswitch guictrlcreatemenu processgetstats stringtobinary guictrlsetstate winmenuselectitem progressset stringisdigit
+tcpclosesocket appdatacommondir regenumval guigetcursorinfo filesavedialog inetgetinfo forceref soundsetwavevolume timerinit filerecycle desktopcommondir
+trayitemsettext guictrlsetbkcolor guistartgroup controlshow dllstructgetdata controlgethandle guictrlgethandle wingetcaretpos wingettitle controlclick mday
+guictrlrecvmsg wingetprocess udprecv guictrlcreatedummy controlgettext pixelgetcolor adlibunregister sendkeepactive isobj guictrlcreateedit guisetaccelerators
+onautoitexitregister stringaddcr traysettooltip wingetpos dirmove filegetshortname guictrlsetcursor dllcallbackgetptr traysetonevent drivegettype iskeyword
+stringinstr computername shellexecute binarytostring processexists guictrlsetlimit guictrlsettip mousemove guisetcursor envget winwaitactive dllopen homeshare
+filegetencoding consoleread traysetclick winsetstate filewrite guictrlsetresizing guidelete appdatadir guictrlcreatebutton processwaitclose kblayout startupdir
+clipput tcpaccept winactive winlist filegetpos startmenucommondir stringisspace documentscommondir guigetstyle guigetmsg drivemapdel guictrlsetstyle srandom
+stringformat isint programsdir controllistview ishwnd filerecycleempty stringlower consolewriteerror filesetpos winwaitclose stringisupper stringcompare
+drivestatus fileflush controlenable controldisable logondomain guictrlsetdefbkcolor inetgetsize wend winminimizeallundo drivemapadd guictrlcreatetab
+pixelchecksum objname startmenudir winmove guisetstyle controlcommand wingettext dllstructgetptr fileclose drivegetlabel setextended udpshutdown dllcallbackfree
+stderrread wingethandle controlhide homepath systemdir traytip muilang scriptfullpath dllstructgetsize seterror endselect inirenamesection regenumkey cpuarch
+controlgetpos guictrlcreateinput iniwrite guictrlsendmsg inireadsectionnames fileselectfolder stringleft windowsdir udpsend traycreatemenu objevent
+drivesetlabel traycreateitem guisetbkcolor drivespacefree guiseticon guictrlcreateobj objcreate splashtexton processlist homedrive dirgetsize trayitemsetstate
+isadmin controlmove winflash guisethelp controlfocus ftpsetproxy mouseup controlsend controltreeview isstring drivemapget ubound winminimizeall clipget
+dircreate filesettime dllstructcreate bitxor inetget isdeclared inireadsection binarylen desktopdepth winwaitnotactive osversion stdinwrite inidelete
+stringsplit logondnsdomain osservicepack filesetattrib comspec favoritesdir guiregistermsg fileopen scriptname timerdiff filewriteline fileopendialog isnumber
+osbuild winclose endfunc bitand fileexists trayiconvisible guictrlcreategroup objget udpopen bitnot filefindnextfile desktopwidth udpstartup trayiconflashing
+winsettitle dllclose tcpsend blockinput controlgetfocus inetclose autoitpid desktopheight mouseclickdrag stringstripws fileread inetread mydocumentsdir
+regdelete trayitemdelete guictrlsetgraphic progressoff guictrlcreateavi guictrlcreateradio winwait stringstripcr httpsetuseragent userprofiledir guisetfont
+stringlen autoitexe filegetattrib filefindfirstfile isptr pluginclose guictrlcreatelabel stdioclose traygetmsg trayseticon dllstructsetdata traysetstate
+drivespacetotal guictrlsetcolor filecopy automating stringmid trayitemgetstate vargettype autoitwingettitle dllcalladdress dirremove cdtray drivegetdrive
+runaswait udpclosesocket isfloat bitor programfilesdir autoitsetoption mousegetpos guictrlsetimage guictrlsetonevent fileinstall logonserver memgetstats
+isbinary tcpnametoip guictrlcreateicon trayitemsetonevent httpsetproxy isbool guictrlcreatetabitem guictrlcreatecombo hotkeypressed osarch trayitemgethandle
+exitloop autohotkey guictrlsetfont stringisascii guictrlcreatepic mousedown endregion dllcallbackregister traysetpauseicon winactivate stringisalnum
+programscommondir winkill processclose tcplisten statusbargettext sendkeys filegettime mousegetcursor stringregexp stringupper guictrlsetpos stringtrimright
+winexists stringisfloat tcpstartup filecreateshortcut soundplay guictrlread favoritescommondir shellexecutewait pixelsearch pluginopen trayitemgettext scriptdir
+progresson guisetstate startupcommondir filegetshortcut numparams guisetonevent iniwritesection filechangedir dircopy guictrlcreategraphic processwait
+guictrlcreatedate filegetlongname wingetclientsize runas adlibregister filereadline binarymid envupdate stringregexpreplace guictrlsendtodummy
+stringfromasciiarray winsetontop tcpshutdown controlsettext filemove hotkeyset runwait bitshift oslang splashoff guicreate isdllstruct dllcall splashimageon
+drivegetserial commonfilesdir filedelete continueloop stringislower filegetversion msgbox guisetcoord udpbind tcprecv regread wingetstate winsettrans stdoutread
+consolewrite forcedef wingetclasslist scriptlinenumber iniread stringisint drivegetfilesystem ostype filecreatentfslink guictrlcreateslider stringtoasciiarray
+stringreplace exitmethod guictrlsetdata stringright stringisxdigit bitrotate guictrlcreatelist workingdir objcreateinterface ascw processsetpriority freeware
+filegetsize regwrite autoitwinsettitle desktopdir stringtrimleft guictrldelete guictrlsetdefcolor autoitversion tcpconnect stringisalpha algorand transcripts
+manuals leanprover armored sexpr sharpsign bitstring extemporelang pastes neatly hyperspec defun eqv xtlang extflonums uninterned elisp nvpair pan tokenizes
+gobble egress consul termcap dockerfile terraform kconfig squid baretime mayve terraformi mimeviewer tomllib gobbled stof csound printks fprintks sprintfk lse
+fprints djrmuv addon abitrary compete wont vernacular endelse endswitch kschutte darcs wdiff devicetree charclass psysh squeak fileout arturo refman unnumbered
+nestable entangle denotate blockstate mcfunction advancements unfortuntely minecraft compounds scoreboards schemasreference bibliography spanners pwa portal
+minexclusive bnode maxexclusive maxlength nonliteral fractiondigits maxinclusive iri jpitblado forums isagalaev rsen bocode kylebarron beast rouge vscode savi
+jacobian stan monadic dyadic strand podname ffi fandocs nonterminals accommodating kicking significands shortcoming freezeif waituntil lexerdevelopment
+makefiles somevalue mosel mmjobs mmsystem ootherwise dcbaker gcode repetitious packager dependently literate koka verilog disinguish sublabel tamil hexdump
+algol recognising initialiser abcefnrtvl trustful chomping adt christopher qlik guy ncnamestartchar aposattrcontentchar elementcontentchar ncnamechar
+quotattrcontentchar xquery fantasy subformulae promql prometheus datalines notational rangeop groupnames barewords ctlops hexfloat roadmap rfstringescape
+magicvars fromimport stringescape mojo magicfuncs aiter fstringescape bytesescape structname consteval fxgroup noexcept packoffset alignof priv decltype
+groupshared highp noperspective typeid mediump noinline snorm mut instanceof coherent nointerpolation premerge blankspace constinit pixelfragment workgroup lowp
+alignas typeof constexpr unorm commenthelp execline parametersetname wolandscat archetypes blinks capdl imperatives baselexer miscounted overviews lyrics slurs
+cautionary pond articulation octavation subproperties tremolos longa augmentation chord fingering breve splicing libstd famously breviate abbre postprocessed
+lisps competditors classed tinyos remoterefs nesc declarators recurrsion bodypart sieve citation hiero roff typesetting tvar footnote templatedata twitter
+syntaxhighlight execmd charinsert imagemap dynamicpagelist markups categorytree nowiki drawers italics chem fenced wikilink subheading cplint lowlight inweb
+agrnw fiction stereotypes factorised metamodel borrowings elvis kotlin plainid cellnames insturctions coproc designing hlissner jinja velocity spitfire evoque
+genshi myghty handlebars smarty mason twig mako endsuspend endrepeat ucode usda haxe reification preproc idtype kal nodejsrepl mishighlighting varflag fakeroot
+aamann mainframe indicatins camera trawling cass samplers yours webpage unification functors faux urlencoded bolds kombinations gooddata methodnames nrbtfav
+flisp blockcomment imsxa avec scdoc sigil triquotes erl lterm eeps alnum rterm abdefnrstv anon measurably pyca establishing unfeasible brotlipy brotlicffi
+evicting opaqueredirect jspi preflight inputstream arraybuffer webworker proposals koenvo fetcher unicodes javaopts unecessary closable virtualenvpath blokincg
+jarpath gatway withing shutted dequeue anwser resquests receivers gradlew gradle stringbuffer ccanot echange clientserver startoftext introspecting freeform
+configurability carryover athlete revalidated empower unsolved scanerios adapting varkwargs courses kbit nuance constr mbit gbit confloat dessert pibit
+condecimal pbit gibit mibit eibit droids tibit kibit tbit conint ebit remapping fixme circuits submodels laborious tomli rethinking striped mongodb basemodel
+initvars sublevel contype flakey sare smell unevaluatable genercis juste nascent unsubstituted lighter synthesizing invertibly uvicorn subjective enlarging
+typeddict leaky wrongfully datastructure metadatas myschema mybucket relatives crawling cudf ntypes turbodbc subprojects interprocess boundscheck referrers
+ndjson roda nthreads execplan stripes bloom stripe disjunction sidecar recompiled varbinary reconciling dangles ceiled wrinkles substrait zoned categorized algs
+transcoding mechanics supplementary subseconds recordbatch liborc tzdir testa eos reintroduce contradicts nonexisting backpressure scanners proxyhandler
+transcode bkietz cythonize conveniences destructed canceling awslabs uwsgi incase nonequivalent structtype picosecond femtosecond boundschecking attosecond
+projector azure azurite pydicts overrules uinderlying inceptos mauris conubia pellentesque quam porta blandit litora posuere aptent efficitur eget vitae taciti
+tortor orci turpis faucibus mollis leo feugiat nostra lorem massa himenaeos dignissim pretium vel libero sapien justo urna varius tellus vestibulum iaculis
+ligula volutpat erat sociosqu diam scelerisque arcu accumsan facilisis fermentum sagittis torquent lectus tincidunt nones unopened keword localfilesystem carat
+hardcodes halffloat refguide allfuncs autodata attribs namedturle releaselevel relegate dunders uncalculated alteration annot unequivocal bake freshest everyday
+gotchas reassignments upsides ahocorasick spitting prettified tokio visualizer charchter transitioned barneygale briantracy elainechan wim doron elisha
+shenxianpeng tinruufu bwoodsend lorddavidiii gkdoc enoch tbeswick victorvpaulo stonebig montefra sinoroc lakshmanaram cytolentino ziebam haldar arenasys konstin
+gousaiyang harupy layday devsagul xtreak chrysle morotti socketubs finnagin gpiks shireenrao jakirkham luojiebin smith zarhi patricktokeeffe sinscary
+ahayrapetyan schlamar seanj everdimension gdanielson robinson toonarmycaptain ronaudinho atse efflamlemaillet kpinc gutsytechster stepshal kaustav ddelange
+gavin robin glenn rmorotti ryneeverett keanemind kasium mattip meowmeowcat memoselyk ekristina derwolfe johnthagen dependabot albertg burrows xoviat
+michaelpacer mayeut toxinu mbaluna studioj ofrinevo mdebi dremio multibuild kudu guava archery safeint chess tidyverse utfcpp bjoern donated aheared alors ray
+sebastian uriparser ankane nemequ tablebase jasone gpakosz eay changelog rouines songweijia cryptographic gaviotachessengine ebooks legalcode gflags
+publicdomain repositories retroactively zut prospectively folly lemire incubating sam conan publically dfa dplyr camembert lhash suitability tslib deem oneill
+whereami vive golang cymove cristianadam tread imoprted programmatic slug onion excs redis exceptiongroup madvise hugepages arms discontinued channeling plate
+boiler stringifying acrobatics automodule exclusivity remedying arff broadening prevails understandably gdict ldict hypergeometric rayleigh zipf vonmises gumbel
+chisquare laplace ranf wald logseries nsample bitgen joblib svdvals pinv cholesky smat determinants subproblems techdoc orthonormal zgesv zpotrf zgeev zheevd
+reflectors dgesdd logabsdet zgeqrf normed zungqr subdiagonal mathtt eigenval possessing quaternion dgetrf parenthesization uncertainties sing zgesdd
+parenthesizations dgeev dgeqrf diagonalized dgesv squarings dpotrf superdiagonal eigenvector zgetrf powered dgelsd zgelsd ainv dsyevd banded lwork xerbla geqrf
+rubrics communal undue forgetting unproactive restypes libpath argtype lazyload ctypeslib emath reexports charar delegations tostring zfill uppered occupy
+datastring arrmean arraymean rcount misleadingly ibeta mantissas irnd strtold ftype stold nexp masquerading retired nmant surnames nonscalar bitorder vdot
+demoted begindates conjugation enddates unraveling usecase thefinal arrs axisc rollaxis axisa truthfulness conjugated isfortran magnitudes axisb vdots ith
+otimes complexxx issubdtype ushort intxx uintc uintp issctype floatxx ubyte issubsctype numerictypes uintxx nsecond dwash unstripped nfourth dish crystallized
+keepends mangos mango astr sped newtype oldtype basetype prioritizing sieves superlative contracted outputless arogozhnikov isets defg oset ilm cubically efgh
+einops backcompatibility edgeitems floatmode friendliness infstr teoliphant hinsenk nanstr getindex summarised quickest placements acronym subtleties
+misinterpretation wkahan finer nominally transposition raveling raveled geterrcall geterr seterr getbufsize olderr seterrcall oldsettings errobj newfp fpo mulop
+iterationneedsapi borrows auxdata nditers itersize matrixlib addop iternext nonneg automethod pyscalars noindex opn lamdaexpr lambdaexpr mappingproxy uic
+itviews refcheck writeback cde possessed omission arrayprint retstep logspace errs geomspace multiplicant fillwithscalar ipi infi mandated nani conj fromrecords
+admittedly mytype absorbs unaccessible tupled scalarmath deferral castingimpl bytedwaps rnding deallocate unravel arraymask changeable reenter iterrange
+adopting bufalloc writemasked overran remappedshape reentering contigouos memmapped styp maxprec cinf reshapes divisors leeway blocklisted dividebyzero ninf
+ncontig gfortran maxulperror dlpacks newaxis mimicked gold weekends nonlinear feat auxv mounting wheremask dstidx nelems diophantine srcidx ravels gemv
+untypical wchar uncontiguous meanwhile seqfault stranger tere rsorted alidned quickselect iops nontrivially argsorts fallocate weirdnesses bumping neighborhood
+crept neigh npymath cblasfuncs qsort binsearch syrk suffixing spack andc xnor lane deinterleave illogical misplaced copyflag refcounted testers arches conflated
+formalized fpe img fastclip ncap typekind nomemoverlap graciously unsafely calloc relaxing cared shapely mimicker subspaces reducelikes supremum identityless
+innerwt reduceats fabs fuss arcsinh arccosh userloop castles bouncy liberally noncontig einssum machar ufuncname ulperror navigate ydata xdata polymulx polypow
+polycompanion polyvalfromroots polyx polyroots polyvander polytrim polyone polyline polydomain polyzero polyfromroots getdomain vandermonde mapparms abscissae
+mapdomain trimseq unshifted resid superscripts runaway linebreaking hermvander hermdiv hermval hermder hermone hermfromroots hermtrim hermgauss hermroots
+hermadd hermfit hermzero hermcompanion hermweight hermmulx hermmul hermpow hermdomain hermx hermline hermsub hermint legdomain legpow legint legadd legfromroots
+legtrim legsub legdiv legone leggauss legfit legweight legmul legvander legroots legval legmulx legcompanion legline legzero legx legder lagadd laggauss
+lagfromroots lagweight lagx lagmulx lagpow lagone lagvander lagdiv lagdomain lagzero lagint lagroots lagsub lagcompanion lagline lagfit lagval lagmul lagder
+lagtrim hermecompanion hermeint hermeroots hermedomain hermex hermemul hermesub hermefit hermeval hermediv hermezero hermeweight hermepow hermevander hermeadd
+hermefromroots hermegauss hermeone hermeline hermetrim hermeder hermemulx chebgauss chebadd chebdiv chebvander chebdomain chebline chebzero chebmul
+chebfromroots chebmulx apriori cheb chebsub minmax chebint chebcompanion chebval zseries chebpow benjamin interpolates chebinterpolate chebder chebweight
+chebtrim chebroots chebone chebx surplus laguerre commutation hermite arraylist wreaks missingchar vartypes reclist les precedent mdtype onmask undecidable
+fxarray sharedmask nlen maskedconstant getdata notoriously scalarscalar filly unmasking overlaid masques endwith spoiled whine marr conserves youngest mufunc
+guesswork prefilled fillx getmask conserving mbfunc unmasks instancemethod dout hardened underway scikits inexperience argued mrecords prefilling matplotlibrc
+fieldmask aux sumweights arraysetops msubarray deferrals atleast ipow extrema idiv ina misaligning fval imul dty extremum allequal conserved recordmask addfield
+tailed interquartile overestimates normality inversely outlier founded robustness subtractable ucb lowerbound namemapper repacked lastname repacking autoconvert
+nameless asrecarray repack seqarrays uarr jointype adtype networkx mmapable authentic marray mcom angular aands cephes unsortable lobe wich tapering choicelist
+discontinuities nonparametric vol sim cosines taper neighbouring condlist argwhere radian mesg aweights vpolyval interpolant ripple blackman stepsize otypes
+scitools vfunc spike hanning energy journals xvals cardinalis filt bartlett brevity fweights pearsonr mypolyval spectra sinus discontinuity kaiser bandlimited
+apodization sinc mag yinterp autocovariance xarr researcher guido gfile sanitised upath repos urlname filelist baseurl pcolormesh ymin correspdonding trili
+xedges xcenters yedges abscissa triui ycenters ymax ordinate stepped userfriendly slides fac antiderivative satisfactory approximating mathrm wildly oscillate
+aranges reps buff delimit validatednames validationargs nbfields boolval defaultdate dateparser maxwidth olduint nansum nancumsum nancumprod nanprod datafile
+uncompress nieche delineated nbrows rowmasks bagobj nbcols npy fromregex sizing savetxt inputfile filehandle skiplines npzfile logarithms correspondingly
+maketuple concatenator ixgrid mesh hinsen ndenumerate ramps arraypad zipping unsliced iaxis pynetcdf subarr iscomplexobj isrealobj isreal typechars representant
+clipmodes unexplored stems hazen enhancement gest incr zerod otype misformat uniformized fromhex umlaute brokenness multiformat commentstr subforms
+untransformed ideographic unitless longdoubles invertibility uniqueinputs oldstyle binedge autoconversion builddir cfuncname prologue testme enthought etime
+afresh abide isscalar suppressions timescale maxulp dnperfmo testmatch slippery retrigger vagaries mishandle specificity fourier discretized mainstay inverses
+rfftfreq symmetries usemodulename pytype pearu pyname sepdict buildvalue modnote setjmpbuf cbdocstr pymethoddef freemem cleanupfrompyobj cfuncs showinit
+callcompaqfortran routdebugleave externroutines skeleton callfortranroutine kwlistxa routdebugenter functype commonhooks texmodulename closepyobjfrom
+returnformat outvarname rlength declfortranroutine resultnote fortranname kwlistopt typedefs argformat restdoc keyformat initcommonhooks callfortran
+routdebugfailure kwlist pyobj buildapi userincludes noindent latexdoc xaformat isoptional initforcomb docsignxa callfortranappend texname docsignatureshort
+cblatexdocstr templated leftarrow rightarrow kwoperands relop deliminator errmess flen typenum tcheck inistr errstring tot fshape scalapack tableofcontents
+documentclass literalinclude scaninputline grouplist intentspec intlen kindselector interfaced pythonmodule definiteness entitydecl analyzeline attrspec
+postlist dsize typespec beforethisafter userisdefined cont charlen skipfuncs charselector xset groupcache arrayspec mytab dimrange pyffilename entryname
+crackfortran groupcounter mycom crack showvalueformat strarglens capi callbackname jmpbuf cbsetdims noargs latexdocsignature debugcapi optargs dimspec
+quotations endsubroutine endfunction markinnerspaces adversary typeinfo stretches sfoosub foosub dfoosub untitled genp mname ocmr rebase fprefix clength fsuffix
+onnv kstat sunos pernic secsleft ioclass memtype suspending univocally egible uids fstype involuntary errout procs sched perdisk hyper percpu dropin prlimit
+raddr celsius illumos niceness fahrenheit reliability mountpoint nowrap getloadavg mega errin utilization uordblks transitory taskmgr systemew wset fluctuation
+validy hybernate coretemp slab vmstat diskstats sysstat meminfo sectors symptomatic booted resident pgin dotfiles pgouts reimplements thermal glances nicolargo
+tempted tgid famzah kilo hda plugged thialfihar amrel stinky peripherals prio sda smaps rootfs iostat hwmon cciss nodev osx civis chromium tids intrs memleak
+manpages rse margo rdev procfiles ttydev entstat truss garbles fspaths logfinish plurality logreport fslocation isatty pluralize ellipsizing circuited asottile
+wasxfail shouldfail subsumes myvenv reconciliation argcomplete filescompleter completers dirn compgen centralizing detangling tbstyle migrated plumbing
+creational relfspath markname fulltrace diagnosed mans callobj originalname getattrs argvalue fixtureinfo compatonly callspec glued impls parametersets
+unparametrized decorations aworld reporters interlaced jenkinsci xunit xmllog nouns modcol cmdlineargs zope recorders noun cmdargs testreport colitems laying
+pexpect withinit capman configargs nickname pytrace syntaxerrors minversion docutils experimentally unraisablehook setuponly envvar descends pathlist rush
+usecases fixturemarker deprecationwarning fixturename declaratively nonviable fixturenames baseids initialnames pytestconfig baseid recreating excrepr
+pyfuncitem exitstatus expl pluginorder adjoined memorizing sparingly boisgera numtest improbable longrepr filesystempath domaininfo sessionfinish temproot
+otheruser cleanups pile prankster basetemp wrench targetfd capteesys capsysbinary unittesting occasions weirdness initstdio capfdbinary tmpfile pytestfunct
+testfunction terminalwriter valuing getfuncargnames mounts scandir inaccuracy caplog colorizes cachedir advances harmonize scrap kwparam myexc typechecks elect
+barks practicality modularity confcut helpconfig importspec devnull blowing storm unmarked importhook addopts typeguard cacheprovider importmode preparsed
+addini bugged reflowed misconfiguration sanify neutralize sepchar willmcgugan materialises terminalrepoterer pycache snapshotted proj walrus blockfinder orelse
+astcache gritty tryshort showlocals nitty exprinfo tbfilter titled asttrees metaprogramming reprtraceback tempfiles strpath ignoredwhen syspath ensuresyspath
+hexdigest fil hashvalue icky breadthfirst depthfirst pytestbot strrelpath purebasename gencodes protobufs conjection structpb compactly unregisters tenumvalue
+typepb tretention ndeprecated descriptorpb nannotation nvisibility wrapperspb oneofs unpaired oldrefcount fineto packable moin depot wktbases henceforth sizers
+genericized reflectively interplay shooting typecheckers noises licensee affirmed prohibiting possession fxcoudert subdividing incorporation libquadmath
+contractual refrain discriminatory obligate defenses waiver sublicenses secondarily subprograms circumvention conveyance procuring attributions licensors gratis
+deprive sold household surrender libgfortran possesses constantly technological pursuant preprocessors semiconductor freedoms durable conveying manufacturer
+licensees copyleft accompanies covenant bears reviewing interfered customer copyrighted noncommercially indemnification payment employer expressly compatibly
+waive fulfilling industrial authorizes conveys materially embodied dwelling tempita school tangible relicensing copyrightable authorizing sue yearday overshot
+nlyearday firstwkst recurrence dtstart byxxx byeaster byyearday byweekno bymonthday bysecond tzids rdate dayset bysetpos rrule byday rruleset bynweekday
+recurrences byminute byweekday forceset bymonth byhour tzwin cal claus demarcated customizability dstridx stridx parserinfo ystridx paased datetimestamp mstridx
+adherence datestr tzrange vtimezone stdabbr dstabbr onset stdoffset tzutc tzid overpopulated whichweek tzres zic eras abalkin inadvisable zonefile curtailed
+favoring zoneinfofile taps jdxlark jonas lapointexavier anthrotype paul kootenpv areiter quodlibetor lucaferocino arclight oldja prdickson andrewcbennett
+jayschwa takluyver jay dominik zbyszek arclightslavik rwilliams alistair kynan carlosxl tacaswell pawl alexchamberlain hugovk dplepage ccanepacc cossa savraj
+bradlee michaelaquilina cscorley amureki gokcennurlu niemeyer cssherry ridhikmahajan armicron varun bachmann mjschultz loldja moreati lkollar netrakar jitesh
+gaborbernat gabriel grantlycee floppym ryanssdev yajo jdufresne nicoe adam gustavo gfyoung alecreiter cosimo tagrain shenfieldmax gergondet abrugh kulikjak
+weatherpattern aquinlan parsethis daplantagenet jordi koobs unrud tcaswell coreygirard bergvca friskysaga hjoukl masipcat cheukting radarhere vtbassmatt ryanss
+ccordero bspeice akx absreim takowl jonemo jpurviance quentin graingert matt thierryb verdyan mcorcherojim shadchin david labrys ultrafast expressive decorates
+nsmalles applymap branchless datestamp stabilization bbfreeze githubs refnames nselect illusive notwithstanding moduled worktree hosting versioneer doctsrings
+defval configurables rerouted reroutes defencoding savefig workday observances timedeltaindex codabase jolie nay chirp unintentionally meow bark weasel
+explosion floatiness overestimated jeopardize consortium mangel dateimelike rankdata replacers slinear periodindex cumavg depr ismethods unindexed rerouting
+predefining appveyor returningfloat inty pydatetimes booly rol reversibility unstacking composability restacked echelon increaes recordlike upconverts
+interwined dype disambiguates wheee datafame bys falsely dframe rearrangement lexsortedness multiindexed shiftable tdnat fragmented ewmcorr numbagg twosigma
+superseded kahan minp utsc astimezone pytimedeltas pytd abbrevs femtoseconds annually impute blengths rmod structarray bogusly recoding floors indxed nothings
+tock fiscal tstart ctypedef guessable isoparser dtindex vaex vaexio consolidates taked agged relabelled stubname multikey interops fixturesult centralize
+rentention enforrced birthday revolving generateable libindex neq nobox pare sixth stepof nonoverlapping stationary reprable ofm paris weirdo sniffs tinkering
+reproductions xxyz timegrouper uncategorized relabels ngroup coincidentally vbench reverting evade cae timestamptz xfailing halve misnomers setop timetimedelta
+zerodim buts inseat tdi hows assignees errorbars linecolors cycler facecolors lebel mediumaquamarine idxl histtype explicing twinned aquamarine seagreen
+dodgerblue stater xlmits xticklabels lauout lim xtick linestyles colormapping colobar parametrise optics deviating multimodal interim parr dtarr adbc sometest
+nwolof ethnicsn pyarrows deserializer biglink foobr publishing contentstable pillow faq subsections linkless linkdescr wipes importorskip bzip salaries moto
+flask spulec motoserver deserialisation posts requireds dmndhelp infocenter bba bab possitibilities vegetable pear broccoli tomato tline bye blaha qwer asdfkj
+standardizes rxstatus xfails aaaaa aaaa ignorethistoo headless tnum malename femalename gas cooking terrestrial ellipse loves curved angel natten elementnames
+bay sphere textinfo blues woman sas poses hod sadness showindex brittle datapath teacher endblock stickys myoptions mycommand reactive mycap otherline maxes
+vales excl dynamics comprehensively elmts revrse mizxed rereads softlink nonexistence storers propindixes thick defusedxml tafia comprehensiveness overwrote
+fallsback fallbacking oob timepoint multiplpy unexisting misnomer categoricalness fromgroups caegories multiindexer bah hai departure utcnow recognied judgement
+hinges hexagons gridsize charts hexagonal symlog planar hvplot pyviz axvlines axvline dashed samplings visualizing breakdown cdots harmonics amplitudes pyplot
+placerholder tank stacker deceptive scatterplots asymmetrical nulled plotf leglabels wedges hexbinplots whisker multiplot subselection ncol nrow twinning naxes
+firebrick indygreg lazify expandable autonumeric isurl pyreadstat fsync preorder recarry generified storer cname qkeys ahah expectedrows sniffed ndarraylike
+permutated alphanumerical propindexes pathnm optlevel indexables complaints billing apis srtlist typlist appreciably oooo sidecast monthly textlen varlist
+catarray fmtlist concerted nobs nvar oooooooo unlabelled gso alphanumerics nvars labname lbllist tablename blurred paramstyle dbapi analytics economical subd
+goop xpah relate iterparsing jsonfile jsons governor enhances inflate counties hackjob dictated extents refine sniffer miscellanea colspecs uncommented grabbed
+floatify sketchy loudly issubset pyobjc pbpaste qtpy pbcopy qdbus asweigart wayland klipper tricking jcushman dam movefile ibm ored pgmsascdc dmpdmsug etsug
+epam parso onlinedoc dfdmstudio biblio vignettes ross science jaredhobbs justfunc tableschema pprinter pprinting eastern ipqtconsole ipnb relabel ttip
+sparsification multicol sparsed gobbles clickable cellstyle markupsafe simultaneouly inherrently cellstyles swiss openxml instancemethods xlstyle roman tinycss
+chaff wheat underlies getvalue etoolbox captions preselect cows raggedright widtn robustify raggedleft altwise concats sisetup hyperref inferno oblique slshape
+bolder hrules highlighters xcolor constructured cidx graphicx collectively collective iidx preselection immutables preselecting luminance concatanated rotatebox
+colortbl customised psased sheetname odfpy odswriter spreadsheet odf outval uniquified dtyps numbas dictlikes aab uniquify aggfuncs equaling yvalues akima
+tvalues extrapolation groupwise deconstructable complexities deconstructed xnull imum apparitions davidhalter lays oppose reoriented doable logaddexp heaviside
+deer moose behaviorof tiebreaks sorters logn htable nargsort hackaround clocked tzser birds cities piggyback statawriter dictlike delimiting diet rowwise irow
+homogenize rewrap hierarchically cousins newcol icol ingress demeaned hypothetically ramen stopgap blooded dissolve definitional interpolator income signaure
+kward afternoon datastores reorganize grammatical chainable unknowns nbconvert realigning multiiindex serialisable isetitem dfmi aligners devoid extensionarrays
+unalignable enlargement keyarr thenew crossref interpretable fperr frontends imputation dateoffset subperiods upsampled compilable filtration filtrations
+categorization senior rtruediv revenue pentagon xbool xint yint ybool pollution swan donkey foojpgbar guppy dove stringr mytable defence casemethod nino
+avoidable weightings emw hfunc ewma addend timelike reflectd nargminmax directlys explicily brock linspaced tzconversion tstamp vzone ndframes baab isnull cba
+timedeltalike fudging duplicative rxor jlabels ilabels wraparound recalc disentangle clumped setto kleene depromote ated resos unicodecharseq uss discrepancies
+arrty looper jammed vdtype hre blknos slobj outperforms blklocs determinint unfit lframe nblocs nlocs slocs vis unstacks iget nordered dataobj retbins
+discretization clocs shiny corresponded rownames subtotals mappers lindexer densify datetimelikes rearranged rindexer walkthrough famid stubnames wieldy melted
+daysinmonth qyear responsibelf compensates punt validty pessimization lev unanimous slicers leveled retake negates founds levshape getsizeof categorizing
+disjunct sortlevel insertable timetz homogeneity subbed categoricalindex ncolumns ilevel breed kiwi cockatoo wanting catfish gorilla leopard instituted goldfish
+picker enumerative bull toucan owl rise tuna unrepresented overcomes assigner preparser unaccelerated specalized shortcutable preemptively safeguard klasses
+phofl accientally myextension consumable unioning winnings rechunk bytemask demarcating decompressing accel ingested facilitating dmer temporally sizein
+decompressors nchunk ifh adverse dobj copier introducd fulltext cobj delivers kibibytes ofh widens tha attest computable billions siv initailized wherein
+ergononmic optionx fretting cvar gots bubbled proposes getsitepackages ephem accorss pfmoore sasitfies prefx getusersitepackages usersite coninutes buildout
+steppable understandability uninstalling isabs tentatively markings keyring jaraco authenticates creds inconclusive hammering strictest hashval unexpecting
+anyplace namever devendored elaborated sister optsep redact ours mvarfmt backspacing cword cwords redownload confusable ordinarily pinnable altinstall dictating
+pycompile exename bombs buildable centralized ireqs constraining spits performances idiosyncratically reinstalls undeterministic reinstalled foremost twine
+urljoin suspiciously accesstoken cone diversity workalike directing virtualenvs isolating surpassed recalled unredacted obeys subprocessor linehaul pips compdef
+compadd loadautofunc fpath bowels redistributors kennethreitz mach normcased shebangs mascheck fsencode bails distpath parallelise favours scrapes scraped
+downloadable reqt libdir mountable zinfo looped reqts filesafe subscribers younger subscriber normcasing diversion dep adjacency destfile outbuf pyversion
+keystore signer containerised ersion standardise puncts maketrans allfiles thedir dirpattern lyssdod prospective keyboards potentional backjump guarenteed
+disconnecting mageia guix opensuse rhel amzn mandriva buildroot sles pidora openbsd cloudlinux oslevel xenserver centos kvmibm gentoo linuxmint altlinux
+raspbian codename exherbo enrich parallels midnightbsd attrbutes busting problmatic freshness thigns vaguaries mozilla netwerk etags filelock ionrock filecache
+multiheaders reinvent secrecy shove retire authing impending securetransport drastically kindly seoncds buuuunch freaking smuggle tire authurl authenticating
+erikcederstran fab assistance keychain nastiness knownfolderid platformdirs packagename pyjnius homebrew appdata intensity showtraceback educated commonmark
+crops maximums minimums getconsolemode wintypes renderhook consoles chopping consequat voluptate officia culpa mollit irure deserunt ullamco labore aute
+reprehenderit occaecat cupidatat aliqua fugiat tempor cillum enim nostrud aliquip incididunt sunt velit esse pariatur laboris veniam dolore minim eiusmod
+exercitation sint anim proident magna prettifies filesizes burritos designator arial firacode woff ajax stylize monokai normalises dedents sindresorhus wrapable
+encircled encircle overlined concealed conceal colorless osc pulse autoreset sloppily unixtime racing getpwuid workingset unloadable ymdhms attacker sandboxing
+unixy extractions activatable admonition commonprefix hands tiran aiohttp trustme verifications indeterministic rewound sensitively sideeffect productive
+gitignores grounds throwaway drawbacks ecosystem pose myprofile churn tractable shines pathway reexpress nightly freak tech canonicalised reassignment stoptests
+nondeterminisim surfaces reassignable fuzzers unimported selfy hypothesisexception testcounter treading hinder stoptest subdomain subdomains metakey facts
+keypath gorakhargosh metakeys pschanely autowrap novice possess matvec coin matmat strat complicate unrestricted vecmat pubsub contracts worlds commensurate
+unequally autofunction posargs idempotence associativity colorsys reminiscent ghostwriting tedium synthesis reimplemented ghostwrite ghostwritten ghostwriters
+lexes nonterminal unanchored fullmatches lark namespaced pyupgrade insufficiently corrupts coarser potato greenery debris decomposing themself anyio sniffio
+routable swarm invasive crossing smears straddling vacuous concretizing equalled probed millennium unacceptably twoints uninferable undershoot oversampling
+featuring valuable contextvar mishandling subvalue aesthetic rewrote outweighs interactivity unabashed laziness sounds speculatively incurring reifies
+foundational mywidth proofing repeaters wrinkle intersects schemathesis supertypes ambient snan narrowly flatmaps forwardref isistance notionally whethere
+betavariate simonw readme des atmospheric bul torques oceanic iers fluctuations geophysical lunisolar undergoes bulc perturbations reinstantiate prettyprints
+breakable pprinters geattr underapproximation reproducibly guardrails diligence stdtrit constructive neatest specialise intractable contended enqueues
+summarising conclude syrupy preferentially affininty unbalance evicts uninspectable introspectors imitate shamelessly borrow aclosing impersonate inits bounce
+rearranges rejig muddying aesthetically pleasing nonsignaling semibounded splices intervalset concluded clamper concluding instantiations concretely ligatures
+thai uncover intersperse emoticons charaacters bolt vowel consonant upsidown scunthorpe normals primorial reimplement stably zalgo choce guaranteeing bijective
+datatree conclusions bodge falsifying lopped detrimental belabor inefficiency diagrams weish dominators dominance slippage interestingness monkeypatchable
+hamper healthcheck budgets restriscting corpora conservatively guideline bobs coincidentaly stackframes limiter bitpattern afaik stackframe hill bailing
+climbing prioritises outlived misalignments overruning swathes overcounting formalizes subsystems unwinds complicates reportable oring precalculated reversal
+accented propose rerandomise bbac downs opposition spillover nastily recalculated realigns abbb antipattern safeguards rerandomising heuristically zig
+comparatively flakily refines bouncing idempontent zag prioritise illustrative rejections adaptively nee obscured winding possiblilities wound wierd linters
+precheck parenthesised penalize splititer prefixmatch formfeed juxtaposition subfn baaaaca abca lookarounds casefolding xayxay graphemes backref abd substitutes
+abde lookaround iniconfig chat visualise tokeniser fanta sneaked helloqqqq rightfully bpe blobfile nonwrapper nonwrappers hookimpls inhertits hookcaller
+specname halt nextchar deserializations skipkeys bigobject rescanning taskgroup staggered definitively nursery disconnection addrinfo notifying proliferation
+eyeballs conscious reschedule kicked stressing threadpool sslproto reaps pidfds erases watermarks vaguely wakeupfd sslcontext bufferobjects shielding graduates
+graduate relinquishes starttag locatestarttagend endtag attrfind tagfind shamrock circumflex vulgar guillemet bra omicron dagger eth apl valentine caron phi
+iota spade overbar feet overscore radical thorn yuan transfinite masculine ket upsilon lozenge blackletter florin circled pilcrow cedilla alef mille greek omega
+macron upstile diaeresis psi vee rho stroke cubed feminine downstile nabla club dom entref decls linearizer childless addindent newl attname lightest
+defproperty myattr tailor lname identfier elementtree tdop iterfind accelerators dublin subelement emulations prudent qualms prevailing idling indetermined
+chopped uncompleted reacquires paramflags ldconfig binutils sbin libpaths libtool packagers deconstruction ducktyping typeobj minimise unroll assrt seals aseert
+autospecced patchings assret asynctest asert parental idivmod twisted trunk exceptioninfo contextvars accelerating intro tchar relays pchar mockup lynx qdtext
+meridian obsoleted davem wafer trickeries doublestuff oreo doublequoted twix newton ahoy surround timo finger doublequotes identd responsecode goodies dissect
+responsestring misunderstandings ietf authuser logfile uninstaller origname unowned minimisation uninitialised wordcode miscompilation botching localsplus
+unwinding solicit bong multihomed traversables pprints bons whiskys singleline goujat testfiles codelines opstr nde unindent tokenizedata toktype optypes liner
+somemodule practices untokenize tokenizations hola certfile deallocators runfunc runctx settrace humongous flaw binade bigcomp bimodal extrapolated invcdf masss
+montonic implmentation lessons quoteattr spewed dummyvar lingering countdown mucked gpshead overwhelm unserializable feeder sleepers qsize spillage errantly
+fred shrimp barney prawns fastmap edifact inconsisent rematerializing spezialiced bluch renumbering aaaaaaaaaaaaaaaaa errtest naaaaaaaaaaa dencodings outlaws
+flushmode begun getuserbase gigabytes hogs extralargefile unintendedly periodicity cscript vxworks sigtimedwait eryksun itimer proximity sigmask siginterrupt
+feisty realised variabcles substituion tiring actualised echoed vgetargskeywords specializer vectorcall deopted neverending rset apop overlong poplib fiveto
+evenness thereafer openpty linkifies reassembled mixup gprof errant discusion platstdlib linkfrom manifests lilke prods supersets combs perm seqn islice perms
+wreak interrelationships sparsely alot bite fsu refills bucketful passage chatty bucketfuls specializing httpsconn httpcon splittag hacking thrashcan kanjis
+serverproxy vista unsatisfactory perusal datapassing inorder sysout perturbing byuids colocated centralised nonidentical libms backslashescape ufffd steadily
+namereplace wmic sandboxes spams denys namedpipeapi forego duping aftr meat memb preexec intenum filehandles rlimit typeerror invent decompressobj asymmetry
+expections tmant weed copysign nonnnegative frexp texp ftest exta pinpointing macbook sarge errnos stanza readall reftracking tarfiles interplaying devmajor moo
+conttype regtype pseudorandom autodetection testpath bzipped punch jwilk accessories dirtype outerdir evidentially testtar xstar getmember devminor unawaited
+crosstest asend aclose nclass tickler resembling sjis reallocating modernized transcoded thas tenet repro dying endeth iterkeys deallocs serviced oid setcomps
+sargs eargs findfile minimumum bigaddrspacetest umaks internalstate bitcount kappas reseeded mises ntest dfadf foobarbarfasel foobaz foox obar fasel shellwords
+cyclical octlong spamdict spamlist mortal disagreement spotted featureless sucked mykey cooperating ateof reentrance diving testcmdwithnodocs mortem embeddable
+trackback myp mymethod crossings speci sess fooxxx unwindng pti botframe whatis citizen ntin undisplay udcbb fromisoformat senseless uctoffset utcoffsets
+nowawareplus comparands timzone nowaware utctimetuple dancing disambiguation backdoor weeds spottily fromisocalendar ineffable loosened oddballs theclass
+timetuple tzdist libcs rusage gamut weakproxies compacity mystery gratuitous monster extcode locker precomputes newobj fiddle extesion unheshable kwdefaults
+pyio blocker wio lseek encodefunc bufio rawmode armed flaws iomod libreadline chet editline kern nexttag subtext apos marshaller attrx abtext btext eng
+nextsection lsquo tog cultivar xmltestdata makeelement plant rsquo gettempprefix ulimit mysteriously gettempdir cygwin stochastic aki hosted unilaterally rudely
+vendors servername tickets certdata brutal standardising elliptic disclosure maxcount stringlike mymodule sillyname fileinfo opath precendence nmultilinestring
+multilinestring formatstr ridiculously era autotest libregrest mythical overboard nope reorganization mishaps recentish copyfile xattr experienced pathlike
+xattrs confstr silliness narg topbottom exampleturtle undobuffersize examplescreen leftright adjustable borks localtimes northern altzone mainthread gimmick
+joiningfunc childpid tainting ifmain iteratables answered expres itemwise realres pears hostednews cyberworld sitemaps figtree cybermapper upcall getx setx
+descrintro writeup noway metatype metamethod asdl xden xcba geturl fixpoint urlencode incidentally abnormal nment unurlsplit iacute sensei prost supiido basho
+oacute libidn hitotsu ccaron pafii ecircacute suru sono namie byou sorezore ihookabove amuro gumi puny hiragana eacute kanji nemluv yane kinpachi ecircdotbelow
+nen isaoh iti esky lineends ecirchookabove codepages odotbelow runba ecaron syllables shita ntilde adotbelow ocirc cmath quadrant difficulties tupleids
+iterability yrange sudden invasion unexplainable spectacularly hashcode insight measly automate piled pileups randomish wrestling spreads coll sdevs obscurely
+tradeoffs smallish decently dauth authorities bauth mangles bingle tse dee bungle nosuchpreset notneeded foobarfoobar fooooooooooooooooo externals lah
+nosuchcommand dah ets mushrooms dictview presized dictviews dictiter starring alleged badencoding nelif opnames unguarded xbak xaav tuesday thu noday
+formatmonthname wed formatweekday thursday fri wednesday tue savetty endwin initscr addch newterm splitdrive readelf optlist dgoodger memchr nonprintable
+memrchr allocatable booh ignorewhatever nfinally decoupled rop testet sampleclass creeds harmony preloop completedefault postloop mycmd roj stomp misconduct
+willful myerror changelist hijacks hijacking cron ttys audithook mno ghijkl nsaid mnop hammer ghi nhammer setrlimit hppa spots bisect chainmaps itemgetter
+noncomparable fidelity fieldspec mixins chainmap multiprocesses chan eariler spipe subobject inordinate affairs overallocates errormessage houserules bitrot
+ronaldoussoren getencoding writespace repetitive fluch bluc blach bluchin bluchi blucha skewfactor mboxmessage subpaths maildir fips pubs predefine xmlcharref
+amps codepaths congruential selves orphan haystack fsencoding pillar whitehole respectfully firewalling timeframe premise routinely unprecision confidently
+containee ipnet hoc toejam backaround ppperry overdo brain honking gimmicks surprised deactivating localspluskinds localsplusnames deref posonlyargcount
+argcount cellvars kwonlyargcount dgettext pygettext albatross mullusk nofile ismount meters lexigraphical attributable kilograms evalualted cleartext quits
+witnessed sensitiveness unverifiability newsref pickitem regresses clobbers ammo websocket nephew checkdir inexactness shuge circularity limb mhuge largeish
+listmounts initval subsecond listvolume execve fsutil defpath listdrive subclasshook utimbuf linuxthreads timerfd unmaintained birthtime compileall dostring
+recompilation peter declining ttabbed posonly favour hideous juice sequel newbar stanley sabbath lumberjack rawval soylent favourite qwe pope multiprefix
+sixteen getdefault larch ambv foolower spoons badbad hexen optionlower pong viz nests uncleanable resumable centerpoint pumps straightforwardly beauty leakers
+realfib fie doublecheck turd warped excruciating involvement presupposing eons teedataobject whereupon olde sofar conjoin unrolling conformant nyyy nscript
+artefacts geared condcoms txyz linkat pidfile fchown closefile plaforms lchown envfile amusingly stringprep smallerexample minitemsize patters biggerexample yiq
+greadily multicharacter quantifiers groupindex nab submatches perlre keyencoding misbehaviour taciturn serially sociable customfield garrulous prince svidanya
+sockmap callability weakcallableproxy dictproxy listreverseiterator getwindowsversion cmpwrapper sortwrapper setiterator primality listiterator wiped
+unicodefields weakproxy moot rangeiterator minused frown mutilate myelem unpackings fulled undiagnosed shoud unclogs unclog unexceptional prot tougher dupped
+nexit hittable recvmsg maxcmsgs recvfrom consitute mission ancbuf checkset sendto eor ancdata believing maxhop bluetooth htons inboth serv getnameinfo anc
+checkunset standpoint unportable transmissions vcan ignoreflags getservbyport mindata ancbufsize modprobe nframes defaulttimeout numfds unhexlify hexlify
+hexlification wart xmlparser chardata touchy zipapps dodge abcdefg recursivity preallocate spinning ufds tying unforced hideclosed rrshift setitimer
+subclasseses newlib passthru joinedstr fstring fstrings patchcheck fourty vfpdef ifelse dictorsetmaker precomputation varargslist dictsetmaker testlist exprlist
+precomputing typedargslist lambdef tfpdef ukdcy pyperf subresults preconfiguration preinitialization pas winsound focal fedoraproject viking cpe horror
+stdcompleter ymod xmod resurrects damaged gctest undergoing longstanding laz resurrections latefin generations whoever trickle uncollectables gcmodule tinker
+cyc fluff reinitializing realizes mpdecimal scaleb gettable pythonic insures logb setcontext cdecimal extradata barfing readintos nerf graphlib pentagons
+uncovered tickle backreferencing demarshalling logout tzset rangeiterobject congruent lookdict kwdargs els dtoa genericalias bitlength regressing unfoldables
+trueconst subscr basicblock peepholer commingled lshift misidentified unacquired awaken badname housed memlen rshape bytelen slicelen lshape getbuf lslices
+suboffsets suppported getbufferproc lobject robject rslices iteritems vsapi multivalue ltuple winget ony abfnrtuvx abfnrtvx multibytecodec fooing shout taradino
+mayhem frighten meddles spirits trample instigated opinfo operargs quicken abedfxyz fodder conveted nprint rarer heapsort remained overriden instad culting
+sigalarm uuencode tby tname szlig desk aus gro tmore arenotlegal tto tacking auch tfrom dolly verfolgen butthey undecodeable tfor parsedate snug foodwatch gulps
+unknowable bodyline multilingual dotatoms wir tspecial outlook mapi linebreaks bounced penelope robot attachments pepe passedalltests pour asperges frodo bilbo
+unknowing longenoghtowraphere ungrateful boy mimelib atomicmail richtext mpeg police comfy sur commence moi sorti borking arthur micalg mailserv dperson cperson
+meddelelse postl timbo mailer xcar riscos bulletins scoffman linuxuser babylon ent demime gooey wasnipoop gargantuan nastier yadda borderline drainbread
+subheader pegen reuseable regtest reenable retreats moderate erf singularity acosh carg minority unambigous adopter stacklevels defaultaction formatwarning
+onceregistry infamous getcomments isframe getdoc getargvalues getmodule getfile asyncgen ismethoddescriptor formatargvalues ismodule getcallargs iscode
+getclasstree ismethodwrapper isdatadescriptor istraceback isroutine isclass ismethod getsourcefile partialmethods isgeneratorfunction isgenerator ttabs
+tdocstring asyncf inlines scrape methname modfile scriptfile wainting rewait didn raced successfule contest immediatlly determistic crunch cought fishing
+putters glitches sslobj renegotiation uncancel spills unscheduled uncancellation stimulus overspecified sigchld spoil uncleanly shields readiness ucafe ubcda
+ubabe ufcde chocolate bolts tfalse frog glucose ingredients water polygons unsetenv centimeters millimeters tktview compositingrule obligatory burntsushi
+reftest udfwinfunc rowcount rowids hurz fetchmany sadfsadfdsa executemany iterdump mycoll transactional unfinalised cblob cbin repositioned positionment bboxes
+tho bbox reinserting setcomp dictcomp pacarana capybara zreplace freplace multiprocess timouet interfers hostrunner sysconfigdata ascertain randomizer
+buildbottest memlimit randomizes pynexttest gettotalrefcount exorbitant pgo randseed whittling walltime huntrleaks readjust pyflakes inelegant absolutize
+damping signaled extralagefile effiency eases joker serialiazed sticks digression reparsed lookedup mergers claered recomputation snapshotable myhost
+symbolically erased keyid issuer startdate crlnumber king san principals ocsp alleyway enddate testca cadir marble acyclic atfork subfolders interweave paranoia
+winprog cparam pvalues reconstructs libz dylibs addressof cdecl bitfields itemtype byteorders fgrep restd nthe restt njumps nbrown intermittently wasmtime
+usefrozen sdev balls megs uselessly rework gil tossing immortalization nbins nballs unbearably bigmem dedenting meanempty rety subproceses expcted instrs unixen
+nonblocking usedforsecurity peername remoteport localport remotehost slowness circa qwertydkjf weblog multicasting elicit wedged dished ticking propensity
+compromised eliciting intervention rests affords awkwardly gethostname superstr conceptual syncobj allmethods curdir itemconfig grandchildren pydocfodder ouch
+testcapimodule counterproposal framesize unspecialized mutliple loosen closeit ommited refcnt subcls basicsize decref maxchar infolist pathsep relevent namelist
+writestr strfile webdocs joinpath circuitous nullifies uncaching mechanically findable xxyy stakeholders reimported portend bing pyfakefs egginfo observable
+altmain blanked boilerplace unreported thata ann rested easter unparser disciplines interline compileflags depict preliminaries eporting nexample newname ajkml
+tect noniterables abominable initialising sameness unladen laden circumvented excepts isdir aforenamed directionally bahave coroutinefunction magicmock notches
+innocuous raiser unmanaged environmenet keyname grunt decrypting filterer loggable levelno mysterious cropper grandparent pedantic veto diouxefgcrsa sio
+bcdefgnosx preparatory newsyslog centralise daemons squirl queuing zaps deduct dllname syslog predetermined news mailhost bows typemap slimmer logrotate
+subscriptions exponentfloat quest ump informal wouldn inue longstringitem elaboration breakfast slicings ooo typevartuple codebases advisories floatnumber
+assuring unlocking termed readrc pointfloat excnumber salted uit defparameter tons aexit succeeding informally holy nosigint eturn precarious digitpart
+irrefutable hasn abnormally shalt imagnumber unmarshalling boxcared twouters methodresponse microtuning doko errcode stumble gladly wrappings getparser
+pythondoc keyparam intruders straining hyperlinking instanced inqueue reaping taskseq outqueue unblocking fortune shrug starvation divined rexposed anew trylock
+sharer killall unlinks reinitialization unserialize concert mutexes rezero sleeper amortized sublanguage subitems subranges subprogram cyrillic keypad textpad
+stripspaces insides branched execbinding heavyweight customisation excessively breakages checkbox stabilisation untabify keepwhite squashed goodlines humanly
+reenters idb shaking stackitem debugobj globent recvar globvar binder ishandlerrunning binders doafterhandler unbinds binded seqs mainlined textviews unmark
+redone undoable setcookedpat replvar replent topvisible codeline obtrusive vestigial reminding flashing classroom calltipes darken pale astral sharper bingings
+menudef macosc momentarily rstripped pathways unbinding contrasting perchance experimentation subsubsection pyparse distracting cobalt multiframe autocompete
+navigation itw idlever sidebars millisecs generically ltrim rootnode subnode scrollwheel crumb acw omissions zoomheight scrolledlist orgs prescriptive
+searchbase pseudoevent undodelegator popups fenceposts maxos iomenu hidetip parenright parenleft reposition fob rstripping diverges hammers frontmost credit
+initiation tweaking lossage tabstyle claify announce reworked aquatk uninterruptible responding rpchandler interruptable recurs handlerclass statefuncname
+eventname keystrokes tabbing postwindowsmenu keydefs colorizers runscript pseudoevents menuname obscuring menudict initio nag statusbar createmenubar keylist
+cycled cascades intrude reappears intrusive disconsider reconnection subproc deindent maxformatwidth stackbrowser myseq incarnation dangerously unresponsive
+winpage highpage extpage sizelist deactivates subframes bindingslist structuree autosave untraced customlist activates shedpage keyspage listbindings fontpage
+boldness fontlist helplist transported dicttable relocation tutor backups invisibly autoindenting spellchecker inspector guts wonders butt pagedown restructure
+stopatindex eywords mustclose smalll resetcache menuitem coordinated matchobject ispythonsource supers inconsequential buttonframe usercfg colorkeys configdata
+baggage idlemsg htmlcov pcbuild setlocal bgerror redir uppercases tdef setcode baseindent nfor hyperparser unselected squished endflags recolorize etcetera
+endflag linelengths eaten variously redoing fixups idlex askstring askfloat asktring askinteger pagewidth panedwindows yosikawa selectcolor displaylines fontmap
+pagex handlesize trough buttoncursor highlightbackground sashwidth insertbackground visuals repeatinterval confine scrollregion zooming displayindices
+selectbackground buttonup paneconfigure displayof sliderrelief includeids showhandle activeborderwidth sashrelief buttonuprelief oval insertontime compositing
+buttonbackground radio activebackground overrelief repeatdelay sashpad selectforeground subsampling xpixels pagey readprofile bindtag pady sashcursor maskdata
+spinbutton optionmenu pseudocolor buttondown photo showvalue slaves elementborderwidth disabledbackground directcolor gridded readonlybackground film staticgray
+panedwindow centerline xscrollincrement activerelief insertwidth pageheight selectimage diagonally zoomed tearoffcommand toplevels highlightcolor tkraise invcmd
+troughcolor closeenough containings tickinterval dragto pageanchor rootx disabledforeground opaqueresize labelframe colormaps iconic bigincrement widthxheight
+buttondownrelief autoseparators gravity indicatoron positioning padx activeforeground maxundo insure selectborderwidth iconified sliderlength displaychars
+redisplaying ypixels handlepad colormodel setgrid staticcolor tkerror rooty bindtags mustexist initialfile initialdir defaultextension audience filetypes
+filedialog xview subwindows stylename focusin newindex layoutspec newchildren nswe reattaching deselects focusout displaycolumns whichside parcel adict
+autoincrement mnemonics viewport unmaps statespecs unmanages themed newpos animated themename cavity determinate etype inquire elementfrom offscreen mapdict
+slant strikeout overstrike initialcolor cypher rejoin mypwd archivename endrec privately scrambling viruses zipp minuend remarks fuer eine jede benutzt dirtyly
+hilbert subcurve inward peacecolors flour rice women kolam anklets colormixer pens planets planet orbit moon attractiveness dancers canvases ffeeee kites darts
+aperiodic tdemo demoscript ontimer fca demos spartanic discs imho tower wsgiref router pilfered unpredictably obedience licenced backpointer transmitting inp
+metabase deploying vhost retarget doseq defragmented strerror useragent spiders rulelines addclosehook addbase addinfo authinfo tempcache mahler tempfilename
+conciliant jhylton someword ptext endchars ttext crystal printables followon substype ccontent attrtext atext tspecials studying mantype qcontent vchar qtext
+xtext postel lineseps preferencelist requote uuencoded failobj fledged rawparam ecoded cascadingly exerted getcomment declaims getdelimited dayname atomends
+addrspec military rejoined refolded pragmatic outfp encapsulation epilogue cleansing ftext smarts putative splitchar splitchars guise codecname maxlengths
+disposition usegmt fieldvalue idstring fieldvalues webp graymap imghdr tiff rast exr midi aiff wma realaudio wav cruddy maturity uppermost unc equalize abbrs
+keyspec keyspecs hpa tputs telnet betting minumum unlkely baudrates baudrate yanking eols ooh keydown inputdev amout fancycompleter summarise cbnu wlen
+reflowing screeninfo yank incomprehensible cxy lxy bones xterms unicodetext bona fide esc executive xfce keycodes keymap smalltalk mismash eofkey runsource
+libiconv bidi ample nameprep tmin tmax segregation damp incrementalencoder streamreader streamwriter oem incrementaldecoder mhammond sjoerd ingredient garden
+agents society admirer chamber affair neighbourhood government organisation rendezvous philosophical kubernetes https ballot ceremony marriage friendship
+childhood daughter grandmother grandfather wilderness mountain mountains passenger passengers passport keyhole brotherhood diplomacy diplomatic president
+parliament laboratory underground passageway corridor bookcase confession ambition longevity gratitude tomorrow colleagues colleague whispered
+"""
+GERMAN = """
+abgelaufen administrator aktualisiert anmelden anmeldung authentifizierung authentifiziert benutzer benutzername benutzerkonto bereits berechtigung bestätigen
+bestätigung deaktiviert eingeben eingegeben einstellungen enthalten erforderlich erfolgreich erhalten erneuern erstellen erstellt falsch festgelegt fehlerhaft
+fehlgeschlagen gefunden geheimnis gelöscht gesendet gesperrt gespeichert gesetzt gültig gültigkeit geändert hinterlegt hinzufügen kennwort konnte leider
+mindestens müssen nachricht niemals notwendig passwort schlüssel sicherheit sonderzeichen stimmt umgebung unbekannt ungültig vergeben vergessen verlangt
+verloren verschlüsselt verschlüsselung verwaltung verwenden verwendet vorhanden wiederherstellen werden wurde zugang zugangsdaten zugewiesen zugriff
+zurücksetzen zurückgesetzt zusammen überprüfen übertragen
+"""
+FRENCH = """
+absolument accordée actuellement administrateur authentification automatiquement autorisation autorisée bloquée caractères changement chiffrement chiffrée
+commence compromis confidentiel confirmation confirmer connexion conservé contient contenant correcte demander demandé désactivé différent enregistré envoyé
+exigée expirée fournir identifiant identifiants incorrecte incorrect inconnue introuvable invalide manquant minimum modifier nécessaire nouvelle obligatoire
+oublié partagé personnel personne précédent professionnel protégée refusée remplacer renouveler renouvelé requise réinitialiser réinitialisation réinitialisé
+sécurisée sécurité temporaire toujours utilisateur utilisateurs utilisée utiliser valable vérification vérifier
+"""
+SPANISH = """
+actualizar actualizado administrador almacenada almacenado autenticación autorización bloqueada bloqueado cambiada cambiado caracteres caducado cifrado
+compartida compartido confirmación confirmar contraseña correcta correcto credencial desactivado desconocida desconocido enviada enviado equivocada establecer
+expirado generada generado guardada guardado identificación incorrecta incorrecto inválida inválido mayúsculas minúsculas necesaria necesario obligatoria
+obligatorio olvidada olvidado permitida privada proporcionada protegida recuperación recuperar rechazada requerida requerido restablecer restablecida seguridad
+siguiente temporal usuario usuarios utilizada utilizado válida verificación verificar
+"""
+#: All of them, each once.
+WORDS = list(dict.fromkeys(" ".join((ENGLISH, GERMAN, FRENCH, SPANISH)).split()))

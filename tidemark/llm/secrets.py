@@ -4,8 +4,9 @@ Base patterns give spans of kinds ``assign``, ``access`` and ``hex``. Besides, a
 credential word is priced by dynamic programming: the cheapest segmentation into common words (with
 capitals and look-alike signs), dates, repeats, runs of the alphabet, keyboard walks and brute-force
 stretches, each costing the decimal logarithm of the guesses it takes, plus SEAM for every further segment.
-A value of MIN_GUESSES or more that mixes kinds of characters becomes a span of kind ``guess``, and so does
-a value that base spans cover in part only; one that they cover whole does not.
+A value of MIN_GUESSES or more becomes a span of kind ``guess``, and so does a value that base spans cover
+in part only; one that they cover whole does not. The common words are those of passwords, then some 21,000
+of ordinary prose (``prose``), so that what follows a credential word in plain text is cheap.
 
 The programme's steps grow with the length of a value, not its square: words are looked up to the longest
 word's length, and repeats, runs and walks are maximal. Spans are code points, end exclusive.
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm import prose
 from tidemark.llm.common import small_batches
 
 BASE = ("assign", "access", "hex")
@@ -49,8 +51,8 @@ COMMON = (
     " killer silver golden purple yellow black white green blue red the and for you not with this that from have your are was"
     " required missing invalid expired string value empty none null true false optional placeholder redacted hidden"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(COMMON)}
-LONGEST = max(map(len, COMMON))
+RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *prose.WORDS]))}
+LONGEST = max(map(len, RANK))
 # Look-alike signs, and the rows of a keyboard.
 LEET = str.maketrans("@4310$57!", "aaeiosstl")
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
@@ -130,12 +132,6 @@ def guess_cost(value: str) -> float:
     return best[n] if n else 0.0
 
 
-def mixed(value: str) -> bool:
-    """Whether a value holds two kinds of characters; a first capital does not count."""
-    body = value[:1].lower() + value[1:]
-    return sum((any(c.islower() for c in body), any(c.isupper() for c in body), any(c.isdigit() for c in body), any(not c.isalnum() for c in body.strip(".,;:!?()-")))) > 1
-
-
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the base patterns."""
     low, out = text.lower(), []
@@ -164,7 +160,7 @@ def all_spans(text: str, base: list[tuple[int, str, int]] | None = None) -> list
                 if s <= upto:
                     upto = max(upto, e)
             # a base span that takes part of a value has found a secret: the rest belongs to it
-            if upto < b and (touched or mixed(value) and guess_cost(value) >= MIN_GUESSES):
+            if upto < b and (touched or guess_cost(value) >= MIN_GUESSES):
                 out.append((a, "guess", b))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
