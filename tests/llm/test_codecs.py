@@ -90,6 +90,15 @@ def test_main_text_page_kinds():
     assert html_text.main_text("<article><p>a &lt;b&gt; &#233; &am</p>") == "a <b> é &am"
 
 
+def test_main_text_is_whole_under_misleading_marks():
+    long = "word " * 40 + "end"
+    for title in ("entry-title", "post-meta", "article-title", "main-title"):
+        assert html_text.main_text(f'<h1 class="{title}">T</h1><div class="text"><p>{long}</p><p>{long}</p></div>') == f"T\n{long}\n{long}"
+    assert html_text.main_text(f"<article><p>teaser</p></article><div><p>{long}</p><p><a href=x>one link</a></p><p>{long}</p></div>") == f"teaser\n{long}\none link\n{long}"
+    assert html_text.main_text(f"<p>out</p><div class=entry-content><p>a</p><p>{long}</p><p>b</p></div><p>out</p>") == f"a\n{long}\nb"
+    assert html_text.main_text(f"<p>out</p><div role=main><p>a</p><p>{long}</p></div>") == f"a\n{long}"
+
+
 def test_guess_cost_is_the_cheapest_segmentation():
     rng = random.Random(5)
     for _ in range(150):

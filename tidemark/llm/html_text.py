@@ -4,10 +4,11 @@ Markup is stripped into lines, one per block element or line break. Elements tha
 role, class or id (menus, headers and footers of the page, sidebars, notices, adverts, forms, reader
 comments) become gaps of empty lines, as do scripts, styles and comments. Over windows of K lines the text
 lengths are summed. A kept stretch begins where the sum surges above the page's threshold and ends where
-it dives to nothing; the text between is joined by newlines. Where the page marks its article (article,
-main, role=main or a content class), lines outside it weigh nothing and the threshold is zero, so that
-short paragraphs inside stay; elsewhere the threshold is MARGIN, or a fifth of the page's peak if that is less, and
-text inside links weighs nothing.
+it dives to nothing; the text between is joined by newlines. Where the page marks its article, lines outside it
+weigh nothing and the threshold is zero, so that short paragraphs inside stay; elsewhere the threshold is MARGIN,
+or a fifth of the page's peak if that is less, and text inside links weighs nothing, though it stays between lines
+that weigh. The marks are article, main and role=main, or else the containers of a content class that hold the
+heaviest line of the page's peak window; neither is believed where more text lies outside than inside.
 
 Defined cases: null or empty html gives an empty text; a page without text gives an empty text; tags that
 are never closed end with their parent; damaged tags and references are read as a browser does; texts are
@@ -56,35 +57,42 @@ def _marks(attributes: str) -> set[str]:
     return marks
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside a marked article) of each line; K empty lines for each piece of boilerplate."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
+def _main_role(attributes: str) -> bool:
+    return any(k.lower() == "role" and v.strip("\"'").lower() in ("main", "article") for k, v in ATTRIBUTE.findall(attributes))
+
+
+def lines_of(html: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
+    """(text, characters outside links, inside a marked article, containers of a content class around it) of each line; K empty lines for each piece of boilerplate."""
+    out: list[tuple[str, int, bool, tuple[int, ...]]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []  # name, boilerplate, article, content class
     text: list[str] = []
-    own = links = boiler = article = 0
+    inside: list[int] = []  # open containers of a content class
+    own = links = boiler = article = containers = 0
 
     def end() -> None:
         nonlocal own
         line = " ".join("".join(text).split())
         text.clear()
         if line:
-            out.append((line, own, article > 0))
+            out.append((line, own, article > 0, tuple(inside)))
         own = 0
 
     def pop(to: int) -> None:
         nonlocal boiler, article, links
         end_line = False
         while len(stack) > to:
-            name, bad, good = stack.pop()
+            name, bad, good, content = stack.pop()
             end_line |= name in BLOCK
             if end_line:
                 end()
                 end_line = False
             if bad:
                 end()
-                out.extend([("", 0, False)] * K)
+                out.extend([("", 0, False, ())] * K)
             boiler -= bad
             article -= good
+            if content:
+                inside.pop()
             links -= name == "a"
 
     at = 0
@@ -130,29 +138,55 @@ def lines_of(html: str) -> list[tuple[str, int, bool]]:
             continue
         given = m[3] or m[6] or ""
         marks = _marks(given) if "=" in given else set()
-        good = name in ("article", "main") or bool(marks & CONTENT)
+        good = name in ("article", "main") or bool(marks & CONTENT) and _main_role(given)
+        content = not good and bool(marks & CONTENT)
         bad = name in DROPPED or bool(marks & BOILER) and not (name in ("article", "main", "body", "html") and not marks & {"comment", "comments", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "related"})
-        bad = bad or (name == "header" or bool(marks & HEADING)) and not article
-        stack.append((name, bad, good and not bad and name not in ("body", "html")))
+        bad = bad or (name == "header" or bool(marks & HEADING)) and not article and not inside
+        usable = not bad and name not in ("body", "html")
+        stack.append((name, bad, good and usable, content and usable))
         boiler += bad
         article += stack[-1][2]
+        if stack[-1][3]:
+            inside.append(containers)
+            containers += 1
         links += name == "a"
     end()
     return out
 
 
+def _sums(weights: list[int], k: int) -> list[int]:
+    """Sums of the k weights from each line on."""
+    sums, total = [], sum(weights[:k])
+    for i, w in enumerate(weights):
+        sums.append(total)
+        total += (weights[i + k] if i + k < len(weights) else 0) - w
+    return sums
+
+
+def _marked(lines: list[tuple[str, int, bool, tuple[int, ...]]], owns: list[int], k: int) -> list[bool] | None:
+    """Which lines lie in the page's marked article; None without a mark that can be believed."""
+    by_tag = [x[2] for x in lines]
+    if any(by_tag) and 2 * sum(w for w, good in zip(owns, by_tag, strict=True) if good) >= sum(owns):
+        return by_tag
+    if not any(x[3] for x in lines):
+        return None
+    sums = _sums(owns, k)
+    peak = sums.index(max(sums))
+    holders = set(lines[max(range(peak, min(peak + k, len(lines))), key=lambda i: owns[i])][3])
+    by_class = [bool(holders.intersection(x[3])) for x in lines]
+    return by_class if holders and 2 * sum(w for w, good in zip(owns, by_class, strict=True) if good) >= sum(owns) else None
+
+
 def main_text(html: str | None, k: int = K, margin: int = MARGIN) -> str:
     """The page's main text."""
     if not html:
         return ""
     lines = lines_of(html)
-    marked = any(inside for _, _, inside in lines)
-    weights = [len(text) if inside else 0 for text, _, inside in lines] if marked else [own for _, own, _ in lines]
-    sums, total = [], sum(weights[:k])  # of the k lines from each on
-    for i, w in enumerate(weights):
-        sums.append(total)
-        total += (weights[i + k] if i + k < len(weights) else 0) - w
-    threshold = 0 if marked else min(margin, max(sums, default=0) / 5)
+    owns = [x[1] for x in lines]
+    inside = _marked(lines, owns, k)
+    weights = owns if inside is None else [len(x[0]) if good else 0 for x, good in zip(lines, inside, strict=True)]
+    sums = _sums(weights, k)
+    threshold = min(margin, max(sums, default=0) / 5) if inside is None else 0
     kept: list[str] = []
     i = 0
     while i < len(lines):
@@ -162,7 +196,9 @@ def main_text(html: str | None, k: int = K, margin: int = MARGIN) -> str:
         surge = i  # the window that begins here rises above the threshold
         while i < len(lines) and sums[i] > 0:
             i += 1
-        kept += [lines[j][0] for j in range(surge, i) if weights[j]]
+        while not weights[surge]:
+            surge += 1
+        kept += [lines[j][0] for j in range(surge, i) if weights[j] or inside is None and lines[j][0]]
     return "\n".join(kept)
 
 
