@@ -199,3 +199,21 @@ def test_lm_scores_are_normalised_and_learn():
     m2 = lm.Model(np.ones(n))
     m2.set_flat(m.flat())
     assert np.allclose(m2.b, m.b) and np.allclose(m2.q, m.q)
+
+
+def test_lm_words_beyond_the_commonest_have_their_own_vectors():
+    rng = np.random.default_rng(4)
+    frequency = np.concatenate([[1.0, 50.0], np.sort(rng.zipf(1.3, 2000).clip(1, 9999))[::-1]])
+    m = lm.Model(frequency, lm.frequency_classes(frequency))
+    n = len(frequency)
+    assert len(m.p_class) < 60 and (np.diff(m.classes) >= 0).all()
+    u, v = 1500, 1900  # far beyond HEAD
+    assert np.exp(m.log_p(np.full(n, u), np.full(n, v), np.arange(n))).sum() == pytest.approx(1, abs=1e-4)
+    pairs = np.array([[1500, 1900, 1700], [1600, 1950, 1800]])
+    t = (pairs[:, 0] * n + pairs[:, 1]) * n + pairs[:, 2]
+    trainer = lm.Trainer(m)
+    for _ in range(300):
+        trainer.learn(t, np.ones(2, np.int64))
+    right = m.log_p(pairs[:, 0], pairs[:, 1], pairs[:, 2])
+    crossed = m.log_p(pairs[::-1, 0].copy(), pairs[::-1, 1].copy(), pairs[:, 2])
+    assert (right > crossed + 1).all()

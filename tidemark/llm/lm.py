@@ -1,20 +1,21 @@
 """Language-model scoring by a log-bilinear neural model trained with noise-contrastive estimation.
 
-Counting. Words of all training texts are counted (summed in each task before they are shuffled). The HEAD
-commonest and an end token are classes of their own, all other words share one class; inside that class a
-word has its add-one share of the class's tokens, and unseen words one share together with the class's.
-
-Training. The score of class w after classes u, v is (c1 * R[u] + c2 * R[v]) . Q[w] + b[w]: a log-bilinear
-model with a diagonal matrix for each position. Triples (u, v, w) of all training texts are counted and
-dealt into shards of about SHARD distinct ones. Each shard is learned by minibatches of noise-contrastive
-estimation (shared noise from the class frequencies, AdaGrad) in numpy, a triple as often as its count
-asks for; the shards' parameters are averaged by their tokens, summed in Spark by parameter, so the driver gets
-one model however many shards there are. ROUNDS rounds start from the average.
-
-Scoring. As the score is a sum over positions, all normalisers come from one matrix product,
-Z[u, v] = exp(c1 R Q')[u] . exp(c2 R Q' + b)[v], and a text's normalised token log-probabilities are table
-look-ups. Counts of the commonest words, KNOWN at most, are broadcast; all other
-words are joined by a 64-bit digest, so no count is cut off.
+Counting. Words of all training texts are counted (summed in each task before they are shuffled). The model's
+vocabulary is an end token and all words that are broadcast (KNOWN at most), so it grows with the corpus up to
+that bound; each has its own context and target vector. Rarer words share one entry, in which a word has its
+add-one share of the entry's tokens, and unseen words one share together with the entry's.
+
+Training. The score of word w after words u, v is (c1 * R[u] + c2 * R[v]) . Q[w] + b[w]: a log-bilinear
+model with a diagonal matrix for each position. The words are cut by frequency into classes, whose scores
+(c1 * R[u] + c2 * R[v]) . K[k] + kb[k] use the same contexts. Triples (u, v, w) of all training texts are counted
+and dealt into shards of SHARE distinct ones for each word, SHARD at least. Each shard is learned by minibatches of
+noise-contrastive estimation of words and of classes (shared noise from their frequencies, AdaGrad) in numpy, a
+triple as often as its count asks for; the shards' changes are averaged by their tokens, summed in Spark by
+parameter, so the driver gets one model however many shards there are. ROUNDS rounds start from the average.
+
+Scoring. A word's probability is that of its class among all classes times its own among the class's words,
+both normalised exactly. The words' counts are broadcast with the model; those of all other words are joined by
+a 64-bit digest, so no count is cut off.
 
 Defined cases: null and empty texts are one end token; a null id counts as the empty text for the held-out rule;
 without training texts all counts are 0 and base scores 0; repeated rows are learned and scored each;
@@ -38,9 +39,13 @@ from tidemark.llm.quality import bucket, bucket_low
 
 FOLDS, HELD_OUT = 7, 2
 HEAD, KNOWN, DIM, NOISE, BATCH, RATE, ROUNDS, SHARD = 1022, 200_000, 16, 128, 512, 0.1, 2, 500_000
-#: Distinct words or class triples that a task holds before it passes them on.
+#: Distinct words or word triples that a task holds before it passes them on.
 HELD_WORDS, HELD_TRIPLES = 300_000, 2_000_000
 TAIL, END = 0, 1
+#: Distinct triples of a shard for each word of the model, and numbers held at once while scoring.
+SHARE, CELLS = 30, 200_000
+#: Bytes of text scored or dealt into triples at once.
+TEXT = 2 << 20
 #: The end token's name among words, which are never empty.
 END_WORD = ""
 
@@ -73,73 +78,152 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def frequency_classes(frequency: np.ndarray) -> np.ndarray:
+    """Each id's class. TAIL and END stand alone; the words, commonest first, are cut into about the square root of their number of classes
+    (HEAD at most), of equal sums of root frequencies, which keeps the expected size of a token's class small."""
+    n = len(frequency) - 2
+    if n <= 0:
+        return np.arange(len(frequency))
+    upto = np.cumsum(np.sqrt(frequency[2:]))
+    cut = np.minimum(upto / upto[-1] * min(HEAD, int(np.ceil(np.sqrt(n)))), np.nextafter(HEAD, 0)).astype(np.int64)
+    return np.concatenate([[TAIL, END], 2 + np.unique(cut, return_inverse=True)[1]])
+
+
 class Model:
-    """Parameters of the log-bilinear model; flat() and from_flat() turn them into rows of DIM numbers."""
+    """Parameters of the log-bilinear model; flat() and from_flat() turn them into rows of DIM numbers.
+
+    r, q, b: every word's context vector, target vector and bias; k, kb: the classes' target vectors and biases. Without classes, each word is one.
+    """
 
-    def __init__(self, frequency: np.ndarray, seed: int = 7):
+    PARTS = ("r", "q", "k", "c", "b", "kb")
+
+    def __init__(self, frequency: np.ndarray, classes: np.ndarray | None = None, seed: int = 7):
         rng = np.random.default_rng(seed)
         n = len(frequency)
         self.p = frequency / frequency.sum()
-        self.r, self.q = (0.3 * rng.standard_normal((n, DIM)) for _ in range(2))
-        self.c = np.ones((2, DIM))
-        self.b = np.log(self.p)
+        self.classes = np.arange(n) if classes is None else classes
+        self.p_class = np.bincount(self.classes, self.p)
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(self.classes))])  # a class's words stand together
+        self.r, self.q, self.k = ((0.3 * rng.standard_normal((m, DIM))).astype(np.float32) for m in (n, n, len(self.p_class)))
+        self.c = np.ones((2, DIM), np.float32)
+        self.b, self.kb = np.log(self.p).astype(np.float32), np.log(self.p_class).astype(np.float32)
 
     def flat(self) -> np.ndarray:
-        b = np.concatenate([self.b, np.zeros(-len(self.b) % DIM)]).reshape(-1, DIM)
-        return np.concatenate([self.r, self.q, self.c, b])
+        wide = lambda b: np.concatenate([b, np.zeros(-len(b) % DIM, np.float32)]).reshape(-1, DIM)
+        return np.concatenate([x if x.ndim == 2 else wide(x) for x in (getattr(self, k) for k in self.PARTS)])
 
     def set_flat(self, x: np.ndarray) -> None:
-        n = len(self.p)
-        self.r, self.q, self.c, self.b = x[:n].copy(), x[n : 2 * n].copy(), x[2 * n : 2 * n + 2].copy(), x[2 * n + 2 :].ravel()[:n].copy()
+        at = 0
+        for k in self.PARTS:
+            shape = getattr(self, k).shape
+            rows = shape[0] if len(shape) == 2 else -(-shape[0] // DIM)
+            part = x[at : at + rows].astype(np.float32)
+            setattr(self, k, part if len(shape) == 2 else part.ravel()[: shape[0]].copy())
+            at += rows
 
     def scores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Natural-log tables: of the earlier and of the later position (bias in the latter), and normalisers of each pair."""
+        """Natural-log tables of a small vocabulary without classes: of the earlier and of the later position (bias in the latter), and normalisers of each pair."""
         first, second = (self.c[0] * self.r) @ self.q.T, (self.c[1] * self.r) @ self.q.T + self.b
         top1, top2 = first.max(axis=1, keepdims=True), second.max(axis=1, keepdims=True)
         z = np.exp(first - top1) @ np.exp(second - top2).T
         return first, second, np.log(z) + top1 + top2.T
 
-
-def _sums(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Rows added up by index."""
-    return np.stack([np.bincount(at, rows[:, d], n) for d in range(rows.shape[1])], axis=1)
+    def log_p(self, u: np.ndarray, v: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """Natural log-probabilities of words x after u, v: of the class among all classes, times of the word among its class's."""
+        n = len(self.p)
+        pairs, at = np.unique(u * n + v, return_inverse=True)
+        h = self.c[0] * self.r[pairs // n] + self.c[1] * self.r[pairs % n]
+        norm = np.empty(len(pairs), np.float32)
+        step = max(1, CELLS // len(self.kb))
+        for i in range(0, len(pairs), step):
+            norm[i : i + step] = _log_sum(h[i : i + step] @ self.k.T + self.kb)
+        kx = self.classes[x]
+        out = np.empty(len(x))
+        order = np.argsort(kx, kind="stable")
+        cuts = np.flatnonzero(np.diff(kx[order])) + 1
+        for part in np.split(order, cuts) if len(x) else ():
+            kind = kx[part[0]]
+            low, high = self.ends[kind], self.ends[kind + 1]
+            step = max(1, CELLS // (high - low))
+            for i in range(0, len(part), step):
+                some = part[i : i + step]
+                hs = h[at[some]]
+                out[some] = hs @ self.k[kind] + self.kb[kind] - norm[at[some]]
+                if high - low > 1:
+                    s = hs @ self.q[low:high].T + self.b[low:high]
+                    own = s[np.arange(len(some)), x[some] - low]
+                    out[some] += own - _log_sum(s)
+        return out
+
+
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    """Logarithms of the rows' sums of exponentials."""
+    with np.errstate(over="ignore", divide="ignore"):
+        out = np.log(np.exp(s).sum(axis=1))
+    odd = ~np.isfinite(out)
+    if odd.any():
+        top = s[odd].max(axis=1, keepdims=True)
+        out[odd] = np.log(np.exp(s[odd] - top).sum(axis=1)) + top[:, 0]
+    return out
 
 
 class Trainer:
-    """Noise-contrastive estimation over counted class triples."""
+    """Noise-contrastive estimation over counted word triples, of the words and of their classes."""
 
     def __init__(self, model: Model, seed: int = 11):
         self.m, self.rng = model, np.random.default_rng(seed)
-        self.sq = {k: np.ones_like(getattr(model, k)) for k in ("r", "q", "c", "b")}
-        self.cdf = np.cumsum(model.p)
-
+        self.sq = {k: np.ones_like(getattr(model, k)) for k in Model.PARTS}
+        self.both = len(model.p_class) < len(model.p)
+        self.log_kp = {"q": np.log(NOISE * model.p).astype(np.float32), "k": np.log(NOISE * model.p_class).astype(np.float32)}
+        self.cdf = {"q": np.cumsum(model.p), "k": np.cumsum(model.p_class)}
+
+    def _step(self, rows: np.ndarray, **grads: np.ndarray) -> None:
+        """AdaGrad on the rows named of the parameters named."""
+        order = np.argsort(rows, kind="stable")
+        some = rows[order]
+        starts = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+        uniq = some[starts]
+        for key, grad in grads.items():
+            g = np.add.reduceat(grad[order], starts, axis=0)
+            sq = self.sq[key][uniq] + g * g
+            self.sq[key][uniq] = sq
+            getattr(self.m, key)[uniq] += np.float32(RATE) * g / np.sqrt(sq)
+
+    def _contrast(self, key: str, bias: str, h: np.ndarray, x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Learns targets x from shared noise; the gradient of h."""
+        q, b, log_kp = getattr(self.m, key), getattr(self.m, bias), self.log_kp[key]
+        noise = np.minimum(np.searchsorted(self.cdf[key], self.rng.random(NOISE)), len(b) - 1)
+        qx, qn = q[x], q[noise]
+        good = w / (1 + np.exp((h * qx).sum(axis=1) + b[x] - log_kp[x]))
+        bad = h @ -qn.T
+        bad -= b[noise] - log_kp[noise]
+        np.exp(bad, out=bad)
+        bad += 1
+        np.divide(-w[:, None], bad, out=bad)
+        dh = good[:, None] * qx + bad @ qn
+        self._step(np.concatenate([x, noise]), **{key: np.concatenate([good[:, None] * h, bad.T @ h]), bias: np.concatenate([good, bad.sum(axis=0)])})
+        return dh
+
+    @np.errstate(over="ignore")  # a chance of zero
     def learn(self, triples: np.ndarray, counts: np.ndarray) -> None:
         m, n = self.m, len(self.m.p)
         times = np.ceil(counts / max(1.0, counts.mean())).astype(np.int64)  # a frequent triple in many batches, not one with a great weight
-        weights = np.repeat(counts / times, times)
+        weights = np.repeat((counts / times).astype(np.float32), times)
         weights /= weights.mean()
         triples = np.repeat(triples, times)
         order = self.rng.permutation(len(triples))
-        log_kp = np.log(NOISE * m.p)
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
             t, w = triples[pick], weights[pick]
             u, v, x = t // (n * n), t // n % n, t % n
-            noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(NOISE)), n - 1)
-            ru, rv, qx, qn = m.r[u], m.r[v], m.q[x], m.q[noise]
+            ru, rv = m.r[u], m.r[v]
             h = m.c[0] * ru + m.c[1] * rv
-            good = w / (1 + np.exp(np.clip((h * qx).sum(axis=1) + m.b[x] - log_kp[x], -30, 30)))
-            bad = -w[:, None] / (1 + np.exp(-np.clip(h @ qn.T + m.b[noise] - log_kp[noise], -30, 30)))
-            dh = good[:, None] * qx + bad @ qn
-            grads = {
-                "q": _sums(x, good[:, None] * h, n) + _sums(noise, bad.T @ h, n),
-                "b": np.bincount(x, good, n) + np.bincount(noise, bad.sum(axis=0), n),
-                "r": _sums(u, dh * m.c[0], n) + _sums(v, dh * m.c[1], n),
-                "c": np.stack([(dh * ru).sum(axis=0), (dh * rv).sum(axis=0)]),
-            }
-            for k, g in grads.items():
-                self.sq[k] += g * g
-                setattr(m, k, getattr(m, k) + RATE * g / np.sqrt(self.sq[k]))
+            dh = self._contrast("q", "b", h, x, w)
+            if self.both:
+                dh = dh + self._contrast("k", "kb", h, m.classes[x], w)
+            of_c = np.stack([(dh * ru).sum(axis=0), (dh * rv).sum(axis=0)])
+            self._step(np.concatenate([u, v]), r=np.concatenate([dh * m.c[0], dh * m.c[1]]))
+            self._step(np.arange(2), c=of_c)
 
 
 def _classes(batch: pa.Array, rank: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
@@ -164,12 +248,12 @@ def _places(lengths: np.ndarray) -> np.ndarray:
     return np.flatnonzero(real)
 
 
-def _head(ranks: np.ndarray, head: int) -> np.ndarray:
-    return np.where(ranks == -2, END, np.where((ranks >= 0) & (ranks < head), ranks + 2, TAIL))
+def _ids(ranks: np.ndarray) -> np.ndarray:
+    return np.where(ranks == -2, END, np.where(ranks >= 0, ranks + 2, TAIL))
 
 
-def class_triples(texts: DataFrame, common: list[bytes], n: int) -> DataFrame:
-    """(t, c): counts of class triples t = (u * n + v) * n + w over a column text."""
+def word_triples(texts: DataFrame, common: list[bytes], n: int) -> DataFrame:
+    """(t, c): counts of word triples t = (u * n + v) * n + w over a column text."""
     sent = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +265,9 @@ def class_triples(texts: DataFrame, common: list[bytes], n: int) -> DataFrame:
             keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
             return keys, np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
 
-        for b in small_batches(batches, 0):
+        for b in small_batches(batches, 0, TEXT):
             ranks, lengths, _ = _classes(b.column(0).cast(pa.binary()), rank)
-            ids = _head(ranks, len(known))
+            ids = _ids(ranks)
             at = _places(lengths)
             held.append(np.unique((ids[at - 2] * n + ids[at - 1]) * n + ids[at], return_counts=True))
             if sum(len(k) for k, _ in held) > HELD_TRIPLES:
@@ -197,29 +281,44 @@ def class_triples(texts: DataFrame, common: list[bytes], n: int) -> DataFrame:
 
 
 def train(spark: SparkSession, triples: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """The model averaged over shards of the counted triples (t, c). frequency: tokens of each class."""
-    model = Model(frequency)
+    """The model averaged over shards of the counted triples (t, c). frequency: tokens of each word."""
+    classes = frequency_classes(frequency)
+    model = Model(frequency, classes)
     columns = [f"v{d}" for d in range(DIM)]
-    shards = max(1, triples.count() // SHARD)
-    for turn in range(rounds):
-        start = spark.sparkContext.broadcast((model.flat(), frequency))
+    distinct, total = triples.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    shards = max(1, distinct // max(SHARD, SHARE * len(frequency)))
+    for turn in range(rounds if distinct else 0):
+        start = spark.sparkContext.broadcast((model.flat(), frequency, classes))
 
         def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
-            flat, freq = start.value
-            parts = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
-            if not parts:
-                return
-            m = Model(freq)
+            flat, freq, of = start.value
+            m = Model(freq, of)
             m.set_flat(flat)
-            counts = np.concatenate([c for _, c in parts])
-            Trainer(m, 11 + turn).learn(np.concatenate([t for t, _ in parts]), counts)
-            out = m.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(np.full(len(out), float(counts.sum()))), *(pa.array(np.ascontiguousarray(out[:, d])) for d in range(DIM))], names=["i", "weight", *columns])
-
-        learned = triples.repartition(shards).mapInArrow(run, "i int, weight double, " + ", ".join(f"{c} double" for c in columns))
-        mean = learned.groupBy("i").agg(*((F.sum(F.col(c) * F.col("weight")) / F.sum("weight")).alias(c) for c in columns)).orderBy("i").collect()
-        if mean:
-            model.set_flat(np.array([[r[c] for c in columns] for r in mean]))
+            trainer, held, rows, weight = Trainer(m, 11 + turn), [], 0, 0.0
+
+            def learn() -> None:
+                trainer.learn(np.concatenate([t for t, _ in held]), np.concatenate([c for _, c in held]))
+                held.clear()
+
+            for b in batches:
+                held.append((np.asarray(b.column(0)), np.asarray(b.column(1))))
+                rows += b.num_rows
+                weight += float(held[-1][1].sum())
+                if rows >= SHARD:
+                    learn()
+                    rows = 0
+            if rows:
+                learn()
+            if weight:  # the shard's part in the average of what changed
+                change = (m.flat() - flat) * np.float32(weight / total)
+                at = np.flatnonzero(change.any(axis=1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.ascontiguousarray(change[at, d])) for d in range(DIM))], names=["i", *columns])
+
+        learned = triples.repartition(shards).mapInArrow(run, "i int, " + ", ".join(f"{c} float" for c in columns))
+        sums = learned.groupBy("i").agg(*(F.sum(c).cast("float").alias(c) for c in columns)).toArrow()  # as many rows at most as the model
+        flat = model.flat()
+        flat[sums.column("i").to_numpy()] += np.stack([sums.column(c).to_numpy() for c in columns], axis=1)
+        model.set_flat(flat)
         start.unpersist()
     return model
 
@@ -249,25 +348,23 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     words, c_known = [w.encode() for _, w in pairs], np.array([c for c, _ in pairs], np.int64)
     del top, pairs
     ends = counts.where(F.col("word") == END_WORD).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    head = min(HEAD, len(words))
-    n_tail, v_tail = int(n - ends - c_known[:head].sum()), int(v - (ends > 0) - head)
-    # half a token for classes that were never seen
-    frequency = np.maximum(np.concatenate([[n_tail, ends], c_known[:head]]).astype(float), 0.5)
-    model = train(spark, scratch.table(class_triples(learned, words[:head], len(frequency)), "triples"), frequency, rounds)
-    tables = [x.astype(np.float32) for x in model.scores()]
-    sent = spark.sparkContext.broadcast((words, c_known, tables))
+    n_tail, v_tail = int(n - ends - c_known.sum()), int(v - (ends > 0) - len(words))
+    # half a token for what was never seen
+    frequency = np.maximum(np.concatenate([[n_tail, ends], c_known]).astype(float), 0.5)
+    model = train(spark, scratch.table(word_triples(learned, words, len(frequency)), "triples"), frequency, rounds)
+    sent = spark.sparkContext.broadcast((words, c_known, model))
     ln10 = float(np.log(10))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, c, (first, second, norm) = sent.value
+        known, c, learned_model = sent.value
         rank = {w: i for i, w in enumerate(known)}
         logs = np.concatenate([np.log10(c + 1.0), [np.log10(ends + 1.0), 0.0]])  # by rank; -2: end, -1: joined later
-        for b in small_batches(batches, 2):
+        for b in small_batches(batches, 2, TEXT):
             ranks, lengths, texts = _classes(b.column(2).cast(pa.binary()), rank)
-            ids, starts, at = _head(ranks, head), np.cumsum(lengths) - lengths, _places(lengths)
+            ids, starts, at = _ids(ranks), np.cumsum(lengths) - lengths, _places(lengths)
             doc = np.repeat(np.arange(b.num_rows), lengths - 2)
             u, w1, x, r = ids[at - 2], ids[at - 1], ids[at], ranks[at]
-            lm = (first[u, x] + second[w1, x] - norm[u, w1]).astype(np.float64) / ln10
+            lm = learned_model.log_p(u, w1, x) / ln10
             m = b.num_rows
             log_c = logs[r]
             tail = (x == TAIL).astype(float)
