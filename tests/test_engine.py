@@ -155,3 +155,10 @@ def test_streams_agree_with_batch(spark, tmp_path):
     spark.createDataFrame(seen, "record_id string, at timestamp, value string").coalesce(1).write.parquet(str(tmp_path / "s"))
     out = live.run_to_end(live.regressions(spark.readStream.schema("record_id string, at timestamp, value string").parquet(str(tmp_path / "s"))), "regress")
     assert [(r.value, r.high) for r in out.collect()] == [("lead", 3)]
+
+
+def test_component_labels_run_until_nothing_changes(spark):
+    order = [f"n{(i * 4) % 9}" for i in range(9)]
+    pairs = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a string, b string")
+    labels = identity.component_labels(pairs).collect()
+    assert len(labels) == 9 and {r.label for r in labels} == {"n0"}

@@ -131,19 +131,18 @@ def _grow(pairs: pd.DataFrame) -> Iterator[tuple[str, str]]:
             yield name, k
 
 
-def component_labels(pairs: DataFrame, steps: int = 30) -> DataFrame:
-    """(id, label) of the pairs' nodes, by smallest-label rounds with pointer jumps; each round is checkpointed."""
+def component_labels(pairs: DataFrame) -> DataFrame:
+    """(id, label) of the pairs' nodes, by smallest-label rounds with pointer jumps until nothing changes; each round is checkpointed."""
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a"))
     both = cut(both.unionByName(both.select("u", F.col("u").alias("v"))).distinct())
     at = cut(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("label")))
-    for _ in range(steps):
+    while True:
         near = both.join(at, both["v"] == at["id"]).groupBy("u").agg(F.min("label").alias("m"))
         jump = near.alias("x").join(at.alias("y"), F.col("x.m") == F.col("y.id")).select(F.col("x.u").alias("id"), F.least("x.m", "y.label").alias("label"))
         new = cut(jump)
         if new.join(at, ["id", "label"], "left_anti").isEmpty():
             return new
         at = new
-    return at
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
