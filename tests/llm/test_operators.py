@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import pytest
@@ -204,7 +205,7 @@ def test_streamed_groups_keep_their_pairs(spark, monkeypatch):
 def test_language_model_counts(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(lm, "KNOWN", 40)
     monkeypatch.setattr(lm, "HEAD", 20)
-    got = lm.score(spark, docs, rounds=1).collect()
+    got = lm.score(spark, docs).collect()
     data = [(r[0], (r[1] or "").encode().lower().split()) for r in rows()]
     c, ends = collections.Counter(), 0
     for i, w in data:
@@ -218,6 +219,23 @@ def test_language_model_counts(spark, docs, empty, monkeypatch):
     assert lm.score(spark, empty).count() == 0
 
 
+def test_language_model_beats_base_on_held_out(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BATCH", 64)
+    rng = random.Random(5)
+
+    def text():
+        at, out = rng.randrange(30), []
+        for _ in range(120):
+            out.append(f"w{at}")
+            at = (at * 7 + 3) % 30 if rng.random() < 0.8 else rng.randrange(30)
+        return " ".join(out)
+
+    df = spark.createDataFrame([(i, text()) for i in range(400)], "doc_id long, text string").repartition(3)
+    got = [r for r in lm.score(spark, df).collect() if r.held_out]
+    tokens = sum(r.n_tokens for r in got)
+    assert sum(r.score - r.base_score for r in got) / tokens > 0.3
+
+
 def test_mix(spark, docs, empty):
     got = mixing.mix(spark, docs).collect()
     assert len(got) == len(rows())

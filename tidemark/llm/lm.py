@@ -7,11 +7,13 @@ add-one share of the entry's tokens, and unseen words one share together with th
 
 Training. The score of word w after words u, v is (c1 * R[u] + c2 * R[v]) . Q[w] + b[w]: a log-bilinear
 model with a diagonal matrix for each position. The words are cut by frequency into classes, whose scores
-(c1 * R[u] + c2 * R[v]) . K[k] + kb[k] use the same contexts. Triples (u, v, w) of all training texts are counted
-and dealt into shards of SHARE distinct ones for each word, SHARD at least. Each shard is learned by minibatches of
-noise-contrastive estimation of words and of classes (shared noise from their frequencies, AdaGrad) in numpy, a
-triple as often as its count asks for; the shards' changes are averaged by their tokens, summed in Spark by
-parameter, so the driver gets one model however many shards there are. ROUNDS rounds start from the average.
+(c1 * R[u] + c2 * R[v]) . K[k] + kb[k] use the same contexts. Each task reads the training texts of its partition
+(of SHARD tokens at least) and learns its own copy of the model by minibatches of noise-contrastive estimation of
+words and of classes (shared noise from their frequencies, AdaGrad) in numpy; triples that occur again in the HELD tokens it
+takes at a time are learned as one with their count as weight. Each row of the model then moves by the tasks' average of
+its change, weighted by how often the row was learned in each: a word that one task saw keeps all that was learned of it,
+however many tasks there are. The sums are made in Spark by row, so the driver gets one model. The corpus is
+learned in two parts (FIRST of 16 texts, then the others from the average of those), each text once.
 
 Scoring. A word's probability is that of its class among all classes times its own among the class's words,
 both normalised exactly. The words' counts are broadcast with the model; those of all other words are joined by
@@ -38,14 +40,18 @@ from tidemark.llm.common import Scratch, small_batches
 from tidemark.llm.quality import bucket, bucket_low
 
 FOLDS, HELD_OUT = 7, 2
-HEAD, KNOWN, DIM, NOISE, BATCH, RATE, ROUNDS, SHARD = 1022, 200_000, 16, 128, 512, 0.1, 2, 500_000
-#: Distinct words or word triples that a task holds before it passes them on.
-HELD_WORDS, HELD_TRIPLES = 300_000, 2_000_000
+HEAD, KNOWN, DIM, NOISE, BATCH, RATE = 1022, 200_000, 16, 64, 1024, 0.15
+#: Tokens of a training task at least, tokens that it learns at a time, and sixteenths of the texts that are learned first.
+SHARD, HELD, FIRST = 2_000_000, 1_000_000, 2
+#: A triple that occurs more often among the tokens held is learned in several batches, each with this weight at most.
+HEAVY = 8
+#: Distinct words that a task holds before it passes them on.
+HELD_WORDS = 300_000
 TAIL, END = 0, 1
-#: Distinct triples of a shard for each word of the model, and numbers held at once while scoring.
-SHARE, CELLS = 30, 200_000
-#: Bytes of text scored or dealt into triples at once.
-TEXT = 2 << 20
+#: Numbers held at once while scoring.
+CELLS = 200_000
+#: Bytes of text scored or cut into words at once.
+TEXT = 4 << 20
 #: The end token's name among words, which are never empty.
 END_WORD = ""
 
@@ -90,12 +96,13 @@ def frequency_classes(frequency: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Parameters of the log-bilinear model; flat() and from_flat() turn them into rows of DIM numbers.
+    """Parameters of the log-bilinear model, all rows of DIM numbers.
 
-    r, q, b: every word's context vector, target vector and bias; k, kb: the classes' target vectors and biases. Without classes, each word is one.
+    r, q: every word's context and target vector; k: the classes' target vectors; c: the two positions' diagonals. The last number
+    of a target vector is its bias, which meets a 1 in the context. Without classes, each word is one.
     """
 
-    PARTS = ("r", "q", "k", "c", "b", "kb")
+    PARTS = ("r", "q", "k", "c")
 
     def __init__(self, frequency: np.ndarray, classes: np.ndarray | None = None, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -105,38 +112,46 @@ class Model:
         self.p_class = np.bincount(self.classes, self.p)
         self.ends = np.concatenate([[0], np.cumsum(np.bincount(self.classes))])  # a class's words stand together
         self.r, self.q, self.k = ((0.3 * rng.standard_normal((m, DIM))).astype(np.float32) for m in (n, n, len(self.p_class)))
+        self.q[:, -1], self.k[:, -1] = np.log(self.p), np.log(self.p_class)
         self.c = np.ones((2, DIM), np.float32)
-        self.b, self.kb = np.log(self.p).astype(np.float32), np.log(self.p_class).astype(np.float32)
 
     def flat(self) -> np.ndarray:
-        wide = lambda b: np.concatenate([b, np.zeros(-len(b) % DIM, np.float32)]).reshape(-1, DIM)
-        return np.concatenate([x if x.ndim == 2 else wide(x) for x in (getattr(self, k) for k in self.PARTS)])
+        return np.concatenate([getattr(self, k) for k in self.PARTS])
 
     def set_flat(self, x: np.ndarray) -> None:
         at = 0
         for k in self.PARTS:
-            shape = getattr(self, k).shape
-            rows = shape[0] if len(shape) == 2 else -(-shape[0] // DIM)
-            part = x[at : at + rows].astype(np.float32)
-            setattr(self, k, part if len(shape) == 2 else part.ravel()[: shape[0]].copy())
+            rows = len(getattr(self, k))
+            setattr(self, k, x[at : at + rows].astype(np.float32))
             at += rows
 
-    def scores(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Natural-log tables of a small vocabulary without classes: of the earlier and of the later position (bias in the latter), and normalisers of each pair."""
-        first, second = (self.c[0] * self.r) @ self.q.T, (self.c[1] * self.r) @ self.q.T + self.b
-        top1, top2 = first.max(axis=1, keepdims=True), second.max(axis=1, keepdims=True)
-        z = np.exp(first - top1) @ np.exp(second - top2).T
-        return first, second, np.log(z) + top1 + top2.T
+    def context(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        h = self.r.take(u, axis=0)
+        h *= self.c[0]
+        h += self.c[1] * self.r.take(v, axis=0)
+        h[:, -1] = 1
+        return h
+
+    def scores(self) -> tuple[np.ndarray, np.ndarray]:
+        """Natural-log scores of a small vocabulary's words after each pair (row u * n + v), and the pairs' normalisers."""
+        n = len(self.p)
+        u, v = np.divmod(np.arange(n * n), n)
+        s = self.context(u, v) @ self.q.T
+        return s, _log_sum(s)
 
     def log_p(self, u: np.ndarray, v: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities of words x after u, v: of the class among all classes, times of the word among its class's."""
+        """Natural log-probabilities of words x after u, v: of the class among all classes, times of the word among its class's. Equal triples are worked out once."""
         n = len(self.p)
-        pairs, at = np.unique(u * n + v, return_inverse=True)
-        h = self.c[0] * self.r[pairs // n] + self.c[1] * self.r[pairs % n]
+        triples, back = np.unique((u * n + v) * n + x, return_inverse=True)
+        x = triples % n
+        first = np.flatnonzero(np.diff(triples // n, prepend=-1))  # the pairs stand in order
+        pairs, at = triples[first] // n, np.repeat(np.arange(len(first)), np.diff(first, append=len(triples)))
+        h = self.context(pairs // n, pairs % n)
+        k = self.k if len(self.k) < n else self.q
         norm = np.empty(len(pairs), np.float32)
-        step = max(1, CELLS // len(self.kb))
+        step = max(1, CELLS // len(k))
         for i in range(0, len(pairs), step):
-            norm[i : i + step] = _log_sum(h[i : i + step] @ self.k.T + self.kb)
+            norm[i : i + step] = _log_sum(h[i : i + step] @ k.T)
         kx = self.classes[x]
         out = np.empty(len(x))
         order = np.argsort(kx, kind="stable")
@@ -147,13 +162,13 @@ class Model:
             step = max(1, CELLS // (high - low))
             for i in range(0, len(part), step):
                 some = part[i : i + step]
-                hs = h[at[some]]
-                out[some] = hs @ self.k[kind] + self.kb[kind] - norm[at[some]]
+                hs = h.take(at[some], axis=0)
+                out[some] = hs @ k[kind] - norm[at[some]]
                 if high - low > 1:
-                    s = hs @ self.q[low:high].T + self.b[low:high]
+                    s = hs @ self.q[low:high].T
                     own = s[np.arange(len(some)), x[some] - low]
                     out[some] += own - _log_sum(s)
-        return out
+        return out[back]
 
 
 def _log_sum(s: np.ndarray) -> np.ndarray:
@@ -168,62 +183,75 @@ def _log_sum(s: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """Noise-contrastive estimation over counted word triples, of the words and of their classes."""
+    """Noise-contrastive estimation over counted word triples, of the words and of their classes. seen: how often each row of the flat model was learned."""
 
     def __init__(self, model: Model, seed: int = 11):
         self.m, self.rng = model, np.random.default_rng(seed)
         self.sq = {k: np.ones_like(getattr(model, k)) for k in Model.PARTS}
+        self.seen = {k: np.zeros(len(getattr(model, k)), np.float32) for k in Model.PARTS}
         self.both = len(model.p_class) < len(model.p)
         self.log_kp = {"q": np.log(NOISE * model.p).astype(np.float32), "k": np.log(NOISE * model.p_class).astype(np.float32)}
         self.cdf = {"q": np.cumsum(model.p), "k": np.cumsum(model.p_class)}
 
-    def _step(self, rows: np.ndarray, **grads: np.ndarray) -> None:
-        """AdaGrad on the rows named of the parameters named."""
+    def _step(self, key: str, rows: np.ndarray, grad: np.ndarray) -> None:
+        """AdaGrad on the rows named of a parameter."""
         order = np.argsort(rows, kind="stable")
         some = rows[order]
         starts = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
         uniq = some[starts]
-        for key, grad in grads.items():
-            g = np.add.reduceat(grad[order], starts, axis=0)
-            sq = self.sq[key][uniq] + g * g
-            self.sq[key][uniq] = sq
-            getattr(self.m, key)[uniq] += np.float32(RATE) * g / np.sqrt(sq)
-
-    def _contrast(self, key: str, bias: str, h: np.ndarray, x: np.ndarray, w: np.ndarray) -> np.ndarray:
+        g = np.add.reduceat(grad.take(order, axis=0), starts, axis=0)
+        sq = self.sq[key].take(uniq, axis=0)
+        sq += g * g
+        self.sq[key][uniq] = sq
+        np.sqrt(sq, out=sq)
+        g /= sq
+        g *= np.float32(RATE)
+        getattr(self.m, key)[uniq] += g
+
+    def _contrast(self, key: str, h: np.ndarray, x: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Learns targets x from shared noise; the gradient of h."""
-        q, b, log_kp = getattr(self.m, key), getattr(self.m, bias), self.log_kp[key]
-        noise = np.minimum(np.searchsorted(self.cdf[key], self.rng.random(NOISE)), len(b) - 1)
-        qx, qn = q[x], q[noise]
-        good = w / (1 + np.exp((h * qx).sum(axis=1) + b[x] - log_kp[x]))
+        q, log_kp = getattr(self.m, key), self.log_kp[key]
+        noise = np.minimum(np.searchsorted(self.cdf[key], self.rng.random(NOISE)), len(q) - 1)
+        qx, qn = q.take(x, axis=0), q.take(noise, axis=0)
+        good = np.einsum("ij,ij->i", h, qx) - log_kp[x]
+        good = (w / (1 + np.exp(good)))[:, None]
         bad = h @ -qn.T
-        bad -= b[noise] - log_kp[noise]
+        bad += log_kp[noise]
         np.exp(bad, out=bad)
         bad += 1
         np.divide(-w[:, None], bad, out=bad)
-        dh = good[:, None] * qx + bad @ qn
-        self._step(np.concatenate([x, noise]), **{key: np.concatenate([good[:, None] * h, bad.T @ h]), bias: np.concatenate([good, bad.sum(axis=0)])})
-        return dh
+        self._step(key, np.concatenate([x, noise]), np.concatenate([good * h, bad.T @ h]))
+        qx *= good
+        qx += bad @ qn
+        return qx
 
     @np.errstate(over="ignore")  # a chance of zero
     def learn(self, triples: np.ndarray, counts: np.ndarray) -> None:
         m, n = self.m, len(self.m.p)
-        times = np.ceil(counts / max(1.0, counts.mean())).astype(np.int64)  # a frequent triple in many batches, not one with a great weight
+        times = -(-counts // HEAVY)  # a frequent triple in many batches, not one with a great weight
         weights = np.repeat((counts / times).astype(np.float32), times)
-        weights /= weights.mean()
         triples = np.repeat(triples, times)
         order = self.rng.permutation(len(triples))
-        for at in range(0, len(order), BATCH):
-            pick = order[at : at + BATCH]
-            t, w = triples[pick], weights[pick]
-            u, v, x = t // (n * n), t // n % n, t % n
-            ru, rv = m.r[u], m.r[v]
-            h = m.c[0] * ru + m.c[1] * rv
-            dh = self._contrast("q", "b", h, x, w)
+        triples, weights = triples[order], weights[order]
+        us, vs, xs = (t.astype(np.int32) for t in (triples // (n * n), triples // n % n, triples % n))
+        kx = m.classes[xs]
+        for key, rows in (("r", us), ("r", vs), ("q", xs), ("k", kx)):
+            self.seen[key] += np.bincount(rows, weights, len(self.seen[key])).astype(np.float32)
+        self.seen["c"] += weights.sum()
+        for at in range(0, len(triples), BATCH):
+            here = slice(at, at + BATCH)
+            u, v, w = us[here], vs[here], weights[here]
+            h = m.context(u, v)
+            dh = self._contrast("q", h, xs[here], w)
             if self.both:
-                dh = dh + self._contrast("k", "kb", h, m.classes[x], w)
-            of_c = np.stack([(dh * ru).sum(axis=0), (dh * rv).sum(axis=0)])
-            self._step(np.concatenate([u, v]), r=np.concatenate([dh * m.c[0], dh * m.c[1]]))
-            self._step(np.arange(2), c=of_c)
+                dh += self._contrast("k", h, kx[here], w)
+            dh[:, -1] = 0
+            of_c = np.stack([np.einsum("ij,ij->j", dh, m.r.take(x, axis=0)) for x in (u, v)])
+            self._step("r", np.concatenate([u, v]), np.concatenate([dh * m.c[0], dh * m.c[1]]))
+            self._step("c", np.arange(2), of_c)
+
+    def weights(self) -> np.ndarray:
+        return np.concatenate([self.seen[k] for k in Model.PARTS])
 
 
 def _classes(batch: pa.Array, rank: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
@@ -252,74 +280,53 @@ def _ids(ranks: np.ndarray) -> np.ndarray:
     return np.where(ranks == -2, END, np.where(ranks >= 0, ranks + 2, TAIL))
 
 
-def word_triples(texts: DataFrame, common: list[bytes], n: int) -> DataFrame:
-    """(t, c): counts of word triples t = (u * n + v) * n + w over a column text."""
-    sent = texts.sparkSession.sparkContext.broadcast(common)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        rank = {w: i for i, w in enumerate(known)}
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
-
-        for b in small_batches(batches, 0, TEXT):
-            ranks, lengths, _ = _classes(b.column(0).cast(pa.binary()), rank)
-            ids = _ids(ranks)
-            at = _places(lengths)
-            held.append(np.unique((ids[at - 2] * n + ids[at - 1]) * n + ids[at], return_counts=True))
-            if sum(len(k) for k, _ in held) > HELD_TRIPLES:
-                held[:] = [merged()]
-                if len(held[0][0]) > HELD_TRIPLES // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held.pop()], names=["t", "c"])
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged()], names=["t", "c"])
-
-    return texts.mapInArrow(run, "t long, c long").groupBy("t").agg(F.sum("c").alias("c"))
-
-
-def train(spark: SparkSession, triples: DataFrame, frequency: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """The model averaged over shards of the counted triples (t, c). frequency: tokens of each word."""
+def train(texts: DataFrame, common: list[bytes], frequency: np.ndarray, tokens: int) -> Model:
+    """The model of the texts (a column text, of so many tokens). common: the words from id 2 on; frequency: tokens of each id."""
+    context = texts.sparkSession.sparkContext
     classes = frequency_classes(frequency)
     model = Model(frequency, classes)
+    n = len(frequency)
     columns = [f"v{d}" for d in range(DIM)]
-    distinct, total = triples.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    shards = max(1, distinct // max(SHARD, SHARE * len(frequency)))
-    for turn in range(rounds if distinct else 0):
-        start = spark.sparkContext.broadcast((model.flat(), frequency, classes))
+    known = context.broadcast((common, frequency, classes))
+    part = F.pmod(F.xxhash64("text"), F.lit(16))
+    for turn, some in enumerate((texts.where(part < FIRST), texts.where(part >= FIRST))):
+        start = context.broadcast(model.flat())
 
         def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
-            flat, freq, of = start.value
+            words, freq, of = known.value
+            rank = {w: i for i, w in enumerate(words)}
             m = Model(freq, of)
-            m.set_flat(flat)
-            trainer, held, rows, weight = Trainer(m, 11 + turn), [], 0, 0.0
+            m.set_flat(start.value)
+            trainer, held, size = Trainer(m, 11 + turn), [], 0
 
             def learn() -> None:
-                trainer.learn(np.concatenate([t for t, _ in held]), np.concatenate([c for _, c in held]))
+                trainer.learn(*np.unique(np.concatenate(held), return_counts=True))
                 held.clear()
 
-            for b in batches:
-                held.append((np.asarray(b.column(0)), np.asarray(b.column(1))))
-                rows += b.num_rows
-                weight += float(held[-1][1].sum())
-                if rows >= SHARD:
+            for b in small_batches(batches, 0, TEXT):
+                ranks, lengths, _ = _classes(b.column(0).cast(pa.binary()), rank)
+                ids, at = _ids(ranks), _places(lengths)
+                held.append((ids[at - 2] * n + ids[at - 1]) * n + ids[at])
+                size += len(at)
+                if size >= HELD:
                     learn()
-                    rows = 0
-            if rows:
+                    size = 0
+            if held:
                 learn()
-            if weight:  # the shard's part in the average of what changed
-                change = (m.flat() - flat) * np.float32(weight / total)
-                at = np.flatnonzero(change.any(axis=1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(np.ascontiguousarray(change[at, d])) for d in range(DIM))], names=["i", *columns])
-
-        learned = triples.repartition(shards).mapInArrow(run, "i int, " + ", ".join(f"{c} float" for c in columns))
-        sums = learned.groupBy("i").agg(*(F.sum(c).cast("float").alias(c) for c in columns)).toArrow()  # as many rows at most as the model
+            weight = trainer.weights()
+            at = np.flatnonzero(weight)
+            if len(at):
+                change = (m.flat()[at] - start.value[at]) * weight[at, None]
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(weight[at]), *(pa.array(np.ascontiguousarray(change[:, d])) for d in range(DIM))], names=["i", "w", *columns])
+
+        few = max(1, int(tokens * (FIRST, 16 - FIRST)[turn] / 16) // SHARD)
+        learned = some.coalesce(few).mapInArrow(run, "i int, w float, " + ", ".join(f"{c} float" for c in columns))
+        sums = learned.groupBy("i").agg(F.sum("w").alias("w"), *(F.sum(c).alias(c) for c in columns)).select("i", *((F.col(c) / F.col("w")).cast("float").alias(c) for c in columns)).toArrow()  # as many rows at most as the model
         flat = model.flat()
         flat[sums.column("i").to_numpy()] += np.stack([sums.column(c).to_numpy() for c in columns], axis=1)
         model.set_flat(flat)
         start.unpersist()
+    known.unpersist()
     return model
 
 
@@ -335,7 +342,7 @@ def known_from(counts: DataFrame, most: int | None = None) -> int:
     return int(least)
 
 
-def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, unigram_tail of every row."""
     scratch = Scratch(spark, "lm")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"))
@@ -351,7 +358,7 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     n_tail, v_tail = int(n - ends - c_known.sum()), int(v - (ends > 0) - len(words))
     # half a token for what was never seen
     frequency = np.maximum(np.concatenate([[n_tail, ends], c_known]).astype(float), 0.5)
-    model = train(spark, scratch.table(word_triples(learned, words, len(frequency)), "triples"), frequency, rounds)
+    model = train(learned, words, frequency, int(n))
     sent = spark.sparkContext.broadcast((words, c_known, model))
     ln10 = float(np.log(10))
 
