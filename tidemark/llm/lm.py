@@ -42,7 +42,7 @@ from tidemark.llm.quality import bucket, bucket_low
 FOLDS, HELD_OUT = 7, 2
 HEAD, KNOWN, DIM, NOISE, BATCH, RATE = 1022, 200_000, 16, 64, 1024, 0.15
 #: Tokens of a training task at least, tokens that it learns at a time, and sixteenths of the texts that are learned first.
-SHARD, HELD, FIRST = 2_000_000, 1_000_000, 2
+SHARD, HELD, FIRST = 6_000_000, 1_000_000, 2
 #: A triple that occurs more often among the tokens held is learned in several batches, each with this weight at most.
 HEAVY = 8
 #: Distinct words that a task holds before it passes them on.
@@ -85,13 +85,13 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def frequency_classes(frequency: np.ndarray) -> np.ndarray:
-    """Each id's class. TAIL and END stand alone; the words, commonest first, are cut into about the square root of their number of classes
+    """Each id's class. TAIL and END stand alone; the words, commonest first, are cut into about 0.6 times the square root of their number of classes
     (HEAD at most), of equal sums of root frequencies, which keeps the expected size of a token's class small."""
     n = len(frequency) - 2
     if n <= 0:
         return np.arange(len(frequency))
     upto = np.cumsum(np.sqrt(frequency[2:]))
-    cut = np.minimum(upto / upto[-1] * min(HEAD, int(np.ceil(np.sqrt(n)))), np.nextafter(HEAD, 0)).astype(np.int64)
+    cut = np.minimum(upto / upto[-1] * min(HEAD, int(np.ceil(0.6 * np.sqrt(n)))), np.nextafter(HEAD, 0)).astype(np.int64)
     return np.concatenate([[TAIL, END], 2 + np.unique(cut, return_inverse=True)[1]])
 
 
