@@ -22,13 +22,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (local tests only) a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir, else (local sessions only) a temporary one; an error on a cluster without it."""
     held = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if held:
         return held
     live = spark.sparkContext._jsc.sc().getCheckpointDir()
     if live.isDefined():
         return live.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     spark.sparkContext.setCheckpointDir(root)
     return root
@@ -69,6 +71,11 @@ def hint_if_small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST
     return F.broadcast(df) if n <= bound else df
 
 
+def packed(docs: DataFrame) -> Column:
+    """Whole rows in one struct named row, so that no name of theirs clashes with an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+
 def words(text: Column) -> Column:
     """The text's words in order; none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

@@ -33,7 +33,7 @@ def op4_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    return secrets.find_secrets(spark, read_table(spark, sf_dir, "documents"))
 
 
 def op6_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,22 @@
 """Secret scans: fixed patterns, and password guess costs of values in a credential context.
 
-Base patterns give spans of kinds ``assign``, ``access`` and ``hex``. Besides, a value that stands after a
-credential word is priced by dynamic programming: the cheapest segmentation into common words (with
-capitals and look-alike signs), dates, repeats, runs of the alphabet, keyboard walks and brute-force
+Base patterns give spans of kinds ``assign``, ``access`` and ``hex``. Besides, every value that stands after a
+credential word, inside a base span or not, is priced by dynamic programming: the cheapest segmentation into known words (with
+capitals and look-alike signs), single signs between words, dates, repeats, runs of the alphabet, keyboard walks and brute-force
 stretches, each costing the decimal logarithm of the guesses it takes, plus SEAM for every further segment.
-A value of MIN_GUESSES or more becomes a span of kind ``guess``, and so does a value that base spans cover
-in part only; one that they cover whole does not. The common words are those of passwords, then some 21,000
-of ordinary prose (``prose``), so that what follows a credential word in plain text is cheap.
+A value of MIN_GUESSES or more becomes a span of kind ``guess`` beside the base ones, and so does a value that base spans cover
+in part only, whatever it costs.
+
+Known words are those that the corpus itself uses (``vocabulary``): words of letters are counted over all texts, without what
+stands in credential contexts, and those of MIN_COUNT or more are known, the WORDS commonest at most. A word costs its rank, but no
+more than DEAREST, since a word of running text is no secret however rare. So prose is cheap in any language the corpus
+holds. Some common password words (COMMON) rank first.
 
 The programme's steps grow with the length of a value, not its square: words are looked up to the longest
 word's length, and repeats, runs and walks are maximal. Spans are code points, end exclusive.
 
 Defined cases: null and empty texts have no spans; texts are scanned whole, however long; equal rows get
-equal results; extra columns stay in ``redact`` and are left out by ``find_secrets``; empty tables give
+equal results; extra columns stay in ``redact``, whatever their names, and are left out by ``find_secrets``; empty tables give
 empty tables.
 """
 
@@ -22,14 +26,15 @@ import datetime
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import prose
-from tidemark.llm.common import small_batches
+from tidemark.llm.common import Scratch, packed, small_batches
+from tidemark.llm.lm import HELD_WORDS, known_from
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "guess")
@@ -38,8 +43,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 CONTEXT = re.compile(r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|bearer|auth(?:orization)?|(?:api|access|private|secret|signing)[_-]?key)["']?(?:\x20*[:=]\x20*|\x20+(?:is|was)\x20+|\x20+)["']?([^\s"'<>]{8,})""", re.A | re.I)
 HINTS = ("pass", "pwd", "secret", "token", "credential", "bearer", "auth", "key")
-#: Least log10 guesses of a flagged value, and log10 guesses for each further segment.
-MIN_GUESSES, SEAM = 10.0, 0.3
+#: Least log10 guesses of a flagged value, log10 guesses for each further segment, and those of a known word at most.
+MIN_GUESSES, SEAM, DEAREST = 10.0, 0.3, 4.3
+#: Known words of the corpus at most, and the least count of one.
+WORDS, MIN_COUNT = 200_000, 2
+#: Signs that join words, one of which is a cheap segment.
+JOINERS = "-_./'"
 
 # Common password words, most common first.
 COMMON = (
@@ -51,8 +60,17 @@ COMMON = (
     " killer silver golden purple yellow black white green blue red the and for you not with this that from have your are was"
     " required missing invalid expired string value empty none null true false optional placeholder redacted hidden"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *prose.WORDS]))}
-LONGEST = max(map(len, RANK))
+
+
+class Known(dict):
+    """Rank of each known word: COMMON ones, then others, the commonest first."""
+
+    def __init__(self, words: Iterable[str] = ()):
+        super().__init__({w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *words]))})
+        self.longest = max(map(len, self))
+
+
+PLAIN = Known()
 # Look-alike signs, and the rows of a keyboard.
 LEET = str.maketrans("@4310$57!", "aaeiosstl")
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
@@ -75,22 +93,24 @@ def _maximal(n: int, linked, least: int) -> Iterator[tuple[int, int]]:
             start = i
 
 
-def matches(value: str) -> Iterator[tuple[int, int, float]]:
+def matches(value: str, known: Known = PLAIN) -> Iterator[tuple[int, int, float]]:
     """(start, end, log10 guesses) of every cheap pattern in a value."""
     n, low = len(value), value.lower()
     if len(low) != n:
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(LEET)
     for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
-            rank = RANK.get(low[i:j])
+        if value[i] in JOINERS:
+            yield i, i + 1, math.log10(len(JOINERS))
+        for j in range(i + 3, min(n, i + known.longest) + 1):
+            rank = known.get(low[i:j])
             signs = 0.0
-            if rank is None and (rank := RANK.get(plain[i:j])) is not None:
+            if rank is None and (rank := known.get(plain[i:j])) is not None:
                 signs = math.log10(2) * sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True))
             if rank is not None:
                 word = value[i:j]
                 capitals = 0.0 if word == low[i:j] else math.log10(2) if word[1:] == low[i + 1 : j] or word.isupper() else math.log10(2) * sum(a != b for a, b in zip(word, low[i:j], strict=True))
-                yield i, j, math.log10(rank + 1) + signs + capitals
+                yield i, j, min(math.log10(rank + 1), DEAREST) + signs + capitals
         if m := YEAR.match(value, i):
             yield i, m.end(), math.log10(150)
         for pattern, order in zip(DATES, ((1, 3, 4), (4, 3, 1)), strict=True):
@@ -119,11 +139,11 @@ def matches(value: str) -> Iterator[tuple[int, int, float]]:
         yield a, b, math.log10(len(NEAR) * (b - a)) + turns * math.log10(6)
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, known: Known = PLAIN) -> float:
     """The least log10 guesses over all segmentations of a value."""
     n = len(value)
     ending: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in matches(value):
+    for i, j, cost in matches(value, known):
         ending.setdefault(j, []).append((i, cost))
     best, brute = [-SEAM] + [math.inf] * n, math.inf  # brute: the best in which a brute-force stretch is open
     for j in range(1, n + 1):
@@ -143,7 +163,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
-def all_spans(text: str, base: list[tuple[int, str, int]] | None = None) -> list[tuple[int, str, int]]:
+def all_spans(text: str, base: list[tuple[int, str, int]] | None = None, known: Known = PLAIN) -> list[tuple[int, str, int]]:
     """Base spans and those of costly values."""
     out = base_spans(text) if base is None else list(base)
     low = text.lower()
@@ -160,7 +180,7 @@ def all_spans(text: str, base: list[tuple[int, str, int]] | None = None) -> list
                 if s <= upto:
                     upto = max(upto, e)
             # a base span that takes part of a value has found a secret: the rest belongs to it
-            if upto < b and (touched or guess_cost(value) >= MIN_GUESSES):
+            if guess_cost(value, known) >= MIN_GUESSES or touched and upto < b:
                 out.append((a, "guess", b))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
 
@@ -169,16 +189,52 @@ def _said(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def vocabulary(spark: SparkSession, docs: DataFrame, text_col: str = "text", most: int = WORDS) -> list[str]:
+    """The corpus's words of letters (3 to 24) that occur MIN_COUNT times or more outside credential contexts, commonest first, so many at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            clean: Counter[str] = Counter()
+            for w, n in held.items():
+                for part in re.split(r"[\W\d_]+", w):
+                    if 3 <= len(part) <= 24:
+                        clean[part] += n
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(clean), pa.string()), pa.array(list(clean.values()), pa.int64())], names=["word", "c"])
+
+        for b in small_batches(batches, 0):
+            for text in b.column(0).to_pylist():
+                low = (text or "").lower()
+                if any(w in low for w in HINTS):
+                    low = CONTEXT.sub(" ", low)
+                held.update(low.split())
+                if len(held) > HELD_WORDS:
+                    yield out()
+        if held:
+            yield out()
+
+    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_COUNT)
+    scratch = Scratch(spark, "secrets")
+    counts = scratch.table(counts, "words")
+    top = counts.where(F.col("c") >= known_from(counts, most)).toArrow()  # at most so many rows
+    scratch.drop(counts)
+    return [w for _, w in sorted(zip(top.column("c").to_pylist(), top.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))]
+
+
+def find_secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, counts by kind, the base spans' digest and all spans."""
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
+    sent = spark.sparkContext.broadcast(vocabulary(spark, docs, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(sent.value)
         for b in small_batches(batches, 1):
             rows = []
             for text in b.column(1).to_pylist():
                 base = base_spans(text or "")
-                every = all_spans(text or "", base)
+                every = all_spans(text or "", base, known)
                 n = {k: sum(s[1] == k for s in every) for k in KINDS}
                 rows.append((n["assign"], n["access"], n["hex"], hashlib.sha256(_said(base).encode()).hexdigest(), _said(every), n["guess"]))
             kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
@@ -187,28 +243,31 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def redacted(text: str) -> str:
+def redacted(text: str, known: Known = PLAIN) -> str:
     """The text with every span (overlapping ones as one) replaced by the sign of its first kind."""
     parts, at = [], 0
-    for a, kind, b in all_spans(text):
+    for a, kind, b in all_spans(text, known=known):
         if a >= at:
             parts += [text[at:a], f"[{kind} secret]"]
         at = max(at, b)
     return "".join([*parts, text[at:]])
 
 
-def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+def redact(spark: SparkSession, docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """docs with the text redacted, and its length in code points put right if a column for it is named."""
+    sent = spark.sparkContext.broadcast(vocabulary(spark, docs, text_col))
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = Known(sent.value)
         for x in texts:
-            yield pa.array([None if t is None else redacted(t) for t in x.to_pylist()], pa.string())
+            yield pa.array([None if t is None else redacted(t, known) for t in x.to_pylist()], pa.string())
 
     clean = F.arrow_udf(run, "string")
+    # the row in one struct, so that no name of its own clashes
+    rows = docs.select(packed(docs))
+    text = F.col("row")[text_col]
     # most texts hold no hint of a secret and never leave the JVM
-    suspect = F.lower(text_col).rlike("|".join(HINTS)) | F.col(text_col).contains("AKIA") | F.col(text_col).rlike("[0-9a-f]{16}")
-    out = docs.withColumn("__new", clean(F.when(suspect, F.col(text_col))))
-    out = out.withColumn(text_col, F.coalesce("__new", text_col)).drop("__new")
-    if length_col:
-        out = out.withColumn(length_col, F.when(F.col(text_col).isNotNull(), F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return out.select(*docs.columns)
+    suspect = F.lower(text).rlike("|".join(HINTS)) | text.contains("AKIA") | text.rlike("[0-9a-f]{16}")
+    rows = rows.withColumn("new", F.coalesce(clean(F.when(suspect, text)), text))
+    length = lambda c: F.when(F.col("new").isNotNull(), F.length("new").cast(docs.schema[c].dataType)).otherwise(F.col("row")[c])
+    return rows.select(*((F.col("new") if c == text_col else length(c) if c == length_col else F.col("row")[c]).alias(c) for c in docs.columns))
