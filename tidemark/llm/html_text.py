@@ -2,13 +2,13 @@
 
 Markup is stripped into lines, one per block element or line break. Elements that are boilerplate by tag,
 role, class or id (menus, headers and footers of the page, sidebars, notices, adverts, forms, reader
-comments) become gaps of empty lines, as do scripts, styles and comments. Over windows of K lines the text
-lengths are summed. A kept stretch begins where the sum surges above the page's threshold and ends where
-it dives to nothing; the text between is joined by newlines. Where the page marks its article, lines outside it
-weigh nothing and the threshold is zero, so that short paragraphs inside stay; elsewhere the threshold is MARGIN,
-or a fifth of the page's peak if that is less, and text inside links weighs nothing, though it stays between lines
-that weigh. The marks are article, main and role=main, or else the containers of a content class that hold the
-heaviest line of the page's peak window; neither is believed where more text lies outside than inside.
+comments) become gaps of empty lines, as do scripts, styles and comments, and so do blocks whose name only suggests it (SOFT) if
+most of their text is links. Every line has a weight: its characters outside links; in an article that the page marks, its length and
+MARGIN, and outside that nothing. Over windows of K lines the weights are summed. A kept stretch begins where the sum surges
+above the page's threshold (MARGIN, or a fifth of the page's peak if that is less) and ends where it dives to nothing; the text
+between is joined by newlines, with lines that are all links between lines that weigh. The marks are article, main and role=main, or else
+the containers of a content class that hold the heaviest line of the page's peak window; neither is believed where more text
+lies outside than inside.
 
 Defined cases: null or empty html gives an empty text; a page without text gives an empty text; tags that
 are never closed end with their parent; damaged tags and references are read as a browser does; texts are
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import small_batches
 
-#: Lines per window, and the sum above which text surges on pages that mark no article.
+#: Lines per window, and the sum above which text surges.
 K, MARGIN = 3, 86
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -35,15 +35,16 @@ TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 # HTML elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea title".split())
+RAW = frozenset("script style noscript template iframe svg object canvas audio video textarea title".split())
 DROPPED = frozenset("nav aside footer form button select dialog menu head fieldset label".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul br".split())
 # Words in class, id and role names that mark what is no article, and what is one.
 BOILER = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot adunit sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall"
-    " nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside masthead footer pagination pager skip toolbar topbar bottombar related recommended recommendations trending share sharing social comment comments commentlist disqus reply replies respond responses discussion"
-    " login search searchbox widget widgets form complementary contentinfo disclaimer".split()
+    "ad ads adv advert adverts advertisement advertising adsense adslot adunit sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup paywall"
+    " nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside masthead footer pagination pager skip toolbar topbar bottombar comment comments commentlist disqus reply replies respond responses"
+    " login searchbox widget widgets form complementary contentinfo disclaimer".split()
 )
+SOFT = frozenset("related recommended recommendations trending share sharing social discussion search alert".split())
 HEADING = frozenset("header head".split())
 CONTENT = frozenset("article articlebody content entry main post postbody story".split())
 
@@ -64,7 +65,7 @@ def _main_role(attributes: str) -> bool:
 def lines_of(html: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
     """(text, characters outside links, inside a marked article, containers of a content class around it) of each line; K empty lines for each piece of boilerplate."""
     out: list[tuple[str, int, bool, tuple[int, ...]]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, boilerplate, article, content class
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # name, boilerplate, article, content class, first line if its name only suggests boilerplate, else -1
     text: list[str] = []
     inside: list[int] = []  # open containers of a content class
     own = links = boiler = article = containers = 0
@@ -81,7 +82,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
         nonlocal boiler, article, links
         end_line = False
         while len(stack) > to:
-            name, bad, good, content = stack.pop()
+            name, bad, good, content, soft = stack.pop()
             end_line |= name in BLOCK
             if end_line:
                 end()
@@ -89,6 +90,10 @@ def lines_of(html: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
             if bad:
                 end()
                 out.extend([("", 0, False, ())] * K)
+            elif soft >= 0:
+                end()
+                if 2 * sum(x[1] for x in out[soft:]) < sum(len("".join(x[0].split())) for x in out[soft:]):
+                    out[soft:] = [("", 0, False, ())] * K
             boiler -= bad
             article -= good
             if content:
@@ -140,10 +145,11 @@ def lines_of(html: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
         marks = _marks(given) if "=" in given else set()
         good = name in ("article", "main") or bool(marks & CONTENT) and _main_role(given)
         content = not good and bool(marks & CONTENT)
-        bad = name in DROPPED or bool(marks & BOILER) and not (name in ("article", "main", "body", "html") and not marks & {"comment", "comments", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "related"})
+        bad = name in DROPPED or bool(marks & BOILER) and not (name in ("article", "main", "body", "html") and not marks & {"comment", "comments", "ad", "ads", "advert", "advertisement", "sponsored", "promo"})
         bad = bad or (name == "header" or bool(marks & HEADING)) and not article and not inside
         usable = not bad and name not in ("body", "html")
-        stack.append((name, bad, good and usable, content and usable))
+        soft = not bad and not boiler and name in BLOCK and bool(marks & SOFT) and name not in ("article", "main", "body", "html")
+        stack.append((name, bad, good and usable, content and usable, len(out) if soft else -1))
         boiler += bad
         article += stack[-1][2]
         if stack[-1][3]:
@@ -184,9 +190,9 @@ def main_text(html: str | None, k: int = K, margin: int = MARGIN) -> str:
     lines = lines_of(html)
     owns = [x[1] for x in lines]
     inside = _marked(lines, owns, k)
-    weights = owns if inside is None else [len(x[0]) if good else 0 for x, good in zip(lines, inside, strict=True)]
+    weights = owns if inside is None else [(len(x[0]) + margin if x[0] else 0) if good else 0 for x, good in zip(lines, inside, strict=True)]
     sums = _sums(weights, k)
-    threshold = min(margin, max(sums, default=0) / 5) if inside is None else 0
+    threshold = min(margin, max(sums, default=0) / 5)
     kept: list[str] = []
     i = 0
     while i < len(lines):
