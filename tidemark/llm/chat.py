@@ -16,8 +16,8 @@ Events of a message meet by (conversation, message), turns of a conversation by
 of output holds the whole of it; nothing larger is gathered.
 
 Defined cases: null texts and roles are empty; a null conv_id is a conversation of its own; events of kinds
-not listed add nothing; a message without a start has the first role given, else an empty one; repeated
-rows are repeated events (turns of ``turn_events`` are kept apart by a row number); empty tables give
+not listed add nothing; a message without a start has the first role given, else an empty one; an
+event delivered twice (equal in all its columns) counts once (turns of ``turn_events`` are kept apart by a row number); empty tables give
 empty tables; extra columns are left out.
 """
 
@@ -70,7 +70,7 @@ def reconstruct(log: DataFrame) -> DataFrame:
         F.min("seq").alias("at"),
         F.coalesce(F.min_by("role", F.when(F.col("role").isNotNull(), F.struct(F.col("seq"), rank.alias("rank"), F.col("role")))), F.lit("")).alias("role"),
         F.max(F.when(resets, place)).alias("reset"),
-        F.sort_array(F.collect_list(F.when(F.col("kind").isin(*KINDS), event))).alias("events"),
+        F.sort_array(F.collect_set(F.when(F.col("kind").isin(*KINDS), event))).alias("events"),
     )
     # from the last reset on; a regenerated text begins empty
     live = F.filter("events", lambda x: F.col("reset").isNull() | (F.struct(x["seq"].alias("seq"), x["rank"].alias("rank")) >= F.col("reset")))
