@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, hint_if_small, small_batches
+from tidemark.llm.common import Scratch, hint_if_small, packed, small_batches
 from tidemark.llm.graph import components
 
 SHINGLE, PERCENT = 5, 80
@@ -395,10 +395,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "do
     """docs without the rows of every component but those of its smallest id; rows that share that id are one row. Rows without an id stay."""
     scratch = Scratch(spark, "neardup")
     found = scratch.table(near_duplicates(spark, docs, id_col, text_col, n, percent, scratch), "found")
-    gone = found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone")).distinct()
     gone = scratch.table(gone, "gone")
-    out = docs.join(hint_if_small(gone, bound=IDS), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    rows = docs.select(packed(docs), F.col(id_col).cast("long").alias("id"))
+    out = rows.join(hint_if_small(gone, bound=IDS), F.col("id") == F.col("gone"), "left_anti")
     repeated = found.where("kept").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return out
-    return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))
+    if not repeated.isEmpty():
+        out = out.where("id IS NOT NULL").dropDuplicates(["id"]).unionByName(out.where("id IS NULL"))
+    return out.select("row.*")
