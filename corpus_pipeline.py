@@ -2,6 +2,10 @@
 
 Every stage but the last returns the columns of documents. Each stage's rows are written as Parquet in the
 shared folder and read again, so a lost executor costs one stage's tasks and no more.
+
+Defined cases: null texts fail the quality rules and go; null ids, languages and sources are values like others (rows without an id have no
+near copies and stay); repeated rows are near copies of each other, of which one stays; texts are whole, however long; extra columns stay up to the
+last stage, whatever their names; without a column n_chars none is made; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets replaced by signs; none is dropped."""
-    return secrets.redact(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
+    return secrets.redact(spark, docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
