@@ -18,7 +18,7 @@ FREE_DOMAINS = ("gmail.com", "googlemail.com", "hotmail.com", "icloud.com", "liv
 COMPANY_SUFFIXES = ("co", "company", "corp", "corporation", "inc", "incorporated", "llc", "llp", "ltd", "limited", "plc")
 NAME_PREFIXES = ("dr", "miss", "mr", "mrs", "ms", "prof")
 NAME_SUFFIXES = ("ii", "iii", "iv", "jr", "phd", "sr")
-PLACEHOLDERS = ("unknown", "n/a", "na", "none", "null", "-", "--", "tbd", "test")
+PLACEHOLDERS = ("unknown", "n/a", "na", "none", "null", "not provided", "-", "--", "tbd", "test")
 SPACE = r"[\s   -     　﻿]"
 
 
@@ -27,6 +27,11 @@ def _fold(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.category(c).startswith("M")) for t in x.to_pylist()], pa.string())
 
 
+def _nfkc(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for x in texts:
+        yield pa.array([None if t is None else unicodedata.normalize("NFKC", t) for t in x.to_pylist()], pa.string())
+
+
 def _idna(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     def one(t: str | None) -> str | None:
         try:
@@ -48,6 +53,11 @@ def fold(text: Column) -> Column:
     return _only_foreign(text, F.arrow_udf(_fold, "string"))
 
 
+def nfkc(text: Column) -> Column:
+    """With compatibility forms composed."""
+    return _only_foreign(text, F.arrow_udf(_nfkc, "string"))
+
+
 def idna(host: Column) -> Column:
     return _only_foreign(host, F.arrow_udf(_idna, "string"))
 
@@ -150,6 +160,20 @@ def dice(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(none, initial).otherwise(2.0 * both / (F.size(x) + F.size(y)))
 
 
+def numbered_bigrams(text: Column) -> Column:
+    """Bigrams, each with its number among equal ones, so that a set holds what the multiset does; null for null."""
+    x = bigrams(text)
+    numbered = F.transform(x, lambda w, i: F.concat(w, F.size(F.filter(F.slice(x, F.lit(1), i), lambda v: v == w)).cast("string")))
+    return F.when(text.isNotNull(), numbered)
+
+
+def numbered_dice(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """dice of a and b from their numbered bigrams x and y."""
+    none = (F.size(x) == 0) | (F.size(y) == 0)
+    initial = F.when(F.substring(a, 1, 1) == F.substring(b, 1, 1), 0.6).otherwise(0.0)
+    return F.when(a == b, 1.0).when(none, initial).otherwise(2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
+
+
 def one_edit(a: Column, b: Column) -> Column:
     """Whether texts differ by one edit, where two neighbours swapped are one."""
     n = F.length(a)
