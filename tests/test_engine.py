@@ -107,7 +107,7 @@ def test_incidents(spark):
     assert changed.count() == 6 and incidents.reversals(changed).first().reversals == 3
     gone = spark.createDataFrame([(f"r{i}", "f", "x", None, t(0)) for i in range(12)], "record_id string, field string, before string, after string, at timestamp")
     people = spark.createDataFrame([("f", 40)], "field string, records long")
-    assert incidents.bulk_clears(gone, people).count() == 2 and incidents.bulk_clears(gone.limit(5), people).count() == 0
+    assert incidents.bulk_clears(gone, people).collect()[0].records == 12 and incidents.bulk_clears(gone.limit(5), people).count() == 0
     high = incidents.high_water(spark.createDataFrame([("r", v, t(i)) for i, v in enumerate(["mql", "sql", "lead", "odd", "lead"])], "record_id string, value string, at timestamp"))
     assert [r.regressed for r in high.orderBy("at").collect()] == [False, False, True, False, False]
     old = spark.createDataFrame([("a", "open", 10), ("b", "resolved", 10), ("c", "open", 10)], "key string, status string, records long")

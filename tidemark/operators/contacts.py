@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemark.functions import text as T
 
@@ -112,12 +111,55 @@ def repair(df: DataFrame, scenario: str) -> DataFrame:
 
 
 def warehouse_merge(df: DataFrame) -> DataFrame:
-    """The warehouse's variant: only rows flagged as duplicates are merged, the canonical one is chosen over all statuses, and the flag goes from every active row."""
-    w = Window.partitionBy("normalized_email").orderBy((F.col("raw_email") != F.lower(F.trim("raw_email"))).cast("int"), "contact_id")
-    out = df.withColumn("canonical_contact_id", F.when(F.col("normalized_email").isNotNull() & F.array_contains("quality_flags", "duplicate_identity"), F.first("contact_id").over(w)))
-    other = (F.col("record_status") == "active") & (F.col("canonical_contact_id") != F.col("contact_id"))
-    out = out.withColumn("record_status", F.when(other, "merged").otherwise(F.col("record_status")))
-    return out.withColumn("quality_flags", F.when(F.col("record_status") == "active", F.array_remove("quality_flags", "duplicate_identity")).otherwise(F.col("quality_flags")))
+    """The warehouse's variant: rows flagged as duplicates are merged into the canonical one among all flagged rows of their email, whatever their status; the flag then goes from every active row."""
+    dup = F.col("normalized_email").isNotNull() & F.array_contains("quality_flags", "duplicate_identity")
+    unclean = (F.col("raw_email") != F.lower(F.trim("raw_email"))).cast("int")
+    first = df.where(dup).groupBy(F.col("normalized_email").alias("__e")).agg(F.min(F.struct(unclean.alias("u"), F.col("contact_id").alias("id"))).alias("__first"))
+    out = df.join(first, dup & (F.col("normalized_email") == F.col("__e")), "left")
+    active = F.col("record_status") == "active"
+    other = active & (F.col("__first.id") != F.col("contact_id"))
+    kept = active & ~F.coalesce(other, F.lit(False)) & F.array_contains("quality_flags", "duplicate_identity")
+    none = F.lit(None).cast("string")
+    return out.withColumns(
+        {
+            "canonical_contact_id": F.when(other, F.col("__first.id")).otherwise(F.col("canonical_contact_id") if "canonical_contact_id" in df.columns else none),
+            "record_status": F.when(other, "merged").otherwise(F.col("record_status")),
+            "quality_flags": F.when(kept, F.array_remove("quality_flags", "duplicate_identity")).otherwise(F.col("quality_flags")),
+            "last_action": F.when(other, "merged_into_canonical").when(kept, "canonical_record_retained").otherwise(none),
+        }
+    ).drop("__e", "__first")
+
+
+def warehouse_reroute(df: DataFrame) -> DataFrame:
+    """Active rows of one owner's overloaded territory handed to the overflow owner; flags stay."""
+    hit = (F.col("record_status") == "active") & (F.col("region") == "Northeast") & (F.col("segment") == "Enterprise") & (F.col("owner_id") == OVERLOADED)
+    return df.withColumns({"owner_id": F.when(hit, OVERFLOW).otherwise(F.col("owner_id")), "last_action": F.when(hit, "rerouted_from_ne_enterprise").otherwise(F.lit(None).cast("string"))})
+
+
+def warehouse_replay(df: DataFrame) -> DataFrame:
+    """Active rows flagged with a regressed stage get the expected one, excluded rows too."""
+    hit = (F.col("record_status") == "active") & F.array_contains("quality_flags", "stage_regression")
+    return df.withColumns({"lifecycle_stage": F.when(hit, F.col("expected_lifecycle_stage")).otherwise(F.col("lifecycle_stage")), "quality_flags": F.when(hit, F.array_remove("quality_flags", "stage_regression")).otherwise(F.col("quality_flags")), "last_action": F.when(hit, "lifecycle_replayed").otherwise(F.lit(None).cast("string"))})
+
+
+# The warehouse's scenarios, the actions that count as rows affected, and the owners of its territory.
+WAREHOUSE = {"duplicate-surge": (warehouse_merge, "merged_into_canonical"), "routing-overload": (warehouse_reroute, "rerouted_from_ne_enterprise"), "stage-regression": (warehouse_replay, "lifecycle_replayed")}
+OVERLOADED, OVERFLOW = "NE-ENT", "CE-ENT-OVERFLOW"
+
+
+def warehouse_repair(df: DataFrame, scenario: str, action: str, request_id: str, at: str) -> dict[str, DataFrame]:
+    """The scenario's new state, with one row each for the run log, the event log and the receipt; ValueError for another scenario. Approved at the time given."""
+    if scenario not in WAREHOUSE:
+        raise ValueError(f"unknown scenario {scenario!r}")
+    fix, counted = WAREHOUSE[scenario]
+    state = fix(df)
+    affected = state.agg(F.count_if(F.col("last_action") == counted).alias("affected_records"))
+    when, event = F.lit(at).cast("timestamp_ntz"), F.lit(f"REPAIR-{scenario}-{request_id}")
+    text = lambda v, name: F.lit(v).alias(name)
+    run = affected.select(text(request_id, "run_id"), text(scenario, "scenario"), text(action, "action"), text("executed", "status"), "affected_records", when.alias("started_at"), when.alias("finished_at"))
+    log = affected.select(event.alias("event_id"), text("CONTROL-TOWER", "lead_id"), text("SYSTEM", "account_id"), text(f"repair_executed_{scenario}", "event_type"), text("lead", "lifecycle_stage"), when.alias("event_timestamp"), text("control_tower", "source"), text(scenario, "region"), text("System", "segment"), text("CONTROL-TOWER", "owner_id"), F.lit(0).alias("route_seconds"), F.lit(False).alias("is_duplicate"))
+    receipt = affected.select(F.lit(True).alias("accepted"), text("executed", "status"), text(scenario, "scenario"), text(action, "action"), text(request_id, "request_id"), event.alias("event_id"), "affected_records", when.alias("approved_at"))
+    return {"state": state, "run": run, "event": log, "receipt": receipt}
 
 
 def exclude(df: DataFrame, rows: DataFrame, excluded: bool = True) -> DataFrame:

@@ -12,6 +12,14 @@ def _flagged(s, d):
     return C.flagged(contacts(s, d))
 
 
+def _some_left_out(s, d):
+    return C.exclude(_flagged(s, d), contacts(s, d).where("contact_id LIKE '%4'"))
+
+
+def _overloaded(s, d):
+    return _flagged(s, d).withColumn("owner_id", F.when(F.col("owner_id") == "NE-ENT-01", "NE-ENT").otherwise(F.col("owner_id")))
+
+
 def _show(df, *columns):
     return df.select("contact_id", *columns, F.array_join(F.sort_array("quality_flags"), "|").alias("flags"))
 
@@ -25,7 +33,12 @@ QUERIES = {
     "repair_reroute": lambda s, d: _show(C.repair(_flagged(s, d), "reroute"), "owner_id", "last_action"),
     "repair_replay": lambda s, d: _show(C.repair(_flagged(s, d), "replay"), "lifecycle_stage", "last_action"),
     "repair_chain": lambda s, d: C.audit(C.replay(C.reroute(C.merge(_flagged(s, d))))).select("active", "ready", "n_duplicate_identity", "n_missing_owner", "n_stage_regression"),
-    "warehouse_merge": lambda s, d: _show(C.warehouse_merge(_flagged(s, d)), "canonical_contact_id", "record_status"),
+    "warehouse_merge": lambda s, d: _show(C.warehouse_merge(_some_left_out(s, d)), "canonical_contact_id", "record_status", "last_action"),
+    "warehouse_reroute": lambda s, d: _show(C.warehouse_reroute(_overloaded(s, d)), "owner_id", "last_action"),
+    "warehouse_replay": lambda s, d: _show(C.warehouse_replay(_some_left_out(s, d)), "lifecycle_stage", "last_action"),
+    "repair_receipt": lambda s, d: C.warehouse_repair(_some_left_out(s, d), "duplicate-surge", "approve", "req-1", "2024-02-01 00:00:00")["receipt"],
+    "repair_event": lambda s, d: C.warehouse_repair(_overloaded(s, d), "routing-overload", "approve", "req-2", "2024-02-01 00:00:00")["event"].select("event_id", "event_type", "region", "route_seconds", "is_duplicate"),
+    "repair_run": lambda s, d: C.warehouse_repair(_some_left_out(s, d), "stage-regression", "approve", "req-3", "2024-02-01 00:00:00")["run"],
     "contact_exclusions": lambda s, d: _show(C.exclude(_flagged(s, d), contacts(s, d).where("contact_id LIKE '%4'")), "excluded"),
     "contact_funnel": lambda s, d: C.stage_funnel(_flagged(s, d)),
     "contact_corrections": lambda s, d: _show(C.correct(_flagged(s, d), contacts(s, d).where("owner_id = ''").select("contact_id", F.lit("OWN-9").alias("owner_id"))), "owner_id"),
@@ -47,6 +60,7 @@ _n = lambda f: f"count(*) FILTER (WHERE list_contains(fl, '{f}')) n_{f}"  # noqa
 _drop = lambda f: f"array_to_string(list_filter(fl, lambda x: x <> '{f}'), '|')"
 _canon = "first_value(contact_id) OVER (PARTITION BY normalized_email ORDER BY CAST(raw_email <> lower(trim(raw_email)) AS INTEGER), contact_id)"
 _m = f"m AS (SELECT *, list_contains(fl, 'duplicate_identity') d, {_canon} canon FROM f)"
+_W = f"WITH {CONTACTS_SQL}, {_flag_sql('contacts', 'contact_id LIKE $$%4$$')}, m AS (SELECT *, list_contains(fl, 'duplicate_identity') d, first_value(contact_id) OVER (PARTITION BY normalized_email, list_contains(fl, 'duplicate_identity') ORDER BY CAST(raw_email <> lower(trim(raw_email)) AS INTEGER), contact_id) canon FROM f), o AS (SELECT *, d AND canon <> contact_id other FROM m) "
 _re = "(lower(region) = 'northeast' AND lower(segment) = 'enterprise' AND owner_id <> 'NE-ENT-OVERFLOW')"
 ORACLES = {
     "contact_flags": F_SQL + "SELECT contact_id, normalized_email, array_to_string(fl, '|') flags FROM f",
@@ -61,7 +75,12 @@ SELECT count(*) AS rows, count(*) active, count(*) FILTER (WHERE NOT {_B}) ready
     "repair_chain": F_SQL
     + f""", {_m}, r AS (SELECT list_filter(fl, lambda x: x NOT IN ('duplicate_identity', 'stage_regression') AND NOT (x = 'missing_owner' AND {_re})) fl FROM m WHERE NOT (d AND canon <> contact_id))
 SELECT count(*) active, count(*) FILTER (WHERE NOT {_B}) ready, {_n('duplicate_identity')}, {_n('missing_owner')}, {_n('stage_regression')} FROM r""",
-    "warehouse_merge": F_SQL + f", {_m} SELECT contact_id, CASE WHEN d THEN canon END canonical_contact_id, CASE WHEN d AND canon <> contact_id THEN 'merged' ELSE 'active' END record_status, CASE WHEN d AND canon <> contact_id THEN array_to_string(fl, '|') ELSE {_drop('duplicate_identity')} END flags FROM m",
+    "warehouse_merge": _W + f"SELECT contact_id, CASE WHEN other THEN canon END canonical_contact_id, CASE WHEN other THEN 'merged' ELSE 'active' END record_status, CASE WHEN other THEN 'merged_into_canonical' WHEN d THEN 'canonical_record_retained' END last_action, CASE WHEN other THEN array_to_string(fl, '|') ELSE {_drop('duplicate_identity')} END flags FROM o",
+    "warehouse_reroute": F_SQL + "SELECT contact_id, CASE WHEN owner_id <> 'NE-ENT-01' THEN owner_id WHEN region = 'Northeast' AND segment = 'Enterprise' THEN 'CE-ENT-OVERFLOW' ELSE 'NE-ENT' END owner_id, CASE WHEN owner_id = 'NE-ENT-01' AND region = 'Northeast' AND segment = 'Enterprise' THEN 'rerouted_from_ne_enterprise' END last_action, array_to_string(fl, '|') flags FROM f",
+    "warehouse_replay": _W + f"SELECT contact_id, CASE WHEN list_contains(fl, 'stage_regression') THEN expected_lifecycle_stage ELSE lifecycle_stage END lifecycle_stage, CASE WHEN list_contains(fl, 'stage_regression') THEN 'lifecycle_replayed' END last_action, {_drop('stage_regression')} flags FROM o",
+    "repair_receipt": _W + "SELECT true accepted, 'executed' status, 'duplicate-surge' scenario, 'approve' AS action, 'req-1' request_id, 'REPAIR-duplicate-surge-req-1' event_id, count(*) FILTER (WHERE other) affected_records, TIMESTAMP '2024-02-01' approved_at FROM o",
+    "repair_event": "SELECT 'REPAIR-routing-overload-req-2' event_id, 'repair_executed_routing-overload' event_type, 'routing-overload' region, 0 route_seconds, false is_duplicate",
+    "repair_run": _W + "SELECT 'req-3' run_id, 'stage-regression' scenario, 'approve' AS action, 'executed' status, count(*) FILTER (WHERE list_contains(fl, 'stage_regression')) affected_records, TIMESTAMP '2024-02-01' started_at, TIMESTAMP '2024-02-01' finished_at FROM o",
     "contact_exclusions": f"WITH {CONTACTS_SQL}, {_flag_sql('contacts', 'contact_id LIKE $$%4$$')} SELECT contact_id, excluded, array_to_string(fl, '|') flags FROM f",
     "contact_funnel": F_SQL + " UNION ALL ".join(f"SELECT '{s}' stage, count(*) FILTER (WHERE {_rank.format('lifecycle_stage')} >= {i + 1}) n FROM f" for i, s in enumerate(C.STAGES)),
     "contact_corrections": f"WITH {CONTACTS_SQL}, fixed AS (SELECT * REPLACE (CASE WHEN owner_id = '' THEN 'OWN-9' ELSE owner_id END AS owner_id) FROM contacts), {_flag_sql('fixed')} SELECT contact_id, owner_id, array_to_string(fl, '|') flags FROM f",

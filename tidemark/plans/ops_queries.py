@@ -35,9 +35,9 @@ def _observations(s, d):
 
 
 _OBS = """o AS (SELECT CAST(user_id AS VARCHAR) record_id, 'owner' field, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'o' || (event_id % 2) END AS value, date_trunc('minute', ts) AS "at" FROM events),
-one AS (SELECT record_id, field, "at", max(value) AS after, count(DISTINCT value) > 1 ambiguous FROM o GROUP BY 1, 2, 3),
-seen AS (SELECT *, lag(after) OVER w AS before, row_number() OVER w n FROM one WINDOW w AS (PARTITION BY record_id, field ORDER BY "at")),
-ch AS (SELECT record_id, field, before, after, "at", ambiguous FROM seen WHERE n > 1 AND before IS DISTINCT FROM after)"""
+one AS (SELECT record_id, field, "at", max(value) AS after, count(DISTINCT coalesce(value, chr(0))) > 1 ambiguous FROM o GROUP BY 1, 2, 3),
+seen AS (SELECT *, lag(after) OVER w AS before, row_number() OVER w n FROM one WHERE NOT ambiguous WINDOW w AS (PARTITION BY record_id, field ORDER BY "at")),
+ch AS (SELECT record_id, field, before, after, "at" FROM seen WHERE n > 1 AND before IS DISTINCT FROM after)"""
 
 
 def _clears(s, d):
@@ -79,6 +79,7 @@ QUERIES = {
     "account_matches": lambda s, d: R.match_accounts(table(s, d, "customer").select(F.col("c_custkey").alias("request_id"), F.concat(F.lit("Nation "), (F.col("c_custkey") % 30).cast("string")).alias("company"), F.concat(F.lit("a@n"), (F.col("c_nationkey")).cast("string"), F.lit(".com")).alias("email")), table(s, d, "nation").select(F.col("n_nationkey").alias("account_id"), F.concat(F.lit(" nation  "), F.col("n_nationkey").cast("string")).alias("name"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit(".com")).alias("domain"))),
     "field_changes": lambda s, d: N.changes(_observations(s, d)),
     "bulk_clears": _clears,
+    "ambiguous_values": lambda s, d: N.ambiguous(_observations(s, d)),
     "reversals": lambda s, d: N.reversals(N.changes(_observations(s, d))),
     "activity_drop": lambda s, d: N.activity_drop(table(s, d, "events").select(F.col("event_type").alias("kind"), F.col("user_id").alias("record_id"), F.col("ts").alias("at")), "2024-02-01 00:00:00"),
     "broken_links": lambda s, d: N.broken_links(table(s, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_custkey").alias("target_id")), table(s, d, "customer").where("c_custkey % 50 <> 0").select(F.col("c_custkey").alias("id"))),
@@ -107,8 +108,10 @@ ORACLES = {
 p AS (SELECT request_id, count(*) hits, count(*) FILTER (WHERE bn = 1 AND bd = 1) whole, min(CASE WHEN bn = 1 AND bd = 1 THEN account_id END) a FROM h GROUP BY 1)
 SELECT request_id, CASE WHEN hits IS NULL THEN 'new' WHEN whole = 1 AND hits = 1 THEN 'matched' ELSE 'conflict' END status, CASE WHEN whole = 1 AND hits = 1 THEN a END account_id FROM r LEFT JOIN p USING (request_id)""",
     "field_changes": f"WITH {_OBS} SELECT * FROM ch",
-    "bulk_clears": f'''WITH {_OBS}, g AS (SELECT field, record_id, unnest([CAST(floor(epoch("at") / 1800) AS BIGINT), CAST(floor(epoch("at") / 1800) AS BIGINT) + 1]) slot FROM ch WHERE after = '' AND coalesce(before, '') <> ''), p AS (SELECT field, slot, count(DISTINCT record_id) records FROM g GROUP BY 1, 2) SELECT field, slot, records, round(records / CAST((SELECT count(DISTINCT user_id) FROM events) AS DOUBLE), 6) AS share FROM p WHERE records >= 3 AND round(records / CAST((SELECT count(DISTINCT user_id) FROM events) AS DOUBLE), 6) >= 0.01''',
-    "reversals": f'''WITH {_OBS}, c AS (SELECT a.record_id, a.field, a."at", count(*) n FROM ch a JOIN ch b ON a.record_id = b.record_id AND a.field = b.field AND b."at" <= a."at" AND epoch(a."at") - epoch(b."at") <= 86400 AND b.before IS NOT DISTINCT FROM a.after AND b.after IS NOT DISTINCT FROM a.before GROUP BY 1, 2, 3 HAVING count(*) >= 3) SELECT record_id, field, CAST(max(n) AS INTEGER) reversals, min("at") first_at FROM c GROUP BY 1, 2''',
+    "bulk_clears": f'''WITH {_OBS}, c AS (SELECT * FROM ch WHERE after = '' AND before <> ''), t AS (SELECT DISTINCT field, "at" FROM c), w AS (SELECT t.field, t."at", count(DISTINCT c.record_id) records FROM t JOIN c ON c.field = t.field AND c."at" <= t."at" AND c."at" >= t."at" - INTERVAL 30 MINUTE GROUP BY 1, 2)
+SELECT field, "at", records, round(records / CAST((SELECT count(DISTINCT user_id) FROM events) AS DOUBLE), 6) share FROM w WHERE records >= 3 AND records / CAST((SELECT count(DISTINCT user_id) FROM events) AS DOUBLE) >= 0.01''',
+    "ambiguous_values": f'WITH {_OBS} SELECT record_id, field, "at" FROM one WHERE ambiguous',
+    "reversals": f'''WITH {_OBS}, c AS (SELECT a.record_id, a.field, a."at", count(*) n FROM ch a JOIN ch b ON a.record_id = b.record_id AND a.field = b.field AND b."at" <= a."at" AND epoch(a."at") - epoch(b."at") <= 86400 AND b.before IS NOT DISTINCT FROM a.after AND b.after IS NOT DISTINCT FROM a.before GROUP BY 1, 2, 3 HAVING count(*) >= 3) SELECT record_id, field, CAST(max(n) AS BIGINT) reversals, min("at") first_at FROM c GROUP BY 1, 2''',
     "activity_drop": f"SELECT event_type kind, {_act.format(0, 86400)} recent, {_act.format(86400, 172800)} previous FROM events GROUP BY 1 HAVING recent = 0 AND previous >= 10",
     "broken_links": "SELECT o_orderkey record_id, o_custkey target_id FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_custkey % 50 <> 0)",
     "upsert_newest": "SELECT o_custkey, o_orderdate, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC, o_orderstatus DESC) r FROM orders) WHERE r = 1",
