@@ -111,7 +111,9 @@ class Model:
         self.classes = np.arange(n) if classes is None else classes
         self.p_class = np.bincount(self.classes, self.p)
         self.ends = np.concatenate([[0], np.cumsum(np.bincount(self.classes))])  # a class's words stand together
-        self.r, self.q, self.k = ((0.3 * rng.standard_normal((m, DIM))).astype(np.float32) for m in (n, n, len(self.p_class)))
+        self.r, self.q, self.k = (rng.standard_normal((m, DIM), np.float32) for m in (n, n, len(self.p_class)))
+        for part in (self.r, self.q, self.k):
+            part *= np.float32(0.3)
         self.q[:, -1], self.k[:, -1] = np.log(self.p), np.log(self.p_class)
         self.c = np.ones((2, DIM), np.float32)
 
@@ -322,9 +324,12 @@ def train(texts: DataFrame, common: list[bytes], frequency: np.ndarray, tokens:
         few = max(1, int(tokens * (FIRST, 16 - FIRST)[turn] / 16) // SHARD)
         learned = some.coalesce(few).mapInArrow(run, "i int, w float, " + ", ".join(f"{c} float" for c in columns))
         sums = learned.groupBy("i").agg(F.sum("w").alias("w"), *(F.sum(c).alias(c) for c in columns)).select("i", *((F.col(c) / F.col("w")).cast("float").alias(c) for c in columns)).toArrow()  # as many rows at most as the model
-        flat = model.flat()
-        flat[sums.column("i").to_numpy()] += np.stack([sums.column(c).to_numpy() for c in columns], axis=1)
+        flat, at = model.flat(), sums.column("i").to_numpy()
+        for d, c in enumerate(columns):
+            flat[at, d] += sums.column(c).to_numpy()
+        del sums
         model.set_flat(flat)
+        del flat
         start.unpersist()
     known.unpersist()
     return model
@@ -351,9 +356,9 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least = known_from(counts)
     top = counts.where((F.col("c") >= least) & (F.col("word") != END_WORD)).toArrow()  # at most KNOWN rows
-    pairs = sorted(zip(top.column("c").to_pylist(), top.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
-    words, c_known = [w.encode() for _, w in pairs], np.array([c for c, _ in pairs], np.int64)
-    del top, pairs
+    top = top.sort_by([("c", "descending"), ("word", "ascending")])
+    words, c_known = top.column("word").cast(pa.binary()).to_pylist(), top.column("c").to_numpy().astype(np.int64)
+    del top
     ends = counts.where(F.col("word") == END_WORD).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     n_tail, v_tail = int(n - ends - c_known.sum()), int(v - (ends > 0) - len(words))
     # half a token for what was never seen
