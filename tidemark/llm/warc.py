@@ -8,7 +8,7 @@ others become revisits that refer to it and leave the payload out. ``write_warc`
 with Spark's own committer (so a lost executor leaves no half file), ``read_warc`` reads them by declared
 lengths.
 
-Archives are gzip files of whole records; a file holds at most RECORDS_PER_FILE of them. Only
+Archives are gzip files of whole records, of FILE_BYTES at most before packing (a longer record stands alone). Only
 (digest, id) pairs meet for the grouping, summed before they are shuffled; the table of repeated payloads is
 broadcast only if it was counted and is small, else joined with the skewed side split.
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, hint_if_small, small_batches
 
-MIN_REVISIT, RECORDS_PER_FILE = 100, 10_000
+MIN_REVISIT, FILE_BYTES = 100, 32 << 20
 END = "\r\n\r\n"
 # The header fields of both ARC versions.
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
@@ -207,8 +207,8 @@ def arc_records(archives: DataFrame) -> DataFrame:
     return archives.select("archive", "content").mapInArrow(run, "id long, url string, ip string, date string, kind string, block binary, payload_bytes long, digest string")
 
 
-def to_warc(spark: SparkSession, records: DataFrame, min_revisit: int = MIN_REVISIT, scratch: Scratch | None = None) -> DataFrame:
-    """The WARC record (binary column record) of every ARC record, revisits decided over all of them."""
+def to_warc(spark: SparkSession, records: DataFrame, min_revisit: int = MIN_REVISIT, scratch: Scratch | None = None, file_bytes: int = 0) -> DataFrame:
+    """The WARC record (binary column record) of every ARC record, revisits decided over all of them; with file_bytes, rows of so many bytes at most that hold whole records, END between them."""
     scratch = scratch or Scratch(spark, "warc")
     named = F.struct("id", "url", "date")
     repeated = records.where(F.col("id").isNotNull() & (F.col("payload_bytes") >= min_revisit)).groupBy("digest").agg(F.min(named).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -217,17 +217,29 @@ def to_warc(spark: SparkSession, records: DataFrame, min_revisit: int = MIN_REVI
     joined = joined.withColumn("refers", F.when((F.col("payload_bytes") >= min_revisit) & ~F.col("first").eqNullSafe(F.col("id")), F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = dict(zip(b.schema.names, (x.to_pylist() for x in b.columns), strict=True))
-            rows = [(warc_record(*x),) for x in zip(c["url"], c["ip"], c["date"], c["kind"], c["block"], c["id"], c["refers"], c["name"], strict=True)]
-            yield _batch(rows, [("record", pa.binary())])
+        kind, held, size = [("record", pa.binary())], [], 0
+        for whole in batches:
+            for b in small_batches([whole], 4):
+                c = dict(zip(b.schema.names, (x.to_pylist() for x in b.columns), strict=True))
+                made = [warc_record(*x) for x in zip(c["url"], c["ip"], c["date"], c["kind"], c["block"], c["id"], c["refers"], c["name"], strict=True)]
+                if not file_bytes:
+                    yield _batch([(r,) for r in made], kind)
+                    continue
+                for r in made:
+                    if held and size + len(r) > file_bytes:
+                        yield _batch([(END.encode().join(held),)], kind)
+                        held, size = [], 0
+                    held.append(r)
+                    size += len(r) + len(END)
+        if held:
+            yield _batch([(END.encode().join(held),)], kind)
 
     return joined.select("url", "ip", "date", "kind", "block", "id", "refers", "name").mapInArrow(run, "record binary")
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Archives of binary records. Spark's text writer adds the two line ends of the format after each."""
-    records.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    """An archive per row of binary records. Spark's text writer adds the two line ends of the format after each."""
+    records.select(F.col("record").cast("string").alias("value")).write.mode("overwrite").option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -262,5 +274,5 @@ def convert_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "warc")
     records = arc_records(legacy_archives(pages))
     path = scratch.path("archives")
-    write_warc(to_warc(spark, records, scratch=scratch), path)
+    write_warc(to_warc(spark, records, scratch=scratch, file_bytes=FILE_BYTES), path)
     return read_warc(spark, path)
