@@ -178,7 +178,7 @@ def brute_components(texts, n, percent=80):
 @pytest.mark.parametrize("small", [2, 24])
 def test_near_duplicates_against_brute_force(spark, docs, empty, monkeypatch, small):
     monkeypatch.setattr(neardup, "SMALL", small)
-    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "HOT", 2 * small)
     texts = {r[0]: r[1] or "" for r in rows() if r[0] is not None}
     sets, label = brute_components(texts, 2)
     got = neardup.near_duplicates(spark, docs, n=2).collect()
@@ -195,8 +195,8 @@ def test_drop_near_duplicates(spark, docs):
     assert left == collections.Counter({k: 1 for k, v in label.items() if k == v} | {None: 1})
 
 
-def test_streamed_groups_keep_their_pairs(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "HELD", 5)
+def test_hot_keys_keep_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "HOT", 5)
     texts = {i: rows_text(i) for i in range(40)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
     _, label = brute_components(texts, 2)

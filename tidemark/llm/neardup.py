@@ -9,8 +9,9 @@
 3. Rows of a key meet sorted, in a stream. Pairs whose set sizes rule the similarity out, or whose 2-bit
    signatures differ in more than SKETCH_MOST of 60 positions (expected 9, 24 is over five deviations away),
    are left out. Keys of up to SMALL classes give their pairs; larger ones give each member's pair with one
-   centre, then that of each member not yet in the commonest component with another centre. What is still
-   apart is held against all of its keys' classes in blocks, with an index of shingles (``across``). So a group
+   centre, then that of each member not yet in the commonest component with a centre of that. Keys of more than HOT classes never meet in one
+   task: they are counted first, and their rows are joined with their centres where they are. What is still
+   apart in large keys is joined by shingles (``across``): two similar sets share one of each other's rarest shingles. So a group
    of n near copies costs about n pairs, no pairs of a group are ever rows, and no link between components
    is missed.
 4. Pairs are confirmed by comparing their full sets; links give connected components.
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, hint_if_small, packed, small_batches
@@ -42,9 +43,7 @@ SHINGLE, PERCENT = 5, 80
 POSITIONS, CHUNKS = 60, 12
 PER = POSITIONS // CHUNKS
 RADIUS = 2 * CHUNKS - 1
-SMALL, SKETCH_MOST, STAR_ROUNDS, BLOCK = 24, 24, 1, 500
-#: A group longer than this is streamed past its centre rather than held.
-HELD = 200_000
+SMALL, SKETCH_MOST, HOT = 24, 24, 1000
 #: Ids of a join's smaller side that are broadcast at most (16 bytes each).
 IDS = 400_000
 
@@ -142,124 +141,98 @@ def index_keys(classes: DataFrame) -> DataFrame:
     return classes.select("set_id", "n_shingles", "sig").mapInArrow(run, "key long, id long, n long, out int, s1 long, s2 long")
 
 
-MEMBER = ("key", "id", "n", "out", "s1", "s2", "label")
-_ODD_BITS = np.int64(0x5555555555555555)
+MEMBER = ("key", "id", "n", "out", "s1", "s2")
+_EVEN_BITS = 0x5555555555555555
 
 
 def _plausible(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Which row pairs can be similar: by labels, sizes, 2-bit signatures, and met only at the first key of a chunk they agree on."""
-    ok = c["label"][i] != c["label"][j]
+    """Which row pairs can be similar: by sizes, 2-bit signatures, and met only at the first key of a chunk they agree on."""
     n, m = c["n"][i], c["n"][j]
-    ok &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    ok = (c["id"][i] != c["id"][j]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
     ok &= (c["out"][i] != c["out"][j]) | (c["out"][i] >> 16 == 0)
     i, j = i[ok], j[ok]
     off = np.zeros(len(i), np.uint8)
     for s in ("s1", "s2"):
         x = c[s][i] ^ c[s][j]
-        off += np.bitwise_count((x | x >> 1) & _ODD_BITS)
+        off += np.bitwise_count((x | x >> 1) & np.int64(_EVEN_BITS))
     ok[ok] = off <= SKETCH_MOST
     return ok
 
 
-def _pairs(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    ok = _plausible(c, i, j, percent)
-    a, b = c["id"][i[ok]], c["id"][j[ok]]
-    return np.minimum(a, b), np.maximum(a, b)
+def plausible(percent: int) -> Column:
+    """The same of a row and its key's centre (c_id, c_n, ...), as a column."""
+    off = lambda k: F.bit_count((x := F.col(k).bitwiseXOR(F.col(f"c_{k}"))).bitwiseOR(F.shiftright(x, 1)).bitwiseAND(F.lit(_EVEN_BITS)))
+    first = (F.col("out") != F.col("c_out")) | (F.shiftright("out", 16) == 0)
+    return (F.col("id") != F.col("c_id")) & (100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")) & first & (off("s1") + off("s2") <= SKETCH_MOST)
 
 
-def meet(rows: DataFrame, percent: int, mode: str, turn: int = 0) -> DataFrame:
-    """Pairs (member false: a, b) of the rows of each key, and (member true) the rows of keys with more than SMALL. rows: MEMBER columns.
+def _centre() -> Column:
+    """The row with the least digest of its id, as a struct."""
+    return F.min(F.struct(F.xxhash64("id").alias("c_h"), *(F.col(k).alias(f"c_{k}") for k in MEMBER[1:])))
 
-    mode ``first``: all pairs of small keys, one centre for large ones. ``star``: each key's rows against one of its
-    commonest label, another each turn.
-    """
 
-    def centre(c: dict[str, np.ndarray]) -> int:
-        labels, counts = np.unique(c["label"], return_counts=True)
-        mine = np.flatnonzero(c["label"] == labels[np.argmax(counts)])
-        order = _scramble(c["id"][mine].view(np.uint64) ^ _MIX[20 + turn])
-        return int(mine[np.argmin(order)])
+def _pair_columns() -> list[Column]:
+    return [F.least("id", "c_id").alias("a"), F.greatest("id", "c_id").alias("b")]
 
-    def group(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        everyone = np.arange(len(c["id"]))
-        yield _pairs(c, np.full(len(everyone), centre(c)), everyone, percent)
 
+def meet(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (member false: a, b) of the rows of each key, and (member true) the rows of keys with more than SMALL: all pairs of small keys, one centre for larger ones. rows: MEMBER columns, no key of more than some thousand."""
     kinds = [("member", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("out", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64())]
 
-    def pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if found and (m := sum(len(a) for a, _ in found)):
-            ab = np.unique(np.stack([np.concatenate([f[k] for f in found]) for k in (0, 1)], axis=1), axis=0)
+    def pairs(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = _plausible(c, i, j, percent)
+        ab = np.stack([c["id"][i[ok]], c["id"][j[ok]]], axis=1)
+        ab.sort(axis=1)
+        return ab
+
+    def pair_batch(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if found and sum(map(len, found)):
+            ab = np.unique(np.concatenate(found), axis=0)
             m = len(ab)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, bool)), pa.array(ab[:, 0]), pa.array(ab[:, 1]), *(pa.nulls(m, t) for _, t in kinds[3:])], names=[k for k, _ in kinds])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, bool)), pa.array(np.ascontiguousarray(ab[:, 0])), pa.array(np.ascontiguousarray(ab[:, 1])), *(pa.nulls(m, t) for _, t in kinds[3:])], names=[k for k, _ in kinds])
+        found.clear()
 
     def member_batch(c: dict[str, np.ndarray]) -> pa.RecordBatch:
         m = len(c["id"])
         return pa.RecordBatch.from_arrays([pa.array(np.ones(m, bool)), pa.array(c["id"]), pa.nulls(m, pa.int64()), *(pa.array(c[k], t) for k, t in kinds[3:])], names=[k for k, _ in kinds])
 
+    def done(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Whole groups."""
+        starts = np.flatnonzero(np.concatenate([[True], c["key"][1:] != c["key"][:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(c["key"])]]))
+        found: list[np.ndarray] = []
+        for g in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]):
+            first = starts[sizes == g]
+            step = max(1, 500_000 // int(g * g))
+            x, y = np.triu_indices(g, 1)
+            for at in range(0, len(first), step):
+                f = first[at : at + step, None]
+                found.append(pairs(c, (f + x).ravel(), (f + y).ravel()))
+        for s, g in zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+            own = {k: v[s : s + g] for k, v in c.items()}
+            k = int(np.argmin(_scramble(own["id"].view(np.uint64))))
+            found.append(pairs(own, np.full(g, k), np.arange(g)))
+            if sum(map(len, found)) > 200_000:
+                yield from pair_batch(found)
+            # rows equal to the centre in the whole chunk meet again at the chunk's first key; more than SMALL of them, and that key is large
+            same = own["out"] == own["out"][k]
+            if own["out"][k] >> 16 and same.sum() > SMALL:
+                same[k] = False
+                own = {x: v[~same] for x, v in own.items()}
+            yield member_batch(own)
+        yield from pair_batch(found)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        middle: dict[str, np.ndarray] | None = None  # the centre of a group that is being streamed
-
-        def done(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            """Whole groups."""
-            starts = np.flatnonzero(np.concatenate([[True], c["key"][1:] != c["key"][:-1]]))
-            sizes = np.diff(np.concatenate([starts, [len(c["key"])]]))
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            for g in np.unique(sizes[(sizes > 1) & (sizes <= SMALL)]) if mode == "first" else ():
-                first = starts[sizes == g]
-                rows = max(1, 500_000 // int(g * g))
-                x, y = np.triu_indices(g, 1)
-                for at in range(0, len(first), rows):
-                    f = first[at : at + rows, None]
-                    found.append(_pairs(c, (f + x).ravel(), (f + y).ravel(), percent))
-            for s, g in zip(starts, sizes, strict=True) if mode != "first" else zip(starts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-                own = {k: v[s : s + g] for k, v in c.items()}
-                for pair in group(own):
-                    found.append(pair)
-                    if sum(len(a) for a, _ in found) > 200_000:
-                        yield from pair_batch(found)
-                        found.clear()
-                if mode == "first":
-                    # rows equal to the centre in the whole chunk meet again at the chunk's first key; more than SMALL of them, and that key is large
-                    k = centre(own)
-                    same = own["out"] == own["out"][k]
-                    if own["out"][k] >> 16 and same.sum() > SMALL:
-                        same[k] = False
-                        own = {x: v[~same] for x, v in own.items()}
-                    yield member_batch(own)
-            yield from pair_batch(found)
-
-        def past(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-            """Rows of a streamed group."""
-            joined = {k: np.concatenate([middle[k], v]) for k, v in c.items()}
-            n = len(joined["id"])
-            yield from pair_batch([_pairs(joined, np.zeros(n - 1, np.int64), np.arange(1, n), percent)])
-            if mode == "first":
-                yield member_batch(c)
-
         for b in batches:
             new = {k: np.asarray(b.column(i)) for i, k in enumerate(MEMBER)}
             c = {k: np.concatenate([held[k], v]) for k, v in new.items()} if held else new
             held = {}
-            if not len(c["key"]):
-                continue
-            if middle is not None:
-                same = int(np.searchsorted(c["key"], middle["key"][0], "right"))
-                if same:
-                    yield from past({k: v[:same] for k, v in c.items()})
-                c = {k: v[same:] for k, v in c.items()}
-                if not len(c["key"]):
-                    continue
-                middle = None
-            cut = int(np.searchsorted(c["key"], c["key"][-1], "left"))
-            if cut:
-                yield from done({k: v[:cut] for k, v in c.items()})
-            held = {k: v[cut:] for k, v in c.items()}
-            if len(held["key"]) > HELD:
-                k = centre(held)
-                middle = {x: v[k : k + 1] for x, v in held.items()}
-                yield from past(held)
-                held = {}
+            if len(c["key"]):
+                cut = int(np.searchsorted(c["key"], c["key"][-1], "left"))
+                if cut:
+                    yield from done({k: v[:cut] for k, v in c.items()})
+                held = {k: v[cut:] for k, v in c.items()}
         if held:
             yield from done(held)
 
@@ -267,6 +240,33 @@ def meet(rows: DataFrame, percent: int, mode: str, turn: int = 0) -> DataFrame:
     return near.mapInArrow(run, "member boolean, a long, b long, key long, n long, out int, s1 long, s2 long")
 
 
+def met_pairs(classes: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b), and the members (MEMBER) of keys with more than SMALL classes. Keys of more than HOT are found by counting (summed before the shuffle) and joined with their centres in place."""
+    keyed = index_keys(classes)
+    hot = scratch.table(keyed.groupBy("key").agg(F.count("*").alias("size"), _centre().alias("c")).where(F.col("size") > HOT).select("key", "c.*").drop("c_h"), "hot")
+    n_hot = hot.count()
+    cold = keyed if not n_hot else keyed.join(hint_if_small(hot.select("key"), n_hot), "key", "left_anti")
+    met = scratch.table(meet(cold, percent), "met")
+    pairs, members = met.where("NOT member").select("a", "b"), met.where("member").select("key", F.col("a").alias("id"), "n", "out", "s1", "s2")
+    if n_hot:
+        rows = scratch.table(keyed.join(hint_if_small(hot, n_hot), "key"), "hot-rows")
+        pairs = pairs.union(rows.where(plausible(percent)).select(*_pair_columns()))
+        # as in meet: what equals the centre in the whole chunk stands in the chunk's first key too
+        again = (F.shiftright("c_out", 16) != 0) & (F.col("out") == F.col("c_out"))
+        many = rows.where(again).groupBy("key").count().where(F.col("count") > SMALL).select("key", F.lit(True).alias("many"))
+        kept = rows.join(hint_if_small(many, bound=IDS), "key", "left").where(~(again & (F.col("id") != F.col("c_id")) & F.coalesce("many", F.lit(False))))
+        members = members.union(kept.select(*MEMBER))
+    return scratch.table(pairs.distinct(), "pairs"), scratch.table(members, "members")
+
+
+def star(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each key's rows (MEMBER and label) with a centre of the key's commonest label, where theirs is another."""
+    per = members.groupBy("key", "label").agg(F.count("*").alias("size"), _centre().alias("c"))
+    best = per.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("size", "label", "c")).alias("m")).where("labels > 1")
+    best = best.select("key", F.col("m.label").alias("c_label"), "m.c.*").drop("c_h")
+    return members.join(best, "key").where(F.col("label") != F.col("c_label")).where(plausible(percent)).select(*_pair_columns()).distinct()
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar. texts: id, text."""
     left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -289,54 +289,38 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
 
 
 def across(members: DataFrame, labels: DataFrame, texts: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that join components among the classes of large keys, by comparing full sets.
+    """Candidate pairs (a, b) that may join components among the classes of large keys.
 
-    Keys that share a class form a field. In each field the classes outside its commonest component are held against all of
-    its classes, in blocks of at most about BLOCK of each, each block with an index from shingles to classes: a similar
-    class holds one of any (1 - percent) of a class's shingles, so only the block's rarest ones are looked up.
+    Keys that share a class form a field. In a field the classes outside its commonest component are held against all of its classes by a
+    prefix join: shingles are ordered from the rarest among these classes to the commonest, and of two similar sets each holds one of the other's first
+    s - ceil(percent * s / 100) + 1 (s: its size), so only those are joined.
     """
     least = members.groupBy("key").agg(F.min("id").alias("b"))
     fields = components(members.join(least, "key").select(F.col("id").alias("a"), "b"), scratch).withColumnRenamed("label", "field")
     at = scratch.table(fields.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "fields")
     sizes = at.groupBy("field", "label").count().groupBy("field").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.sum("count").alias("all"), F.max("count").alias("top"))
-    open_fields = sizes.where("all > top").select("field", "most", F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("top")) / BLOCK).alias("chunks"))
-    rows = scratch.table(at.join(open_fields, "field").join(texts, "id"), "open")
-    deal = lambda seed, m: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(m))
-    each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))
-    keep = ("id", "label", "text", "field")
-    held = rows.select(*keep, deal(1, "blocks").alias("block"), each("chunks").alias("chunk"), F.lit(False).alias("asks"))
-    asks = rows.where("label <> most").select(*keep, each("blocks").alias("block"), deal(2, "chunks").alias("chunk"), F.lit(True).alias("asks"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids, labels, ask = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label", "asks"))
-        sets = [shingle_set((t.as_py() or "").encode(), n) for t in table.column("text")]
-        mine = np.flatnonzero(~ask)
-        owner = np.repeat(mine, [len(sets[i]) for i in mine])
-        tokens = np.concatenate([sets[i] for i in mine]) if len(mine) else np.empty(0, np.uint64)
-        order = np.argsort(tokens, kind="stable")
-        tokens, owner = tokens[order], owner[order]
-        sizes = np.array([len(x) for x in sets])
-        joined: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while joined.setdefault(x, x) != x:
-                joined[x] = x = joined[joined[x]]
-            return x
-
-        links: list[tuple[int, int]] = []
-        for q in np.flatnonzero(ask):
-            s = sets[q]
-            lo, hi = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
-            rare = np.argsort(hi - lo)[: len(s) - -(-percent * len(s) // 100) + 1]
-            near = np.unique(np.concatenate([owner[lo[k] : hi[k]] for k in rare]))
-            for i in near[(labels[near] != labels[q]) & (100 * np.minimum(sizes[near], sizes[q]) >= percent * np.maximum(sizes[near], sizes[q]))]:
-                x, y = root(int(labels[q])), root(int(labels[i]))
-                if x != y and similar(s, sets[i], percent):
-                    joined[x] = y
-                    links.append((min(ids[q], ids[i]), max(ids[q], ids[i])))
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
-
-    return held.unionByName(asks).groupBy("field", "block", "chunk").applyInArrow(compare, "a long, b long")
+    open_rows = at.join(sizes.where("all > top").select("field", "most"), "field").join(texts, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in small_batches([whole], 4, 2 << 20):
+                sets = [shingle_set((t.as_py() or "").encode(), n).view(np.int64) for t in b.column(4)]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))], names=["id", "field", "label", "most", "tokens"])
+
+    rows = scratch.table(open_rows.select("id", "field", "label", "most", "text").mapInArrow(run, "id long, field long, label long, most long, tokens array<long>"), "open")
+    each = rows.select("id", F.explode("tokens").alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")  # a shingle of one class joins nothing
+    ranked = each.join(counts, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
+    size = F.size("tokens")
+    prefix = size - F.ceil(size * percent / 100) + 1
+    # shingles of one class come first in the order, and take their places of the prefix
+    held = F.slice("common", F.lit(1), F.greatest(prefix - (size - F.size("common")), F.lit(0)).cast("int"))
+    heads = rows.join(ranked, "id").select("id", "field", "label", "most", size.alias("size"), F.explode(held).alias("t")).select("id", "field", "label", "most", "size", "t.token")
+    heads = scratch.table(heads, "heads")
+    asks = heads.where("label <> most").select(F.col("id").alias("x"), F.col("label").alias("lx"), F.col("size").alias("sx"), "field", "token")
+    met = asks.join(heads.select("id", "label", "size", "field", "token"), ["field", "token"]).where((F.col("label") != F.col("lx")) & (100 * F.least("size", "sx") >= percent * F.greatest("size", "sx")))
+    return met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
@@ -345,9 +329,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     rows = scratch.table(signatures(docs, id_col, text_col, n), "signatures")
     classes = rows.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig"))
     classes = scratch.table(classes, "classes")
-    met = scratch.table(meet(index_keys(classes).withColumn("label", F.col("id")), percent, "first"), "met")
-    pairs = scratch.table(met.where("NOT member").select("a", "b").distinct(), "pairs")
-    members = met.where("member").select("key", F.col("a").alias("id"), "n", "out", "s1", "s2")
+    pairs, members = met_pairs(classes, percent, scratch)
     # whole texts of the classes that have a pair or stand in a large key
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(members.select("id")).distinct()
     wanted = scratch.table(wanted.join(classes.select("set_id", "first"), "set_id").where("first IS NOT NULL"), "wanted")
@@ -359,18 +341,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     labels = components(links, scratch)
     if not members.isEmpty():
         tested, every = pairs, links
-        for turn in range(STAR_ROUNDS):
+        for step in ("star", "across"):
             labels = scratch.table(labels, "labels")
-            now = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-            open_keys = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-            more = scratch.table(meet(now.join(open_keys, "key", "left_semi"), percent, "star", turn).select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "more")
+            if step == "star":
+                more = star(members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), percent)
+            else:
+                more = across(members, labels, texts, n, percent, scratch)
+            more = scratch.table(more.join(tested, ["a", "b"], "left_anti"), "more")
             new = scratch.table(confirm(more, texts, n, percent), "links")
             tested, every = tested.union(more), every.union(new)
             if not new.isEmpty():
                 labels = components(every, scratch)
-        new = scratch.table(across(members, scratch.table(labels, "labels"), texts, n, percent, scratch), "links")
-        if not new.isEmpty():
-            labels = components(every.union(new), scratch)
     ids = labels.join(classes.select(F.col("set_id").alias("id"), "first"), "id")
     names = ids.groupBy("label").agg(F.min("first").alias("component"))
     named = ids.join(names, "label").select(F.col("id").alias("set_id"), "component")
