@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # Lifecycle stages in order, and the routing target in seconds.
 STAGES = ("lead", "mql", "sql", "opportunity", "closed_won")
@@ -14,8 +13,10 @@ SLA_SECONDS = 120
 def staged(events: DataFrame) -> DataFrame:
     """Trimmed lower-case text columns; the version of each event ingested last (ties: the greatest stage, then timestamp)."""
     clean = events.withColumns({c: F.lower(F.trim(c)) for c in ("event_type", "lifecycle_stage")}).withColumns({c: F.trim(c) for c in ("region", "segment")})
-    last = Window.partitionBy("event_id").orderBy(F.desc("ingested_at"), F.desc("lifecycle_stage"), F.desc("event_timestamp"))
-    return clean.withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r")
+    # the greatest struct, so versions are dropped before the shuffle
+    order = ("ingested_at", "lifecycle_stage", "event_timestamp")
+    last = clean.groupBy("event_id").agg(F.max(F.struct(*order, *(c for c in clean.columns if c not in ("event_id", *order)))).alias("r"))
+    return last.select(*(F.col("event_id") if c == "event_id" else F.col(f"r.{c}") for c in clean.columns))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -24,9 +25,13 @@ def _ratio(a: Column, b: Column) -> Column:
 
 def funnel(stage: DataFrame) -> DataFrame:
     """Distinct leads that reached each stage or a later one, and won revenue, by month, segment and region."""
-    reached = {s: F.countDistinct(F.when(F.col("lifecycle_stage").isin(*STAGES[i:]), F.col("lead_id"))).alias(f"{s}s") for i, s in enumerate(STAGES)}
-    won = F.sum(F.when(F.col("lifecycle_stage") == "closed_won", F.col("opportunity_amount"))).alias("won_revenue")
-    return stage.groupBy(F.date_trunc("month", "event_timestamp").cast("date").alias("month"), "segment", "region").agg(*reached.values(), F.coalesce(won, F.lit(0)).alias("won_revenue"))
+    # each lead's furthest stage first: one pass, where distinct counts would expand every row once a stage
+    rank = F.coalesce(*(F.when(F.col("lifecycle_stage") == s, F.lit(i)) for i, s in enumerate(STAGES)), F.lit(-1))
+    keys = ("month", "segment", "region")
+    won = F.when(F.col("lifecycle_stage") == STAGES[-1], F.col("opportunity_amount"))
+    per = stage.withColumn("month", F.date_trunc("month", "event_timestamp").cast("date")).groupBy(*keys, "lead_id").agg(F.max(rank).alias("rank"), F.sum(won).alias("won"))
+    reached = [F.count_if(F.col("lead_id").isNotNull() & (F.col("rank") >= i)).alias(f"{s}s") for i, s in enumerate(STAGES)]
+    return per.groupBy(*keys).agg(*reached, F.coalesce(F.sum("won"), F.lit(0)).alias("won_revenue"))
 
 
 def routing_sla(stage: DataFrame, event_type: str = "lifecycle_changed", seconds: int = SLA_SECONDS) -> DataFrame:

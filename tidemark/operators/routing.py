@@ -37,12 +37,10 @@ def triage(leads: DataFrame) -> DataFrame:
 
 
 def policy_routes(leads: DataFrame, policies: DataFrame) -> DataFrame:
-    """Each lead's first policy by priority and name: score at or above its least score, segment blank or equal but for case. policies is a small rule table of at most 1000 rows (checked)."""
-    if policies.limit(1001).count() > 1000:
-        raise ValueError("more than 1000 policies")
-    p = F.broadcast(policies.select(F.col("name").alias("policy"), "priority", "min_score", F.col("segment").alias("policy_segment"), "queue"))
-    fits = (F.col("score") >= F.col("min_score")) & ((F.coalesce("policy_segment", F.lit("")) == "") | (F.lower("policy_segment") == F.lower("segment")))
-    best = leads.join(p, fits, "left").groupBy("lead_id").agg(F.min(F.struct("priority", "policy", "queue")).alias("p"))
+    """Each lead's first policy by priority and name: score at or above its least score, segment blank or equal but for case. Leads meet the policies of their segment and the blank ones by key."""
+    p = policies.select(F.col("name").alias("policy"), "priority", "min_score", F.lower(F.coalesce("segment", F.lit(""))).alias("__key"), "queue")
+    met = leads.select("lead_id", "score", F.explode(F.array_distinct(F.array(F.lit(""), F.lower(F.coalesce("segment", F.lit("")))))).alias("__key")).join(p, "__key").where("score >= min_score")
+    best = leads.select("lead_id").distinct().join(met.groupBy("lead_id").agg(F.min(F.struct("priority", "policy", "queue")).alias("p")), "lead_id", "left")
     return best.select("lead_id", "p.policy", "p.queue", F.when(F.col("p.policy").isNull(), "no_policy").otherwise("routed").alias("status"))
 
 
