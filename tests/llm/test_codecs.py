@@ -226,3 +226,56 @@ def test_lm_words_beyond_the_commonest_have_their_own_vectors():
     crossed = m.log_p(pairs[::-1, 0].copy(), pairs[::-1, 1].copy(), pairs[:, 2])
     same_class = np.array([np.flatnonzero(m.classes == m.classes[x])[0] for x in pairs[:, 2]])
     assert (right > crossed + 0.5).all() and (right > m.log_p(pairs[:, 0], pairs[:, 1], same_class) + 3).all()
+
+
+def brute_windows(html, k=html_text.K, margin=html_text.MARGIN):
+    """Surge and dive by direct sums over every window of an unmarked page's lines."""
+    lines = html_text.lines_of(html)
+    own = [x[1] for x in lines]
+    total = lambda i: sum(own[i : i + k])
+    least = min(margin, max((total(i) for i in range(len(lines))), default=0) / 5)
+    out, i = [], 0
+    while i < len(lines):
+        if total(i) > least:
+            j = i
+            while j < len(lines) and total(j) > 0:
+                j += 1
+            first = next(x for x in range(i, j) if own[x])
+            out += [lines[x][0] for x in range(first, j) if lines[x][0]]
+            i = j
+        else:
+            i += 1
+    return "\n".join(out)
+
+
+def test_windows_decide_on_unmarked_pages():
+    rng = random.Random(6)
+    seen = set()
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randint(0, 14)):
+            text = "w" * rng.choice((3, 20, 60, 100, 200))
+            parts.append(rng.choice((f"<p>{text}</p>", f"<p><a href=x>{text}</a></p>", f"<nav>{text}</nav>", f"<div class=related><p>{text}</p></div>", f"<div class=share><a href=x>{text}</a> s</div>", "<script>x</script>", f"{text}<br>")))
+        page = f"<html><body>{''.join(parts)}</body></html>"
+        got = html_text.main_text(page)
+        assert got == brute_windows(page), page
+        seen.add(bool(got))
+    assert seen == {True, False}
+
+
+def test_marks_give_way_to_windows():
+    """Most pages give the same text when their article marks are taken away."""
+    import pyarrow.parquet as pq
+
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    pages = [h or "" for h in pq.read_table(path, columns=["html"]).column(0).to_pylist()]
+    same = sum(html_text.main_text(h) == html_text.main_text(re.sub(r"</?article[^>]*>", "", h)) for h in pages)
+    assert same >= 0.9 * len(pages)
+
+
+def test_names_that_suggest_boilerplate_need_links():
+    long = "word " * 40
+    page = f"<article><p>{long}</p><section id=discussion><p>{long}</p></section><div class=related><a href=x>{long}</a></div><p>1 <math><mi>x</mi></math></p></article>"
+    assert html_text.main_text(page) == f"{long.strip()}\n{long.strip()}\n1 x"
