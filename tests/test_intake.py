@@ -39,3 +39,31 @@ def test_attempts_hold_an_event(spark):
     q = spark.createDataFrame([("1", "a", None, False, 0), ("2", "a", None, False, 2), ("3", "a", "2024-01-01", False, 2)], "id string, account_id string, processed_at string, held boolean, attempts int").withColumns({"received_at": F.lit("2024-01-01").cast("timestamp_ntz"), "next_attempt_at": F.lit(None).cast("timestamp_ntz")})
     got = {r.id: (r.attempts, r.held) for r in intake.after_failures(q, q.select("id"), F.lit("2024-02-01").cast("timestamp_ntz")).collect()}
     assert got == {"1": (1, False), "2": (3, True), "3": (2, False)}
+
+
+def test_tolerant_reading_and_contact_round_trip(spark, tmp_path):
+    from tidemark.sources import csv_files as C
+
+    assert C.parse_tolerant('a,b\nx"y"z,"p,""q"" r"\n\n1,2') == [["a", "b"], ["xyz", 'p,"q" r'], [""], ["1", "2"]]
+    for bad in ('a,b\n"x', "a,b\n1\n"):
+        try:
+            C.parse_tolerant(bad)
+        except C.CsvError:
+            continue
+        raise AssertionError(bad)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/x.csv").write_text('record_id,given_name,surname,email,issues,recordstatus,target_stage,import_skip_reason,import_skipped_at\n1,Ada,Smith,A+b@X.com,"a; B|a",merged,sql,,\n1,Bo,Li,,,,,,\n3,,,c@x.com,,active,,later,2026-09-27T22:00:00.000Z\n4,,,d@x.com,,merged,,later,\n')
+    docs = C.read_documents(spark, str(tmp_path / "in"), tolerant=True)
+    head = docs.first().headers
+    rows = C.typed_contacts(docs, head, C.suggest_mapping(head))
+    got = {r.row_id: r for r in rows.collect()}
+    assert (got[1].full_name, got[1].normalized_email, got[1].record_status, got[1].expected_lifecycle_stage, got[1].quality_flags) == ("Ada Smith", "a+b@x.com", "merged", "sql", ["a", "b", "a"])
+    assert [got[i].row_fault for i in (1, 2, 3, 4)] == [None, "repeated_id:1", None, "skip_data"] and got[3].excluded and got[3].full_name == "3"
+    assert [(r.n_rows, len(r.first)) for r in C.preview(docs, 2).collect()] == [(4, 2)]
+    C.write_lines(C.export_contacts(rows.where("row_id = 1")).coalesce(1), str(tmp_path / "out"), C.export_header(), crlf=True)
+    (part,) = [p for p in (tmp_path / "out").iterdir() if p.name.startswith("part-")]
+    again = C.parse_tolerant(part.read_bytes().decode())
+    assert len(again[0]) == 22 and dict(zip(*again))["email"] == "A+b@X.com" and dict(zip(*again))["quality_flags"] == "a|b|a"
+    for i in range(4):
+        C.save_revision(spark.range(1), str(tmp_path / "rev"), i, keep=2)
+    assert sorted(p.name for p in (tmp_path / "rev").iterdir()) == ["revision=00000002", "revision=00000003"]
