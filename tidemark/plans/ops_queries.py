@@ -9,7 +9,7 @@ from tidemark.operators import incidents as N
 from tidemark.operators import routing as R
 from tidemark.operators import state as S
 from tidemark.sources import csv_files
-from tidemark.sources.views import contacts, crm_events, table
+from tidemark.sources.views import CONTACTS_SQL, CRM_EVENTS_SQL, contacts, crm_events, table
 
 
 def _leads(s, d):
@@ -100,7 +100,18 @@ def _orders(s, d):
 
 
 _act = "count(DISTINCT CASE WHEN epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts)) >= {} AND epoch(TIMESTAMP '2024-02-01') - floor(epoch(ts)) < {} THEN user_id END)"
+_big = lambda x: f"list_transform(range(1, greatest(length({x}), 1)), lambda i: substr({x}, i, 2))"
 ORACLES = {
+    "contact_csv": f"WITH {CONTACTS_SQL} SELECT contact_id || ',' || full_name || ',' || raw_email || ',' || company || ',' || owner_id line, 0 guarded FROM contacts",
+    "text_functions": f"""WITH n AS (SELECT c_custkey id, c_name, lower(c_name) a, 'customer#' || lpad(CAST(c_custkey * 3 AS VARCHAR), 9, '0') b FROM customer), g AS (SELECT *, {_big('a')} x, {_big('b')} y FROM n)
+SELECT id, printf('%08x', list_reduce(list_prepend(CAST(2166136261 AS BIGINT), list_transform(string_split(a, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, c: (xor(h, c) * 16777619) & 4294967295)) fnv,
+ round(CASE WHEN a = b THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * list_sum(list_transform(list_distinct(x), lambda w: least(len(list_filter(x, lambda v: v = w)), len(list_filter(y, lambda v: v = w))))) / (len(x) + len(y)) END, 6) dice,
+ 'a_' || replace(a, '#', '_') AS header, replace(a, '#', '') company_key, CASE WHEN id % 2 = 0 THEN '''=' ELSE '' END || c_name guarded FROM g""",
+    "stage_high_water": f"""WITH {CRM_EVENTS_SQL}, r AS (SELECT lead_id record_id, lifecycle_stage v, event_timestamp t, nullif(list_position(['lead','mql','sql','opportunity','closed_won'], lifecycle_stage), 0) rank FROM crm_events),
+u AS (SELECT *, sum(CASE WHEN rank IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY record_id ORDER BY t, v) run FROM r), h AS (SELECT *, max(rank) OVER (PARTITION BY record_id, run ORDER BY t, v ROWS UNBOUNDED PRECEDING) high FROM u)
+SELECT record_id, count(*) FILTER (WHERE rank < high) regressions, CAST(max(CASE WHEN rank IS NOT NULL THEN high END) AS INTEGER) high FROM h GROUP BY 1""",
+    "work_queue": """WITH o AS (SELECT 'order' kind, CAST(o_orderkey AS VARCHAR) id, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE 'failed' END status, CAST(o_orderdate AS TIMESTAMP) updated_at FROM orders ORDER BY updated_at DESC, id LIMIT 100), e AS (SELECT 'event' kind, CAST(event_id AS VARCHAR) id, 'open' status, ts updated_at FROM events ORDER BY updated_at DESC, id LIMIT 100)
+SELECT kind, id, status, updated_at, CASE status WHEN 'done' THEN 'done' WHEN 'failed' THEN 'needs_attention' ELSE 'open' END state FROM (SELECT * FROM o UNION ALL SELECT * FROM e) ORDER BY updated_at DESC, kind, id LIMIT 100""",
     "lead_scores": f"WITH {_LEADS} SELECT lead_id, score, segment, upper(region[1:2]) || '-' || CASE segment WHEN 'Enterprise' THEN 'ENT' WHEN 'Mid-Market' THEN 'MM' ELSE 'SMB' END AS owner, CASE WHEN score >= 70 THEN 'mql' ELSE 'lead' END stage FROM sc",
     "lead_triage": "SELECT *, readiness >= 75 ready FROM (SELECT CAST(c_custkey AS VARCHAR) lead_id, 25 * CAST(c_custkey % 9 <> 0 AS INTEGER) + 25 * CAST(c_custkey % 8 <> 0 AS INTEGER) + 25 * CAST(c_custkey % 6 <> 0 AS INTEGER) + 15 * CAST(c_custkey % 2 <> 0 AS INTEGER) + 10 * CAST(c_custkey % 3 <> 0 AS INTEGER) readiness FROM customer)",
     "policy_routes": f"WITH {_LEADS}, pol(policy, priority, least, seg, queue) AS (VALUES ('Enterprise high', 10, 75, 'enterprise', 'q-ent'), ('High', 20, 75, '', 'q-high'), ('Ready', 100, 60, '', 'q-ready')), j AS (SELECT lead_id, policy, queue, row_number() OVER (PARTITION BY lead_id ORDER BY priority, policy) r FROM sc LEFT JOIN pol ON score >= least AND (seg = '' OR seg = lower(segment))) SELECT lead_id, policy, queue, CASE WHEN policy IS NULL THEN 'no_policy' ELSE 'routed' END status FROM j WHERE r = 1",
