@@ -78,6 +78,76 @@ def assign(requests: DataFrame, reps: DataFrame, by: str = "region") -> DataFram
     return requests.groupBy(by).cogroup(reps.groupBy(by)).applyInPandas(run, "request_id string, rep_id string, status string")
 
 
+# Monthly spend from which a request is for the Enterprise pool.
+ENTERPRISE_SPEND = 35_000
+
+
+def inbound(requests: DataFrame, leads: DataFrame, accounts: DataFrame, reps: DataFrame) -> DataFrame:
+    """(request_id, status, reason, lead_id, account_id, owner_id, region, segment) of requests (request_id, first_name, last_name, company, email, region, spend) before any pool is balanced.
+
+    Held: what is invalid, whose company and domain point to different accounts, whose known lead has another account, or whose owner is away. Owned: a lead's owner, else its
+    account's. Pool: the rest, with the region and segment that ``assign`` takes. leads: (lead_id, email, account_id, owner_id); accounts: (account_id, name, domain, region, spend, owner_id); reps: (rep_id, active)."""
+    there = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    mail = F.lower(F.trim("email"))
+    rows = requests.select("request_id", (there("first_name") & there("last_name") & there("company") & F.coalesce(mail.rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+$"), F.lit(False))).alias("valid"), mail.alias("e"), F.substring_index(mail, "@", -1).alias("d"), T.company_key(F.col("company")).alias("n"), F.col("region").alias("own_region"), F.col("spend").alias("own_spend"))
+    known = leads.groupBy(F.lower(F.trim("email")).alias("e")).agg(F.min(F.struct("lead_id", "account_id", "owner_id")).alias("lead"))
+    account = F.struct("account_id", "region", "spend", "owner_id")
+    by_domain = accounts.groupBy(F.lower("domain").alias("d")).agg(F.min(account).alias("by_domain"))
+    by_name = accounts.groupBy(T.company_key(F.col("name")).alias("n")).agg(F.min(account).alias("by_name"))
+    rows = rows.join(known, "e", "left").join(by_domain, "d", "left").join(by_name, "n", "left")
+    a, named, lead = (lambda c: F.col("by_domain")[c]), F.col("by_name.account_id"), (lambda c: F.col("lead")[c])
+    rows = rows.withColumns({"owner": F.coalesce(lead("owner_id"), a("owner_id")), "place": F.coalesce(a("region"), F.col("own_region")), "money": F.coalesce(a("spend"), F.col("own_spend"))})
+    away = reps.where("active").select(F.col("rep_id").alias("owner"), F.lit(True).alias("here"))
+    rows = rows.join(away, "owner", "left")
+    reason = (
+        F.when(~F.col("valid"), "invalid")
+        .when(named.isNotNull() & ~named.eqNullSafe(a("account_id")), "account_conflict")
+        .when(F.col("lead").isNotNull() & ~lead("account_id").eqNullSafe(a("account_id")), "other_account")
+        .when(F.col("owner").isNotNull() & F.col("here").isNull(), "owner_away")
+        .when(F.col("owner").isNull() & ~there("place"), "no_region")
+        .when(F.col("owner").isNull() & (F.col("money").isNull() | (F.col("money") < 0)), "no_budget")
+    )
+    rows = rows.withColumn("reason", reason)
+    good = F.col("reason").isNull()
+    pool = good & F.col("owner").isNull()
+    status = F.when(~good, "held").when(pool, "pool").otherwise("owned")
+    return rows.select("request_id", status.alias("status"), "reason", F.when(good, lead("lead_id")).alias("lead_id"), F.when(good, a("account_id")).alias("account_id"), F.when(good, F.col("owner")).alias("owner_id"), F.when(pool, F.col("place")).alias("region"), F.when(pool, F.when(F.col("money") >= ENTERPRISE_SPEND, "Enterprise").otherwise("Growth")).alias("segment"))
+
+
+def intake(requests: DataFrame, contacts: DataFrame, leads: DataFrame, accounts: DataFrame, users: DataFrame, create_contacts: bool = False) -> DataFrame:
+    """(request_id, action, reason, person_id, account_id, owner_id): what a form (request_id, email, company, payload) leads to.
+
+    One known person is reused; several are held; none becomes a lead of the intake user (owner null), or, with create_contacts, a contact of the account of its company. With it, a lead is
+    converted into the account unless its company differs, and a contact without an account gets it; an unknown company makes a new account (account null). Persons whose owner is no active user are held, and so is
+    a request id that came with two payloads. contacts: (id, email, owner_id, account_id); leads: (id, email, owner_id, company); accounts: (account_id, name, owner_id); users: (user_id, active)."""
+    mail = F.lower(F.trim("email"))
+    r = requests.groupBy("request_id").agg(F.min("email").alias("email"), F.min("company").alias("company"), (F.min("payload") != F.max("payload")).alias("clash"))
+    r = r.select("request_id", mail.alias("e"), T.company_key(F.col("company")).alias("n"), "clash")
+    c = contacts.groupBy(mail.alias("e")).agg(F.count("*").alias("cs"), F.min(F.struct("id", "owner_id", "account_id")).alias("c"))
+    p = leads.groupBy(mail.alias("e")).agg(F.count("*").alias("ls"), F.min(F.struct("id", "owner_id", T.company_key(F.col("company")).alias("n"))).alias("l"))
+    a = accounts.groupBy(T.company_key(F.col("name")).alias("n")).agg(F.count("*").alias("same"), F.min(F.struct("account_id", "owner_id")).alias("a"))
+    rows = r.join(c, "e", "left").join(p, "e", "left").join(a, "n", "left").fillna(0, ["cs", "ls", "same"])
+    theirs = accounts.select(F.col("account_id").alias("__acc"), F.col("owner_id").alias("__acc_owner"))
+    rows = rows.join(theirs, F.col("c.account_id") == F.col("__acc"), "left")
+    wants = F.lit(create_contacts) & ((F.col("cs") == 0) | F.col("c.account_id").isNull())
+    action = F.when(F.col("cs") > 0, F.when(wants, "attach_contact").otherwise("reuse_contact")).when(F.col("ls") > 0, F.when(wants, "convert_lead").otherwise("reuse_lead")).when(wants, "create_contact").otherwise("create_lead")
+    account = F.when(wants, F.col("a.account_id")).otherwise(F.col("c.account_id"))
+    owner = F.when(wants, F.coalesce("a.owner_id", "l.owner_id")).when(F.col("cs") > 0, F.when(F.lit(create_contacts), F.coalesce("__acc_owner", "c.owner_id")).otherwise(F.col("c.owner_id"))).otherwise(F.col("l.owner_id"))
+    rows = rows.withColumns({"action": action, "account_id": account, "owner_id": owner})
+    rows = rows.join(users.where("active").select(F.col("user_id").alias("owner_id"), F.lit(True).alias("here")), "owner_id", "left")
+    reason = (
+        F.when(F.col("clash"), "payload_conflict")
+        .when(F.col("cs") + F.col("ls") > 1, "several_people")
+        .when((F.col("action") == "convert_lead") & (F.col("l.n") != F.col("n")), "lead_company")
+        .when(wants & (F.col("same") > 1), "several_accounts")
+        .when(F.col("owner_id").isNotNull() & F.col("here").isNull(), "owner_inactive")
+    )
+    rows = rows.withColumn("reason", reason)
+    good = F.col("reason").isNull()
+    person = F.coalesce("c.id", "l.id")
+    return rows.select("request_id", F.when(good, F.col("action")).otherwise("hold").alias("action"), "reason", F.when(good, person).alias("person_id"), F.when(good, F.col("account_id")).alias("account_id"), F.when(good, F.col("owner_id")).alias("owner_id"))
+
+
 def ranked_reps(reps: DataFrame) -> DataFrame:
     """Active reps with room by use, then id, in each region and segment."""
     w = Window.partitionBy("region", "segment").orderBy(F.col("assigned") / F.col("capacity"), "rep_id")

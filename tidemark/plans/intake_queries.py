@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import intake as N
+from tidemark.operators import routing as R
 from tidemark.sources.views import table
 
 AS_OF = "2024-02-01 00:00:00"
@@ -111,7 +112,51 @@ def _uploads(s, d):
     return N.new_uploads(files, _k(s, d).where("k < 10").select((k % 2).alias("provider"), F.sha2(k.cast("string").cast("binary"), 256).alias("digest")))
 
 
+def _world(s, d):
+    """Requests, leads, accounts and reps."""
+    k = F.col("k")
+    t = k.cast("string")
+    c = _k(s, d)
+    company = F.when(k % 13 == 0, "").otherwise(F.concat(F.lit("Corp "), (k % 60).cast("string")))
+    requests = c.select(t.alias("request_id"), F.lit("Ada").alias("first_name"), F.when(k % 17 == 0, " ").otherwise("Smith").alias("last_name"), company.alias("company"), F.concat(F.lit("P"), t, F.lit("@d"), F.when(k % 7 == 0, k % 50).otherwise(k % 60).cast("string"), F.lit(".com")).alias("email"), F.when(k % 3 == 0, "").otherwise("West").alias("region"), F.when(k % 11 == 0, -1).otherwise(k * 100).alias("spend"), F.lit("p").alias("payload"))
+    leads = c.where("k % 4 = 0").select(F.concat(F.lit("l"), t).alias("lead_id"), F.concat(F.lit("p"), t, F.lit("@d"), (k % 60).cast("string"), F.lit(".com")).alias("email"), F.when(k % 60 < 40, F.when(k % 8 == 0, k % 60)).alias("account_id"), F.when(k % 12 == 0, F.concat(F.lit("r"), (k % 5).cast("string"))).alias("owner_id"))
+    accounts = c.where("k < 40").select(k.alias("account_id"), F.concat(F.lit("CORP-"), t).alias("name"), F.concat(F.lit("d"), t, F.lit(".com")).alias("domain"), F.when(k % 2 == 0, "East").alias("region"), F.when(k % 5 == 0, F.lit(None)).otherwise(k * 1000).alias("spend"), F.when(k % 6 == 0, F.concat(F.lit("r"), (k % 5).cast("string"))).alias("owner_id"))
+    reps = c.where("k < 5").select(F.concat(F.lit("r"), t).alias("rep_id"), (k != 3).alias("active"))
+    return requests, leads, accounts, reps
+
+
+_WORLD = f"""w AS (SELECT c_custkey k, CAST(c_custkey AS VARCHAR) t, c_custkey % 60 co, CASE WHEN c_custkey % 7 = 0 THEN c_custkey % 50 ELSE c_custkey % 60 END dm FROM customer),
+lead AS (SELECT t, co, CASE WHEN co < 40 AND k % 8 = 0 THEN co END acc, CASE WHEN k % 12 = 0 THEN 'r' || (k % 5) END own FROM w WHERE k % 4 = 0)"""
+
+
+def _inbound(s, d):
+    requests, leads, accounts, reps = _world(s, d)
+    return R.inbound(requests, leads, accounts, reps)
+
+
+def _intake(s, d, create):
+    k, (requests, leads, accounts, reps) = F.col("k"), _world(s, d)
+    contacts = _k(s, d).where("k % 10 = 3").select(F.concat(F.lit("c"), k.cast("string")).alias("id"), F.concat(F.lit("p"), k.cast("string"), F.lit("@d"), F.when(k % 7 == 0, k % 50).otherwise(k % 60).cast("string"), F.lit(".com")).alias("email"), F.concat(F.lit("r"), (k % 5).cast("string")).alias("owner_id"), F.when(k % 20 == 3, k % 40).alias("account_id"))
+    more = contacts.where("id LIKE '%93'").withColumn("id", F.concat(F.lit("z"), "id"))
+    forms = requests.union(requests.where("request_id LIKE '%99'").withColumn("payload", F.lit("q")))
+    leads = leads.select(F.col("lead_id").alias("id"), "email", "owner_id", F.when(F.col("lead_id").endswith("6"), "Other").otherwise(F.concat(F.lit("corp"), F.regexp_extract("email", r"@d(\d+)", 1))).alias("company"))
+    return R.intake(forms, contacts.union(more), leads, accounts, reps.select(F.col("rep_id").alias("user_id"), "active"), create)
+
+
+def _intake_sql(create: bool) -> str:
+    on = str(create).lower()
+    return f"""WITH {_WORLD}, c AS (SELECT w.*, k % 10 = 3 hc, k % 100 = 93 twice, lead.t IS NOT NULL AND dm = w.co hl, lead.own lown, k % 20 = 3 ca, CASE WHEN k % 13 = 0 THEN NULL WHEN w.co < 40 THEN w.co END ac FROM w LEFT JOIN lead USING (t)),
+x AS (SELECT *, {on} AND (NOT hc OR NOT ca) wants, CASE WHEN ac % 6 = 0 THEN 'r' || (ac % 5) END aown, CASE WHEN (k % 40) % 6 = 0 THEN 'r' || (k % 40 % 5) END cown FROM c),
+y AS (SELECT *, CASE WHEN hc THEN CASE WHEN wants THEN 'attach_contact' ELSE 'reuse_contact' END WHEN hl THEN CASE WHEN wants THEN 'convert_lead' ELSE 'reuse_lead' END WHEN wants THEN 'create_contact' ELSE 'create_lead' END act, CASE WHEN wants THEN ac WHEN hc AND ca THEN k % 40 END acc,
+ CASE WHEN wants THEN coalesce(aown, CASE WHEN hl THEN lown END) WHEN hc THEN CASE WHEN {on} THEN coalesce(cown, 'r' || (k % 5)) ELSE 'r' || (k % 5) END WHEN hl THEN lown END own FROM x),
+z AS (SELECT *, CASE WHEN t LIKE '%99' THEN 'payload_conflict' WHEN twice OR (hc AND hl) THEN 'several_people' WHEN act = 'convert_lead' AND (t LIKE '%6' OR k % 13 = 0) THEN 'lead_company' WHEN own = 'r3' THEN 'owner_inactive' END reason FROM y)
+SELECT t request_id, CASE WHEN reason IS NULL THEN act ELSE 'hold' END AS action, reason, CASE WHEN reason IS NULL THEN CASE WHEN hc THEN 'c' || t WHEN hl THEN 'l' || t END END person_id, CASE WHEN reason IS NULL THEN acc END account_id, CASE WHEN reason IS NULL THEN own END owner_id FROM z"""
+
+
 QUERIES = {
+    "inbound_requests": _inbound,
+    "intake_decisions": lambda s, d: _intake(s, d, False),
+    "intake_decisions_with_contacts": lambda s, d: _intake(s, d, True),
     "canonical_records": _provider,
     "poll_page": lambda s, d: N.poll_page(_records(s, d), F.lit("2024-01-05 00:00:00").cast("timestamp_ntz"), _now(), F.lit(40)).select("id"),
     "poll_windows": lambda s, d: N.poll_windows(_accounts(s, d), AS_OF),
@@ -133,6 +178,12 @@ _c = "c AS (SELECT c_custkey k, CAST(c_custkey AS VARCHAR) t FROM customer)"
 _pick = lambda items, n: "([" + ", ".join(f"'{x}'" for x in items) + f"])[{n} % {len(items)} + 1]"
 _full = "(k % 6 = 0 OR k % 5 = 0 OR k * 97 % 100000 >= 86400 OR k % 4 = 0 OR k >= 10000)"
 ORACLES = {
+    "inbound_requests": f"""WITH {_WORLD}, a AS (SELECT w.*, CASE WHEN dm < 40 THEN dm END acc, CASE WHEN k % 13 <> 0 AND w.co < 40 THEN w.co END named, lead.t IS NOT NULL AND dm = w.co hl, lead.acc lacc, lead.own lown FROM w LEFT JOIN lead USING (t)),
+b AS (SELECT *, coalesce(CASE WHEN hl THEN lown END, CASE WHEN acc % 6 = 0 THEN 'r' || (acc % 5) END) own, coalesce(CASE WHEN acc % 2 = 0 THEN 'East' END, CASE WHEN k % 3 = 0 THEN '' ELSE 'West' END) place, coalesce(CASE WHEN acc % 5 <> 0 THEN acc * 1000 END, CASE WHEN k % 11 = 0 THEN -1 ELSE k * 100 END) money FROM a),
+c AS (SELECT *, CASE WHEN k % 13 = 0 OR k % 17 = 0 THEN 'invalid' WHEN named IS NOT NULL AND named IS DISTINCT FROM acc THEN 'account_conflict' WHEN hl AND lacc IS DISTINCT FROM acc THEN 'other_account' WHEN own = 'r3' THEN 'owner_away' WHEN own IS NULL AND place = '' THEN 'no_region' WHEN own IS NULL AND money < 0 THEN 'no_budget' END reason FROM b)
+SELECT t request_id, CASE WHEN reason IS NOT NULL THEN 'held' WHEN own IS NULL THEN 'pool' ELSE 'owned' END status, reason, CASE WHEN reason IS NULL AND hl THEN 'l' || t END lead_id, CASE WHEN reason IS NULL THEN acc END account_id, CASE WHEN reason IS NULL THEN own END owner_id, CASE WHEN reason IS NULL AND own IS NULL THEN place END region, CASE WHEN reason IS NULL AND own IS NULL THEN CASE WHEN money >= 35000 THEN 'Enterprise' ELSE 'Growth' END END segment FROM c""",
+    "intake_decisions": _intake_sql(False),
+    "intake_decisions_with_contacts": _intake_sql(True),
     "canonical_records": f"WITH {_c} SELECT 'crm:' || CASE WHEN k % 4 = 0 THEN 'lead' ELSE 'contact' END || ':' || t record_key, CASE WHEN k % 3 = 0 THEN 'Smith' ELSE 'Ada Smith' END full_name, CASE WHEN k % 5 = 0 THEN 'a@x.com|b@x.com' ELSE '' END additional_emails, CASE WHEN k % 2 <> 0 THEN t WHEN k % 7 <> 0 THEN '9' || t ELSE '' END phone, CASE WHEN k % 2 <> 0 AND k % 7 <> 0 THEN '9' || t ELSE '' END secondary_phone FROM c",
     "poll_page": "SELECT event_id id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-02-01' AND event_id > 40 ORDER BY event_id LIMIT 50",
     "poll_windows": f"WITH {_c} SELECT k account_id, CASE WHEN NOT {_full} THEN TIMESTAMP '2024-02-01' - to_seconds(k % 1000 + 300) END since, TIMESTAMP '2024-02-01' - to_seconds(120) until, {_full} \"full\" FROM c",
