@@ -11,7 +11,7 @@
    are left out. Keys of up to SMALL classes give their pairs; larger ones give each member's pair with one
    centre, then that of each member not yet in the commonest component with a centre of that. Keys of more than HOT classes never meet in one
    task: they are counted first, and their rows are joined with their centres where they are. What is still
-   apart in large keys is joined by shingles (``across``): two similar sets share one of each other's rarest shingles. So a group
+   apart is held against all of its keys' classes in blocks, with an index of shingles (``across``). So a group
    of n near copies costs about n pairs, no pairs of a group are ever rows, and no link between components
    is missed.
 4. Pairs are confirmed by comparing their full sets; links give connected components.
@@ -43,7 +43,7 @@ SHINGLE, PERCENT = 5, 80
 POSITIONS, CHUNKS = 60, 12
 PER = POSITIONS // CHUNKS
 RADIUS = 2 * CHUNKS - 1
-SMALL, SKETCH_MOST, HOT = 24, 24, 1000
+SMALL, SKETCH_MOST, HOT, BLOCK, BLOCK_BYTES = 24, 24, 1000, 500, 16 << 20
 #: Ids of a join's smaller side that are broadcast at most (16 bytes each).
 IDS = 400_000
 
@@ -243,13 +243,15 @@ def meet(rows: DataFrame, percent: int) -> DataFrame:
 def met_pairs(classes: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs (a, b), and the members (MEMBER) of keys with more than SMALL classes. Keys of more than HOT are found by counting (summed before the shuffle) and joined with their centres in place."""
     keyed = index_keys(classes)
-    hot = scratch.table(keyed.groupBy("key").agg(F.count("*").alias("size"), _centre().alias("c")).where(F.col("size") > HOT).select("key", "c.*").drop("c_h"), "hot")
+    hot = scratch.table(keyed.groupBy("key").count().where(F.col("count") > HOT).select("key"), "hot")
     n_hot = hot.count()
-    cold = keyed if not n_hot else keyed.join(hint_if_small(hot.select("key"), n_hot), "key", "left_anti")
+    cold = keyed if not n_hot else keyed.join(hint_if_small(hot, n_hot), "key", "left_anti")
     met = scratch.table(meet(cold, percent), "met")
     pairs, members = met.where("NOT member").select("a", "b"), met.where("member").select("key", F.col("a").alias("id"), "n", "out", "s1", "s2")
     if n_hot:
-        rows = scratch.table(keyed.join(hint_if_small(hot, n_hot), "key"), "hot-rows")
+        hot_rows = scratch.table(keyed.join(hint_if_small(hot, n_hot), "key"), "hot-rows")
+        centres = scratch.table(hot_rows.groupBy("key").agg(_centre().alias("c")).select("key", "c.*").drop("c_h"), "centres")
+        rows = hot_rows.join(hint_if_small(centres, n_hot), "key")
         pairs = pairs.union(rows.where(plausible(percent)).select(*_pair_columns()))
         # as in meet: what equals the centre in the whole chunk stands in the chunk's first key too
         again = (F.shiftright("c_out", 16) != 0) & (F.col("out") == F.col("c_out"))
@@ -259,11 +261,12 @@ def met_pairs(classes: DataFrame, percent: int, scratch: Scratch) -> tuple[DataF
     return scratch.table(pairs.distinct(), "pairs"), scratch.table(members, "members")
 
 
-def star(members: DataFrame, percent: int) -> DataFrame:
+def star(members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of each key's rows (MEMBER and label) with a centre of the key's commonest label, where theirs is another."""
     per = members.groupBy("key", "label").agg(F.count("*").alias("size"), _centre().alias("c"))
     best = per.groupBy("key").agg(F.count("*").alias("labels"), F.max(F.struct("size", "label", "c")).alias("m")).where("labels > 1")
     best = best.select("key", F.col("m.label").alias("c_label"), "m.c.*").drop("c_h")
+    best = hint_if_small(scratch.table(best, "centres"), bound=IDS)
     return members.join(best, "key").where(F.col("label") != F.col("c_label")).where(plausible(percent)).select(*_pair_columns()).distinct()
 
 
@@ -289,38 +292,58 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
 
 
 def across(members: DataFrame, labels: DataFrame, texts: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
-    """Candidate pairs (a, b) that may join components among the classes of large keys.
+    """Links (a, b) that join components among the classes of large keys, by comparing full sets.
 
-    Keys that share a class form a field. In a field the classes outside its commonest component are held against all of its classes by a
-    prefix join: shingles are ordered from the rarest among these classes to the commonest, and of two similar sets each holds one of the other's first
-    s - ceil(percent * s / 100) + 1 (s: its size), so only those are joined.
+    Keys that share a class form a field. In each field the classes outside its commonest component are held against all of
+    its classes, in blocks of about BLOCK classes or BLOCK_BYTES of text of each, whichever is more blocks, each block with an index from
+    shingles to classes: a similar class holds one of any (1 - percent) of a class's shingles, so only the block's rarest ones are looked up.
     """
     least = members.groupBy("key").agg(F.min("id").alias("b"))
     fields = components(members.join(least, "key").select(F.col("id").alias("a"), "b"), scratch).withColumnRenamed("label", "field")
     at = scratch.table(fields.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "fields")
     sizes = at.groupBy("field", "label").count().groupBy("field").agg(F.max_by("label", F.struct("count", "label")).alias("most"), F.sum("count").alias("all"), F.max("count").alias("top"))
-    open_rows = at.join(sizes.where("all > top").select("field", "most"), "field").join(texts, "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in small_batches([whole], 4, 2 << 20):
-                sets = [shingle_set((t.as_py() or "").encode(), n).view(np.int64) for t in b.column(4)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))], names=["id", "field", "label", "most", "tokens"])
-
-    rows = scratch.table(open_rows.select("id", "field", "label", "most", "text").mapInArrow(run, "id long, field long, label long, most long, tokens array<long>"), "open")
-    each = rows.select("id", F.explode("tokens").alias("token"))
-    counts = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")  # a shingle of one class joins nothing
-    ranked = each.join(counts, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
-    size = F.size("tokens")
-    prefix = size - F.ceil(size * percent / 100) + 1
-    # shingles of one class come first in the order, and take their places of the prefix
-    held = F.slice("common", F.lit(1), F.greatest(prefix - (size - F.size("common")), F.lit(0)).cast("int"))
-    heads = rows.join(ranked, "id").select("id", "field", "label", "most", size.alias("size"), F.explode(held).alias("t")).select("id", "field", "label", "most", "size", "t.token")
-    heads = scratch.table(heads, "heads")
-    asks = heads.where("label <> most").select(F.col("id").alias("x"), F.col("label").alias("lx"), F.col("size").alias("sx"), "field", "token")
-    met = asks.join(heads.select("id", "label", "size", "field", "token"), ["field", "token"]).where((F.col("label") != F.col("lx")) & (100 * F.least("size", "sx") >= percent * F.greatest("size", "sx")))
-    return met.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    open_rows = at.join(sizes.where("all > top").select("field", "most"), "field").join(texts, "id").withColumn("bytes", F.octet_length("text"))
+    rows = scratch.table(open_rows, "open")
+    asking = F.col("label") != F.col("most")
+    parts = lambda n, b: F.greatest(F.ceil(n / BLOCK), F.ceil(b / BLOCK_BYTES), F.lit(1)).cast("long")
+    totals = rows.groupBy("field").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), F.count_if(asking).alias("an"), F.coalesce(F.sum(F.when(asking, F.col("bytes"))), F.lit(0)).alias("ab"))
+    rows = rows.join(scratch.table(totals.select("field", parts(F.col("n"), F.col("b")).alias("blocks"), parts(F.col("an"), F.col("ab")).alias("chunks")), "blocks"), "field")
+    deal = lambda seed, m: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(m))
+    each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1))
+    keep = ("id", "label", "text", "field")
+    held = rows.select(*keep, deal(1, "blocks").alias("block"), each("chunks").alias("chunk"), F.lit(False).alias("asks"))
+    asks = rows.where("label <> most").select(*keep, each("blocks").alias("block"), deal(2, "chunks").alias("chunk"), F.lit(True).alias("asks"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, labels, ask = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "label", "asks"))
+        sets = [shingle_set((t.as_py() or "").encode(), n) for t in table.column("text")]
+        mine = np.flatnonzero(~ask)
+        owner = np.repeat(mine, [len(sets[i]) for i in mine])
+        tokens = np.concatenate([sets[i] for i in mine]) if len(mine) else np.empty(0, np.uint64)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+        sizes = np.array([len(x) for x in sets])
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while joined.setdefault(x, x) != x:
+                joined[x] = x = joined[joined[x]]
+            return x
+
+        links: list[tuple[int, int]] = []
+        for q in np.flatnonzero(ask):
+            s = sets[q]
+            lo, hi = np.searchsorted(tokens, s, "left"), np.searchsorted(tokens, s, "right")
+            rare = np.argsort(hi - lo)[: len(s) - -(-percent * len(s) // 100) + 1]
+            near = np.unique(np.concatenate([owner[lo[k] : hi[k]] for k in rare]))
+            for i in near[(labels[near] != labels[q]) & (100 * np.minimum(sizes[near], sizes[q]) >= percent * np.maximum(sizes[near], sizes[q]))]:
+                x, y = root(int(labels[q])), root(int(labels[i]))
+                if x != y and similar(s, sets[i], percent):
+                    joined[x] = y
+                    links.append((min(ids[q], ids[i]), max(ids[q], ids[i])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return held.unionByName(asks).groupBy("field", "block", "chunk").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
@@ -340,18 +363,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     links = scratch.table(confirm(pairs, texts, n, percent), "links")
     labels = components(links, scratch)
     if not members.isEmpty():
-        tested, every = pairs, links
-        for step in ("star", "across"):
-            labels = scratch.table(labels, "labels")
-            if step == "star":
-                more = star(members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), percent)
-            else:
-                more = across(members, labels, texts, n, percent, scratch)
-            more = scratch.table(more.join(tested, ["a", "b"], "left_anti"), "more")
-            new = scratch.table(confirm(more, texts, n, percent), "links")
-            tested, every = tested.union(more), every.union(new)
-            if not new.isEmpty():
-                labels = components(every, scratch)
+        labels = scratch.table(labels, "labels")
+        more = star(members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), percent, scratch)
+        more = scratch.table(more.join(pairs, ["a", "b"], "left_anti"), "more")
+        new = scratch.table(confirm(more, texts, n, percent), "links")
+        every = links.union(new)
+        if not new.isEmpty():
+            labels = scratch.table(components(every, scratch), "labels")
+        new = scratch.table(across(members, labels, texts, n, percent, scratch), "links")
+        if not new.isEmpty():
+            labels = components(every.union(new), scratch)
     ids = labels.join(classes.select(F.col("set_id").alias("id"), "first"), "id")
     names = ids.groupBy("label").agg(F.min("first").alias("component"))
     named = ids.join(names, "label").select(F.col("id").alias("set_id"), "component")
