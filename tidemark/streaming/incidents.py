@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.incidents import LEAST_RECORDS
+from tidemark.operators.intake import fold_deliveries
 
 LATENESS = "10 minutes"
 
@@ -52,6 +53,53 @@ def regressions(observations: DataFrame, stages: tuple[str, ...] = ("lead", "mql
     return observations.groupBy("record_id").applyInPandasWithState(fold, "record_id string, at timestamp, value string, high int", "last long, high int", "append", GroupStateTimeout.NoTimeout)
 
 
+def expectations(states: DataFrame, values: tuple[str, ...], deadline_minutes: int, lateness: str = LATENESS) -> DataFrame:
+    """(record_id, since) once a record's expectation (states: record_id, at, condition, required) has been unmet for the deadline. The timer starts at the first unmet state, runs in event time and is dropped when a state meets it; a state older than the last seen is dropped."""
+    deadline = deadline_minutes * 60_000
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, since = state.get if state.exists else (-1, -1)
+        if state.hasTimedOut:
+            state.update((last, -2))  # told once, until a state meets it
+            yield pd.DataFrame({"record_id": [key[0]], "since": [pd.Timestamp(since, unit="ms")]})
+            return
+        for r in pd.concat(list(batches)).sort_values("at").itertuples():
+            at = r.at.value // 1_000_000
+            if at < last:
+                continue
+            last = at
+            if r.condition in values and not (r.required or "").strip():
+                since = at if since == -1 else since
+            else:
+                since = -1
+        state.update((last, since))
+        if since >= 0:
+            state.setTimeoutTimestamp(max(since + deadline, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"record_id": [], "since": []})
+
+    keyed = states.withWatermark("at", lateness).groupBy("record_id")
+    return keyed.applyInPandasWithState(fold, "record_id string, since timestamp", "last long, since long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def checkpoints(deliveries: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """(channel, replay_id, status, needs_reconciliation) of deliveries (delivery_id, at, channel, seq, replay_id, previous_id, gap_reason, gaps, received) in order of arrival, as ``intake.deliveries`` in batch; repeated ones are dropped before. State: the channel's checkpoint."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        checkpoint, received, gap = state.get if state.exists else ("", -1, False)
+        rows = pd.concat(list(batches)).sort_values("seq")
+        out = []
+        for i in range(len(rows)):
+            one = rows.iloc[[i]]
+            ((_, status, gap),) = fold_deliveries(one, checkpoint or None, None if received < 0 else received, gap)
+            if status == "accepted":
+                checkpoint, received = one["replay_id"].iloc[0], int(one["received"].iloc[0])
+            out.append((key[0], one["replay_id"].iloc[0], status, gap))
+        state.update((checkpoint, received, gap))
+        yield pd.DataFrame(out, columns=["channel", "replay_id", "status", "needs_reconciliation"])
+
+    return once(deliveries, lateness).groupBy("channel").applyInPandasWithState(fold, "channel string, replay_id string, status string, needs_reconciliation boolean", "checkpoint string, received long, gap boolean", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """A stream over what is there now, into a memory table of a name (tests and small replays)."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
