@@ -83,3 +83,20 @@ def work_queue(sources: dict[str, DataFrame], limit: int = 100) -> DataFrame:
         out = part if out is None else out.unionByName(part)
     done = F.col("status").isin("done", "resolved", "closed")
     return out.withColumn("state", F.when(done, "done").when(F.col("status") == "failed", "needs_attention").otherwise("open")).orderBy(F.desc("updated_at"), "kind", "id").limit(limit)
+
+
+def triage(items: DataFrame, patches: DataFrame) -> DataFrame:
+    """(id, version, status, assignee, outcome) of items (id, version, status, assignee) after patches (id, expected_version, status, assignee; null: as it was): applied and counted up where the version is the expected one, else a conflict that changes nothing; outcome null: no patch. Of several patches of one item the first by status, then assignee, counts, since only one can find the version it expects."""
+    p = patches.groupBy(F.col("id").alias("__id")).agg(F.min(F.struct("expected_version", "status", "assignee")).alias("p"))
+    rows = items.join(p, items["id"] == F.col("__id"), "left")
+    hit = F.col("p").isNotNull() & (F.col("p.expected_version") == F.col("version"))
+    new = lambda c: F.when(hit, F.coalesce(F.col(f"p.{c}"), F.col(c))).otherwise(F.col(c)).alias(c)
+    return rows.select("id", (F.col("version") + hit.cast("int")).cast("long").alias("version"), new("status"), new("assignee"), F.when(F.col("p").isNull(), None).when(hit, "applied").otherwise("conflict").alias("outcome"))
+
+
+def undo(revisions: DataFrame, keep: int = 20) -> DataFrame:
+    """(id, revision, restored) of the next revision of every document (id, revision, payload): the payload before the last one, null where there is none to go back to. Only the newest revisions can be restored."""
+    w = Window.partitionBy("id").orderBy(F.desc("revision"))
+    newest = revisions.withColumn("r", F.row_number().over(w)).where(F.col("r") <= F.least(F.lit(2), F.lit(keep)))
+    per = newest.groupBy("id").agg((F.max("revision") + 1).alias("revision"), F.max(F.when(F.col("r") == 2, F.col("payload"))).alias("restored"))
+    return per.select("id", "revision", "restored")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import intake as N
 from tidemark.operators import routing as R
+from tidemark.operators import state as S
+from tidemark.sources import csv_files
 from tidemark.sources.views import table
 
 AS_OF = "2024-02-01 00:00:00"
@@ -153,7 +155,29 @@ z AS (SELECT *, CASE WHEN t LIKE '%99' THEN 'payload_conflict' WHEN twice OR (hc
 SELECT t request_id, CASE WHEN reason IS NULL THEN act ELSE 'hold' END AS action, reason, CASE WHEN reason IS NULL THEN CASE WHEN hc THEN 'c' || t WHEN hl THEN 'l' || t END END person_id, CASE WHEN reason IS NULL THEN acc END account_id, CASE WHEN reason IS NULL THEN own END owner_id FROM z"""
 
 
+def _triage(s, d):
+    k = F.col("k")
+    c = _k(s, d)
+    items = c.select(k.alias("id"), (k % 4).alias("version"), F.when(k % 3 == 0, "open").otherwise("resolved").alias("status"), F.when(k % 5 == 0, "ada").alias("assignee"))
+    patches = c.where("k % 2 = 0").select(k.alias("id"), (k % 8 % 5).alias("expected_version"), F.when(k % 6 == 0, F.lit(None)).otherwise("acknowledged").alias("status"), F.when(k % 10 == 0, "bo").alias("assignee"))
+    return S.triage(items, patches)
+
+
+def _undo(s, d):
+    o = table(s, d, "orders")
+    return S.undo(o.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("revision"), F.col("o_orderstatus").alias("payload")))
+
+
+def _groups(s, d):
+    k = F.col("k")
+    docs = _k(s, d).select(k.alias("row_id"), F.array(F.concat(F.when(k % 3 == 0, " ").otherwise(""), (k % 40).cast("string")), F.concat(F.when(k % 2 == 0, "A").otherwise("a"), (k % 20).cast("string"), F.lit("@x.com "))).alias("cells"), F.lit(None).cast("string").alias("error"))
+    return csv_files.review_groups(docs.where("row_id < 90"), 1).select("kind", F.array_join(F.transform("rows", lambda x: x.cast("string")), "|").alias("rows"))
+
+
 QUERIES = {
+    "triage": _triage,
+    "undo_revisions": _undo,
+    "cleanup_groups": _groups,
     "inbound_requests": _inbound,
     "intake_decisions": lambda s, d: _intake(s, d, False),
     "intake_decisions_with_contacts": lambda s, d: _intake(s, d, True),
@@ -178,6 +202,10 @@ _c = "c AS (SELECT c_custkey k, CAST(c_custkey AS VARCHAR) t FROM customer)"
 _pick = lambda items, n: "([" + ", ".join(f"'{x}'" for x in items) + f"])[{n} % {len(items)} + 1]"
 _full = "(k % 6 = 0 OR k % 5 = 0 OR k * 97 % 100000 >= 86400 OR k % 4 = 0 OR k >= 10000)"
 ORACLES = {
+    "triage": f"""WITH {_c}, x AS (SELECT *, k % 2 = 0 p, k % 2 = 0 AND k % 8 % 5 = k % 4 hit FROM c) SELECT k id, k % 4 + CASE WHEN hit THEN 1 ELSE 0 END AS version, CASE WHEN hit AND k % 6 <> 0 THEN 'acknowledged' WHEN k % 3 = 0 THEN 'open' ELSE 'resolved' END status, CASE WHEN hit AND k % 10 = 0 THEN 'bo' WHEN k % 5 = 0 THEN 'ada' END assignee, CASE WHEN hit THEN 'applied' WHEN p THEN 'conflict' END outcome FROM x""",
+    "undo_revisions": "SELECT o_custkey id, max(o_orderkey) + 1 revision, max(CASE WHEN r = 2 THEN o_orderstatus END) restored FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) r FROM orders) WHERE r <= 2 GROUP BY 1",
+    "cleanup_groups": f"""WITH {_c}, r AS (SELECT k, (k % 40) || '|' || CASE WHEN k % 2 = 0 THEN 'A' ELSE 'a' END || (k % 20) w, k % 20 e FROM c WHERE k < 90)
+SELECT 'row' kind, string_agg(CAST(k AS VARCHAR), '|' ORDER BY k) AS rows FROM r GROUP BY w HAVING count(*) > 1 UNION ALL SELECT 'email', string_agg(CAST(k AS VARCHAR), '|' ORDER BY k) FROM r GROUP BY e HAVING count(DISTINCT w) > 1""",
     "inbound_requests": f"""WITH {_WORLD}, a AS (SELECT w.*, CASE WHEN dm < 40 THEN dm END acc, CASE WHEN k % 13 <> 0 AND w.co < 40 THEN w.co END named, lead.t IS NOT NULL AND dm = w.co hl, lead.acc lacc, lead.own lown FROM w LEFT JOIN lead USING (t)),
 b AS (SELECT *, coalesce(CASE WHEN hl THEN lown END, CASE WHEN acc % 6 = 0 THEN 'r' || (acc % 5) END) own, coalesce(CASE WHEN acc % 2 = 0 THEN 'East' END, CASE WHEN k % 3 = 0 THEN '' ELSE 'West' END) place, coalesce(CASE WHEN acc % 5 <> 0 THEN acc * 1000 END, CASE WHEN k % 11 = 0 THEN -1 ELSE k * 100 END) money FROM a),
 c AS (SELECT *, CASE WHEN k % 13 = 0 OR k % 17 = 0 THEN 'invalid' WHEN named IS NOT NULL AND named IS DISTINCT FROM acc THEN 'account_conflict' WHEN hl AND lacc IS DISTINCT FROM acc THEN 'other_account' WHEN own = 'r3' THEN 'owner_away' WHEN own IS NULL AND place = '' THEN 'no_region' WHEN own IS NULL AND money < 0 THEN 'no_budget' END reason FROM b)

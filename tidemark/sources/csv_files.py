@@ -215,6 +215,16 @@ def cleanup_proposals(documents: DataFrame, email_column: int | None = None) ->
     return rows.withColumn("after", after).where("before <> after")
 
 
+def review_groups(documents: DataFrame, email_column: int | None = None) -> DataFrame:
+    """(kind, key, rows) of rows that a person should look at together: equal rows but for white space (kind row), and rows of one normal email that aren't all equal (kind email). key is a digest; rows are ascending row ids."""
+    cells = F.transform("cells", lambda c: T.trimmed(c))
+    rows = documents.where("error IS NULL").select("row_id", F.sha2(F.to_json(cells), 256).alias("whole"), (T.email(F.get("cells", F.lit(email_column))) if email_column is not None else F.lit(None).cast("string")).alias("e"))
+    ids = F.sort_array(F.collect_list("row_id")).alias("rows")
+    same = rows.groupBy("whole").agg(F.count("*").alias("n"), ids).where("n > 1").select(F.lit("row").alias("kind"), F.col("whole").alias("key"), "rows")
+    mails = rows.where("e IS NOT NULL").groupBy("e").agg(F.countDistinct("whole").alias("n"), ids).where("n > 1").select(F.lit("email").alias("kind"), F.sha2("e", 256).alias("key"), "rows")
+    return same.unionByName(mails)
+
+
 def _quoted(cell: Column) -> Column:
     return F.when(cell.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell)
 
