@@ -307,3 +307,12 @@ def test_pipeline_keeps_clean_rows(spark, docs):
             assert after == collections.Counter(r.doc_id for r in before)
     packed = corpus_pipeline.STAGES[-1][1](spark, now, "").collect()
     assert collections.Counter(r.doc_id for r in packed) == after
+
+
+def test_whole_copies_are_not_drawn(spark):
+    """Sources whose target is a whole multiple of their words send no rows to the draw, however the level is rounded."""
+    rows = [(f"s{i % 3}", c, 100 + 7 * c, float(c)) for i in range(3) for c in range(1, 12)]
+    classes = spark.createDataFrame(rows, "source string, class long, words long, w double")
+    for most, times in ((2, 2), (1, 1), (2, 0)):
+        goal = classes.groupBy("source").agg((F.sum("words") * times).cast("double").alias("target"))
+        assert {r.m for r in mixing.expected_copies(classes, goal, most).collect()} == {float(times)}

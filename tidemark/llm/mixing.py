@@ -69,7 +69,9 @@ def expected_copies(classes: DataFrame, goal: DataFrame, most: int) -> DataFrame
     rows = rows.withColumn("level", F.try_divide(F.col("target") - F.col("before"), F.col("open")))
     whole = Window.partitionBy("source").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = F.max(F.when(F.col("level") * F.col("w") <= most, F.struct("w", "level"))).over(whole)["level"]
-    return rows.withColumn("at", level).select("source", "class", F.when(F.col("target") > 0, F.coalesce(F.least(F.col("at") * F.col("w"), F.lit(float(most))), F.lit(float(most)))).otherwise(0.0).alias("m"))
+    m = F.when(F.col("target") > 0, F.coalesce(F.least(F.col("at") * F.col("w"), F.lit(float(most))), F.lit(float(most)))).otherwise(0.0)
+    # a whole number but for rounding is one: else all documents of a class would be drawn for a chance of 1e-16, in one bin
+    return rows.withColumn("at", level).select("source", "class", F.when(F.abs(m - F.floor(m + 0.5)) < 1e-9, F.floor(m + 0.5).cast("double")).otherwise(m).alias("m"))
 
 
 def _cut_bins(bins: DataFrame, scratch: Scratch) -> DataFrame:

@@ -75,7 +75,8 @@ t AS (SELECT source, source_size, coalesce(least(CAST(cap AS DOUBLE), (SELECT le
 k AS (SELECT d.source, length(bin(greatest(size, 1))) cl, CAST(sum(size) AS BIGINT) words, any_value(target) target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source GROUP BY 1, 2),
 h AS (SELECT *, (target - {mixing.MOST} * CAST(coalesce(sum(words) OVER (PARTITION BY source ORDER BY cl DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)) / nullif(CAST(sum(words * cl) OVER (PARTITION BY source ORDER BY cl DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE), 0) lev FROM k),
 l AS (SELECT source, arg_max(lev, cl) lev FROM h WHERE lev * cl <= {mixing.MOST} GROUP BY source),
-m AS (SELECT d.*, source_size, target, CASE WHEN target > 0 THEN coalesce(least(lev * length(bin(greatest(size, 1))), {mixing.MOST}.0::DOUBLE), {mixing.MOST}.0::DOUBLE) ELSE 0.0::DOUBLE END m FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN l ON d.source IS NOT DISTINCT FROM l.source),
+m0 AS (SELECT d.*, source_size, target, CASE WHEN target > 0 THEN coalesce(least(lev * length(bin(greatest(size, 1))), {mixing.MOST}.0::DOUBLE), {mixing.MOST}.0::DOUBLE) ELSE 0.0::DOUBLE END m FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN l ON d.source IS NOT DISTINCT FROM l.source),
+m AS (SELECT * REPLACE (CASE WHEN abs(m - floor(m + 0.5)) < 1e-9 THEN floor(m + 0.5) ELSE m END AS m) FROM m0),
 q AS (SELECT *, CAST(floor(m) AS BIGINT) sure, m - floor(m) p, sum(size * CAST(floor(m) AS BIGINT)) OVER (PARTITION BY source) sure_words FROM m),
 r AS (SELECT *, CASE WHEN p > 0 THEN u / (1 - u) * ((1 - p) / p) END q FROM q),
 x AS (SELECT *, CASE WHEN p > 0 THEN sum(size) OVER (PARTITION BY source, p > 0 ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) END upto, target - sure_words AS rest FROM r)
