@@ -63,6 +63,7 @@ SOFT = frozenset("related recommended recommendations trending share sharing soc
 SOFT = frozenset("related recommended recommendations trending share sharing social discussion search alert".split())
 SOFT = frozenset("related recommended recommendations trending share sharing social discussion search alert".split())
 SOFT = frozenset("related recommended recommendations trending share sharing social discussion search alert".split())
+SOFT = frozenset("related recommended recommendations trending share sharing social discussion search alert".split())
 HEADING = frozenset("header head".split())
 CONTENT = frozenset("article articlebody content entry main post postbody story".split())
 
@@ -184,6 +185,10 @@ def lines_of(html: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
                 end()
                 if 2 * sum(x[1] for x in out[soft:]) < sum(len("".join(x[0].split())) for x in out[soft:]):
                     out[soft:] = [("", 0, False, ())] * K
+            elif soft >= 0:
+                end()
+                if 2 * sum(x[1] for x in out[soft:]) < sum(len("".join(x[0].split())) for x in out[soft:]):
+                    out[soft:] = [("", 0, False, ())] * K
             boiler -= bad
             article -= good
             if content:

@@ -97,7 +97,8 @@ def _decided(spark: SparkSession, rows: DataFrame, keep: tuple[str, ...], source
     rows = rows.withColumn("m", F.coalesce("m", F.lit(0.0))).withColumn("sure", F.floor("m").cast("long")).withColumn("p", F.col("m") - F.col("sure"))
     odds = F.col("u") / (1 - F.col("u"))
     rows = rows.withColumn("q", F.when(F.col("p") > 0, odds * ((1 - F.col("p")) / F.col("p"))))
-    rows = rows.withColumn("fine", F.least(F.floor(F.col("q") / (1 + F.col("q")) * (BINS * BINS)), F.lit(BINS * BINS - 1)).cast("long")).withColumn("bin", F.floor(F.col("fine") / BINS).cast("long"))
+    # null where nothing is drawn: least() alone would skip the null and put such rows into the last bin
+    rows = rows.withColumn("fine", F.when(F.col("q").isNotNull(), F.least(F.floor(F.col("q") / (1 + F.col("q")) * (BINS * BINS)), F.lit(BINS * BINS - 1))).cast("long")).withColumn("bin", F.floor(F.col("fine") / BINS).cast("long"))
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("sure")).alias("sure_words"), F.max("target").alias("target"))
     bins = bins.withColumn("rest", F.col("target") - F.sum("sure_words").over(Window.partitionBy("source"))).where("bin IS NOT NULL")
     bins = scratch.table(bins, "bins")
