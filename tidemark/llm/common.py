@@ -106,3 +106,12 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: int, most: int = 8
             held += n
         if start < b.num_rows:
             yield b.slice(start)
+
+
+def pieces(data: bytes, most: int = 4 << 20) -> Iterator[bytes]:
+    """data in pieces of `most` bytes or a little more, each up to a space (a longer run without one stays whole)."""
+    at = 0
+    while len(data) - at > most and (cut := data.find(b" ", at + most)) >= 0:
+        yield data[at:cut]
+        at = cut
+    yield data[at:]

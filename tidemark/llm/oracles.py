@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import chat, mixing, quality
+from tidemark.llm import chat, mixing, quality, resampling, spelling
 
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
@@ -86,4 +86,44 @@ OP8 = """WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) p
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS "first" FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> "first" THEN 'revisit' ELSE 'response' END record_type, CASE WHEN payload_bytes >= 100 AND page_id <> "first" THEN "first" END refers_to FROM f"""
 
-ORACLES: dict[str, str] = {"op3_chat_events": OP3, "op4_adaptive_quality": OP4, "op8_arc_to_warc": OP8, "op9_hamming_neardup": OP9, "op10_pareto_mix": OP10}
+#: The table of the checksum's 256 bytes, and the unsigned crc32 of a string's UTF-8 bytes.
+_crc_table = "list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+
+
+def _crc(s: str) -> str:
+    data = f"list_transform(range(strlen({s})), lambda i: CAST('0x' || substr(hex(encode({s})), CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+OP11 = f"""WITH RECURSIVE k AS (SELECT {_crc_table} tab),
+t AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) w FROM documents),
+c AS (SELECT w, id || ':' || w said, count(*) c FROM t WHERE length(w) >= {spelling.LEAST} GROUP BY id, w),
+h AS (SELECT w, c, {_crc('said')} h FROM c, k),
+v AS (SELECT CASE WHEN h % {spelling.TYPO} = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END word, c FROM h),
+x AS (SELECT word, CAST(sum(c) AS BIGINT) n FROM v WHERE length(word) >= {spelling.LEAST} GROUP BY word HAVING sum(c) >= {spelling.MIN_COUNT}),
+d AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) v FROM (SELECT word, n, unnest(range(1, length(word) + 1)) i FROM x)),
+p AS (SELECT a.word, b.word near, b.n m FROM d a JOIN d b ON a.v = b.v AND a.i = b.i AND a.word <> b.word UNION SELECT d.word, x.word, x.n FROM d JOIN x ON d.v = x.word UNION SELECT x.word, d.word, d.n FROM d JOIN x ON d.v = x.word),
+g AS (SELECT word, near, m, count(*) OVER (PARTITION BY word) n_near FROM p QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, near) = 1),
+f AS (SELECT x.word, n, coalesce(n_near, 0) n_near, CASE WHEN m >= {spelling.TIMES} * n THEN near END form, CASE WHEN m >= {spelling.TIMES} * n THEN m END form_n FROM x LEFT JOIN g ON x.word = g.word),
+r(word, root) AS (SELECT word, form FROM f WHERE form IS NOT NULL UNION ALL SELECT r.word, f.form FROM r JOIN f ON r.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, coalesce(e.root, f.word) root, f.n, f.n_near, f.form_n FROM f LEFT JOIN (SELECT r.word, r.root FROM r JOIN f ON r.root = f.word AND f.form IS NULL) e ON f.word = e.word"""
+
+
+def _features(table: str, key: str) -> str:
+    ws = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"SELECT id, {key}, len(ws) n_words, ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) fs FROM (SELECT row_number() OVER () id, {key}, {ws} ws FROM {table})"
+
+
+OP13 = f"""WITH k AS (SELECT {_crc_table} tab),
+dw AS ({_features('documents', 'doc_id')}), bw AS ({_features('benchmark', 'item_id')}),
+df AS (SELECT id, f, count(*) c FROM (SELECT id, unnest(fs) f FROM dw) GROUP BY id, f), bf AS (SELECT f, count(*) c FROM (SELECT unnest(fs) f FROM bw) GROUP BY f),
+h AS (SELECT f, {_crc('f')} % {resampling.BUCKETS} b FROM (SELECT f FROM df UNION SELECT f FROM bf), k),
+s AS (SELECT b, CAST(sum(c) AS DOUBLE) s FROM df JOIN h USING (f) GROUP BY b), t AS (SELECT b, CAST(sum(c) AS DOUBLE) t FROM bf JOIN h USING (f) GROUP BY b),
+g AS (SELECT b, CAST(floor(1000 * ln((coalesce(t, 0.0::DOUBLE) + 1) * ((SELECT coalesce(sum(s), 0.0::DOUBLE) FROM s) + {resampling.BUCKETS}) / ((coalesce(s, 0.0::DOUBLE) + 1) * ((SELECT coalesce(sum(t), 0.0::DOUBLE) FROM t) + {resampling.BUCKETS})))) AS BIGINT) gain FROM (SELECT range b FROM range({resampling.BUCKETS})) LEFT JOIN s USING (b) LEFT JOIN t USING (b)),
+w AS (SELECT id, CAST(sum(c) AS BIGINT) n_features, CAST(floor(CAST(sum(c * gain) AS DOUBLE) / CAST(sum(c) AS DOUBLE)) AS BIGINT) weight FROM df JOIN h USING (f) JOIN g USING (b) GROUP BY id),
+x AS (SELECT doc_id, n_words, coalesce(n_features, 0) n_features, coalesce(weight, 0) weight, CAST('0x' || left(sha256('{resampling.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) h FROM dw LEFT JOIN w USING (id)),
+y AS (SELECT *, n_words >= {resampling.MIN_WORDS} fit, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) r, {resampling.PERCENT} * count(*) FILTER (fit) OVER () // 100 drawn FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND r <= drawn THEN r END "rank" FROM z"""
+
+ORACLES: dict[str, str] = {"op3_chat_events": OP3, "op4_adaptive_quality": OP4, "op8_arc_to_warc": OP8, "op9_hamming_neardup": OP9, "op10_pareto_mix": OP10, "op11_spelling_variants": OP11, "op13_importance_resampling": OP13}

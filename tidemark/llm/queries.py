@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, gif, html_text, lm, mixing, neardup, packing, quality, secrets, warc
+from tidemark.llm import bestfit, chat, gif, html_text, lm, mixing, neardup, packing, quality, resampling, secrets, spelling, warc
 from tidemark.llm.common import read_table
 
 
@@ -56,6 +56,20 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spark, read_table(spark, sf_dir, "documents"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # where the vocabulary files lie
+
+    return bestfit.pack_tokens(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path(bestfit.VOCABULARY))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gif_media": op1_gif_media,
     "op2_html_main_text": op2_html_main_text,
@@ -67,4 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_arc_to_warc": op8_arc_to_warc,
     "op9_hamming_neardup": op9_hamming_neardup,
     "op10_pareto_mix": op10_pareto_mix,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_importance_resampling": op13_importance_resampling,
 }
