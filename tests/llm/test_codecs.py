@@ -140,7 +140,7 @@ PROSE = ("Password authentication is required.", "the secret ingredients were fo
 
 
 def test_guess_cost_alone_decides():
-    known = secrets.Known(w for p in PROSE for w in re.findall(r"[^\W\d_]{3,}", p.lower()))
+    known = secrets.Known((w, True) for p in PROSE for w in re.findall(r"[^\W\d_]{3,}", p.lower()))
     for secret in ("password is qzxjvkwphfy", "password=qzxjvkwp", "pwd: 8305172946", "the token was kqvzwjxhpgmtrb", "secret WQZKXJVPH"):
         value = secret.replace("=", " ").split()[-1]
         assert [k for _, k, _ in secrets.all_spans(secret, known=known)] == ["guess"] and value not in secrets.redacted(secret, known), secret

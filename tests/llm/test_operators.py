@@ -258,6 +258,24 @@ def test_secret_precision_and_recall(spark):
     assert all(planted[r.doc_id] not in r.text for r in secrets.redact(spark, df).collect() if r.doc_id in planted)
 
 
+def test_a_repeated_secret_hides_nowhere(spark):
+    """A value that other texts repeat outside credential contexts, in exact or near copies too, is no known word; words of many texts are."""
+    rng = random.Random(3)
+    stock = ["".join(rng.choice(("ka", "lo", "mi", "ren", "tus", "vel", "dor")) for _ in range(3)) for _ in range(100)]
+    prose = [" ".join(rng.choice(stock) for _ in range(50)) for _ in range(120)]
+    value = "zorblefrinkquax"
+    data = [(i, f"{prose[i]} the password is {value} ok") for i in range(3)]
+    data += [(10, f"{value} {value}"), *((11 + k, f"we saw {value} and {value} there") for k in range(30)), (50, f"{prose[50]} {value} a"), (51, f"{prose[50]} {value} b")]
+    data += [(100 + i, p) for i, p in enumerate(prose)] + [(300, f"the secret {stock[0]}-{stock[1]} of {stock[2]}")]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    uses = {r.word: r for r in secrets.word_uses(df).collect()}
+    assert (uses[value].n, uses[value].n_inside, uses[value].n_texts) == (2 + 60 + 2, 3, 4) and uses[stock[0]].n_texts == secrets.MIN_TEXTS
+    for got in (secrets.find_secrets(spark, df).collect(),):
+        assert {r.doc_id for r in got if r.spans} == {0, 1, 2} and all(r.spans.startswith("guess:") for r in got if r.spans)
+    clean = {r.doc_id: r.text for r in secrets.redact(spark, df).collect()}
+    assert all(value not in clean[i] for i in range(3)) and all(clean[i] == t for i, t in data if i > 2)
+
+
 def test_mix(spark, docs, empty):
     got = mixing.mix(spark, docs).collect()
     assert len(got) == len(rows())

@@ -50,6 +50,22 @@ def by_sql(spark, docs, sql):
     return [dict(zip(names, r, strict=True)) for r in result.fetchall()]
 
 
+def brute_known(texts):
+    """The known words by counting texts one by one."""
+    words = lambda x: [w for w in re.split(r"[\W\d_]+", x) if 3 <= len(w) <= 24]
+    n, inside, seen = collections.Counter(), collections.Counter(), collections.defaultdict(set)
+    for text in texts:
+        low = (text or "").lower()
+        for m in secrets.CONTEXT.finditer(low):
+            inside.update(words(m[1]))
+        rest = secrets.CONTEXT.sub(" ", low)
+        n.update(words(rest))
+        for w in words(rest):
+            seen[w].add(rest)
+    found = [w for w in n if len(seen[w]) >= secrets.MIN_TEXTS and n[w] >= 2 * inside[w]]
+    return secrets.Known((w, n[w] >= secrets.SETTLED) for w in sorted(found, key=lambda w: (-n[w], w)))
+
+
 def test_pipeline_against_brute_force(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     quality, neardup, secret, mixing, packing = (f for _, f in corpus_pipeline.STAGES)
@@ -64,8 +80,7 @@ def test_pipeline_against_brute_force(spark, folder):
     assert counts(left) == collections.Counter(k for k, v in label.items() if k == v) and left.count() < kept.count()
 
     clean = secret(spark, left, folder).cache()
-    used = collections.Counter(w for r in left.collect() for w in re.split(r"[\W\d_]+", secrets.CONTEXT.sub(" ", (r.text or "").lower())) if 3 <= len(w) <= 24)
-    known = secrets.Known(w for w, n in sorted(used.items(), key=lambda x: (-x[1], x[0])) if n >= secrets.MIN_COUNT)
+    known = brute_known([r.text for r in left.collect()])
     want = {r.doc_id: secrets.redacted(r.text, known) for r in left.collect()}
     got = {r.doc_id: (r.text, r.n_chars) for r in clean.collect()}
     assert got == {i: (t, len(t)) for i, t in want.items()}

@@ -7,9 +7,10 @@ stretches, each costing the decimal logarithm of the guesses it takes, plus SEAM
 A value of MIN_GUESSES or more becomes a span of kind ``guess`` beside the base ones, and so does a value that base spans cover
 in part only, whatever it costs.
 
-Known words are those that the corpus itself uses (``vocabulary``): words of letters are counted over all texts, without what
-stands in credential contexts, and those of MIN_COUNT or more are known, the WORDS commonest at most. A word costs its rank, but no
-more than DEAREST, since a word of running text is no secret however rare. So prose is cheap in any language the corpus
+Known words are those that the corpus itself uses (``vocabulary``): words of letters that stand outside credential contexts in
+MIN_TEXTS or more different texts (exact copies are one), and there at least twice as often as inside such contexts; the WORDS commonest at most. A leaked value that some texts
+repeat is so no known word. A word costs its rank; one of SETTLED uses or more costs no
+more than DEAREST, since a word of running text is no secret. So prose is cheap in any language the corpus
 holds. Some common password words (COMMON) rank first.
 
 The programme's steps grow with the length of a value, not its square: words are looked up to the longest
@@ -29,12 +30,14 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, packed, small_batches
-from tidemark.llm.lm import HELD_WORDS, known_from
+from tidemark.llm.lm import known_from
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "guess")
@@ -45,8 +48,10 @@ CONTEXT = re.compile(r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)|pwd|secret|
 HINTS = ("pass", "pwd", "secret", "token", "credential", "bearer", "auth", "key")
 #: Least log10 guesses of a flagged value, log10 guesses for each further segment, and those of a known word at most.
 MIN_GUESSES, SEAM, DEAREST = 10.0, 0.3, 4.3
-#: Known words of the corpus at most, and the least count of one.
-WORDS, MIN_COUNT = 200_000, 2
+#: Known words of the corpus at most, the different texts that one needs to be known, and the uses it needs to be cheap whatever its rank.
+WORDS, MIN_TEXTS, SETTLED = 200_000, 5, 20
+#: Distinct words a task holds before it passes them on; the largest number that holds MIN_TEXTS - 1 digests of 16 bits.
+HELD_WORDS, FOUR = 300_000, (1 << 16 * (MIN_TEXTS - 1)) - 1
 #: Signs that join words, one of which is a cheap segment.
 JOINERS = "-_./'"
 
@@ -63,10 +68,14 @@ COMMON = (
 
 
 class Known(dict):
-    """Rank of each known word: COMMON ones, then others, the commonest first."""
-
-    def __init__(self, words: Iterable[str] = ()):
-        super().__init__({w: i + 1 for i, w in enumerate(dict.fromkeys([*COMMON, *words]))})
+    """log10 guesses of each known word: COMMON ones, then others (the commonest first), each with its rank; those that are settled cost DEAREST at most."""
+
+    def __init__(self, words: Iterable[tuple[str, bool]] = ()):
+        settled = dict.fromkeys(COMMON, True)
+        for word, is_settled in words:
+            settled.setdefault(word, is_settled)
+        costs = ((w, math.log10(i + 2), cheap) for i, (w, cheap) in enumerate(settled.items()))
+        super().__init__({w: min(c, DEAREST) if cheap else c for w, c, cheap in costs})
         self.longest = max(map(len, self))
 
 
@@ -103,14 +112,14 @@ def matches(value: str, known: Known = PLAIN) -> Iterator[tuple[int, int, float]
         if value[i] in JOINERS:
             yield i, i + 1, math.log10(len(JOINERS))
         for j in range(i + 3, min(n, i + known.longest) + 1):
-            rank = known.get(low[i:j])
+            cost = known.get(low[i:j])
             signs = 0.0
-            if rank is None and (rank := known.get(plain[i:j])) is not None:
+            if cost is None and (cost := known.get(plain[i:j])) is not None:
                 signs = math.log10(2) * sum(a != b for a, b in zip(low[i:j], plain[i:j], strict=True))
-            if rank is not None:
+            if cost is not None:
                 word = value[i:j]
                 capitals = 0.0 if word == low[i:j] else math.log10(2) if word[1:] == low[i + 1 : j] or word.isupper() else math.log10(2) * sum(a != b for a, b in zip(word, low[i:j], strict=True))
-                yield i, j, min(math.log10(rank + 1), DEAREST) + signs + capitals
+                yield i, j, cost + signs + capitals
         if m := YEAR.match(value, i):
             yield i, m.end(), math.log10(150)
         for pattern, order in zip(DATES, ((1, 3, 4), (4, 3, 1)), strict=True):
@@ -189,38 +198,80 @@ def _said(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, k, b in spans)
 
 
-def vocabulary(spark: SparkSession, docs: DataFrame, text_col: str = "text", most: int = WORDS) -> list[str]:
-    """The corpus's words of letters (3 to 24) that occur MIN_COUNT times or more outside credential contexts, commonest first, so many at most."""
+def _with(held: int, digests: int) -> int:
+    """The 16-bit digests of both numbers in one, until there are MIN_TEXTS."""
+    while digests and held <= FOUR:
+        x, digest = held, digests & 0xFFFF
+        while x and x & 0xFFFF != digest:
+            x >>= 16
+        if not x:
+            held = held << 16 | digest
+        digests >>= 16
+    return held
+
+
+def word_uses(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """word (3 to 24 letters), n and n_inside (uses outside and inside credential contexts), n_texts (different texts with the word outside, up to MIN_TEXTS)."""
+
+    def parts(w: str) -> list[str]:
+        return [p for p in re.split(r"[\W\d_]+", w) if 3 <= len(p) <= 24]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        n: Counter[str] = Counter()
+        inside: Counter[str] = Counter()
+        texts: dict[str, int] = {}
 
         def out() -> pa.RecordBatch:
-            clean: Counter[str] = Counter()
-            for w, n in held.items():
-                for part in re.split(r"[\W\d_]+", w):
-                    if 3 <= len(part) <= 24:
-                        clean[part] += n
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(clean), pa.string()), pa.array(list(clean.values()), pa.int64())], names=["word", "c"])
+            words: dict[str, list[int]] = {}
+            for w, c in n.items():
+                for p in parts(w):
+                    held = words.setdefault(p, [0, 0, 0])
+                    held[0] += c
+                    held[2] = _with(held[2], texts[w])
+            for w, c in inside.items():
+                for p in parts(w):
+                    words.setdefault(p, [0, 0, 0])[1] += c
+            n.clear(), inside.clear(), texts.clear()
+            full = [x > FOUR for *_, x in words.values()]
+            digests = np.array([0 if f else x for f, (*_, x) in zip(full, words.values(), strict=True)], np.uint64).view(np.int64)
+            counts = [pa.array([x[k] for x in words.values()], pa.int64()) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), *counts, pa.array(full, pa.bool_()), pa.array(digests)], names=["word", "n", "n_inside", "full", "digests"])
 
         for b in small_batches(batches, 0):
             for text in b.column(0).to_pylist():
                 low = (text or "").lower()
                 if any(w in low for w in HINTS):
+                    inside.update(x for m in CONTEXT.finditer(low) for x in m[1].split())
                     low = CONTEXT.sub(" ", low)
-                held.update(low.split())
-                if len(held) > HELD_WORDS:
+                own = Counter(low.split())
+                n.update(own)
+                digest = xxhash.xxh64_intdigest(low) % 0xFFFF + 1
+                for w in own:
+                    held = texts.get(w, 0)
+                    if held <= FOUR:
+                        texts[w] = _with(held, digest) if held else digest
+                if len(n) > HELD_WORDS:
                     yield out()
-        if held:
+        if n or inside:
             yield out()
 
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_COUNT)
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n long, n_inside long, full boolean, digests long")
+    # a word that one task has met in MIN_TEXTS texts needs no digests; of others there are four a task at most
+    counts = rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_inside").alias("n_inside"), F.max("full").alias("full"), F.collect_set(F.when(F.col("digests") != 0, F.col("digests"))).alias("digests"))
+    each = F.flatten(F.transform("digests", lambda x: F.array(*(F.shiftrightunsigned(x, 16 * k).bitwiseAND(0xFFFF) for k in range(4)))))
+    several = F.size(F.array_except(each, F.array(F.lit(0).cast("long"))))  # distinct ones
+    return counts.select("word", "n", "n_inside", F.when(F.col("full"), MIN_TEXTS).otherwise(F.least(several, F.lit(MIN_TEXTS))).alias("n_texts"))
+
+
+def vocabulary(spark: SparkSession, docs: DataFrame, text_col: str = "text", most: int = WORDS) -> list[tuple[str, bool]]:
+    """The corpus's known words, commonest first, so many at most, each with whether it is settled."""
+    known = word_uses(docs, text_col).where((F.col("n_texts") >= MIN_TEXTS) & (F.col("n") >= 2 * F.col("n_inside")))
     scratch = Scratch(spark, "secrets")
-    counts = scratch.table(counts, "words")
+    counts = scratch.table(known.select("word", F.col("n").alias("c"), (F.col("n") >= SETTLED).alias("settled")), "words")
     top = counts.where(F.col("c") >= known_from(counts, most)).toArrow()  # at most so many rows
     scratch.drop(counts)
-    return [w for _, w in sorted(zip(top.column("c").to_pylist(), top.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))]
+    rows = zip(*(top.column(k).to_pylist() for k in ("c", "word", "settled")), strict=True)
+    return [(w, s) for _, w, s in sorted(rows, key=lambda x: (-x[0], x[1]))]
 
 
 def find_secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
