@@ -26,17 +26,17 @@ def _jump(k: str) -> str:
     """The first jump of a feature's upper quantiles."""
     u, g = quality.JUMPING[k], quality.GRID
     steps = " ".join(f"WHEN q{b} + {u} >= {quality.JUMP} * (q{a} + {u}) THEN CAST(floor(sqrt(CAST((q{a} + {u}) * (q{b} + {u}) AS DOUBLE))) AS BIGINT) - {u}" for a, b in zip(g, g[1:]))
-    return f"max(CASE WHEN feature = '{k}' THEN CASE {steps} END END) {k}_high"
+    return f"max(CASE WHEN feature = '{k}' THEN CASE {steps} WHEN q75 = 0 THEN z90 + {quality.SPAN} * (z90 - z50) END END) {k}_high"
 
 
 _fences = ", ".join([*map(_jump, quality.JUMPING), f"max(CASE WHEN feature = 'word_length' THEN q50 + {quality.REACH} * greatest(q75 - q50, q50 // 16) END) word_length_high", f"max(CASE WHEN feature = 'word_length' THEN q50 - {quality.REACH} * greatest(q50 - q25, q50 // 16) END) word_length_low"])
 _verdict = " AND ".join([*(f"coalesce(f_{k} <= {k}_high, true)" for k in _F), "coalesce(f_word_length >= word_length_low, true)"])
 
 
-def _quantiles(keys: str) -> str:
+def _quantiles(keys: str, only: str = "true") -> str:
     part = f"{keys}, feature" if keys else "feature"
     at = lambda p: f"min(CASE WHEN 100 * upto >= {p} * n THEN lo END) q{p}"
-    return f"SELECT {part}, max(n) n, {', '.join(map(at, quality.PERCENTILES))} FROM (SELECT *, sum(c) OVER (PARTITION BY {part} ORDER BY bucket) upto, sum(c) OVER (PARTITION BY {part}) n FROM (SELECT {part}, bucket, min(lo) lo, sum(c) c FROM sk GROUP BY {part}, bucket)) GROUP BY {part}"
+    return f"SELECT {part}, max(n) n, {', '.join(map(at, quality.PERCENTILES))} FROM (SELECT *, sum(c) OVER (PARTITION BY {part} ORDER BY bucket) upto, sum(c) OVER (PARTITION BY {part}) n FROM (SELECT {part}, bucket, min(lo) lo, sum(c) c FROM sk WHERE {only} GROUP BY {part}, bucket)) GROUP BY {part}"
 
 
 _level = lambda q: f"CASE WHEN o.n >= {quality.MIN_GROUP} THEN o.{q} WHEN l.n >= {quality.MIN_GROUP} THEN l.{q} ELSE a.{q} END {q}"
@@ -50,8 +50,9 @@ b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words base_failed,
 x AS (SELECT lang, source, unnest([{', '.join(f"'{k}'" for k in _F)}]) feature, unnest([{', '.join(f'CAST(f_{k} AS BIGINT)' for k in _F)}]) v FROM b WHERE NOT base_failed),
 y AS (SELECT *, CASE WHEN v < 32 THEN 0 ELSE length(bin(v)) - 5 END s FROM x),
 sk AS (SELECT lang, source, feature, CASE WHEN v < 32 THEN v ELSE s * 16 + (v >> s) END bucket, min((v >> s) << s) lo, count(*) c FROM y GROUP BY 1, 2, 3, 4),
-o AS ({_quantiles('lang, source')}), l AS ({_quantiles('lang')}), a AS ({_quantiles('')}),
-q AS (SELECT o.lang, o.source, o.feature, {', '.join(_level(f'q{p}') for p in quality.PERCENTILES)} FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.feature = l.feature JOIN a ON o.feature = a.feature),
+o AS ({_quantiles('lang, source')}), l AS ({_quantiles('lang')}), a AS ({_quantiles('')}), zl AS ({_quantiles('lang', 'bucket > 0')}), za AS ({_quantiles('', 'bucket > 0')}),
+q AS (SELECT o.lang, o.source, o.feature, {', '.join(_level(f'q{p}') for p in quality.PERCENTILES)}, {', '.join(f'CASE WHEN zl.n >= {quality.MIN_GROUP} THEN zl.q{p} WHEN za.n >= {quality.MIN_GROUP} THEN za.q{p} END z{p}' for p in (50, 90))}
+ FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.feature = l.feature JOIN a ON o.feature = a.feature LEFT JOIN zl ON o.lang IS NOT DISTINCT FROM zl.lang AND o.feature = zl.feature LEFT JOIN za ON o.feature = za.feature),
 t AS (SELECT lang, source, {_fences} FROM q GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_verdict} kept FROM b LEFT JOIN t ON b.lang IS NOT DISTINCT FROM t.lang AND b.source IS NOT DISTINCT FROM t.source"""
 

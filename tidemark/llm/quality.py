@@ -11,7 +11,9 @@ sketches give each group's thresholds, which are joined back to filter.
 Thresholds follow each group's quantiles; none is a constant. Word length is fenced on both sides, REACH times the distance of the
 quartile from the median (or the sketch's resolution there) away. The other features are mostly zero in good text and far from it in junk, so their fence stands in the first
 jump of the upper quantiles (GRID): where, on the scale of the feature's unit, one quantile is JUMP times the one before, at their geometric
-mean. A group whose upper quantiles rise evenly has no such fence, and one that is junk in a quarter of its texts or more is
+mean. Where they don't jump and the feature is zero in three quarters of a group's texts, the fence is fitted to the texts that have it, pooled
+by language (by the whole corpus below MIN_GROUP of them, and none below that): SPAN times the distance of their 90th percentile from their median beyond the former.
+A group whose upper quantiles rise evenly from above zero has no such fence, and one that is junk in a quarter of its texts or more is
 taken as it is. Feature values of texts that fail the base rules are not learned from.
 
 Equal 8-word windows are found by 64-bit hashes of their words.
@@ -40,6 +42,8 @@ GRID, JUMP = (75, 80, 85, 90, 95, 98, 99, 100), 3
 #: The fences of word length stand so many times the distance of the quartile from the median away from it, or the sketch's resolution if that is more.
 REACH = 5
 PERCENTILES = (25, 50, *GRID)
+#: Where a feature is mostly zero, its fence stands so many times the distance from the median to the 90th percentile of the other texts beyond the latter.
+SPAN = 3
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -114,11 +118,18 @@ def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     whole = quantiles([], sketch).select("feature", *(F.col(c).alias(f"w_{c}") for c in names))
     own = own.alias("o").join(lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.feature") == F.col("l.feature"))).select("o.*", *(f"l_{c}" for c in names))
     own = own.join(whole, "feature")
+    # the same of the texts that have a feature at all
+    some, parts = sketch.where("bucket > 0"), ("n", "q50", "q90")
+    some_lang = quantiles(["lang"], some).select(F.col("lang").alias("z_lang"), F.col("feature").alias("z_feature"), *(F.col(c).alias(f"zl_{c}") for c in parts))
+    some_whole = quantiles([], some).select("feature", *(F.col(c).alias(f"zw_{c}") for c in parts))
+    own = own.join(some_lang, F.col("lang").eqNullSafe(F.col("z_lang")) & (F.col("feature") == F.col("z_feature")), "left").join(some_whole, "feature", "left")
+    pooled = lambda c: F.when(F.col("zl_n") >= min_group, F.col(f"zl_{c}")).when(F.col("zw_n") >= min_group, F.col(f"zw_{c}"))
     level = lambda c: F.when(F.col("n") >= min_group, F.col(c)).when(F.col("l_n") >= min_group, F.col(f"l_{c}")).otherwise(F.col(f"w_{c}"))
-    own = own.select("lang", "source", "feature", *(level(c).alias(c) for c in names[1:]))
+    own = own.select("lang", "source", "feature", *(level(c).alias(c) for c in names[1:]), pooled("q50").alias("z50"), pooled("q90").alias("z90"))
     unit = F.coalesce(*(F.when(F.col("feature") == k, F.lit(u)) for k, u in JUMPING.items()))
     lifted = {p: F.col(f"q{p}") + unit for p in GRID}
     jump = F.coalesce(*(F.when(lifted[b] >= JUMP * lifted[a], F.floor(F.sqrt((lifted[a] * lifted[b]).cast("double"))) - unit) for a, b in zip(GRID, GRID[1:])))
+    jump = F.coalesce(jump, F.when(F.col("q75") == 0, F.col("z90") + SPAN * (F.col("z90") - F.col("z50"))))
     at = lambda k, x: F.max(F.when(F.col("feature") == k, x))
     length = (F.col("q50") - REACH * F.greatest(F.col("q50") - F.col("q25"), F.floor(F.col("q50") / 16)), F.col("q50") + REACH * F.greatest(F.col("q75") - F.col("q50"), F.floor(F.col("q50") / 16)))
     fences = [at(k, jump).alias(f"{k}_high") for k in JUMPING] + [at("word_length", x).alias(f"word_length_{side}") for side, x in zip(("low", "high"), length, strict=True)]
