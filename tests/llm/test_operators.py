@@ -117,16 +117,16 @@ def test_quality_fences_a_mostly_absent_feature(spark):
     """Repeated lines in few texts: the fence follows those that have some, and a text far beyond them goes."""
     line = lambda i, k: " ".join(f"w{i}x{k}y{j}" for j in range(4))
     lines = lambda i, n, same: "\n".join([line(i, k) for k in range(n - same)] + [line(i, 0)] * same)
-    data = [(i, lines(i, 40, 0 if i % 6 else 1 + i // 6 % 3), "en", f"s{i % 2}") for i in range(720)] + [(1000, lines(1000, 40, 11), "en", "s0")]
+    data = [(i, lines(i, 40, 0 if i % 9 else 1 + i // 9 % 3), "en", f"s{i // 9 % 2}") for i in range(1260)] + [(5000, lines(5000, 40, 11), "en", "s0")]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
     counted = quality.with_counts(df)
     limits = {r.source: r for r in quality.thresholds(quality.sketches(counted.cache()).cache()).collect()}
-    some = sorted(1000 * (1 + i // 6 % 3) // 40 for i in range(0, 720, 6))
+    some = sorted(1000 * (1 + i // 9 % 3) // 40 for i in range(0, 1260, 9))
     q50, q90 = some[len(some) // 2], some[int(len(some) * 0.9)]
     for r in limits.values():
         assert r.dup_lines_high == pytest.approx(q90 + quality.SPAN * (q90 - q50), rel=0.1)
     got = {r.doc_id: r.kept for r in quality.judge(spark, df).collect()}
-    assert [i for i, kept in got.items() if not kept] == [1000]
+    assert [i for i, kept in got.items() if not kept] == [5000]
 
 
 def test_quality_rejects_symbols_only_where_odd(spark):
