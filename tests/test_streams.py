@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from tidemark.operators import incidents, intake
+from tidemark.operators import incidents
 from tidemark.streaming import incidents as live
 
 
@@ -24,11 +24,3 @@ def test_expectation_timers(spark, tmp_path):
     got = live.run_to_end(live.expectations(parts(spark, rows, schema, str(tmp_path / "s"), 4), ("sql",), 60), "timers").collect()
     batch = incidents.expectations_due(spark.createDataFrame(rows, schema), ("sql",), 60, "2024-01-01 03:00:00").collect()
     assert {(r.record_id, r.since) for r in got} == {(r.record_id, r.since) for r in batch} == {("a", at(0)), ("d", at(50))}
-
-
-def test_checkpoints(spark, tmp_path):
-    rows = [("d1", at(0), "c", 1, "r1", None, None, False, 0), ("d2", at(1), "c", 2, "r2", "r1", None, False, 60), ("d2", at(1), "c", 2, "r2", "r1", None, False, 60), ("d3", at(2), "c", 3, "r9", "r5", None, False, 80), ("d4", at(3), "c", 4, "r9", "r5", "lost", False, 90), ("d5", at(4), "c", 5, "r10", "r9", None, False, 100)]
-    schema = "delivery_id string, at timestamp, channel string, seq long, replay_id string, previous_id string, gap_reason string, gaps boolean, received long"
-    got = live.run_to_end(live.checkpoints(parts(spark, rows, schema, str(tmp_path / "s"), 3)), "checkpoints").collect()
-    batch = intake.deliveries(spark.createDataFrame(rows, schema).dropDuplicates(["delivery_id"])).collect()
-    assert sorted((r.status, r.needs_reconciliation) for r in got) == sorted((r.status, r.needs_reconciliation) for r in batch) == [("accepted", False), ("accepted", False), ("accepted", True), ("accepted", True), ("conflict", False)]

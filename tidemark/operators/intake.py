@@ -81,34 +81,42 @@ def change_hints(events: DataFrame) -> DataFrame:
     return whole.union(each)
 
 
-def fold_deliveries(rows: pd.DataFrame, checkpoint: str | None = None, received: int | None = None, open_gap: bool = False, seen: set[str] | None = None) -> Iterator[tuple]:
-    """(seq, status, needs_reconciliation) of one channel's deliveries in order of arrival: accepted ones move the checkpoint, a repeated one is a duplicate, one that doesn't follow the checkpoint without a stated gap is a conflict."""
-    seen = set() if seen is None else seen
-    for r in rows.sort_values("seq").itertuples():
+def content_digest(rows: DataFrame) -> Column:
+    """Of a delivery's content (its body, where there is one): what tells a repeated delivery from another one that names the same replay id."""
+    held = [c for c in ("channel", "replay_id", "previous_id", "gap_reason", "gaps", "body") if c in rows.columns]
+    return F.sha2(F.to_json(F.struct(*held), {"ignoreNullFields": "false"}), 256)
+
+
+def fold_deliveries(rows: pd.DataFrame, checkpoint: str | None = None, received: int | None = None, open_gap: bool = False) -> Iterator[tuple]:
+    """(seq, digest, status, needs_reconciliation, replay_id, received) of one channel's deliveries in order of arrival, the last two as the checkpoint has them after it: accepted ones move the checkpoint, one whose content was accepted
+    before (here, or a column known says so) is a duplicate, one that doesn't follow the checkpoint without a stated gap is a conflict."""
+    seen: set[str] = set()
+    known = rows["known"] if "known" in rows else [False] * len(rows)
+    for r, old in sorted(zip(rows.itertuples(), known, strict=True), key=lambda x: x[0].seq):
         previous = None if pd.isna(r.previous_id) else r.previous_id
         stated = not pd.isna(r.gap_reason)
-        if r.replay_id in seen:
-            yield r.seq, "duplicate", open_gap
-            continue
-        if previous != checkpoint and not stated:
-            yield r.seq, "conflict", open_gap
-            continue
-        late = received is not None and r.received - received > RETENTION_HOURS * 3600
-        open_gap = bool(open_gap or stated or late or r.gaps)
-        checkpoint, received = r.replay_id, r.received
-        seen.add(r.replay_id)
-        yield r.seq, "accepted", open_gap
+        if old or r.digest in seen:
+            status = "duplicate"
+        elif previous != checkpoint and not stated:
+            status = "conflict"
+        else:
+            status = "accepted"
+            late = received is not None and r.received - received > RETENTION_HOURS * 3600
+            open_gap = bool(open_gap or stated or late or r.gaps)
+            checkpoint, received = r.replay_id, int(r.received)
+            seen.add(r.digest)
+        yield r.seq, r.digest, status, open_gap, checkpoint, received
 
 
 def deliveries(rows: DataFrame) -> DataFrame:
-    """(channel, seq, status, needs_reconciliation) of deliveries (channel, seq, replay_id, previous_id, gap_reason, gaps: whether it holds gap events, received: seconds). A channel is one ordered stream, so it is folded in one task."""
+    """(channel, seq, status, needs_reconciliation) of deliveries (channel, seq, replay_id, previous_id, gap_reason, gaps: whether it holds gap events, received: seconds, body if there is one). A channel is one ordered stream, so it is folded in one task; ``tidemark.streaming.ledger`` folds only what is new."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(list(fold_deliveries(pdf)), columns=["seq", "status", "needs_reconciliation"])
+        out = pd.DataFrame([x[:4] for x in fold_deliveries(pdf)], columns=["seq", "digest", "status", "needs_reconciliation"]).drop(columns="digest")
         out.insert(0, "channel", pdf["channel"].iloc[0])
         return out
 
-    return rows.groupBy("channel").applyInPandas(run, "channel string, seq long, status string, needs_reconciliation boolean")
+    return rows.withColumn("digest", content_digest(rows)).groupBy("channel").applyInPandas(run, "channel string, seq long, status string, needs_reconciliation boolean")
 
 
 def due(queue: DataFrame, as_of: Column, limit: int = 10) -> DataFrame:

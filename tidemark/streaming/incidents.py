@@ -1,16 +1,17 @@
-"""Structured Streaming forms of the detectors: deduplicated changes, bulk clears per sliding window, keyed high-water state."""
+"""Structured Streaming forms of the detectors: deduplicated changes, bulk clears in a trailing window, keyed high-water state, expectation timers."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators.incidents import LEAST_RECORDS
-from tidemark.operators.intake import fold_deliveries
+from tidemark.operators.incidents import LEAST_RECORDS, LEAST_SHARE, WINDOW_SECONDS
 
 LATENESS = "10 minutes"
 
@@ -20,11 +21,67 @@ def once(changes: DataFrame, lateness: str = LATENESS) -> DataFrame:
     return changes.withWatermark("at", lateness).dropDuplicatesWithinWatermark(["delivery_id"])
 
 
-def bulk_clears(changes: DataFrame, lateness: str = LATENESS, least: int = LEAST_RECORDS) -> DataFrame:
-    """Half-hour windows, sliding by ten minutes, in which a field lost its value on many records."""
-    gone = changes.where((F.coalesce("after", F.lit("")) == "") & (F.coalesce("before", F.lit("")) != ""))
-    per = gone.withWatermark("at", lateness).groupBy(F.window("at", "30 minutes", "10 minutes"), "field").agg(F.approx_count_distinct("record_id", 0.01).alias("records"))
-    return per.where(F.col("records") >= least).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "field", "records")
+class TrailingClears(StatefulProcessor):
+    """State of a field: the records that lost it at each waiting time, each counted record's end, and the records that end at each time."""
+
+    def __init__(self, seconds: int, least: int):
+        self.length, self.least = seconds * 1_000_000 + 1, least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long", "records array<string>")
+        self.end_of = handle.getMapState("end_of", "record_id string", "at long")
+        self.ends = handle.getMapState("ends", "at long", "records array<string>")
+        self.counted = handle.getValueState("counted", "n long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            part = part.assign(us=part["at"].astype("datetime64[us]").astype("int64"))
+            for us, own in part.groupby("us"):
+                held = self.waiting.getValue((us,))[0] if self.waiting.containsKey((us,)) else []
+                self.waiting.updateValue((us,), (sorted(set(held) | set(own["record_id"].dropna())),))
+                self.handle.registerTimer(us // 1000 + 1)
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        upto = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        n = self.counted.get()[0] if self.counted.exists() else 0
+        ends = sorted(k[0] for k in self.ends.keys())
+        out = []
+        for us in sorted(k[0] for k in self.waiting.keys() if k[0] < upto):
+            while ends and ends[0] <= us:
+                over = ends.pop(0)
+                for r in self.ends.getValue((over,))[0]:
+                    if self.end_of.getValue((r,))[0] == over:  # else it was cleared again since
+                        self.end_of.removeKey((r,))
+                        n -= 1
+                self.ends.removeKey((over,))
+            records = self.waiting.getValue((us,))[0]
+            self.waiting.removeKey((us,))
+            for r in records:
+                n += not self.end_of.containsKey((r,))
+                self.end_of.updateValue((r,), (us + self.length,))
+            if records:
+                self.ends.updateValue((us + self.length,), (records,))
+                ends.append(us + self.length)
+            if records and n >= self.least:
+                out.append((key[0], pd.Timestamp(us, unit="us"), n))
+        self.counted.update((n,))
+        yield pd.DataFrame(out, columns=["field", "at", "records"])
+
+    def close(self) -> None:
+        pass
+
+
+def bulk_clears(changes: DataFrame, population: DataFrame, lateness: str = LATENESS, seconds: int = WINDOW_SECONDS, least: int = LEAST_RECORDS, share: float = LEAST_SHARE) -> DataFrame:
+    """(field, at, records, share) of a stream of changes, exactly as ``tidemark.operators.incidents.bulk_clears``: the distinct records that lost a field's value in the window that ends at each time.
+
+    A field's rows wait until the watermark has passed them and are then taken in order of time; its state is bounded by the records cleared in a window and the lateness. population: (field, records), no stream."""
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    gone = changes.where(blank("after") & ~blank("before")).select("field", "record_id", "at").withWatermark("at", lateness)
+    found = gone.groupBy("field").transformWithStateInPandas(TrailingClears(seconds, least), "field string, at timestamp, records long", "append", "EventTime")
+    rows = found.join(population.select("field", F.col("records").alias("population")), "field")
+    return rows.withColumn("share", F.round(F.col("records") / F.col("population"), 6)).where(F.col("records") / F.col("population") >= share).select("field", "at", "records", "share")
 
 
 def activity(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -81,25 +138,6 @@ def expectations(states: DataFrame, values: tuple[str, ...], deadline_minutes: i
     return keyed.applyInPandasWithState(fold, "record_id string, since timestamp", "last long, since long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def checkpoints(deliveries: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """(channel, replay_id, status, needs_reconciliation) of deliveries (delivery_id, at, channel, seq, replay_id, previous_id, gap_reason, gaps, received) in order of arrival, as ``intake.deliveries`` in batch; repeated ones are dropped before. State: the channel's checkpoint."""
-
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        checkpoint, received, gap = state.get if state.exists else ("", -1, False)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for i in range(len(rows)):
-            one = rows.iloc[[i]]
-            ((_, status, gap),) = fold_deliveries(one, checkpoint or None, None if received < 0 else received, gap)
-            if status == "accepted":
-                checkpoint, received = one["replay_id"].iloc[0], int(one["received"].iloc[0])
-            out.append((key[0], one["replay_id"].iloc[0], status, gap))
-        state.update((checkpoint, received, gap))
-        yield pd.DataFrame(out, columns=["channel", "replay_id", "status", "needs_reconciliation"])
-
-    return once(deliveries, lateness).groupBy("channel").applyInPandasWithState(fold, "channel string, replay_id string, status string, needs_reconciliation boolean", "checkpoint string, received long, gap boolean", "append", GroupStateTimeout.NoTimeout)
-
-
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """A stream over what is there now, into a memory table of a name (tests and small replays)."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
