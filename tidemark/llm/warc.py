@@ -14,7 +14,7 @@ broadcast only if it was counted and is small, else joined with the skewed side
 
 Defined cases: null html is an empty payload, stored as a response; null url is ``urn:page:<id>``; a null
 id is left empty and never the first of a group; rows that share an id and payload are all responses if
-theirs is the smallest id; spaces in urls are percent-encoded; damaged ARC headers raise ValueError; empty
+theirs is the smallest id; spaces in urls are percent-encoded; damaged ARC files give a row with the error; empty
 tables give archives without records; extra columns are left out.
 """
 
@@ -23,7 +23,9 @@ from __future__ import annotations
 import datetime
 import gzip
 import hashlib
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -191,20 +193,25 @@ def legacy_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
 
 
 def arc_records(archives: DataFrame) -> DataFrame:
-    """One row per record of ARC files (archive, content): id (from X-Page-Id, else null), url, ip, date, kind, block, payload_bytes, digest."""
-    kinds = [("id", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("kind", pa.string()), ("block", pa.binary()), ("payload_bytes", pa.int64()), ("digest", pa.string())]
+    """One row per record of ARC files (archive, content): id (from X-Page-Id, else null), url, ip, date, kind, block, payload_bytes, digest, archive, error.
+
+    A damaged file gives its records up to the damage and then a row that has archive and error alone; the others go on."""
+    kinds = [("id", pa.int64()), ("url", pa.string()), ("ip", pa.string()), ("date", pa.string()), ("kind", pa.string()), ("block", pa.binary()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("archive", pa.string()), ("error", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for content in b.column(1):
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 rows = []
-                for r in parse_arc(content.as_py()):
-                    head, payload = http_parts(r.block)
-                    key = http_header(head, "X-Page-Id")
-                    rows.append((int(key) if key else None, r.fields["URL"], r.fields["IP-address"], r.fields["Archive-date"], r.fields["Content-type"], r.block, len(payload), hashlib.sha256(payload).hexdigest()))
+                try:
+                    for r in parse_arc(content.as_py() or b""):
+                        head, payload = http_parts(r.block)
+                        key = http_header(head, "X-Page-Id")
+                        rows.append((int(key) if key and re.fullmatch(r"-?\d{1,19}", key) and -(1 << 63) <= int(key) < 1 << 63 else None, r.fields["URL"], r.fields["IP-address"], r.fields["Archive-date"], r.fields["Content-type"], r.block, len(payload), hashlib.sha256(payload).hexdigest(), name, None))
+                except (ValueError, OSError, EOFError, zlib.error) as e:
+                    rows.append((*[None] * 8, name, str(e)))
                 yield _batch(rows, kinds)
 
-    return archives.select("archive", "content").mapInArrow(run, "id long, url string, ip string, date string, kind string, block binary, payload_bytes long, digest string")
+    return archives.select(F.col("archive").cast("string"), "content").mapInArrow(run, "id long, url string, ip string, date string, kind string, block binary, payload_bytes long, digest string, archive string, error string")
 
 
 def to_warc(spark: SparkSession, records: DataFrame, min_revisit: int = MIN_REVISIT, scratch: Scratch | None = None, file_bytes: int = 0) -> DataFrame:
@@ -272,7 +279,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def convert_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Pages through ARC files to stored WARC archives, and what the archives hold."""
     scratch = Scratch(spark, "warc")
-    records = arc_records(legacy_archives(pages))
+    records = arc_records(legacy_archives(pages)).where("error IS NULL").drop("archive", "error")
     path = scratch.path("archives")
     write_warc(to_warc(spark, records, scratch=scratch, file_bytes=FILE_BYTES), path)
     return read_warc(spark, path)
