@@ -254,6 +254,26 @@ def test_language_model_beats_base_on_held_out(spark, monkeypatch):
     assert sum(r.score - r.base_score for r in got) / tokens > 0.3
 
 
+def test_damaged_archives(spark):
+    """A damaged file keeps its records up to the damage and tells the error; other files are whole."""
+    block = b"HTTP/1.1 200 OK\r\nX-Page-Id: 7\r\n\r\nbody"
+    good = warc.arc_file("a.arc", 1, [("http://x/1", "1.2.3.4", "20080102030405", "text/html", 200, block)] * 2)
+    files = [("good", good), ("short", good[:-4]), ("none", None), ("junk", b"junk\n"), ("gzip", b"\x1f\x8bjunk"), ("length", good.replace(b" 43\n", b" x\n"))]
+    got = collections.defaultdict(list)
+    for r in warc.arc_records(spark.createDataFrame(files, "archive string, content binary")).collect():
+        got[r.archive].append((r.id, r.error is not None))
+    assert dict(got) == {"good": [(7, False)] * 2, "short": [(7, False), (None, True)], "junk": [(None, True)], "gzip": [(None, True)], "length": got["length"]} and got["length"][-1][1] == (f" {len(block)}\n".encode() == b" 43\n")
+
+
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), -float("inf"), None, -1.0, 0.0])
+def test_odd_weights_are_never_taken(spark, odd):
+    data = [(i, "a b c", "s", 1.0 + i % 3) for i in range(30)] + [(100, "a b c", "s", odd)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string, w double")
+    got = {r.doc_id: r.taken for r in mixing.mix(spark, df, weight_col="w").collect()}
+    assert got[100] == 0 and sum(got.values()) > 0 and len(got) == 31
+    assert mixing.apply_mix(spark, df, weight_col="w").where("doc_id = 100").count() == 0
+
+
 def test_secret_precision_and_recall(spark):
     """Planted values are found, and hyphenated prose in credential contexts, of words that the corpus uses, is left alone."""
     rng = random.Random(8)

@@ -13,7 +13,7 @@ falls into BINS finer ones, and only the finer one in which it falls is ordered
 about its BINS * BINS-th part (or the largest run of equal draws, that is repeated ids).
 
 Defined cases: null text has size 0 and takes 0 words; size 0 is drawn like others; repeated rows are drawn
-alike and each decided for itself; ids may be null (drawn as the text 'null'); a null source is a source; null, negative and zero weights
+alike and each decided for itself; ids may be null (drawn as the text 'null'); a null source is a source; null, negative, zero, infinite and NaN weights
 are never taken; a corpus without words has targets of 0; extra columns stay in ``apply_mix``, whatever their names; empty tables give
 empty tables. Reruns agree.
 """
@@ -57,7 +57,8 @@ def weight_class(weight: Column | None, size: Column) -> tuple[Column, Column]:
     if weight is None:
         return F.length(F.bin(F.greatest(size, F.lit(1)))).cast("long"), F.col("class").cast("double")
     w = weight.cast("double")
-    return F.when(w > 0, F.round(F.log2(w) * 64)).cast("long"), F.pow(F.lit(2.0), F.col("class") / 64)
+    # NaN is above all numbers to the engine
+    return F.when((w > 0) & (w < float("inf")), F.round(F.log2(w) * 64)).cast("long"), F.pow(F.lit(2.0), F.col("class") / 64)
 
 
 def expected_copies(classes: DataFrame, goal: DataFrame, most: int) -> DataFrame:
