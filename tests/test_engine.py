@@ -1,11 +1,13 @@
 """Text functions, contacts, identity, matching, routing, incidents, state, CSV and streaming on literal rows."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators.ranks import ranked
 from tidemark.operators import contacts, identity, incidents, matching, routing, state
 from tidemark.sources import csv_files
 from tidemark.streaming import incidents as live
@@ -100,6 +102,34 @@ def test_routing(spark):
     assert [r.rep_id for r in routing.ranked_reps(reps).orderBy("rank").collect()] == ["b", "a"]
 
 
+def test_pools_equal_the_fold(spark):
+    """Places by rank give what a fold over the requests gives, on pools of uneven reps, with ties, full and absent ones."""
+    rng = random.Random(11)
+    reps = [(f"p{i:02d}", rng.choice(["E", "W", None]), rng.choice("SG"), rng.random() < 0.8, rng.choice([0, 1, 2, 4, 8]), rng.choice([0, 0, 1, 3])) for i in range(40)]
+    asks = [(rng.randrange(60), f"q{i}", rng.choice(["E", "W", None]), rng.choice("SG")) for i in range(150)]
+    used, want = {r[0]: r[5] for r in reps}, {}
+    for seq, ask, region, segment in sorted(asks, key=lambda q: (q[0], q[1])):
+        free = [(used[r[0]] / r[4], r[0]) for r in reps if r[3] and region is not None and r[1] == region and r[2] == segment and used[r[0]] < r[4]]
+        want[ask] = min(free)[1] if free else None
+        if free:
+            used[want[ask]] += 1
+    df = spark.createDataFrame(asks, "seq long, request_id string, region string, segment string").repartition(5)
+    got = routing.assign(df, spark.createDataFrame(reps, "rep_id string, region string, segment string, active boolean, capacity long, assigned long")).collect()
+    assert {r.request_id: r.rep_id for r in got} == want and all((r.status == "routed") == (r.rep_id is not None) for r in got) and len(set(want.values())) > 10
+    assert routing.assign(df.limit(0), spark.createDataFrame(reps, "rep_id string, region string, segment string, active boolean, capacity long, assigned long")).count() == 0
+
+
+def test_ranks_in_groups(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "a", "a", None, "b"]), rng.randrange(30), i) for i in range(500)]
+    got = ranked(spark.createDataFrame(rows, "g string, v long, id long").repartition(7), ["g"], [F.col("v").desc()]).collect()
+    for g in ("a", "b", None):
+        own = sorted((r["rank"], r.v) for r in got if r.g == g)
+        assert [n for n, _ in own] == list(range(1, len(own) + 1)) and [v for _, v in own] == sorted((v for _, v in own), reverse=True)
+    assert len(got) == 500
+
+
+
 def test_incidents(spark):
     t = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
     seen = spark.createDataFrame([("r", "f", v, t(i)) for i, v in enumerate(["a", "b", "a", "b", "a", "b", "a"])] + [("r", "f", "a", t(6))], "record_id string, field string, value string, at timestamp")

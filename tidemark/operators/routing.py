@@ -1,13 +1,13 @@
-"""Lead scoring, triage, policy routing, account matching and the inbound assignment fold."""
+"""Lead scoring, triage, policy routing, account matching and the inbound pools."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import text as T
+from tidemark.operators.ranks import ranked
 
 
 def lead_score(revenue: Column, employees: Column, intent: Column) -> Column:
@@ -59,23 +59,22 @@ def match_accounts(requests: DataFrame, accounts: DataFrame) -> DataFrame:
     return out.select("request_id", status.alias("status"), F.when(status == "matched", F.col("account_id")).alias("account_id"))
 
 
-def assign(requests: DataFrame, reps: DataFrame, by: str = "region") -> DataFrame:
-    """The order-dependent fold: requests (seq, request_id, region, segment) in turn to the least used active rep of their region and segment (then id) with room; else held. Regions share no reps, so each is a group of its own."""
+def slots(reps: DataFrame) -> DataFrame:
+    """(region, segment, slot, rep_id): the free places of the active reps (rep_id, region, segment, active, capacity, assigned) in the order in which they are given away.
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        used = {r.rep_id: [r.assigned, r.capacity, r.segment] for r in right.itertuples() if r.active}
-        rows = []
-        for q in left.sort_values(["seq", "request_id"]).itertuples():
-            free = [(n / cap, k) for k, (n, cap, seg) in used.items() if seg == q.segment and n < cap]
-            if free:
-                rep = min(free)[1]
-                used[rep][0] += 1
-                rows.append((q.request_id, rep, "routed"))
-            else:
-                rows.append((q.request_id, None, "held"))
-        return pd.DataFrame(rows, columns=["request_id", "rep_id", "status"])
+    The least used rep goes first, and a rep's use only grows, so the order in which a pool's places go is that of the use each is taken at: places taken before, by capacity; then rep id."""
+    free = reps.where("active AND assigned < capacity").select("region", "segment", "rep_id", "capacity", F.explode(F.sequence(F.col("assigned"), F.col("capacity") - 1)).alias("taken"))
+    use = F.col("taken") / F.col("capacity")
+    return ranked(free, ["region", "segment"], [use.asc(), F.col("rep_id").asc()], "slot").select("region", "segment", "slot", "rep_id")
 
-    return requests.groupBy(by).cogroup(reps.groupBy(by)).applyInPandas(run, "request_id string, rep_id string, status string")
+
+def assign(requests: DataFrame, reps: DataFrame) -> DataFrame:
+    """(request_id, rep_id, status): requests (seq, request_id, region, segment) in turn to the least used active rep of their region and segment (then id) with room; else held.
+
+    No fold: the n-th request of a pool gets the pool's n-th place. Requests without a region or segment are held."""
+    turn = ranked(requests.select("seq", "request_id", "region", "segment"), ["region", "segment"], [F.col("seq").asc(), F.col("request_id").asc()], "slot")
+    rows = turn.join(slots(reps), ["region", "segment", "slot"], "left")
+    return rows.select("request_id", "rep_id", F.when(F.col("rep_id").isNull(), "held").otherwise("routed").alias("status"))
 
 
 # Monthly spend from which a request is for the Enterprise pool.

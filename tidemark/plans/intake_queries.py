@@ -136,6 +136,15 @@ def _inbound(s, d):
     return R.inbound(requests, leads, accounts, reps)
 
 
+def _pools(s, d):
+    """The pool's requests by their id, over five reps a pool of whom some are full, away or without a place."""
+    requests, leads, accounts, _ = _world(s, d)
+    k = F.col("k")
+    reps = _k(s, d).where("k < 60").select(F.concat(F.lit("s"), k.cast("string")).alias("rep_id"), F.when(k % 3 == 0, "East").when(k % 3 == 1, "West").alias("region"), F.when(k % 2 == 0, "Enterprise").otherwise("Growth").alias("segment"), (k % 7 != 0).alias("active"), (k % 11 + k % 4).alias("capacity"), (k % 5).alias("assigned"))
+    pool = R.inbound(requests, leads, accounts, reps.select("rep_id", "active")).where("status = 'pool'")
+    return R.assign(pool.select(F.col("request_id").cast("long").alias("seq"), "request_id", "region", "segment"), reps)
+
+
 def _intake(s, d, create):
     k, (requests, leads, accounts, reps) = F.col("k"), _world(s, d)
     contacts = _k(s, d).where("k % 10 = 3").select(F.concat(F.lit("c"), k.cast("string")).alias("id"), F.concat(F.lit("p"), k.cast("string"), F.lit("@d"), F.when(k % 7 == 0, k % 50).otherwise(k % 60).cast("string"), F.lit(".com")).alias("email"), F.concat(F.lit("r"), (k % 5).cast("string")).alias("owner_id"), F.when(k % 20 == 3, k % 40).alias("account_id"))
@@ -179,6 +188,7 @@ QUERIES = {
     "undo_revisions": _undo,
     "cleanup_groups": _groups,
     "inbound_requests": _inbound,
+    "pool_assignments": _pools,
     "intake_decisions": lambda s, d: _intake(s, d, False),
     "intake_decisions_with_contacts": lambda s, d: _intake(s, d, True),
     "canonical_records": _provider,
@@ -201,15 +211,20 @@ QUERIES = {
 _c = "c AS (SELECT c_custkey k, CAST(c_custkey AS VARCHAR) t FROM customer)"
 _pick = lambda items, n: "([" + ", ".join(f"'{x}'" for x in items) + f"])[{n} % {len(items)} + 1]"
 _full = "(k % 6 = 0 OR k % 5 = 0 OR k * 97 % 100000 >= 86400 OR k % 4 = 0 OR k >= 10000)"
+_INBOUND = f"""WITH {_WORLD}, a AS (SELECT w.*, CASE WHEN dm < 40 THEN dm END acc, CASE WHEN k % 13 <> 0 AND w.co < 40 THEN w.co END named, lead.t IS NOT NULL AND dm = w.co hl, lead.acc lacc, lead.own lown FROM w LEFT JOIN lead USING (t)),
+b AS (SELECT *, coalesce(CASE WHEN hl THEN lown END, CASE WHEN acc % 6 = 0 THEN 'r' || (acc % 5) END) own, coalesce(CASE WHEN acc % 2 = 0 THEN 'East' END, CASE WHEN k % 3 = 0 THEN '' ELSE 'West' END) place, coalesce(CASE WHEN acc % 5 <> 0 THEN acc * 1000 END, CASE WHEN k % 11 = 0 THEN -1 ELSE k * 100 END) money FROM a),
+c AS (SELECT *, CASE WHEN k % 13 = 0 OR k % 17 = 0 THEN 'invalid' WHEN named IS NOT NULL AND named IS DISTINCT FROM acc THEN 'account_conflict' WHEN hl AND lacc IS DISTINCT FROM acc THEN 'other_account' WHEN own = 'r3' THEN 'owner_away' WHEN own IS NULL AND place = '' THEN 'no_region' WHEN own IS NULL AND money < 0 THEN 'no_budget' END reason FROM b)
+SELECT t request_id, CASE WHEN reason IS NOT NULL THEN 'held' WHEN own IS NULL THEN 'pool' ELSE 'owned' END status, reason, CASE WHEN reason IS NULL AND hl THEN 'l' || t END lead_id, CASE WHEN reason IS NULL THEN acc END account_id, CASE WHEN reason IS NULL THEN own END owner_id, CASE WHEN reason IS NULL AND own IS NULL THEN place END region, CASE WHEN reason IS NULL AND own IS NULL THEN CASE WHEN money >= 35000 THEN 'Enterprise' ELSE 'Growth' END END segment FROM c"""
 ORACLES = {
     "triage": f"""WITH {_c}, x AS (SELECT *, k % 2 = 0 p, k % 2 = 0 AND k % 8 % 5 = k % 4 hit FROM c) SELECT k id, k % 4 + CASE WHEN hit THEN 1 ELSE 0 END AS version, CASE WHEN hit AND k % 6 <> 0 THEN 'acknowledged' WHEN k % 3 = 0 THEN 'open' ELSE 'resolved' END status, CASE WHEN hit AND k % 10 = 0 THEN 'bo' WHEN k % 5 = 0 THEN 'ada' END assignee, CASE WHEN hit THEN 'applied' WHEN p THEN 'conflict' END outcome FROM x""",
     "undo_revisions": "SELECT o_custkey id, max(o_orderkey) + 1 revision, max(CASE WHEN r = 2 THEN o_orderstatus END) restored FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) r FROM orders) WHERE r <= 2 GROUP BY 1",
     "cleanup_groups": f"""WITH {_c}, r AS (SELECT k, (k % 40) || '|' || CASE WHEN k % 2 = 0 THEN 'A' ELSE 'a' END || (k % 20) w, k % 20 e FROM c WHERE k < 90)
 SELECT 'row' kind, string_agg(CAST(k AS VARCHAR), '|' ORDER BY k) AS rows FROM r GROUP BY w HAVING count(*) > 1 UNION ALL SELECT 'email', string_agg(CAST(k AS VARCHAR), '|' ORDER BY k) FROM r GROUP BY e HAVING count(DISTINCT w) > 1""",
-    "inbound_requests": f"""WITH {_WORLD}, a AS (SELECT w.*, CASE WHEN dm < 40 THEN dm END acc, CASE WHEN k % 13 <> 0 AND w.co < 40 THEN w.co END named, lead.t IS NOT NULL AND dm = w.co hl, lead.acc lacc, lead.own lown FROM w LEFT JOIN lead USING (t)),
-b AS (SELECT *, coalesce(CASE WHEN hl THEN lown END, CASE WHEN acc % 6 = 0 THEN 'r' || (acc % 5) END) own, coalesce(CASE WHEN acc % 2 = 0 THEN 'East' END, CASE WHEN k % 3 = 0 THEN '' ELSE 'West' END) place, coalesce(CASE WHEN acc % 5 <> 0 THEN acc * 1000 END, CASE WHEN k % 11 = 0 THEN -1 ELSE k * 100 END) money FROM a),
-c AS (SELECT *, CASE WHEN k % 13 = 0 OR k % 17 = 0 THEN 'invalid' WHEN named IS NOT NULL AND named IS DISTINCT FROM acc THEN 'account_conflict' WHEN hl AND lacc IS DISTINCT FROM acc THEN 'other_account' WHEN own = 'r3' THEN 'owner_away' WHEN own IS NULL AND place = '' THEN 'no_region' WHEN own IS NULL AND money < 0 THEN 'no_budget' END reason FROM b)
-SELECT t request_id, CASE WHEN reason IS NOT NULL THEN 'held' WHEN own IS NULL THEN 'pool' ELSE 'owned' END status, reason, CASE WHEN reason IS NULL AND hl THEN 'l' || t END lead_id, CASE WHEN reason IS NULL THEN acc END account_id, CASE WHEN reason IS NULL THEN own END owner_id, CASE WHEN reason IS NULL AND own IS NULL THEN place END region, CASE WHEN reason IS NULL AND own IS NULL THEN CASE WHEN money >= 35000 THEN 'Enterprise' ELSE 'Growth' END END segment FROM c""",
+    "inbound_requests": _INBOUND,
+    "pool_assignments": f"""WITH i AS ({_INBOUND}), q AS (SELECT request_id, region, segment, row_number() OVER (PARTITION BY region, segment ORDER BY CAST(request_id AS BIGINT)) slot FROM i WHERE status = 'pool'),
+r AS (SELECT 's' || c_custkey rep_id, CASE c_custkey % 3 WHEN 0 THEN 'East' WHEN 1 THEN 'West' END region, CASE WHEN c_custkey % 2 = 0 THEN 'Enterprise' ELSE 'Growth' END segment, c_custkey % 11 + c_custkey % 4 capacity, c_custkey % 5 assigned FROM customer WHERE c_custkey < 60 AND c_custkey % 7 <> 0),
+f AS (SELECT *, unnest(range(assigned, capacity)) taken FROM r), o AS (SELECT region, segment, rep_id, row_number() OVER (PARTITION BY region, segment ORDER BY taken / CAST(capacity AS DOUBLE), rep_id) slot FROM f)
+SELECT request_id, rep_id, CASE WHEN rep_id IS NULL THEN 'held' ELSE 'routed' END status FROM q LEFT JOIN o USING (region, segment, slot)""",
     "intake_decisions": _intake_sql(False),
     "intake_decisions_with_contacts": _intake_sql(True),
     "canonical_records": f"WITH {_c} SELECT 'crm:' || CASE WHEN k % 4 = 0 THEN 'lead' ELSE 'contact' END || ':' || t record_key, CASE WHEN k % 3 = 0 THEN 'Smith' ELSE 'Ada Smith' END full_name, CASE WHEN k % 5 = 0 THEN 'a@x.com|b@x.com' ELSE '' END additional_emails, CASE WHEN k % 2 <> 0 THEN t WHEN k % 7 <> 0 THEN '9' || t ELSE '' END phone, CASE WHEN k % 2 <> 0 AND k % 7 <> 0 THEN '9' || t ELSE '' END secondary_phone FROM c",

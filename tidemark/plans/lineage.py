@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in spark.checkpoint.dir; a folder of our own is set only where that is unset, as in tests."""
+    """df checkpointed in spark.checkpoint.dir. Where that is unset, a local session (as in tests) gets a folder of its own; on a cluster it is an error, since executors share no other folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()
