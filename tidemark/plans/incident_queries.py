@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import coverage as C
 from tidemark.operators import incident_state as I
 from tidemark.operators import incidents as N
 from tidemark.plans.ops_queries import _OBS, _observations, _stages
@@ -32,7 +33,63 @@ def _activity(s: SparkSession, d: str) -> DataFrame:
     return e.select((F.col("user_id") % 7).cast("string").alias("account_id"), F.col("user_id").cast("string").alias("record_id"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("at"))
 
 
+AS_OF = "1995-06-01"
+RULES = [("owner", "Deal", "stage", ["F", "P"], "owner", 60 * 24 * 30), ("note", "Deal", "stage", ["F"], "note", 60 * 24 * 200), ("phone", "Contact", "tier", ["1-URGENT", "2-HIGH", None], "phone", 60 * 24 * 365), ("never", "Contact", "tier", [], "phone", 1)]
+
+
+def _snapshots(s: SparkSession, d: str) -> DataFrame:
+    """Orders as observed records: fields that are absent, blank, null or spaces; observations of one time that disagree; every 23rd could not be read whole."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    deal = c % 2 == 0
+    field = lambda there, name, value: F.when(there, F.struct(F.lit(name).alias("k"), value.alias("v")))
+    blank = F.when(k % 3 == 0, F.lit("")).when(k % 3 == 1, F.lit(" ")).otherwise(F.concat(F.lit("é"), k.cast("string")))
+    fields = F.array_compact(F.array(field(deal & (k % 13 != 0), "stage", F.col("o_orderstatus")), field(deal & (k % 17 != 0), "owner", blank), field(deal, "note", F.when(k % 5 == 0, F.lit(None).cast("string")).otherwise(F.lit("n"))), field(~deal & (k % 11 != 0), "tier", F.col("o_orderpriority")), field(~deal & (k % 19 != 0), "phone", blank)))
+    return table(s, d, "orders").select((c % 7).cast("string").alias("account_id"), F.when(deal, "Deal").otherwise("Contact").alias("object_type"), (c % 500).cast("string").alias("record_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("at"), F.map_from_entries(fields).alias("properties"), F.when(k % 2300 == 0, F.array(F.lit("links"))).alias("coverage"))
+
+
+def _rules(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(RULES, "rule_id string, object_type string, when_field string, when_values array<string>, required_field string, deadline_minutes long")
+
+
+def _checks(s: SparkSession, d: str) -> DataFrame:
+    """Checks of seven accounts: one stale, one degraded, one in its baseline."""
+    o = table(s, d, "orders").where("o_custkey % 7 < 6 AND o_orderdate < DATE '1995-06-01'")
+    a = F.col("o_custkey") % 7
+    at = F.expr("TIMESTAMP_NTZ '1995-05-31 23:50:00'") - F.make_dt_interval(mins=(F.col("o_orderkey") % 30 + F.when(a == 1, 60).otherwise(0)).cast("int"))
+    return o.select(a.cast("string").alias("account_id"), at.alias("at"), F.when(a == 2, "degraded").otherwise("healthy").alias("status"), F.when(a == 3, "baseline").otherwise("changes").alias("phase"), F.when(a == 4, F.lit(None).cast("long")).otherwise(F.lit(3000).cast("long")).alias("stale_after_seconds"))
+
+
+def _as_of() -> F.Column:
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
+def _coverage(s: SparkSession, d: str) -> DataFrame:
+    return C.coverage(_checks(s, d), _snapshots(s, d).where(F.col("at") <= _as_of()), _as_of())
+
+
+def _clocks(s: SparkSession, d: str) -> DataFrame:
+    plans = s.createDataFrame([("Contact", "phone", "1995-07-01"), ("Deal", "owner", "1995-05-01")], "object_type string, field string, until string").withColumn("until", F.col("until").cast("timestamp_ntz"))
+    return C.clocks(_snapshots(s, d).where(F.col("at") <= _as_of()), _rules(s), plans, _coverage(s, d), _as_of())
+
+
+def _unique(s: SparkSession, d: str) -> DataFrame:
+    """Snapshots of which no record has two at one time."""
+    rows = _snapshots(s, d)
+    alone = rows.groupBy("account_id", "object_type", "record_id", "at").agg(F.count("*").alias("n")).where("n = 1").drop("n")
+    return rows.join(alone, ["account_id", "object_type", "record_id", "at"], "left_semi")
+
+
+def _retained(s: SparkSession, d: str) -> DataFrame:
+    policies = s.createDataFrame([("0", 400, 50), ("1", 30, 10_000_000), ("2", 0, 5), ("3", 4000, 0)], "account_id string, retention_days long, most long")
+    rows = _snapshots(s, d).where(F.col("at") <= _as_of()).select("account_id", "record_id", "at").distinct()
+    return C.retained(rows, policies, _as_of())
+
+
 QUERIES = {
+    "coverage_status": _coverage,
+    "expectation_clocks": _clocks,
+    "expectation_unknowns": lambda s, d: C.unevaluable(_unique(s, d), _rules(s)),
+    "observations_retained": _retained,
     "incident_members": lambda s, d: I.members(_detections(s, d)),
     "incident_history": lambda s, d: I.history(_detections(s, d), _resolutions(s, d)),
     "incident_silences": lambda s, d: I.silences(_activity(s, d), 120, F.lit("2024-02-15").cast("timestamp_ntz"), 2),
@@ -44,7 +101,29 @@ det AS (SELECT fingerprint, record_id, date_trunc('hour', t) t FROM (
  SELECT 'clear:Contact:' || field fingerprint, CASE WHEN CAST(record_id AS BIGINT) % 7 <> 0 THEN record_id END record_id, CASE WHEN CAST(record_id AS BIGINT) % 5 <> 0 THEN "at" END t FROM ch WHERE after = '' AND before <> ''
  UNION ALL SELECT 'coverage:Contact:timestamp_order', record_id, "at" FROM one WHERE ambiguous
  UNION ALL SELECT 'regression:Lead', lead_id, t FROM hh WHERE rank < high) WHERE t IS NOT NULL)"""
+_blank = "CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE 'é' || o_orderkey END"
+_SNAP = f"""ob AS (SELECT CAST(o_custkey % 7 AS VARCHAR) account_id, CASE WHEN o_custkey % 2 = 0 THEN 'Deal' ELSE 'Contact' END object_type, CAST(o_custkey % 500 AS VARCHAR) record_id, CAST(o_orderdate AS TIMESTAMP) t,
+ o_custkey % 2 = 0 AND o_orderkey % 13 <> 0 has_stage, o_orderstatus stage, o_custkey % 2 = 0 AND o_orderkey % 17 <> 0 has_owner, {_blank} filled, o_custkey % 2 = 0 has_note, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'n' END note,
+ o_custkey % 2 = 1 AND o_orderkey % 11 <> 0 has_tier, o_orderpriority tier, o_custkey % 2 = 1 AND o_orderkey % 19 <> 0 has_phone, o_orderkey % 2300 = 0 gap FROM orders)"""
+_JUDGED = f"""{_SNAP}, ju AS (SELECT account_id, object_type, record_id, t, 'owner' rule_id, 30 AS n_days, CASE WHEN NOT has_stage THEN 'stage' WHEN stage IN ('F', 'P') AND NOT has_owner THEN 'owner' END missing, stage IN ('F', 'P') AND trim(filled) = '' unmet FROM ob WHERE object_type = 'Deal'
+ UNION ALL SELECT account_id, object_type, record_id, t, 'note', 200, CASE WHEN NOT has_stage THEN 'stage' END, stage = 'F' AND note = '' FROM ob WHERE object_type = 'Deal'
+ UNION ALL SELECT account_id, object_type, record_id, t, 'phone', 365, CASE WHEN NOT has_tier THEN 'tier' WHEN tier IN ('1-URGENT', '2-HIGH') AND NOT has_phone THEN 'phone' END, tier IN ('1-URGENT', '2-HIGH') AND trim(filled) = '' FROM ob WHERE object_type = 'Contact'
+ UNION ALL SELECT account_id, object_type, record_id, t, 'never', 0, CASE WHEN NOT has_tier THEN 'tier' END, FALSE FROM ob WHERE object_type = 'Contact')"""
+_COVERAGE = f"""ck AS (SELECT CAST(a AS VARCHAR) account_id, TIMESTAMP '1995-05-31 23:50:00' - to_minutes(o_orderkey % 30 + CASE WHEN a = 1 THEN 60 ELSE 0 END) t, CASE WHEN a = 2 THEN 'degraded' ELSE 'healthy' END st, CASE WHEN a = 3 THEN 'baseline' ELSE 'changes' END phase, CASE WHEN a = 4 THEN 900 ELSE 3000 END stale FROM (SELECT *, o_custkey % 7 a FROM orders WHERE o_custkey % 7 < 6 AND o_orderdate < DATE '1995-06-01')),
+la AS (SELECT account_id, max(t) t, any_value(st) st, any_value(phase) phase, any_value(stale) stale FROM ck GROUP BY 1),
+gp AS (SELECT account_id, count(*) FILTER (WHERE gap) gaps, count(*) records FROM (SELECT account_id, object_type, record_id, bool_or(gap) gap FROM (SELECT *, t = max(t) OVER (PARTITION BY account_id, object_type, record_id) newest FROM ob WHERE t <= TIMESTAMP '{AS_OF}') WHERE newest GROUP BY 1, 2, 3) GROUP BY 1),
+cv AS (SELECT account_id, CASE WHEN epoch(TIMESTAMP '{AS_OF}') - epoch(t) > stale THEN 'stale' WHEN st = 'degraded' OR coalesce(gaps, 0) > 0 THEN 'degraded' WHEN phase = 'baseline' THEN 'baseline' ELSE 'healthy' END status, phase, coalesce(gaps, 0) gaps, coalesce(records, 0) records, t last_checked_at FROM la LEFT JOIN gp USING (account_id))"""
 ORACLES = {
+    "coverage_status": f"WITH {_SNAP}, {_COVERAGE} SELECT * FROM cv",
+    "expectation_clocks": f"""WITH {_JUDGED}, {_COVERAGE}, u AS (SELECT account_id, object_type, record_id, rule_id, n_days, t, bool_or(unmet) unmet FROM ju WHERE missing IS NULL AND t <= TIMESTAMP '{AS_OF}' GROUP BY ALL HAVING bool_or(unmet) = bool_and(unmet)),
+w AS (SELECT *, max(CASE WHEN NOT unmet THEN t END) OVER (PARTITION BY account_id, object_type, record_id, rule_id) met FROM u),
+s AS (SELECT account_id, object_type, record_id, rule_id, min(t) since, min(t) + to_days(any_value(n_days)) due_at FROM w WHERE unmet AND (met IS NULL OR t > met) GROUP BY 1, 2, 3, 4)
+SELECT s.account_id, object_type, record_id, rule_id, since, due_at, CASE WHEN due_at > TIMESTAMP '{AS_OF}' THEN 'waiting' WHEN cv.status IS DISTINCT FROM 'healthy' OR cv.phase <> 'changes' THEN 'gated' WHEN rule_id = 'phone' THEN 'planned' ELSE 'due' END state FROM s LEFT JOIN cv ON s.account_id = cv.account_id""",
+    "expectation_unknowns": f"""WITH {_JUDGED}, o1 AS (SELECT *, count(*) OVER (PARTITION BY account_id, object_type, record_id, rule_id, t) n FROM ju), l AS (SELECT *, row_number() OVER (PARTITION BY account_id, object_type, record_id, rule_id ORDER BY t DESC) r FROM o1 WHERE n = 1)
+SELECT account_id, object_type, record_id, rule_id, missing FROM l WHERE r = 1 AND missing IS NOT NULL""",
+    "observations_retained": f"""WITH {_SNAP}, d AS (SELECT DISTINCT account_id, record_id, t FROM ob WHERE t <= TIMESTAMP '{AS_OF}'), p(a, days, most) AS (VALUES ('0', 400, 50), ('1', 30, 10000000), ('2', 0, 5), ('3', 4000, 0)),
+k AS (SELECT d.*, most, row_number() OVER (PARTITION BY account_id ORDER BY t DESC, record_id DESC) r FROM d LEFT JOIN p ON a = account_id WHERE days IS NULL OR epoch(TIMESTAMP '{AS_OF}') - epoch(t) <= days * 86400)
+SELECT account_id, record_id, t AS "at" FROM k WHERE most IS NULL OR r <= most""",
     "incident_members": f'WITH {_DETECTIONS} SELECT fingerprint, record_id, min(t) first_at, max(t) last_at, count(DISTINCT t) passes FROM det WHERE record_id IS NOT NULL GROUP BY 1, 2',
     "incident_history": f"""WITH {_DETECTIONS}, ends AS (SELECT DISTINCT fingerprint, date_trunc('day', t) + INTERVAL 12 HOUR t FROM det WHERE day(t) % 3 = 0),
 ps AS (SELECT fingerprint, t, count(DISTINCT record_id) records FROM det GROUP BY 1, 2), fr AS (SELECT fingerprint, record_id, min(t) t FROM det WHERE record_id IS NOT NULL GROUP BY 1, 2),
