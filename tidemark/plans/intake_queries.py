@@ -178,9 +178,11 @@ def _undo(s, d):
 
 
 def _groups(s, d):
+    """Rows of seven files; a file's emails and cells repeat up to white space and case, and every 31st row has neither."""
     k = F.col("k")
-    docs = _k(s, d).select(k.alias("row_id"), F.array(F.concat(F.when(k % 3 == 0, " ").otherwise(""), (k % 40).cast("string")), F.concat(F.when(k % 2 == 0, "A").otherwise("a"), (k % 20).cast("string"), F.lit("@x.com "))).alias("cells"), F.lit(None).cast("string").alias("error"))
-    return csv_files.review_groups(docs.where("row_id < 90"), 1).select("kind", F.array_join(F.transform("rows", lambda x: x.cast("string")), "|").alias("rows"))
+    mail = F.when(k % 31 == 0, " ").otherwise(F.concat(F.when(k % 2 == 0, "A").otherwise("a"), (k % 20).cast("string"), F.lit("@x.com ")))
+    docs = _k(s, d).select(F.concat(F.lit("f"), (k % 7).cast("string")).alias("path"), k.alias("row_id"), F.array(F.concat(F.when(k % 3 == 0, " ").otherwise(""), (k % 40).cast("string")), mail).alias("cells"), F.when(k % 101 == 0, "torn").alias("error"))
+    return csv_files.review_groups(docs, 1).select("path", "kind", "first", "row_id")
 
 
 QUERIES = {
@@ -218,8 +220,9 @@ SELECT t request_id, CASE WHEN reason IS NOT NULL THEN 'held' WHEN own IS NULL T
 ORACLES = {
     "triage": f"""WITH {_c}, x AS (SELECT *, k % 2 = 0 p, k % 2 = 0 AND k % 8 % 5 = k % 4 hit FROM c) SELECT k id, k % 4 + CASE WHEN hit THEN 1 ELSE 0 END AS version, CASE WHEN hit AND k % 6 <> 0 THEN 'acknowledged' WHEN k % 3 = 0 THEN 'open' ELSE 'resolved' END status, CASE WHEN hit AND k % 10 = 0 THEN 'bo' WHEN k % 5 = 0 THEN 'ada' END assignee, CASE WHEN hit THEN 'applied' WHEN p THEN 'conflict' END outcome FROM x""",
     "undo_revisions": "SELECT o_custkey id, max(o_orderkey) + 1 revision, max(CASE WHEN r = 2 THEN o_orderstatus END) restored FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) r FROM orders) WHERE r <= 2 GROUP BY 1",
-    "cleanup_groups": f"""WITH {_c}, r AS (SELECT k, (k % 40) || '|' || CASE WHEN k % 2 = 0 THEN 'A' ELSE 'a' END || (k % 20) w, k % 20 e FROM c WHERE k < 90)
-SELECT 'row' kind, string_agg(CAST(k AS VARCHAR), '|' ORDER BY k) AS rows FROM r GROUP BY w HAVING count(*) > 1 UNION ALL SELECT 'email', string_agg(CAST(k AS VARCHAR), '|' ORDER BY k) FROM r GROUP BY e HAVING count(DISTINCT w) > 1""",
+    "cleanup_groups": f"""WITH {_c}, r AS (SELECT 'f' || (k % 7) path, k, (k % 40) || '|' || CASE WHEN k % 31 = 0 THEN '' WHEN k % 2 = 0 THEN 'A' || (k % 20) ELSE 'a' || (k % 20) END w, CASE WHEN k % 31 <> 0 THEN k % 20 END e FROM c WHERE k % 101 <> 0),
+g AS (SELECT path, k, 'row' kind, w key, w FROM r UNION ALL SELECT path, k, 'email', CAST(e AS VARCHAR), w FROM r WHERE e IS NOT NULL), n AS (SELECT path, kind, key, min(k) AS "first" FROM g GROUP BY 1, 2, 3 HAVING (kind = 'row' AND count(*) > 1) OR (kind = 'email' AND count(DISTINCT w) > 1))
+SELECT g.path, g.kind, n."first", g.k row_id FROM g JOIN n ON g.path = n.path AND g.kind = n.kind AND g.key = n.key""",
     "inbound_requests": _INBOUND,
     "pool_assignments": f"""WITH i AS ({_INBOUND}), q AS (SELECT request_id, region, segment, row_number() OVER (PARTITION BY region, segment ORDER BY CAST(request_id AS BIGINT)) slot FROM i WHERE status = 'pool'),
 r AS (SELECT 's' || c_custkey rep_id, CASE c_custkey % 3 WHEN 0 THEN 'East' WHEN 1 THEN 'West' END region, CASE WHEN c_custkey % 2 = 0 THEN 'Enterprise' ELSE 'Growth' END segment, c_custkey % 11 + c_custkey % 4 capacity, c_custkey % 5 assigned FROM customer WHERE c_custkey < 60 AND c_custkey % 7 <> 0),

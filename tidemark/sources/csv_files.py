@@ -207,8 +207,8 @@ def typed_contacts(documents: DataFrame, headers: Sequence[str], mapping: dict[s
 
 
 def cleanup_proposals(documents: DataFrame, email_column: int | None = None) -> DataFrame:
-    """(row_id, col, before, after) of every cell that trimming, or a normal email, would change."""
-    rows = documents.where("error IS NULL").select("row_id", F.posexplode("cells").alias("col", "before"))
+    """(path, row_id, col, before, after) of every cell that trimming, or a normal email, would change."""
+    rows = documents.where("error IS NULL").select("path", "row_id", F.posexplode("cells").alias("col", "before"))
     after = T.trimmed(F.col("before"))
     if email_column is not None:
         after = F.when(F.col("col") == email_column, F.coalesce(T.email(F.col("before")), after)).otherwise(after)
@@ -216,13 +216,13 @@ def cleanup_proposals(documents: DataFrame, email_column: int | None = None) ->
 
 
 def review_groups(documents: DataFrame, email_column: int | None = None) -> DataFrame:
-    """(kind, key, rows) of rows that a person should look at together: equal rows but for white space (kind row), and rows of one normal email that aren't all equal (kind email). key is a digest; rows are ascending row ids."""
+    """(path, kind, key, first, row_id) of rows of one file that a person should look at together, a row each: equal rows but for white space (kind row), and rows of one normal email that aren't all equal (kind email). key is a digest, first the group's smallest row id. Groups are counted, never gathered."""
     cells = F.transform("cells", lambda c: T.trimmed(c))
-    rows = documents.where("error IS NULL").select("row_id", F.sha2(F.to_json(cells), 256).alias("whole"), (T.email(F.get("cells", F.lit(email_column))) if email_column is not None else F.lit(None).cast("string")).alias("e"))
-    ids = F.sort_array(F.collect_list("row_id")).alias("rows")
-    same = rows.groupBy("whole").agg(F.count("*").alias("n"), ids).where("n > 1").select(F.lit("row").alias("kind"), F.col("whole").alias("key"), "rows")
-    mails = rows.where("e IS NOT NULL").groupBy("e").agg(F.countDistinct("whole").alias("n"), ids).where("n > 1").select(F.lit("email").alias("kind"), F.sha2("e", 256).alias("key"), "rows")
-    return same.unionByName(mails)
+    rows = documents.where("error IS NULL").select("path", "row_id", F.sha2(F.to_json(cells), 256).alias("whole"), (T.email(F.get("cells", F.lit(email_column))) if email_column is not None else F.lit(None).cast("string")).alias("e"))
+    marks = rows.select("path", "row_id", "whole", F.explode(F.array_compact(F.array(F.struct(F.lit("row").alias("kind"), F.col("whole").alias("key")), F.when(F.col("e").isNotNull(), F.struct(F.lit("email").alias("kind"), F.sha2("e", 256).alias("key")))))).alias("m")).select("path", "row_id", "whole", "m.*")
+    sizes = marks.groupBy("path", "kind", "key").agg(F.count("*").alias("n"), (F.min("whole") != F.max("whole")).alias("differ"), F.min("row_id").alias("first"))
+    sizes = sizes.where(((F.col("kind") == "row") & (F.col("n") > 1)) | ((F.col("kind") == "email") & F.col("differ")))
+    return marks.join(sizes, ["path", "kind", "key"]).select("path", "kind", "key", "first", "row_id")
 
 
 def _quoted(cell: Column) -> Column:
