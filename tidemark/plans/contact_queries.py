@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import contacts as C
+from tidemark.plans.lineage import shared_folder
+from tidemark.sources import csv_files, split_csv
 from tidemark.sources.views import CONTACTS_SQL, contacts
 
 
@@ -24,7 +28,20 @@ def _show(df, *columns):
     return df.select("contact_id", *columns, F.array_join(F.sort_array("quality_flags"), "|").alias("flags"))
 
 
+CSV_COLUMNS = ("contact_id", "full_name", "raw_email", "company", "owner_id")
+
+
+def _csv_files(s, d):
+    """Contacts written as CSV files and read again in blocks; some companies hold line ends, quotes and commas."""
+    folder = f"{shared_folder(s)}/tidemark-csv-{uuid.uuid4().hex}"
+    odd = F.when(F.col("contact_id").endswith("1"), F.lit('\n"Ltd", é\r\n')).when(F.col("contact_id").endswith("7"), F.lit('"')).otherwise("")
+    people = contacts(s, d).withColumn("company", F.concat(F.coalesce("company", F.lit("")), odd)).select(*CSV_COLUMNS)
+    csv_files.write_lines(csv_files.csv_lines(people, CSV_COLUMNS, guard=False), folder, ",".join(CSV_COLUMNS))
+    return split_csv.read_documents(s, folder).select(*(F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(CSV_COLUMNS)), "error")
+
+
 QUERIES = {
+    "contact_csv_files": _csv_files,
     "contact_flags": lambda s, d: _show(_flagged(s, d), "normalized_email"),
     "contact_audit": lambda s, d: C.audit(_flagged(s, d)),
     "contact_priorities": lambda s, d: C.priorities(_flagged(s, d)),
@@ -63,6 +80,7 @@ _m = f"m AS (SELECT *, list_contains(fl, 'duplicate_identity') d, {_canon} canon
 _W = f"WITH {CONTACTS_SQL}, {_flag_sql('contacts', 'contact_id LIKE $$%4$$')}, m AS (SELECT *, list_contains(fl, 'duplicate_identity') d, first_value(contact_id) OVER (PARTITION BY normalized_email, list_contains(fl, 'duplicate_identity') ORDER BY CAST(raw_email <> lower(trim(raw_email)) AS INTEGER), contact_id) canon FROM f), o AS (SELECT *, d AND canon <> contact_id other FROM m) "
 _re = "(lower(region) = 'northeast' AND lower(segment) = 'enterprise' AND owner_id <> 'NE-ENT-OVERFLOW')"
 ORACLES = {
+    "contact_csv_files": f"""WITH {CONTACTS_SQL} SELECT coalesce(contact_id, '') contact_id, coalesce(full_name, '') full_name, coalesce(raw_email, '') raw_email, coalesce(company, '') || CASE WHEN contact_id LIKE '%1' THEN chr(10) || '"Ltd", é' || chr(13) || chr(10) WHEN contact_id LIKE '%7' THEN '"' ELSE '' END company, coalesce(owner_id, '') owner_id, CAST(NULL AS VARCHAR) AS error FROM contacts""",
     "contact_flags": F_SQL + "SELECT contact_id, normalized_email, array_to_string(fl, '|') flags FROM f",
     "contact_audit": F_SQL
     + f"""SELECT *, CASE WHEN readiness >= 90 THEN 'Ready' WHEN readiness >= 70 THEN 'Needs cleanup' WHEN readiness >= 40 THEN 'At risk' ELSE 'Blocked' END label, n_duplicate_identity - duplicate_groups + n_stage_regression automatable FROM (SELECT *, CASE WHEN active = 0 THEN 0 ELSE CAST(floor(ready * 100.0 / active + 0.5) AS BIGINT) END readiness FROM (
