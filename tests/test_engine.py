@@ -94,6 +94,19 @@ def test_matching(spark):
     assert {r.input_id for r in got} == {"i1"}
 
 
+def test_a_shared_email_is_cut_by_order(spark, monkeypatch):
+    """An email that more records share than an input may look at: the first by id are looked at, as if all had met."""
+    people = [(f"r{i:02d}", "Ada Smith", "a@x.com", "Acme", None) for i in range(30)] + [("r99", "Ada Smith", "b@x.com", "Acme", "+1 202 555 0101")]
+    crm = spark.createDataFrame(people, "record_key string, full_name string, email string, company string, phone string")
+    new = spark.createDataFrame([("i1", "Ada Smith", "a@x.com", "Acme", None), ("i2", "Bo Doe", "b@x.com", "Beta", None)], "contact_id string, full_name string, email string, company string, phone string")
+    whole = sorted(map(tuple, matching.match_people(new, crm).collect()))
+    monkeypatch.setattr(matching, "MOST", 5)
+    assert sorted(map(tuple, matching.match_people(new, crm).collect())) == whole
+    assert {r.input_id: r.capped for r in matching.match_warnings(new, crm).collect()} == {"i1": True, "i2": False}
+    itself = matching.match_people(crm, crm, "record_key", exclude_self=True).where("input_id = 'r00'").collect()
+    assert sorted(r.record_id for r in itself) == ["r01", "r02", "r03"]
+
+
 def test_routing(spark):
     reps = spark.createDataFrame([("a", "W", "S", True, 2, 1), ("b", "W", "S", True, 4, 1), ("c", "W", "S", False, 9, 0)], "rep_id string, region string, segment string, active boolean, capacity long, assigned long")
     asks = spark.createDataFrame([(i, f"q{i}", "W", "S") for i in range(6)], "seq long, request_id string, region string, segment string")

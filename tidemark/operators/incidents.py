@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Forms of a deal's amount and of its close date.
+AMOUNT, CLOSE_DATE = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)$", r"^\d{4}-\d{2}-\d{2}(?:T.*)?$"
 # Window in seconds, least records, least share, least reversals of an incident.
 WINDOW_SECONDS, LEAST_RECORDS, LEAST_SHARE, REVERSALS = 1800, 10, 0.2, 3
 
@@ -94,10 +96,10 @@ def timeline(old: DataFrame, new: DataFrame, least: int = LEAST_RECORDS) -> Data
 def invalid_deals(deals: DataFrame, no_negative: bool = False) -> DataFrame:
     """(record_id, field) of deals (record_id, amount, close_date, as texts) whose amount is no number or whose date is no calendar date; blanks pass."""
     amount, close = F.trim("amount"), F.col("close_date")
-    number = amount.rlike(r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)$")
+    number = amount.rlike(AMOUNT)
     bad_amount = (amount != "") & (~number | (F.lit(no_negative) & (F.try_to_number(amount, F.lit("S9999999999999999.9999")) < 0)))
     day = F.substring(close, 1, 10)
-    bad_close = (F.trim(close) != "") & (~close.rlike(r"^\d{4}-\d{2}-\d{2}(?:T.*)?$") | F.try_to_date(day, "yyyy-MM-dd").isNull())
+    bad_close = (F.trim(close) != "") & (~close.rlike(CLOSE_DATE) | F.try_to_date(day, "yyyy-MM-dd").isNull())
     return deals.select("record_id", F.explode(F.array_compact(F.array(F.when(bad_amount, F.lit("amount")), F.when(bad_close, F.lit("close_date"))))).alias("field"))
 
 

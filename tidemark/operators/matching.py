@@ -7,23 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import text as T
+from tidemark.operators.ranks import ranked
 from tidemark.plans.lineage import cut
 
 # Records of a broad key, candidates of an input, kept ones, uses of a phone that may be a key, fields to match on.
 BROAD, MOST, KEPT, PHONE_USES = 250, 1000, 3, 3
 FIELDS = ("email", "name", "phone", "state", "company")
 # Codes and names of US states.
-STATES = (
-    "AL Alabama;AK Alaska;AZ Arizona;AR Arkansas;CA California;CO Colorado;CT Connecticut;DE Delaware;FL Florida;GA Georgia;HI Hawaii;ID Idaho;IL Illinois;IN Indiana;IA Iowa;KS Kansas;KY Kentucky;LA Louisiana;ME Maine;MD Maryland;"
-    "MA Massachusetts;MI Michigan;MN Minnesota;MS Mississippi;MO Missouri;MT Montana;NE Nebraska;NV Nevada;NH New Hampshire;NJ New Jersey;NM New Mexico;NY New York;NC North Carolina;ND North Dakota;OH Ohio;OK Oklahoma;OR Oregon;"
-    "PA Pennsylvania;RI Rhode Island;SC South Carolina;SD South Dakota;TN Tennessee;TX Texas;UT Utah;VT Vermont;VA Virginia;WA Washington;WV West Virginia;WI Wisconsin;WY Wyoming;DC District of Columbia"
-)
+STATES = {
+    "AL": "Alabama", "AK": "Alaska", "AZ": "Arizona", "AR": "Arkansas", "CA": "California", "CO": "Colorado",
+    "CT": "Connecticut", "DE": "Delaware", "FL": "Florida", "GA": "Georgia", "HI": "Hawaii", "ID": "Idaho",
+    "IL": "Illinois", "IN": "Indiana", "IA": "Iowa", "KS": "Kansas", "KY": "Kentucky", "LA": "Louisiana",
+    "ME": "Maine", "MD": "Maryland", "MA": "Massachusetts", "MI": "Michigan", "MN": "Minnesota", "MS": "Mississippi",
+    "MO": "Missouri", "MT": "Montana", "NE": "Nebraska", "NV": "Nevada", "NH": "New Hampshire", "NJ": "New Jersey",
+    "NM": "New Mexico", "NY": "New York", "NC": "North Carolina", "ND": "North Dakota", "OH": "Ohio", "OK": "Oklahoma",
+    "OR": "Oregon", "PA": "Pennsylvania", "RI": "Rhode Island", "SC": "South Carolina", "SD": "South Dakota", "TN": "Tennessee",
+    "TX": "Texas", "UT": "Utah", "VT": "Vermont", "VA": "Virginia", "WA": "Washington", "WV": "West Virginia",
+    "WI": "Wisconsin", "WY": "Wyoming", "DC": "District of Columbia",
+}
 
 
 def state(raw: Column) -> Column:
     """A state's or region's normal form: compatibility forms folded, without dots, US names as codes, lower; null without a letter."""
     text = F.trim(F.regexp_replace(F.replace(F.lower(T.nfkc(T.not_placeholder(raw))), F.lit("."), F.lit("")), r"\s+", " "))
-    codes = F.create_map(*(F.lit(x) for s in STATES.lower().split(";") for x in (s[3:], s[:2])))
+    codes = F.create_map(*(F.lit(x.lower()) for code, name in STATES.items() for x in (name, code)))
     return F.when(text.rlike(r"\p{L}"), F.coalesce(codes[text], text))
 
 
@@ -99,6 +106,10 @@ def _looked_at(a: DataFrame, b: DataFrame, fields: tuple[str, ...], exclude_self
     own = 1 if exclude_self else 0
     theirs = cut(keys_of(b, None if exclude_self else uses, fields))
     sizes = theirs.groupBy("key").agg(F.count("*").alias("n")).withColumn("n", F.col("n") - own)
+    hot = sizes.where(F.col("key").startswith("email:") & (F.col("n") > MOST)).select("key")
+    if not hot.isEmpty():  # an input looks at no more than MOST records, by id inside a key: of an email that more share, the first are enough (and one more, to tell that there are)
+        first = ranked(theirs.join(hot, "key", "left_semi"), ["key"], [F.asc("id")], "__nth").where(F.col("__nth") <= MOST + 1 + own).drop("__nth")
+        theirs = theirs.join(hot, "key", "left_anti").unionByName(first)
     met = keys_of(a, uses, fields, own).withColumnRenamed("id", "input_id").join(sizes, "key").withColumn("email", F.col("key").startswith("email:"))
     narrow = met.where("email OR n <= " + str(BROAD)).join(theirs.withColumnRenamed("id", "record_id"), "key")
     if exclude_self:
