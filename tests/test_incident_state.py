@@ -112,3 +112,17 @@ def test_silences(rocks, tmp_path, least):
     stream = parts(rocks, [*sent, ("z", "0", at(90_000))], schema, str(tmp_path / "s"), 4)
     told = run_to_end(live.silences(stream, 15, "300 minutes", least), f"silences{least}").collect()
     assert sorted(tuple(r) for r in told) == sorted(want)
+
+
+def test_related_records_are_bounded_before_they_meet(spark):
+    people = [("Contact", f"p{i:03d}", at(i), {"company_id": f"c{i % 7}", "contact_ids": f'["p{i + 1:03d}", "p{i + 1:03d}", "none"]', "company_ids": "[broken" if i % 2 else None}) for i in range(80)]
+    records = spark.createDataFrame([*people, *(("Company", f"c{i}", at(0), None) for i in range(5))], "object_type string, record_id string, at timestamp, properties map<string,string>")
+    held = spark.createDataFrame([("all", f"p{i:03d}") for i in range(80)] * 2 + [("one", "p005"), ("gone", "x"), ("none", None)], "fingerprint string, record_id string")
+    got = batch.related(held, records)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    named = list(dict.fromkeys(x for i in range(79, 29, -1) for x in (("Company", f"c{i % 7}"), ("Contact", f"p{i + 1:03d}"), ("Contact", "none"))))[: batch.RELATED]
+    there = {(r[0], r[1]) for r in people} | {("Company", f"c{i}") for i in range(5)}
+    rows = got.collect()
+    assert sorted((r.place, r.object_type, r.record_id) for r in rows if r.fingerprint == "all") == [(n + 1, *x) for n, x in enumerate(named) if x in there]
+    assert {(r.object_type, r.record_id) for r in rows if r.fingerprint == "one"} == {("Contact", "p006")}
+    assert {r.fingerprint for r in rows} == {"all", "one"}

@@ -12,9 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.incidents import LEAST_RECORDS
+from tidemark.operators.incidents import LEAST_RECORDS, relationship_ids
 
 SLOT = "day"
+# Fields that name related records with the objects they name, newest members of an incident whose relations are read, and related records of an incident.
+RELATIONS = {"company_id": "Company", "company_ids": "Company", "account_id": "Account", "contact_ids": "Contact"}
+NEWEST, RELATED = 50, 30
 
 
 def fingerprinted(detections: DataFrame) -> DataFrame:
@@ -69,3 +72,19 @@ def silences(activity: DataFrame, minutes: int, as_of: Column, least: int = 1) -
     marks = quiet.select("account_id", "end", "last_at", F.explode(F.array(slot(F.col("end")), slot(F.col("end")) - 1)).alias("slot"))
     near = rows.withColumn("slot", slot(F.col("t"))).join(marks, ["account_id", "slot"]).where("t <= end").where(F.col("t") > F.col("end") - micros)
     return near.groupBy("account_id", "last_at").agg(F.countDistinct("record_id").alias("records")).where(F.col("records") >= least).select("account_id", "last_at", "records")
+
+
+def related(incident_members: DataFrame, records: DataFrame) -> DataFrame:
+    """(fingerprint, place, object_type, record_id, at) of the records related to each incident's newest members: the first RELATED ids that their fields name, those of them that were observed.
+
+    incident_members: (fingerprint, record_id); records: (object_type, record_id, at, properties), one of each. Ids are taken from newer members first, then by record id, field and position; one that is
+    named again keeps its first place. Values that are no ids name none. Both limits keep the first rows of each incident in each task before any meet, so no incident is sorted whole."""
+    first = lambda order, most, rows: rows.withColumn("__n", F.row_number().over(Window.partitionBy("fingerprint").orderBy(*order))).where(F.col("__n") <= most)
+    held = incident_members.select("fingerprint", F.col("record_id").alias("member")).distinct().join(records.select(F.col("record_id").alias("member"), F.col("object_type").alias("of"), "at", "properties"), "member")
+    newest = first([F.desc("at"), F.asc("member"), F.asc("of")], NEWEST, held).drop("__n")
+    each = F.array(*(F.struct(F.lit(i).alias("field"), F.lit(kind).alias("object_type"), F.coalesce(relationship_ids(F.coalesce(F.try_element_at("properties", F.lit(name)), F.lit(""))), F.array().cast("array<string>")).alias("ids")) for i, (name, kind) in enumerate(RELATIONS.items())))
+    named = newest.select("fingerprint", "at", "member", "of", F.explode(each).alias("r")).select("fingerprint", F.col("at").alias("seen"), "member", "of", "r.field", "r.object_type", F.posexplode("r.ids").alias("nth", "record_id"))
+    order = F.min(F.struct((-F.unix_micros(F.col("seen").cast("timestamp"))).alias("age"), "member", "of", "field", "nth"))
+    ids = named.groupBy("fingerprint", "object_type", "record_id").agg(order.alias("order"))
+    kept = first([F.asc("order")], RELATED, ids).withColumnRenamed("__n", "place")
+    return kept.join(records.select("object_type", "record_id", "at"), ["object_type", "record_id"]).select("fingerprint", F.col("place").cast("int").alias("place"), "object_type", "record_id", "at")

@@ -33,6 +33,24 @@ def _activity(s: SparkSession, d: str) -> DataFrame:
     return e.select((F.col("user_id") % 7).cast("string").alias("account_id"), F.col("user_id").cast("string").alias("record_id"), F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("at"))
 
 
+def _records(s: SparkSession, d: str) -> DataFrame:
+    """Customers as contacts, companies and accounts; relations that are lists, single ids, blank, broken or name what isn't there."""
+    k = F.col("c_custkey")
+    at = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'") + F.make_dt_interval(mins=(k * 37 % 1000).cast("int"))
+    t = lambda c: c.cast("string")
+    companies = F.when(k % 5 == 0, F.lit("[broken")).when(k % 5 == 1, F.lit(" ")).otherwise(F.concat(F.lit('["'), t(k % 90), F.lit('","'), t(k % 60), F.lit('","'), t(k % 90), F.lit('"]')))
+    properties = F.map_from_entries(F.array_compact(F.array(F.when(k % 3 == 0, F.struct(F.lit("company_id").alias("k"), t(k % 40).alias("v"))), F.struct(F.lit("company_ids").alias("k"), companies.alias("v")), F.when(k % 4 == 0, F.struct(F.lit("account_id").alias("k"), F.lit(None).cast("string").alias("v"))), F.struct(F.lit("contact_ids").alias("k"), t(k + 1).alias("v")))))
+    rows = table(s, d, "customer").select(F.when(k % 6 == 0, "Company").when(k % 6 == 1, "Account").otherwise("Contact").alias("object_type"), t(k).alias("record_id"), at.alias("at"), properties.alias("properties"))
+    return rows
+
+
+def _members(s: SparkSession, d: str) -> DataFrame:
+    """Three incidents of every record, of every fourth, and of a few."""
+    k = F.col("c_custkey")
+    each = F.array_compact(F.array(F.lit("clear:Contact:email"), F.when(k % 4 == 0, "coverage:all:fields"), F.when(k < 9, "few")))
+    return table(s, d, "customer").select(F.explode(each).alias("fingerprint"), k.cast("string").alias("record_id"))
+
+
 AS_OF = "1995-06-01"
 RULES = [("owner", "Deal", "stage", ["F", "P"], "owner", 60 * 24 * 30), ("note", "Deal", "stage", ["F"], "note", 60 * 24 * 200), ("phone", "Contact", "tier", ["1-URGENT", "2-HIGH", None], "phone", 60 * 24 * 365), ("never", "Contact", "tier", [], "phone", 1)]
 
@@ -90,6 +108,7 @@ QUERIES = {
     "expectation_clocks": _clocks,
     "expectation_unknowns": lambda s, d: C.unevaluable(_unique(s, d), _rules(s)),
     "observations_retained": _retained,
+    "incident_related": lambda s, d: I.related(_members(s, d), _records(s, d)),
     "incident_members": lambda s, d: I.members(_detections(s, d)),
     "incident_history": lambda s, d: I.history(_detections(s, d), _resolutions(s, d)),
     "incident_silences": lambda s, d: I.silences(_activity(s, d), 120, F.lit("2024-02-15").cast("timestamp_ntz"), 2),
@@ -114,6 +133,12 @@ la AS (SELECT account_id, max(t) t, any_value(st) st, any_value(phase) phase, an
 gp AS (SELECT account_id, count(*) FILTER (WHERE gap) gaps, count(*) records FROM (SELECT account_id, object_type, record_id, bool_or(gap) gap FROM (SELECT *, t = max(t) OVER (PARTITION BY account_id, object_type, record_id) newest FROM ob WHERE t <= TIMESTAMP '{AS_OF}') WHERE newest GROUP BY 1, 2, 3) GROUP BY 1),
 cv AS (SELECT account_id, CASE WHEN epoch(TIMESTAMP '{AS_OF}') - epoch(t) > stale THEN 'stale' WHEN st = 'degraded' OR coalesce(gaps, 0) > 0 THEN 'degraded' WHEN phase = 'baseline' THEN 'baseline' ELSE 'healthy' END status, phase, coalesce(gaps, 0) gaps, coalesce(records, 0) records, t last_checked_at FROM la LEFT JOIN gp USING (account_id))"""
 ORACLES = {
+    "incident_related": """WITH c AS (SELECT c_custkey k, CAST(c_custkey AS VARCHAR) t, CASE c_custkey % 6 WHEN 0 THEN 'Company' WHEN 1 THEN 'Account' ELSE 'Contact' END ot, TIMESTAMP '2024-01-01' + to_minutes(c_custkey * 37 % 1000) a FROM customer),
+m AS (SELECT 'clear:Contact:email' f, c.* FROM c UNION ALL SELECT 'coverage:all:fields', c.* FROM c WHERE k % 4 = 0 UNION ALL SELECT 'few', c.* FROM c WHERE k < 9),
+n AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY f ORDER BY a DESC, t) <= 50),
+r AS (SELECT f, a, t, 0 fi, 0 nth, 'Company' ot, CAST(k % 40 AS VARCHAR) id FROM n WHERE k % 3 = 0 UNION ALL SELECT f, a, t, 1, 0, 'Company', CAST(k % 90 AS VARCHAR) FROM n WHERE k % 5 > 1 UNION ALL SELECT f, a, t, 1, 1, 'Company', CAST(k % 60 AS VARCHAR) FROM n WHERE k % 5 > 1 UNION ALL SELECT f, a, t, 3, 0, 'Contact', CAST(k + 1 AS VARCHAR) FROM n),
+u AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY f, ot, id ORDER BY a DESC, t, fi, nth) = 1), p AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY a DESC, t, fi, nth) place FROM u)
+SELECT f fingerprint, CAST(place AS INTEGER) place, p.ot object_type, p.id record_id, c.a AS "at" FROM p JOIN c ON c.ot = p.ot AND c.t = p.id WHERE place <= 30""",
     "coverage_status": f"WITH {_SNAP}, {_COVERAGE} SELECT * FROM cv",
     "expectation_clocks": f"""WITH {_JUDGED}, {_COVERAGE}, u AS (SELECT account_id, object_type, record_id, rule_id, n_days, t, bool_or(unmet) unmet FROM ju WHERE missing IS NULL AND t <= TIMESTAMP '{AS_OF}' GROUP BY ALL HAVING bool_or(unmet) = bool_and(unmet)),
 w AS (SELECT *, max(CASE WHEN NOT unmet THEN t END) OVER (PARTITION BY account_id, object_type, record_id, rule_id) met FROM u),
