@@ -209,6 +209,29 @@ def test_ids_are_the_tokenizers(monkeypatch):
         assert ids.of(part) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part]
 
 
+def test_ids_are_made_once_a_word_not_once_a_run():
+    from tokenizers import Tokenizer
+
+    tokenizer, ids = Tokenizer.from_file(vocabulary()), bestfit.Ids(vocabulary())
+    made = []
+    for held in (ids.words, ids.runs):
+        held.make = lambda keys, make=held.make: made.extend(keys) or make(keys)
+    texts = [" ".join(a + w + b for w in ("the", "Thé", "THÉ", "ﬁn")) for a in ("", "(", '"', "¿") for b in ("", ".", ",", "'s", "12")]
+    assert ids.of(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    latin = [w for w in made if b"\xef\xac\x81" not in w]
+    assert len(made) == len(set(made)) and len(latin) <= 2 + 3 + 4 + 2  # words, signs before and after (one is both kinds), digits
+
+
+def test_ids_of_all_latin_characters_in_pairs():
+    from tokenizers import Tokenizer
+
+    tokenizer, ids = Tokenizer.from_file(vocabulary()), bestfit.Ids(vocabulary())
+    signs = [chr(b) for b in range(256)]
+    texts = ["".join(a + b for b in signs) for a in signs] + [a + x + "'" + y for a in signs for x in ("", "'s") for y in ("s", "re", "rx", "ll", "lx", "d1", "", "m'", "tz")]
+    assert ids.of(texts) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert ids.of([]) == [] and ids.of(["", "\0", "x"]) == [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ("", "\0", "x")]
+
+
 # --- importance resampling
 
 

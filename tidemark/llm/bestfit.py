@@ -9,7 +9,10 @@ Pieces then take their places by joining the plan on their length and rank: the
 pieces of that length plus the number in the task. No pieces meet in a group, so a length that a third of all pieces
 have is no hot key.
 
-The tokenizer works on runs between white space, so ids are made once a run and task, kept in a bounded table, and joined.
+The tokenizer lower-cases and works on its own words (letters, a digit, signs, endings after an apostrophe), so ids are made once a word,
+kept in a worker's bounded table, and joined: all texts of a batch are cut into words at once, by the classes of their Latin-1 bytes, and
+Arrow numbers the different words. Runs between white space that hold other characters, or a special token, go through the whole
+tokenizer, once a run, and stand as one sign meanwhile.
 
 Defined cases: a null or empty text is the end id alone; texts are tokenised whole, however long; repeated rows and null ids are packed like
 any other rows; a text of exactly CAPACITY ids isn't cut; extra columns are left out; empty tables give empty tables.
@@ -21,7 +24,9 @@ import os
 import re
 from array import array
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import pairwise
+from unicodedata import category
 from zlib import crc32
 
 import numpy as np
@@ -35,11 +40,26 @@ from tidemark.llm.common import Scratch, hint_if_small, small_batches
 
 CAPACITY, END = 4096, 1
 VOCABULARY = "word_bpe_49k.json"
-#: Runs between white space whose ids a worker holds (twice so many for a while), the longest of them, and characters looked at in one go.
-HELD_RUNS, LONG_RUN, PART = 400_000, 60, 1 << 22
-#: White space to Python, not to the tokenizer.
-_ODD = re.compile("[\x1c-\x1f]")
+#: Words and runs whose ids a worker holds (twice so many of each for a while), the longest of them, and characters looked at in one go.
+HELD_RUNS, LONG_RUN, PART = 400_000, 60, 1 << 23
+#: White space at which a text can be cut; what is left to the tokenizer between such.
 _SPACE = re.compile("[ \t\n\r]")
+#: Classes of the Latin-1 characters in the tokenizer's pattern, and those characters in lower case.
+BLANK, LETTER, NUMBER, SIGN, RUN = range(5)
+_LOWER = bytes(range(256)).decode("latin-1").lower().encode("latin-1")
+
+
+def _class(c: str) -> int:
+    if c == "\0":
+        return RUN
+    if c in "\t\n\v\f\r \x85\xa0":
+        return BLANK
+    return {"L": LETTER, "N": NUMBER}.get(category(c)[0], SIGN)
+
+
+_CLASS = bytes(_class(chr(b)) for b in range(256))
+#: How a byte-level vocabulary shows bytes: as themselves if printable, else by the next sign from 256 on.
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 def _parts(text: str) -> Iterator[str]:
@@ -50,6 +70,57 @@ def _parts(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+class Held:
+    """Values of byte strings, made once and kept in a bounded table; the long ones are not kept."""
+
+    def __init__(self, make: Callable[[list[bytes]], list[bytes]]):
+        self.make, self.held, self.older = make, {}, {}
+
+    def of(self, keys: list[bytes]) -> list[bytes]:
+        """The values of different keys."""
+        if len(self.held) > HELD_RUNS:
+            self.older, self.held = self.held, {}
+        out = list(map(self.held.get, keys))
+        if missing := [i for i, x in enumerate(out) if x is None]:
+            for i in missing:
+                if (x := self.older.get(keys[i])) is not None:
+                    out[i] = self.held[keys[i]] = x
+            missing = [i for i in missing if out[i] is None]
+            for i, x in zip(missing, self.make([keys[i] for i in missing]), strict=True):
+                out[i] = x
+                if len(keys[i]) <= LONG_RUN:
+                    self.held[keys[i]] = x
+        return out
+
+
+def _latin(text: str) -> bytes | None:
+    """text in Latin-1, if it has neither other characters, the sign of a run, nor a special token's beginning."""
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return None
+    return None if b"\0" in data or b"<|" in data else data
+
+
+def _word_starts(low: bytes) -> np.ndarray:
+    """For each byte of lower-case Latin-1 text, whether one of the tokenizer's words starts there: runs of letters, single numbers, runs of signs, and, where no sign stands before, apostrophes with an ending."""
+    x, kinds = np.frombuffer(low, np.uint8), np.frombuffer(low.translate(_CLASS), np.uint8)
+    starts = np.ones(len(x), bool)
+    np.not_equal(kinds[1:], kinds[:-1], out=starts[1:])
+    starts |= (kinds == NUMBER) | (kinds == RUN)
+    starts &= kinds != BLANK
+    at = np.flatnonzero(x == ord("'"))
+    at = at[starts[at]]
+    one, two = (np.where(at + k < len(x), x[np.minimum(at + k, len(x) - 1)], 0) for k in (1, 2))
+    short = np.isin(one, list(b"stmd"))
+    long = (np.isin(one, list(b"rv")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+    starts[at[short | long] + 1] = False
+    after = np.concatenate([at[short] + 2, at[long] + 3])
+    after = after[after < len(x)]
+    starts[after[kinds[after] != BLANK]] = True
+    return starts
+
+
 class Ids:
     """Token ids of texts, as little-endian 32-bit bytes."""
 
@@ -58,47 +129,76 @@ class Ids:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for every core
         self.tokenizer = Tokenizer.from_file(path)
-        self.held: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _learn(self, unknown: set[str]) -> dict[str, bytes]:
-        """Ids of runs that are not held; the long ones are not kept."""
-        older, new = self.older, []
-        for r in unknown:
-            if (ids := older.get(r)) is None:
-                new.append(r)
-            else:
-                self.held[r] = ids
-        long = {}
-        for i in range(0, len(new), 10_000):
-            for r, e in zip(new[i : i + 10_000], self.tokenizer.encode_batch(new[i : i + 10_000], add_special_tokens=False), strict=True):
-                (self.held if len(r) <= LONG_RUN else long)[r] = array("I", e.ids).tobytes()
-        return long
+        self.model = self.tokenizer.model
+        self.words, self.runs = Held(self._of_words), Held(self._of_runs)
+
+    def _of_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of the tokenizer's words, in Latin-1, by its merges alone."""
+        merges, out = self.model.tokenize, []
+        for w in words:
+            text = w.decode("latin-1")
+            if not (w.isascii() and text.isprintable()):
+                text = text.encode().decode("latin-1").translate(_SHOWN)
+            out.append(array("I", [t.id for t in merges(text)]).tobytes())
+        return out
+
+    def _of_runs(self, runs: list[bytes]) -> list[bytes]:
+        """Ids of runs, in UTF-8, by the whole tokenizer."""
+        out = []
+        for i in range(0, len(runs), 10_000):
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch([r.decode() for r in runs[i : i + 10_000]], add_special_tokens=False)]
+        return out
+
+    def _parts_ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts of texts."""
+        other: list[bytes] = []
+        plain = []
+        for p in parts:
+            if (data := _latin(p)) is None:
+                runs = [_latin(r) or r for r in _SPACE.split(p)]
+                other += [r.encode() for r in runs if r and isinstance(r, str)]
+                data = b" ".join([r if isinstance(r, bytes) else b"\0"[: len(r)] for r in runs])
+            plain.append(data)
+        ends = np.cumsum([len(p) + 1 for p in plain])
+        low = b"\n".join(plain).translate(_LOWER)
+        starts = _word_starts(low)
+        x = np.frombuffer(low, np.uint8)
+        at = np.flatnonzero(starts)
+        kept = np.frombuffer(low.translate(_CLASS), np.uint8) != BLANK
+        x, offsets = x[kept], np.append(np.flatnonzero(starts[kept]), np.count_nonzero(kept)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(x)]).dictionary_encode()
+        nth = words.indices.to_numpy(zero_copy_only=False).copy()
+        ids = self.words.of(words.dictionary.to_pylist())
+        if other:
+            places = {r: len(ids) + i for i, r in enumerate(dict.fromkeys(other))}
+            ids += self.runs.of(list(places))
+            nth[x[offsets[:-1]] == 0] = [places[r] for r in other]
+        joined = pa.array(ids, pa.binary()).take(pa.array(nth))
+        cuts = np.frombuffer(joined.buffers()[1], np.int32, len(at) + 1) if len(at) else np.zeros(1, np.int32)
+        data = memoryview(joined.buffers()[2] or b"") if len(at) else memoryview(b"")
+        cuts = cuts[np.searchsorted(at, np.concatenate([[0], ends]))].tolist()
+        return [bytes(data[a:b]) for a, b in pairwise(cuts)]
 
     def of(self, texts: list[str]) -> list[bytes]:
         out: list[list[bytes]] = []
-        waiting: list[tuple[list[bytes], list[str]]] = []
+        waiting: list[tuple[list[bytes], str]] = []
         size = 0
 
         def join() -> None:
-            if len(self.held) > HELD_RUNS:
-                self.older, self.held = self.held, {}
-            held = self.held
-            if (unknown := {r for _, runs in waiting for r in runs if r not in held}) and (long := self._learn(unknown)):
-                held = held | long
-            for joined, runs in waiting:
-                joined.append(b"".join([held[r] for r in runs]))
+            for (joined, _), ids in zip(waiting, self._parts_ids([part for _, part in waiting]), strict=True):
+                joined.append(ids)
             waiting.clear()
 
         for text in texts:
             out.append([])
             for part in _parts(text):
-                waiting.append((out[-1], _SPACE.split(part) if _ODD.search(part) else part.split()))
+                waiting.append((out[-1], part))
                 size += len(part)
                 if size > PART:
                     join()
                     size = 0
-        join()
+        if waiting:
+            join()
         return [b"".join(x) for x in out]
 
 
