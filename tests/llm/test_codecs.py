@@ -8,6 +8,7 @@ import re
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import gif, html_text, lm, neardup, packing, secrets, warc
@@ -189,6 +190,37 @@ def test_signature_distance_follows_similarity():
     assert 10 < np.mean(off) < 14 and max(off) <= neardup.RADIUS + 3
 
 
+def test_lm_words_are_cut_at_once():
+    rng = np.random.default_rng(5)
+    signs = ["a", "B", "É", "ß", "\x1c", "\x85", "\u00a0", "\u3000", "\0", " ", " ", "\t", "\n", "\v", "\f", "\r"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 9))) for _ in range(3000)] + [None, "", "x", "y", " "]
+    split = [(t or "").encode().lower().split() for t in texts]
+    for kind in (pa.string(), pa.binary()):
+        for some in (slice(0, None), slice(7, 2000), slice(3000, None), slice(0, 0), slice(3000, 3001)):
+            words, n = lm.text_words(pa.array(texts).cast(kind)[some])
+            assert words.to_pylist() == [w for ws in split[some] for w in ws] and n.tolist() == [len(ws) for ws in split[some]]
+    known = ["É".encode(), b"a", b"b"]
+    ranks, lengths, words = lm._classes(pa.array(texts), pa.array(known))
+    assert ranks.tolist() == [r for ws in split for r in (-2, -2, *(known.index(w) if w in known else -1 for w in ws), -2)] and lengths.tolist() == [len(ws) + 3 for ws in split]
+
+
+def test_lm_contrast_is_the_plain_gradient():
+    rng = np.random.default_rng(6)
+    m = lm.Model(rng.random(30) + 0.1)
+    h, x, w = rng.standard_normal((50, lm.DIM), np.float32), rng.integers(0, 30, 50), rng.random(50).astype(np.float32) * 3
+    h[:, -1] = 1
+    noise = np.minimum(np.searchsorted(np.cumsum(m.p), np.random.default_rng(11).random(lm.NOISE)), 29)
+    q, chance = m.q.astype(float), lambda s, i: 1 / (1 + np.exp(np.log(lm.NOISE * m.p[i]) - s))
+    of_good = w * (1 - chance((h * q[x]).sum(1), x))
+    of_bad = -w[:, None] * chance(h @ q[noise].T, noise)
+    grad = np.zeros_like(q)
+    np.add.at(grad, x, of_good[:, None] * h)
+    np.add.at(grad, noise, of_bad.T @ h)
+    got = lm.Trainer(m)._contrast("q", h, x, w)
+    assert np.allclose(got, of_good[:, None] * q[x] + of_bad @ q[noise], atol=1e-4)
+    assert np.allclose(m.q, q + lm.RATE * grad / np.sqrt(1 + grad**2), atol=1e-4)
+
+
 def test_lm_scores_are_normalised_and_learn(monkeypatch):
     monkeypatch.setattr(lm, "BATCH", 128)
     rng = np.random.default_rng(3)

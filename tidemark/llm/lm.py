@@ -26,12 +26,11 @@ extra columns are left out; empty tables give empty tables.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,32 +53,52 @@ CELLS = 200_000
 TEXT = 4 << 20
 #: The end token's name among words, which are never empty.
 END_WORD = ""
+#: For each byte, whether it stands in words.
+_INSIDE = bytes(b not in b"\t\n\v\f\r " for b in range(256))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
+def text_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All lower-cased words of texts (a string or binary array; null: empty) in order, and their number in each text."""
+    texts = texts.cast(pa.binary()).fill_null(b"")
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    low = bytes(memoryview(data or b"")[offsets[0] : offsets[-1]]).lower()
+    offsets = offsets - offsets[0]
+    inside = np.frombuffer(low.translate(_INSIDE), bool)
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    first = offsets[:-1][offsets[:-1] < len(low)]
+    starts[first] = inside[first]  # texts stand without a space between
+    at = np.flatnonzero(starts)
+    own = np.append(np.flatnonzero(starts[inside]), np.count_nonzero(inside)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(own), pa.py_buffer(np.frombuffer(low, np.uint8)[inside])])
+    return words, np.diff(np.searchsorted(at, offsets))
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, c) over a column text, with a row for the end token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held = pa.table({"word": pa.array([], pa.binary()), "c": pa.array([], pa.int64())})
         ends = 0
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            return iter(t.set_column(0, "word", t.column("word").cast(pa.string())).to_batches())
 
         for b in small_batches(batches, 0):
             ends += b.num_rows
-            for t in b.column(0).cast(pa.binary()):
-                held.update((t.as_py() or b"").lower().split())
-                if len(held) > HELD_WORDS:
-                    yield out()
-                    held.clear()
+            found = text_words(b.column(0))[0].value_counts()
+            more = pa.table({"word": found.field("values"), "c": found.field("counts")})
+            held = pa.concat_tables([held, more]).group_by("word").aggregate([("c", "sum")]).rename_columns({"c_sum": "c"}).select(["word", "c"])
+            if held.num_rows > HELD_WORDS:
+                yield from out(held)
+                held = held.slice(0, 0)
         if ends:
-            held[END_WORD.encode()] = ends
-            yield out()
+            yield from out(pa.concat_tables([held, pa.table({"word": pa.array([END_WORD.encode()], pa.binary()), "c": pa.array([ends], pa.int64())})]))
 
     return texts.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -127,18 +146,19 @@ class Model:
             setattr(self, k, x[at : at + rows].astype(np.float32))
             at += rows
 
-    def context(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        h = self.r.take(u, axis=0)
-        h *= self.c[0]
-        h += self.c[1] * self.r.take(v, axis=0)
+    def context(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The contexts of words u, v, and the vectors of both."""
+        ru, rv = self.r.take(u, axis=0), self.r.take(v, axis=0)
+        h = ru * self.c[0]
+        h += rv * self.c[1]
         h[:, -1] = 1
-        return h
+        return h, ru, rv
 
     def scores(self) -> tuple[np.ndarray, np.ndarray]:
         """Natural-log scores of a small vocabulary's words after each pair (row u * n + v), and the pairs' normalisers."""
         n = len(self.p)
         u, v = np.divmod(np.arange(n * n), n)
-        s = self.context(u, v) @ self.q.T
+        s = self.context(u, v)[0] @ self.q.T
         return s, _log_sum(s)
 
     def log_p(self, u: np.ndarray, v: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -148,7 +168,7 @@ class Model:
         x = triples % n
         first = np.flatnonzero(np.diff(triples // n, prepend=-1))  # the pairs stand in order
         pairs, at = triples[first] // n, np.repeat(np.arange(len(first)), np.diff(first, append=len(triples)))
-        h = self.context(pairs // n, pairs % n)
+        h = self.context(pairs // n, pairs % n)[0]
         k = self.k if len(self.k) < n else self.q
         norm = np.empty(len(pairs), np.float32)
         step = max(1, CELLS // len(k))
@@ -176,7 +196,7 @@ class Model:
 def _log_sum(s: np.ndarray) -> np.ndarray:
     """Logarithms of the rows' sums of exponentials."""
     with np.errstate(over="ignore", divide="ignore"):
-        out = np.log(np.exp(s).sum(axis=1))
+        out = np.log(np.exp(s) @ np.ones(s.shape[1], s.dtype))
     odd = ~np.isfinite(out)
     if odd.any():
         top = s[odd].max(axis=1, keepdims=True)
@@ -197,18 +217,20 @@ class Trainer:
 
     def _step(self, key: str, rows: np.ndarray, grad: np.ndarray) -> None:
         """AdaGrad on the rows named of a parameter."""
-        order = np.argsort(rows, kind="stable")
-        some = rows[order]
+        at = np.sort(rows.astype(np.int64) * len(rows) + np.arange(len(rows)))
+        some, order = np.divmod(at, len(rows))
         starts = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
         uniq = some[starts]
-        g = np.add.reduceat(grad.take(order, axis=0), starts, axis=0)
+        g = np.add.reduceat(grad.view(np.complex64).take(order, axis=0), starts, axis=0).view(np.float32)  # two numbers in one sum
         sq = self.sq[key].take(uniq, axis=0)
         sq += g * g
         self.sq[key][uniq] = sq
         np.sqrt(sq, out=sq)
         g /= sq
         g *= np.float32(RATE)
-        getattr(self.m, key)[uniq] += g
+        part = getattr(self.m, key)
+        g += part.take(uniq, axis=0)
+        part[uniq] = g
 
     def _contrast(self, key: str, h: np.ndarray, x: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Learns targets x from shared noise; the gradient of h."""
@@ -217,14 +239,18 @@ class Trainer:
         qx, qn = q.take(x, axis=0), q.take(noise, axis=0)
         good = np.einsum("ij,ij->i", h, qx) - log_kp[x]
         good = (w / (1 + np.exp(good)))[:, None]
-        bad = h @ -qn.T
-        bad += log_kp[noise]
+        own = -qn
+        own[:, -1] += log_kp[noise]  # the bias meets the 1 of the context
+        bad = h @ own.T
         np.exp(bad, out=bad)
         bad += 1
-        np.divide(-w[:, None], bad, out=bad)
-        self._step(key, np.concatenate([x, noise]), np.concatenate([good * h, bad.T @ h]))
+        np.reciprocal(bad, out=bad)
+        minus = -w[:, None]
+        self._step(key, np.concatenate([x, noise]), np.concatenate([good * h, bad.T @ (h * minus)]))
         qx *= good
-        qx += bad @ qn
+        back = bad @ qn
+        back *= minus
+        qx += back
         return qx
 
     @np.errstate(over="ignore")  # a chance of zero
@@ -243,31 +269,25 @@ class Trainer:
         for at in range(0, len(triples), BATCH):
             here = slice(at, at + BATCH)
             u, v, w = us[here], vs[here], weights[here]
-            h = m.context(u, v)
+            h, ru, rv = m.context(u, v)
             dh = self._contrast("q", h, xs[here], w)
             if self.both:
                 dh += self._contrast("k", h, kx[here], w)
             dh[:, -1] = 0
-            of_c = np.stack([np.einsum("ij,ij->j", dh, m.r.take(x, axis=0)) for x in (u, v)])
-            self._step("r", np.concatenate([u, v]), np.concatenate([dh * m.c[0], dh * m.c[1]]))
+            of_c = np.stack([np.einsum("ij,ij->j", dh, r) for r in (ru, rv)])
+            self._step("r", np.concatenate([u, v]), (dh * m.c[:, None]).reshape(-1, DIM))
             self._step("c", np.arange(2), of_c)
 
     def weights(self) -> np.ndarray:
         return np.concatenate([self.seen[k] for k in Model.PARTS])
 
 
-def _classes(batch: pa.Array, rank: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, list[list[bytes]]]:
-    """Ranks (-1: not known; -2: end) of all tokens of a batch, two leading ends a text, lengths of texts with those, and the words."""
-    flat: list[int] = []
-    lengths, words = [], []
-    for t in batch:
-        w = (t.as_py() or b"").lower().split()
-        flat += (-2, -2)
-        flat.extend(map(rank.get, w, repeat(-1)))
-        flat.append(-2)
-        lengths.append(len(w) + 3)
-        words.append(w)
-    return np.array(flat, np.int64), np.array(lengths, np.int64), words
+def _classes(batch: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Ranks (-1: not known; -2: end) of all tokens of a batch, two leading ends a text, lengths of texts with those, and the words. known: words by rank."""
+    words, n = text_words(batch)
+    out = np.full(len(words) + 3 * len(n), -2, np.int64)
+    out[np.arange(len(words)) + np.repeat(3 * np.arange(len(n)) + 2, n)] = pc.index_in(words, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+    return out, n + 3, words
 
 
 def _places(lengths: np.ndarray) -> np.ndarray:
@@ -296,7 +316,7 @@ def train(texts: DataFrame, common: list[bytes], frequency: np.ndarray, tokens:
 
         def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
             words, freq, of = known.value
-            rank = {w: i for i, w in enumerate(words)}
+            words = pa.array(words, pa.binary())
             m = Model(freq, of)
             m.set_flat(start.value)
             trainer, held, size = Trainer(m, 11 + turn), [], 0
@@ -306,7 +326,7 @@ def train(texts: DataFrame, common: list[bytes], frequency: np.ndarray, tokens:
                 held.clear()
 
             for b in small_batches(batches, 0, TEXT):
-                ranks, lengths, _ = _classes(b.column(0).cast(pa.binary()), rank)
+                ranks, lengths, _ = _classes(b.column(0), words)
                 ids, at = _ids(ranks), _places(lengths)
                 held.append((ids[at - 2] * n + ids[at - 1]) * n + ids[at])
                 size += len(at)
@@ -369,10 +389,10 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, c, learned_model = sent.value
-        rank = {w: i for i, w in enumerate(known)}
+        known = pa.array(known, pa.binary())
         logs = np.concatenate([np.log10(c + 1.0), [np.log10(ends + 1.0), 0.0]])  # by rank; -2: end, -1: joined later
         for b in small_batches(batches, 2, TEXT):
-            ranks, lengths, texts = _classes(b.column(2).cast(pa.binary()), rank)
+            ranks, lengths, words = _classes(b.column(2), known)
             ids, starts, at = _ids(ranks), np.cumsum(lengths) - lengths, _places(lengths)
             doc = np.repeat(np.arange(b.num_rows), lengths - 2)
             u, w1, x, r = ids[at - 2], ids[at - 1], ids[at], ranks[at]
@@ -380,9 +400,8 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
             m = b.num_rows
             log_c = logs[r]
             tail = (x == TAIL).astype(float)
-            unknown = [[xxhash.xxh64_intdigest(w, 42) for w, k in zip(t, ranks[s + 2 : s + 2 + len(t)].tolist(), strict=True) if k == -1] if (ranks[s + 2 : s + 2 + len(t)] == -1).any() else [] for t, s in zip(texts, starts.tolist(), strict=True)]
-            flat = np.array([h for t in unknown for h in t], np.uint64).view(np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in unknown])]).astype(np.int32)
+            flat = np.array([xxhash.xxh64_intdigest(w, 42) for w in words.filter(pa.array(r[r != -2] == -1)).to_pylist()], np.uint64).view(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, r == -1, m))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), b.column(3), pa.array(lengths - 2), pa.array(np.bincount(doc, (r >= 0) | ((r == -2) & (ends > 0)), m).astype(np.int64)), pa.array(np.bincount(doc, log_c, m)), pa.array(np.bincount(doc, lm, m)), pa.array(np.bincount(doc, log_c * tail, m)), pa.array(np.bincount(doc, tail, m).astype(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                 names=["row", "doc_id", "held_out", "n_tokens", "n_known", "log_c", "lm", "tail_log_c", "n_tail", "unknown"],
