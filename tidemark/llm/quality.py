@@ -103,36 +103,49 @@ def sketches(counted: DataFrame, lang_col: str = "lang", source_col: str = "sour
     return counted.where(~base_failed()).select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), rows).groupBy("lang", "source", "__f.feature", "__f.bucket").agg(F.count("*").alias("n"))
 
 
-def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """lang, source, then `<feature>_low` and `<feature>_high` (null: no fence) of each group of a sketch."""
-
-    def quantiles(keys: list[str], of: DataFrame) -> DataFrame:
-        by = Window.partitionBy(*keys, "feature")
-        cum = of.groupBy(*keys, "feature", "bucket").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(by))
-        q = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("all"), bucket_low(F.col("bucket")))).alias(f"q{p}")
-        return cum.groupBy(*keys, "feature").agg(F.max("all").alias("n"), *map(q, PERCENTILES))
-
+def quantiles(sketch: DataFrame) -> DataFrame:
+    """level, lang, source, feature, n and the PERCENTILES of a sketch, at all levels in one pass: own (language and source), lang, whole; some_lang and some_whole are of the texts that have the feature at all."""
+    none = {c: F.lit(None).cast(sketch.schema[c].dataType) for c in ("lang", "source")}
+    at = lambda level, *own: F.struct(F.lit(level).alias("level"), *((F.col(c) if c in own else v).alias(c) for c, v in none.items()))
+    every, some = F.array(at("own", "lang", "source"), at("lang", "lang"), at("whole")), F.array(at("some_lang", "lang"), at("some_whole"))
+    rows = sketch.select(F.explode(F.when(F.col("bucket") > 0, F.concat(every, some)).otherwise(every)).alias("__at"), "feature", "bucket", "n").select("__at.*", "feature", "bucket", "n")
+    keys = ("level", "lang", "source", "feature")
+    by = Window.partitionBy(*keys)
+    cum = rows.groupBy(*keys, "bucket").agg(F.sum("n").alias("n")).withColumn("upto", F.sum("n").over(by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(by)).withColumn("low", bucket_low(F.col("bucket")))
+    q = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("all"), F.col("low"))).alias(f"q{p}")
+    return cum.groupBy(*keys).agg(F.max("all").alias("n"), *map(q, PERCENTILES))
+
+
+def thresholds(sketch: DataFrame, min_group: int = MIN_GROUP, scratch: Scratch | None = None) -> DataFrame:
+    """lang, source, then `<feature>_low` and `<feature>_high` (null: no fence) of each group of a sketch.
+
+    With a scratch, the sketch and its quantiles are written first: the quantiles are read five times, and a plan that holds what makes them
+    five times over is half a megabyte of text, which the driver makes again at each of the query's stages.
+    """
+    if scratch:
+        sketch = scratch.table(sketch, "sketches")
+    made = quantiles(sketch)
+    if scratch:
+        made = scratch.table(made, "quantiles")
     names = ["n", *(f"q{p}" for p in PERCENTILES)]
-    own = quantiles(["lang", "source"], sketch)
-    lang = quantiles(["lang"], sketch).select("lang", "feature", *(F.col(c).alias(f"l_{c}") for c in names))
-    whole = quantiles([], sketch).select("feature", *(F.col(c).alias(f"w_{c}") for c in names))
-    own = own.alias("o").join(lang.alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.feature") == F.col("l.feature"))).select("o.*", *(f"l_{c}" for c in names))
-    own = own.join(whole, "feature")
-    # the same of the texts that have a feature at all
-    some, parts = sketch.where("bucket > 0"), ("n", "q50", "q90")
-    some_lang = quantiles(["lang"], some).select(F.col("lang").alias("z_lang"), F.col("feature").alias("z_feature"), *(F.col(c).alias(f"zl_{c}") for c in parts))
-    some_whole = quantiles([], some).select("feature", *(F.col(c).alias(f"zw_{c}") for c in parts))
-    own = own.join(some_lang, F.col("lang").eqNullSafe(F.col("z_lang")) & (F.col("feature") == F.col("z_feature")), "left").join(some_whole, "feature", "left")
+    part = lambda level, tag, columns, *keys: made.where(F.col("level") == level).select(*keys, *(F.col(c).alias(f"{tag}_{c}") for c in columns))
+    own = made.where("level = 'own'").drop("level")
+    own = own.alias("o").join(part("lang", "l", names, "lang", "feature").alias("l"), F.col("o.lang").eqNullSafe(F.col("l.lang")) & (F.col("o.feature") == F.col("l.feature"))).select("o.*", *(f"l_{c}" for c in names))
+    own = own.join(part("whole", "w", names, "feature"), "feature")
+    parts = ("n", "q50", "q90")
+    some_lang = part("some_lang", "zl", parts, F.col("lang").alias("z_lang"), F.col("feature").alias("z_feature"))
+    own = own.join(some_lang, F.col("lang").eqNullSafe(F.col("z_lang")) & (F.col("feature") == F.col("z_feature")), "left").join(part("some_whole", "zw", parts, "feature"), "feature", "left")
     pooled = lambda c: F.when(F.col("zl_n") >= min_group, F.col(f"zl_{c}")).when(F.col("zw_n") >= min_group, F.col(f"zw_{c}"))
     level = lambda c: F.when(F.col("n") >= min_group, F.col(c)).when(F.col("l_n") >= min_group, F.col(f"l_{c}")).otherwise(F.col(f"w_{c}"))
-    own = own.select("lang", "source", "feature", *(level(c).alias(c) for c in names[1:]), pooled("q50").alias("z50"), pooled("q90").alias("z90"))
     unit = F.coalesce(*(F.when(F.col("feature") == k, F.lit(u)) for k, u in JUMPING.items()))
-    lifted = {p: F.col(f"q{p}") + unit for p in GRID}
-    jump = F.coalesce(*(F.when(lifted[b] >= JUMP * lifted[a], F.floor(F.sqrt((lifted[a] * lifted[b]).cast("double"))) - unit) for a, b in zip(GRID, GRID[1:])))
+    own = own.select("lang", "source", "feature", unit.alias("unit"), *(level(c).alias(c) for c in names[1:]), pooled("q50").alias("z50"), pooled("q90").alias("z90"))
+    lifted = {p: F.col(f"q{p}") + F.col("unit") for p in GRID}
+    jump = F.coalesce(*(F.when(lifted[b] >= JUMP * lifted[a], F.floor(F.sqrt((lifted[a] * lifted[b]).cast("double"))) - F.col("unit")) for a, b in zip(GRID, GRID[1:])))
     jump = F.coalesce(jump, F.when(F.col("q75") == 0, F.col("z90") + SPAN * (F.col("z90") - F.col("z50"))))
-    at = lambda k, x: F.max(F.when(F.col("feature") == k, x))
+    at = lambda k, x: F.max(F.when(F.col("feature") == k, F.col(x)))
     length = (F.col("q50") - REACH * F.greatest(F.col("q50") - F.col("q25"), F.floor(F.col("q50") / 16)), F.col("q50") + REACH * F.greatest(F.col("q75") - F.col("q50"), F.floor(F.col("q50") / 16)))
-    fences = [at(k, jump).alias(f"{k}_high") for k in JUMPING] + [at("word_length", x).alias(f"word_length_{side}") for side, x in zip(("low", "high"), length, strict=True)]
+    own = own.select("lang", "source", "feature", jump.alias("jump"), length[0].alias("low"), length[1].alias("high"))
+    fences = [at(k, "jump").alias(f"{k}_high") for k in JUMPING] + [at("word_length", side).alias(f"word_length_{side}") for side in ("low", "high")]
     return own.groupBy("lang", "source").agg(*fences)
 
 
@@ -156,7 +169,7 @@ def judge(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     scratch = Scratch(spark, "quality")
     counted = with_counts(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))).drop("text")
     counted = scratch.table(counted, "counts")
-    limits = scratch.table(thresholds(sketches(counted), min_group), "thresholds")
+    limits = scratch.table(thresholds(sketches(counted), min_group, scratch), "thresholds")
     return _fenced(counted, limits, "lang", "source").select("doc_id", *COUNTS, "base_failed", "kept")
 
 
@@ -165,7 +178,7 @@ def filter_docs(spark: SparkSession, docs: DataFrame, text_col: str = "text", la
     scratch = Scratch(spark, "quality")
     short = with_counts(docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))).drop("text")
     # written first: a filter over the counts would inline them
-    limits = scratch.table(thresholds(sketches(scratch.table(short, "counts")), min_group), "thresholds")
+    limits = scratch.table(thresholds(sketches(scratch.table(short, "counts")), min_group, scratch), "thresholds")
     renamed = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("__text"), F.col(lang_col).alias("__lang_of"), F.col(source_col).alias("__source_of"))
     counted = with_counts(renamed, "__text").drop("__text")
     return _fenced(counted, limits, "__lang_of", "__source_of").where("kept").select("__row.*")
